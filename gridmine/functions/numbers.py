@@ -55,20 +55,24 @@ def find_alnum_mix(c: str | Column) -> Column:
 def fixed1(x: Column) -> Column:
     """A double with one decimal, rounded half-even on its exact binary value.
 
-    Ten times the value is compared with the candidate digit through an exact split
-    of the double (27 + 26 bits), since ``round`` works on the shortest decimal text.
+    The fraction is exact, and ten times the fraction is compared with the candidate
+    digit through an exact split of the double (27 + 26 bits), since ``round`` works on
+    the shortest decimal text. From 2^63 on the text is that of the shortest decimal.
     """
     a = F.abs(x)
-    big = a * F.lit(134217729.0)
-    head = big - (big - a)
-    tail = a - head
-    tenths = F.floor(a * 10)
-    excess = ((F.lit(10.0) * head - tenths) - F.lit(0.5)) + F.lit(10.0) * tail
-    up = (excess > 0) | ((excess == 0) & (tenths % 2 == 1))
-    digits = (tenths + F.when(up, 1).otherwise(0)).cast("decimal(38,0)")
+    whole = F.floor(F.least(a, F.lit(9.2e18)))
+    f = a - whole
+    big = f * F.lit(134217729.0)
+    head = big - (big - f)
+    tail = f - head
+    digit = F.floor(f * 10)
+    excess = ((F.lit(10.0) * head - digit) - F.lit(0.5)) + F.lit(10.0) * tail
+    up = (excess > 0) | ((excess == 0) & (digit % 2 == 1))
+    digit = digit + F.when(up, 1).otherwise(0)
     text = F.concat(
-        F.floor(digits / 10).cast("string"), F.lit("."), (digits % 10).cast("int").cast("string")
+        (whole + F.floor(digit / 10)).cast("string"), F.lit("."), (digit % 10).cast("int").cast("string")
     )
+    text = F.when(a < 9.2e18, text).otherwise(F.format_string("%.1f", a))
     return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 

@@ -11,7 +11,7 @@ from gridmine.functions.intervals import dice_interval, dice_label, interval_rel
 from gridmine.operators.ordering import with_next
 
 
-def dice_pairs(intervals: DataFrame, order: Sequence[str], d: int = 384) -> DataFrame:
+def dice_pairs(intervals: DataFrame, order: Sequence[str], d: int = 384, tolerance: float = 1e-9) -> DataFrame:
     """``intervals`` is (order columns, lo, hi). Pairs of neighbours with relation and label.
 
     Vectors are a function of (lo, hi), so only the bounds are shuffled and the vectors
@@ -29,5 +29,5 @@ def dice_pairs(intervals: DataFrame, order: Sequence[str], d: int = 384) -> Data
         F.col("next_lo").alias("Rx2"),
         F.col("next_hi").alias("Ry2"),
         interval_relation(*ends).alias("relation"),
-        dice_label(*ends, F.col("_v1"), F.col("_v2")).alias("label"),
+        dice_label(*ends, F.col("_v1"), F.col("_v2"), tolerance).alias("label"),
     )

@@ -213,8 +213,56 @@ def q11_labels(spark, sf):
     return pairs.groupBy("label", "relation").agg(F.count("*").alias("n"))
 
 
-@query("q11_interval_chain_384")
+# The full size: explicit 384-dimensional vectors of the few distinct bounds in SQL.
+_ANGLES_SQL = f"""ends AS (SELECT DISTINCT unnest([lo1, hi1]) AS e FROM p),
+ev AS (SELECT e, list({_dice_sql('e', 'k', 384)} ORDER BY k) AS v FROM ends, (SELECT unnest(generate_series(1, 384)) AS k) GROUP BY e),
+ang AS (SELECT a.e AS x, b.e AS y, degrees(acos(greatest(-1, least(1, list_cosine_similarity(a.v, b.v))))) AS g FROM ev a, ev b)"""
+
+
+def _angle(x: str, y: str) -> str:
+    return f"(SELECT g FROM ang WHERE x = {x} AND y = {y})"
+
+
+def _label_384_sql() -> str:
+    detour = lambda p, x, y: f"({_angle(p, x)} + {_angle(p, y)} - {_angle(x, y)})"
+    t12 = f"({detour('lo1', 'lo2', 'hi2')} + {detour('hi1', 'lo2', 'hi2')})"
+    t21 = f"({detour('lo2', 'lo1', 'hi1')} + {detour('hi2', 'lo1', 'hi1')})"
+    m1 = f"({detour('lo2', 'lo1', 'hi1')} + {detour('hi1', 'lo2', 'hi2')})"
+    m2 = f"({detour('lo1', 'lo2', 'hi2')} + {detour('hi2', 'lo1', 'hi1')})"
+    zero = lambda x: f"(abs({x}) <= 1e-3)::INTEGER"
+    return f"""CASE WHEN relation IN ('after', 'before', 'disjoint') THEN ({t12} > 1e-3)::INTEGER
+      WHEN relation = 'partial 2 first' THEN {zero(m2)} WHEN relation = 'partial 1 first' THEN {zero(m1)} WHEN relation = '2 in 1' THEN {zero(t21)}
+      WHEN relation = '1 in 2' THEN {zero(t12)} ELSE {zero(t21)} END"""
+
+
+@query(
+    "q11_interval_chain_384",
+    f"""WITH b AS (SELECT *, l_quantity * 0.9::DOUBLE AS lo, l_quantity * 1.1::DOUBLE AS hi FROM lineitem), p AS (
+      SELECT lo AS lo1, hi AS hi1, lead(lo) OVER (ORDER BY {_ORDER}) AS lo2, lead(hi) OVER (ORDER BY {_ORDER}) AS hi2 FROM b),
+    {_ANGLES_SQL}, d AS (SELECT lo1, hi1, lo2, hi2, count(*) AS c, {_RELATION_SQL} AS relation FROM p WHERE lo2 IS NOT NULL GROUP BY lo1, hi1, lo2, hi2)
+    SELECT relation, label, sum(c)::BIGINT AS n FROM (SELECT relation, c, {_label_384_sql()} AS label FROM d) GROUP BY relation, label""",
+)
 def q11_384(spark, sf):
-    """The full embedding size; labels per relation."""
-    pairs = dice_pairs(interval_lines(spark, sf), LINE_ORDER, d=384)
+    pairs = dice_pairs(interval_lines(spark, sf), LINE_ORDER, d=384, tolerance=1e-3)
     return pairs.groupBy("relation", "label").agg(F.count("*").alias("n"))
+
+
+@query(
+    "i2_consistency_label_384",
+    f"""WITH p AS (SELECT DISTINCT l_quantity AS lo1, l_quantity + l_linenumber AS hi1, 25.0::DOUBLE - l_linenumber AS lo2, 25.0::DOUBLE + l_linenumber % 3 AS hi2 FROM lineitem),
+    {_ANGLES_SQL.replace('[lo1, hi1]', '[lo1, hi1, lo2, hi2]')}
+    SELECT lo1, hi1, lo2, hi2, {_label_384_sql()} AS label, 0 AS differs FROM (SELECT *, {_RELATION_SQL} AS relation FROM p)""",
+)
+def i2_384(spark, sf):
+    """Labels from explicit vectors; they must not differ from those in closed form."""
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    pairs = table(spark, sf, "lineitem").select(
+        q.alias("lo1"), (q + n).alias("hi1"), (F.lit(25.0) - n).alias("lo2"), (F.lit(25.0) + n % 3).alias("hi2")
+    ).distinct()
+    ends = [F.col(c) for c in ("lo1", "hi1", "lo2", "hi2")]
+    pairs = pairs.withColumn("v1", intervals.dice_interval(ends[0], ends[1], 384)).withColumn(
+        "v2", intervals.dice_interval(ends[2], ends[3], 384)
+    )
+    label = intervals.dice_label(*ends, F.col("v1"), F.col("v2"), tolerance=1e-3)
+    closed = intervals.dice_label_of_bounds(*ends, 384, tolerance=1e-3)
+    return pairs.select(*ends, label.alias("label"), (label != closed).cast("int").alias("differs"))

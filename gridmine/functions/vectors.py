@@ -106,12 +106,9 @@ def score_refs(v: str | Column, refs: np.ndarray, rounded: bool = True) -> Colum
 def hash_vector(token: str | Column, dims: int) -> Column:
     """Default encoder: component i is the first 32 bits of md5(token#i), scaled to [-1, 1]."""
     token = as_col(token)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.conv(
-            F.substring(F.md5(F.concat(token, F.lit("#"), i.cast("string"))), 1, 8), 16, 10
-        ).cast("double")
-        * 2
-        / F.lit(4294967296.0)
-        - 1,
-    )
+
+    def component(i: int) -> Column:
+        digest = F.md5(F.concat(token, F.lit(f"#{i}")))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") * 2 / F.lit(4294967296.0) - 1
+
+    return F.array(*[component(i) for i in range(dims)])

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,26 +23,74 @@ def words_of(c: str | Column, lower: bool = True) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda t: t != "")
 
 
+def _token_vectors(tokens: list[str], dims: int) -> np.ndarray:
+    """Default encoder on distinct tokens; the same numbers as ``hash_vector``."""
+    labels = [f"#{i}".encode() for i in range(dims)]
+    bits = b"".join(md5(raw + label).digest()[:4] for raw in (t.encode() for t in tokens) for label in labels)
+    return np.frombuffer(bits, dtype=">u4").astype(float).reshape(-1, dims) * 2 / 4294967296.0 - 1
+
+
+def _segment_sums(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of rows; empty runs give zeros."""
+    out = np.zeros((len(lengths), rows.shape[1]))
+    filled = np.flatnonzero(lengths)
+    if len(filled):
+        out[filled] = np.add.reduceat(rows, (np.cumsum(lengths) - lengths)[filled], axis=0)
+    return out
+
+
+_TOKENS_AT_ONCE = 1 << 18
+
+
+def _mean_vectors(words: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean token vector per list of words, and the word counts.
+
+    Each distinct token of the batch is hashed once; token rows are gathered in slices.
+    """
+    lengths = np.asarray(words.value_lengths().fill_null(0), dtype=np.int64)
+    coded = words.flatten().dictionary_encode()
+    table = _token_vectors(coded.dictionary.to_pylist(), dims)
+    index = np.asarray(coded.indices)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    sums = np.zeros((len(lengths), dims))
+    for first in range(0, len(index), _TOKENS_AT_ONCE):
+        part = slice(first, first + _TOKENS_AT_ONCE)
+        low, high = owner[part][0], owner[part][-1] + 1
+        runs = np.bincount(owner[part] - low, minlength=high - low)
+        sums[low:high] += _segment_sums(table[index[part]], runs)
+    return sums / np.maximum(lengths, 1)[:, None], lengths
+
+
+def _vector_array(rows: np.ndarray, usable: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(np.where(usable, rows.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows[usable].ravel()), mask=pa.array(~usable))
+
+
 def text_vector(c: str | Column, dims: int, lower: bool = True) -> Column:
-    """Mean of the default token vectors of a text, computed inside the row: no explode, no shuffle.
+    """Mean of the default token vectors of a text; NULL for a text without tokens.
 
-    NULL for a text without tokens.
+    Evaluated per Arrow batch: no explode and no shuffle, distinct tokens hashed once.
     """
 
-    def vector(words: Column) -> Column:
-        def component(i: Column) -> Column:
-            label = F.concat(F.lit("#"), i.cast("string"))
+    @F.arrow_udf("array<double>")
+    def mean(words: pa.Array) -> pa.Array:
+        rows, lengths = _mean_vectors(words, dims)
+        return _vector_array(rows, lengths > 0)
+
+    return mean(words_of(c, lower))
 
-            def add(acc: Column, word: Column) -> Column:
-                bits = F.conv(F.substring(F.md5(F.concat(word, label)), 1, 8), 16, 10).cast("double")
-                return acc + (bits * 2 / F.lit(4294967296.0) - 1)
 
-            return F.aggregate(words, F.lit(0.0), add) / F.size(words)
+def row_sum_vector(row_texts: str | Column, dims: int, lower: bool = True) -> Column:
+    """Sum of the text vectors of the rows of a table; NULL if no row has tokens."""
 
-        return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), component))
+    @F.arrow_udf("array<double>")
+    def total(tables: pa.Array) -> pa.Array:
+        rows, lengths = _mean_vectors(tables.flatten(), dims)
+        per_table = np.asarray(tables.value_lengths().fill_null(0), dtype=np.int64)
+        used = _segment_sums((lengths > 0).astype(float)[:, None], per_table)[:, 0] > 0
+        return _vector_array(_segment_sums(rows, per_table), used)
 
-    # A one-element array binds the token list once; otherwise it is split again per component.
-    return F.get(F.transform(F.array(words_of(c, lower)), vector), 0)
+    return total(F.transform(as_col(row_texts), lambda t: words_of(t, lower)))
 
 
 def embed_tokens(tokens: DataFrame, dims: int, name: str = "vector") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer, VectorAssembler, Word2Vec, Word2VecModel
+from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StandardScaler, VectorAssembler, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,9 +111,11 @@ def mean_features(df: DataFrame, vector: str) -> DataFrame:
 
 
 def pair_features(pairs: DataFrame, columns: Sequence[str] = ("Rx1", "Ry1", "Rx2", "Ry2")) -> DataFrame:
-    """Interval pairs below the bound as feature vectors."""
+    """Interval pairs below the bound as standardised feature vectors."""
     kept = pairs.filter(bounded(columns, INTERVAL_BOUND))
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(kept)
+    raw = VectorAssembler(inputCols=list(columns), outputCol="_raw").transform(kept)
+    scaler = StandardScaler(withMean=True, inputCol="_raw", outputCol="features").fit(raw)
+    return scaler.transform(raw).drop("_raw")
 
 
 def save_model(model, path: str) -> None:

@@ -7,27 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmine.functions.intervals import dice_interval, dice_label, interval_relation
+from gridmine.functions.intervals import TOLERANCE, dice_label_of_bounds, interval_relation
 from gridmine.operators.ordering import with_next
 
 
-def dice_pairs(intervals: DataFrame, order: Sequence[str], d: int = 384, tolerance: float = 1e-9) -> DataFrame:
+def dice_pairs(intervals: DataFrame, order: Sequence[str], d: int = 384, tolerance: float = TOLERANCE) -> DataFrame:
     """``intervals`` is (order columns, lo, hi). Pairs of neighbours with relation and label.
 
-    Vectors are a function of (lo, hi), so only the bounds are shuffled and the vectors
-    of a pair are computed afterwards, in the row. Output: order columns, Rx1, Ry1, Rx2,
-    Ry2, relation, label.
+    Only bounds are shuffled, and the angles between the embeddings of a pair come from
+    the bounds in closed form; ``dice_interval`` gives the vectors where they are wanted.
+    Output: order columns, Rx1, Ry1, Rx2, Ry2, relation, label.
     """
     pairs = with_next(intervals.select(*order, "lo", "hi"), list(order), ["lo", "hi"])
     ends = [F.col(c) for c in ("lo", "hi", "next_lo", "next_hi")]
-    v1, v2 = dice_interval(ends[0], ends[1], d), dice_interval(ends[2], ends[3], d)
-    with_vectors = pairs.withColumn("_v1", v1).withColumn("_v2", v2)
-    return with_vectors.select(
+    return pairs.select(
         *order,
         F.col("lo").alias("Rx1"),
         F.col("hi").alias("Ry1"),
         F.col("next_lo").alias("Rx2"),
         F.col("next_hi").alias("Ry2"),
         interval_relation(*ends).alias("relation"),
-        dice_label(*ends, F.col("_v1"), F.col("_v2"), tolerance).alias("label"),
+        dice_label_of_bounds(*ends, d, tolerance).alias("label"),
     )

@@ -17,7 +17,7 @@ from gridmine.functions.predicates import cell_guard, guard, header_guard, searc
 from gridmine.functions.text import null_like
 from gridmine.functions.vectors import abs_cosine, cosine, score_refs, vec_concat
 from gridmine.operators.aggregates import token_key, vec_fold
-from gridmine.operators.embed import text_vector, words_of
+from gridmine.operators.embed import row_sum_vector, text_vector, words_of
 from gridmine.operators.joins import MAX_INLINE_REFS, block_pairs, cross_refs, lookup, small_rows
 from gridmine.operators.ordering import topk_ties
 from gridmine.operators.sampling import seeded_hash
@@ -102,7 +102,7 @@ ATTRIBUTE_STOP = ["0", "", "na"]
 
 
 def attribute_vectors(attributes: DataFrame, dims: int) -> DataFrame:
-    """(attribute, unit) to key and attribute vector joined with the unit vector; row-local."""
+    """(attribute, unit) to key and attribute vector joined with the unit vector; no shuffle."""
     kept = attributes.filter(guard("attribute", 500, ATTRIBUTE_STOP))
     return kept.select(
         "attribute",
@@ -194,7 +194,7 @@ def pivot_scores(scores: DataFrame, keys: Sequence[str], refs: Sequence[str]) ->
 
 
 def table_vector(row_texts: Column, dims: int, pool: str = "text") -> Column:
-    """Vector of a table from its row texts, inside the row.
+    """Vector of a table from its row texts; nothing is exploded or shuffled.
 
     ``text`` embeds the whole text; ``rows`` sums row vectors over the number of rows,
     blank rows counted; ``sum`` adds row vectors; ``last`` takes the last row.
@@ -203,15 +203,10 @@ def table_vector(row_texts: Column, dims: int, pool: str = "text") -> Column:
         return text_vector(F.array_join(row_texts, " "), dims)
     if pool == "last":
         return text_vector(F.element_at(row_texts, -1), dims)
-    vectors = F.filter(F.transform(row_texts, lambda t: text_vector(t, dims)), lambda v: v.isNotNull())
-    total = F.aggregate(
-        vectors,
-        F.array_repeat(F.lit(0.0), dims),
-        lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y),
-    )
+    total = row_sum_vector(row_texts, dims)
     if pool == "rows":
         total = F.transform(total, lambda x: x / F.size(row_texts))
-    return F.when(F.size(vectors) > 0, total)
+    return total
 
 
 def table_similarity(tables: DataFrame, refs: dict[str, dict], dims: int, pool: str = "text") -> DataFrame:

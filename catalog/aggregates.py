@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.fixtures import (
+    document_tokens,
     NUMERIC_CELLS_SQL,
     PAPERS_SQL,
     TOKENS_SQL,
@@ -174,7 +175,7 @@ def a12(spark, sf):
     FROM toks GROUP BY token HAVING count(DISTINCT doc_id) >= 5 ORDER BY freq DESC, word LIMIT 50000""",
 )
 def a13(spark, sf):
-    tokens = unnest.tokens(table(spark, sf, "documents"), "text", ("doc_id",))
+    tokens = document_tokens(spark, sf)
     return aggregates.vocabulary(tokens, 50000, min_df=5, doc="doc_id")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import table
+from gridmine.operators.unnest import tokens
+from gridmine.session import spread
 
 # --- papers: one per document --------------------------------------------------------------
 # title = first line; abstract = lines 2-3; figure caption = line 4; body = all lines;
@@ -49,7 +51,8 @@ _TABLE_FIELDS = {
 
 def papers(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
     """Papers; ``fields`` names the table fields to build besides id and caption."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", F.split("text", "\n").alias("lines"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    docs = docs.select("doc_id", "lang", F.split("text", "\n").alias("lines"))
     lines = F.col("lines")
     kept = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x) != "")
 
@@ -102,7 +105,8 @@ def sql_path(column: str, patterns: list[tuple[str, bool]]) -> str:
 
 
 def html_lines(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.split("text", "\n").alias("lines"))
 
     def escape(x: Column) -> Column:
         for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
@@ -132,6 +136,10 @@ def html_lines(spark: SparkSession, sf: str) -> DataFrame:
 PART_HEADER = ["Name", "Mean age years group", "Dose mg/ml level", ""]
 
 
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "part"))
+
+
 def _td(*cells: Column) -> Column:
     return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
 
@@ -141,7 +149,7 @@ def part_tables(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("p_size")
     price = F.col("p_retailprice").cast("string")
     head = "".join(f"<th>{h}</th>" for h in PART_HEADER)
-    return table(spark, sf, "part").select(
+    return _parts(spark, sf).select(
         F.col("p_partkey").cast("string").alias("paper_id"),
         F.lit(1).alias("table_id"),
         F.concat(
@@ -167,7 +175,7 @@ PART_CELLS_SQL = """part_cells AS (
 
 # Per part: spans. Header: "Dose" over two columns, "Age" over two rows; body: a cell over two rows.
 def span_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(
+    return _parts(spark, sf).select(
         F.col("p_partkey"),
         F.concat(
             F.lit("<table><thead><tr><th colspan='2'>Dose</th><th rowspan='2'>Age</th></tr><tr><th>mg</th><th>ml</th></tr></thead><tbody>"),
@@ -181,7 +189,7 @@ def span_tables(spark: SparkSession, sf: str) -> DataFrame:
 # --- cells with numbers, ranges and units: one per part ---------------------------------------
 def numeric_cells(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("p_size").cast("string")
-    return table(spark, sf, "part").select(
+    return _parts(spark, sf).select(
         "p_partkey",
         F.col("p_type").alias("attribute"),
         F.concat(
@@ -215,6 +223,11 @@ VECTORS_SQL = """v AS (
 
 
 # --- tokens -----------------------------------------------------------------------------------
+def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, pos, token) of all documents."""
+    return tokens(spread(table(spark, sf, "documents").select("doc_id", "text")), "text", ("doc_id",))
+
+
 TOKENS_SQL = r"""toks AS (
   SELECT doc_id, i - 1 AS pos, ws[i] AS token
   FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i
@@ -257,7 +270,7 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
 # --- printed lists: one per document, for the corpus profiles ------------------------------------
 def printed_lists(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, data, meta_h, meta_v): the whole text and line lists as printed lists."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     return docs.select(
         "doc_id",
         F.concat(F.lit("['"), F.replace("text", F.lit("\n"), F.lit("', '")), F.lit("']")).alias("data"),

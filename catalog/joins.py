@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import LINE_ORDER, TOKENS_SQL, VECTORS_SQL, interval_lines, word_vectors
+from catalog.fixtures import document_tokens, LINE_ORDER, TOKENS_SQL, VECTORS_SQL, interval_lines, word_vectors
 from catalog.registry import query, table
 from gridmine.operators import aggregates, joins, unnest
 
@@ -112,6 +112,6 @@ def j7(spark, sf):
     SELECT doc_id, string_agg(idx::VARCHAR, ' ' ORDER BY pos) AS ids FROM toks JOIN vocab ON word = token GROUP BY doc_id""",
 )
 def j8(spark, sf):
-    tokens = unnest.tokens(table(spark, sf, "documents"), "text", ("doc_id",))
+    tokens = document_tokens(spark, sf)
     vocab = aggregates.vocabulary(tokens, 5000)
     return joins.encode(tokens, vocab, "doc_id").select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))

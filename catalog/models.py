@@ -139,7 +139,7 @@ def m10(spark, sf):
 @query("m11_interval_pair_classifier")
 def m11(spark, sf):
     pairs = dice_pairs(interval_lines(spark, sf), LINE_ORDER)
-    rows = ml.pair_features(pairs.filter(F.col("label").isNotNull()))
+    rows = ml.pair_features(pairs)
     model = ml.train(rows, "pairs", inputs=4)
     scored = ml.predict(model, rows)
     return scored.groupBy("label", F.col("prediction").cast("int").alias("prediction")).agg(F.count("*").alias("n"))

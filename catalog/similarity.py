@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import PAPERS_SQL, PART_CELLS_SQL, VECTORS_SQL, papers, part_tables, word_vectors
+from catalog.fixtures import document_tokens, PAPERS_SQL, PART_CELLS_SQL, VECTORS_SQL, papers, part_tables, word_vectors
 from catalog.numbers import unit_sql
 from catalog.registry import query, table
 from gridmine.functions.html import parse_table
@@ -14,6 +14,7 @@ from gridmine.functions.vectors import hash_vector
 from gridmine.operators import unnest
 from gridmine.operators.embed import embed_with, text_vector
 from gridmine.plans import similarity
+from gridmine.session import spread
 
 DIMS = 8
 
@@ -167,17 +168,20 @@ def q5(spark, sf):
     return similarity.table_similarity(_paper_rows(spark, sf), _REF_TABLES, DIMS)
 
 
-def _rows_sum_sql() -> str:
-    vectors = f"list_filter(list_transform(rows, lambda r: {text_vector_sql('r')}), lambda z: z IS NOT NULL)"
-    return f"CASE WHEN len({vectors}) > 0 THEN list_transform(generate_series(1, {DIMS}), lambda p: list_sum(list_transform({vectors}, lambda z: z[p]))) END"
+# Row vectors are listed once per table, then added up position by position.
+_SUM_SQL = _table_sql("vector").replace(
+    "x AS (SELECT id, table_id, vector AS vector FROM tv)",
+    f"""rv AS (SELECT id, table_id, list_filter(list_transform(rows, lambda r: {text_vector_sql('r')}), lambda z: z IS NOT NULL) AS vs FROM tv),
+    x AS (SELECT id, table_id, CASE WHEN len(vs) > 0 THEN list_transform(generate_series(1, {DIMS}), lambda p: list_sum(list_transform(vs, lambda z: z[p]))) END AS vector FROM rv)""",
+)
 
 
-@query("q5_table_similarity_row_sum", _table_sql(_rows_sum_sql()))
+@query("q5_table_similarity_row_sum", _SUM_SQL)
 def q5_sum(spark, sf):
     return similarity.table_similarity(_paper_rows(spark, sf), _REF_TABLES, DIMS, pool="sum")
 
 
-@query("q5_table_similarity_row_mean", _table_sql(_rows_sum_sql()))
+@query("q5_table_similarity_row_mean", _SUM_SQL)
 def q5_rows(spark, sf):
     """Dividing by the number of rows does not turn a vector, so scores equal those of the sum."""
     return similarity.table_similarity(_paper_rows(spark, sf), _REF_TABLES, DIMS, pool="rows")
@@ -204,7 +208,7 @@ def q6(spark, sf):
     FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS token FROM documents), (SELECT unnest(generate_series(0, 3)) AS i) WHERE token <> ''""",
 )
 def m12(spark, sf):
-    tokens = unnest.tokens(table(spark, sf, "documents"), "text").select("token").distinct()
+    tokens = document_tokens(spark, sf).select("token").distinct()
     return tokens.select("token", F.posexplode(hash_vector("token", 4)).alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
@@ -213,7 +217,7 @@ def m12(spark, sf):
     f"""SELECT doc_id, i::INTEGER AS pos, round(vec[i + 1], 6) + 0.0 AS x FROM (SELECT doc_id, {text_vector_sql('text', 4)} AS vec FROM documents), (SELECT unnest(generate_series(0, 3)) AS i) WHERE vec IS NOT NULL""",
 )
 def m12_texts(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", text_vector("text", 4).alias("vector"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text_vector("text", 4).alias("vector"))
     return docs.select("doc_id", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import PAPERS_SQL, PART_CELLS_SQL, TOKENS_SQL, papers, part_tables
+from catalog.fixtures import document_tokens, PAPERS_SQL, PART_CELLS_SQL, TOKENS_SQL, papers, part_tables
 from catalog.registry import query, table
 from gridmine.functions.html import parse_table
 from gridmine.functions.text import flatten_nonempty, row_texts, table_text, tree_text
@@ -97,7 +97,7 @@ def u3(spark, sf):
 
 @query("u4_tokens", f"WITH {TOKENS_SQL} SELECT doc_id, pos::INTEGER AS pos, token FROM toks")
 def u4(spark, sf):
-    return unnest.tokens(table(spark, sf, "documents"), "text", ("doc_id",))
+    return document_tokens(spark, sf)
 
 
 @query(

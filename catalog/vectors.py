@@ -11,7 +11,7 @@ from catalog.joins import REFS_SQL
 from catalog.registry import query, table
 from gridmine.functions import intervals, numbers, vectors
 from gridmine.operators import aggregates, joins
-from gridmine.plans.intervals import dice_pairs
+from gridmine.plans.intervals import dice_pairs, label_bounds, label_vectors
 
 
 def _with_centroid(spark, sf):
@@ -184,8 +184,7 @@ def i2(spark, sf):
     pairs = pairs.withColumn("v1", intervals.dice_interval(ends[0], ends[1], 2)).withColumn(
         "v2", intervals.dice_interval(ends[2], ends[3], 2)
     )
-    label = intervals.dice_label(*ends, F.col("v1"), F.col("v2"), tolerance=1e-3)
-    return pairs.select(*ends, label.alias("label"))
+    return label_vectors(pairs, ["lo1", "hi1", "lo2", "hi2"], "v1", "v2", tolerance=1e-3).drop("v1", "v2")
 
 
 _ORDER = ", ".join(LINE_ORDER)
@@ -263,6 +262,7 @@ def i2_384(spark, sf):
     pairs = pairs.withColumn("v1", intervals.dice_interval(ends[0], ends[1], 384)).withColumn(
         "v2", intervals.dice_interval(ends[2], ends[3], 384)
     )
-    label = intervals.dice_label(*ends, F.col("v1"), F.col("v2"), tolerance=1e-3)
-    closed = intervals.dice_label_of_bounds(*ends, 384, tolerance=1e-3)
-    return pairs.select(*ends, label.alias("label"), (label != closed).cast("int").alias("differs"))
+    bounds = ["lo1", "hi1", "lo2", "hi2"]
+    labelled = label_vectors(pairs, bounds, "v1", "v2", tolerance=1e-3).drop("v1", "v2")
+    labelled = label_bounds(labelled, bounds, 384, tolerance=1e-3, name="closed")
+    return labelled.select(*ends, "label", (F.col("label") != F.col("closed")).cast("int").alias("differs"))

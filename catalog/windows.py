@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import LINE_ORDER, TOKENS_SQL, interval_lines, word_vectors
+from catalog.fixtures import document_tokens, LINE_ORDER, TOKENS_SQL, interval_lines, word_vectors
 from catalog.registry import query, table
 from gridmine.operators import ordering, tokens as token_ops, unnest
 from gridmine.operators.embed import embed_tokens
@@ -49,7 +49,7 @@ PIECES_SQL = f"""{TOKENS_SQL}, pieces AS (
 
 
 def _pieces(spark, sf):
-    tokens = unnest.tokens(table(spark, sf, "documents"), "text", ("doc_id",))
+    tokens = document_tokens(spark, sf)
     first = F.substring("token", 1, 4)
     rest = F.when(F.length("token") > 4, F.concat(F.lit("##"), F.substring("token", 5, 1 << 30)))
     split = F.array_compact(F.array(first, rest))
@@ -87,7 +87,7 @@ SPANS_SQL = f"""{TOKENS_SQL}, marked AS (
                  ELSE {_component('token', 0)} END, 6) + 0.0 AS first FROM marked""",
 )
 def w5(spark, sf):
-    tokens = unnest.tokens(table(spark, sf, "documents"), "text", ("doc_id",)).filter(~F.col("token").isin("[", "]"))
+    tokens = document_tokens(spark, sf).filter(~F.col("token").isin("[", "]"))
     length = F.length("token")
     span = F.col("token").rlike("(?s).[.,]$")
     parts = F.when(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridmine.functions.vectors import angle_deg, vec_concat, vec_halves
+from gridmine.functions.vectors import vec_concat
 
 
 def dice_theta(x: Column, lo: float = 0, hi: float = 100) -> Column:
@@ -63,9 +63,25 @@ def interval_relation(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Col
 #: Degrees. An angle near 0 comes out of acos with an error of about 1e-6 degrees.
 TOLERANCE = 1e-5
 
+#: The ends of two intervals and the pairs between them.
+ENDS = ("s1", "e1", "s2", "e2")
+PAIRS = tuple(itertools.combinations(ENDS, 2))
 
-def _consistency(angle: Callable[[str, str], Column], same: Column, rules: list, tolerance: float) -> Column:
-    """Label from the angles between the ends s1, e1, s2, e2."""
+
+def angle_name(a: str, b: str) -> str:
+    return "_angle_" + "_".join(sorted((a, b)))
+
+
+def consistency(
+    lo1: Column, hi1: Column, lo2: Column, hi2: Column, same: Column, tolerance: float = TOLERANCE
+) -> Column:
+    """1 if the angles between the end vectors agree with the relation, else 0.
+
+    Reads the six columns named by ``angle_name``; ``same`` tells whether the vectors are equal.
+    """
+
+    def angle(a: str, b: str) -> Column:
+        return F.col(angle_name(a, b))
 
     def detour(p: str, a: str, b: str) -> Column:
         """Surplus of the way a - p - b over the direct angle a - b; 0 if p lies between."""
@@ -85,46 +101,5 @@ def _consistency(angle: Callable[[str, str], Column], same: Column, rules: list,
         "before": apart,
         "after": apart,
     }
+    rules = _rules(lo1, hi1, lo2, hi2)
     return _last_true([(F.coalesce(checks[name], F.lit(False)).cast("int"), cond) for name, cond in rules])
-
-
-def dice_label(
-    lo1: Column, hi1: Column, lo2: Column, hi2: Column, v1: Column, v2: Column, tolerance: float = TOLERANCE
-) -> Column:
-    """1 if the angles between the end vectors agree with the relation, else 0."""
-    (s1, e1), (s2, e2) = vec_halves(v1), vec_halves(v2)
-    ends = {"s1": s1, "e1": e1, "s2": s2, "e2": e2}
-    return _consistency(
-        lambda a, b: angle_deg(ends[a], ends[b]), v1 == v2, _rules(lo1, hi1, lo2, hi2), tolerance
-    )
-
-
-def dice_dot(x: Column, y: Column, d: int, lo: float = 0, hi: float = 100) -> Column:
-    """Dot product of two DICE-d vectors without building them.
-
-    Component products are powers of r = sin x sin y, so the sum is a geometric series.
-    """
-    a, b = dice_theta(x, lo, hi), dice_theta(y, lo, hi)
-    if d == 2:
-        return F.cos(a) * F.cos(b) + F.sin(a) * F.sin(b)
-    r = F.sin(a) * F.sin(b)
-    series = F.when(r == 1, F.lit(float(d - 1))).otherwise((1 - F.pow(r, F.lit(d - 1))) / (1 - r))
-    return F.cos(a) * F.cos(b) * series + F.pow(r, F.lit(d))
-
-
-def dice_angle(x: Column, y: Column, d: int, lo: float = 0, hi: float = 100) -> Column:
-    """Angle in degrees between the DICE-d vectors of two numbers."""
-    norms = F.sqrt(dice_dot(x, x, d, lo, hi) * dice_dot(y, y, d, lo, hi))
-    cos = F.try_divide(dice_dot(x, y, d, lo, hi), norms)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
-
-
-def dice_label_of_bounds(
-    lo1: Column, hi1: Column, lo2: Column, hi2: Column, d: int, tolerance: float = TOLERANCE
-) -> Column:
-    """``dice_label`` of the DICE-d embeddings, from the bounds alone: no vector is built."""
-    ends = {"s1": lo1, "e1": hi1, "s2": lo2, "e2": hi2}
-    same = (lo1 == lo2) & (hi1 == hi2)
-    return _consistency(
-        lambda a, b: dice_angle(ends[a], ends[b], d), same, _rules(lo1, hi1, lo2, hi2), tolerance
-    )

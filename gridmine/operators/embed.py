@@ -93,6 +93,31 @@ def row_sum_vector(row_texts: str | Column, dims: int, lower: bool = True) -> Co
     return total(F.transform(as_col(row_texts), lambda t: words_of(t, lower)))
 
 
+def fold_vector(texts: str | Column, n: str | Column, dims: int, mode: str = "mean", lower: bool = True) -> Column:
+    """Vector of a table column from its cell texts, in order; NULL if no cell has tokens.
+
+    ``mean`` is the mean of the cell vectors. ``decay`` divides the running sum by ``n``
+    after every cell, so the cell that is r-th from the end weighs n^-r.
+    """
+
+    @F.arrow_udf("array<double>")
+    def fold(columns: pa.Array, sizes: pa.Array) -> pa.Array:
+        rows, lengths = _mean_vectors(columns.flatten(), dims)
+        cells = np.asarray(columns.value_lengths().fill_null(0), dtype=np.int64)
+        owner = np.repeat(np.arange(len(cells)), cells)
+        used = lengths > 0
+        count = np.bincount(owner[used], minlength=len(cells))
+        if mode == "mean":
+            weight = np.where(used, 1.0 / np.maximum(count, 1)[owner], 0.0)
+        else:
+            place = np.cumsum(used) - (np.cumsum(count) - count)[owner]
+            base = np.asarray(sizes.fill_null(1), dtype=float)
+            weight = np.where(used, base[owner] ** -(count[owner] - place + 1.0), 0.0)
+        return _vector_array(_segment_sums(rows * weight[:, None], cells), count > 0)
+
+    return fold(F.transform(as_col(texts), lambda t: words_of(t, lower)), as_col(n))
+
+
 def embed_tokens(tokens: DataFrame, dims: int, name: str = "vector") -> DataFrame:
     """Default encoder on token rows."""
     return tokens.withColumn(name, hash_vector("token", dims))

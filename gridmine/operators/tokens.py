@@ -4,23 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _mean_of(vectors: Column) -> Column:
+    total = F.aggregate(
+        F.slice(vectors, F.lit(2), F.size(vectors)),
+        F.get(vectors, 0),
+        lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y),
+    )
+    return F.when(F.size(vectors) == 1, F.get(vectors, 0)).otherwise(F.transform(total, lambda x: x / F.size(vectors)))
+
+
 def _merge(tokens: DataFrame, doc: Sequence[str], island: Column, piece: Column, vector: str | None) -> DataFrame:
-    marked = tokens.withColumn("_island", island).withColumn("_piece", piece)
-    aggs = [
-        F.min("pos").alias("pos"),
-        F.array_join(F.sort_array(F.collect_list(F.struct("pos", "_piece"))).getField("_piece"), "").alias("token"),
-        F.count("*").alias("pieces"),
-    ]
-    if vector:
-        aggs.append(vector_to_array(Summarizer.mean(array_to_vector(vector))).alias(vector))
-    return marked.groupBy(*doc, "_island").agg(*aggs).drop("_island")
+    """One row per island. An island lies inside one text, so collecting its pieces is bounded,
+    and the rows already stand together by text, so no further shuffle is needed."""
+    fields = ["pos", "_piece", *([vector] if vector else [])]
+    runs = (
+        tokens.withColumn("_island", island)
+        .withColumn("_piece", piece)
+        .groupBy(*doc, "_island")
+        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_run"))
+    )
+    return runs.select(
+        *doc,
+        F.get("_run.pos", 0).alias("pos"),
+        F.array_join("_run._piece", "").alias("token"),
+        F.size("_run").cast("long").alias("pieces"),
+        *([_mean_of(F.col(f"_run.{vector}")).alias(vector)] if vector else []),
+    )
 
 
 def merge_subwords(tokens: DataFrame, doc: Sequence[str], vector: str | None = None) -> DataFrame:
@@ -45,4 +59,4 @@ def merge_spans(
     inside = F.coalesce(F.last(bracket, ignorenulls=True).over(before) == opening, F.lit(False))
     tokens = tokens.withColumn("_inside", inside)
     island = F.sum(F.when(F.col("_inside"), 0).otherwise(1)).over(upto)
-    return _merge(tokens, doc, island, F.col("token"), vector).drop("_inside")
+    return _merge(tokens, doc, island, F.col("token"), vector)

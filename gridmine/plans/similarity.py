@@ -6,8 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,12 +14,11 @@ from gridmine.functions.numbers import UNITS_COLUMN, detect_unit, resolve_unit
 from gridmine.functions.predicates import cell_guard, guard, header_guard, search
 from gridmine.functions.text import null_like
 from gridmine.functions.vectors import abs_cosine, cosine, score_refs, vec_concat
-from gridmine.operators.aggregates import token_key, vec_fold
-from gridmine.operators.embed import row_sum_vector, text_vector, words_of
+from gridmine.operators.aggregates import token_key, vec_mean
+from gridmine.operators.embed import fold_vector, row_sum_vector, text_vector, words_of
 from gridmine.operators.joins import MAX_INLINE_REFS, block_pairs, cross_refs, lookup, small_rows
 from gridmine.operators.ordering import topk_ties
 from gridmine.operators.sampling import seeded_hash
-from gridmine.operators.unnest import grid_cells
 
 
 def nearest(
@@ -134,53 +131,67 @@ def similar_attributes(
     )
 
 
-def cell_rows(tables: DataFrame, keys: tuple[str, ...] = ("paper_id", "table_id")) -> DataFrame:
-    """Parsed tables (keys, header, rows) to usable cells: (keys, row, col, header, value, n_rows)."""
-    kept = tables.select(*keys, "header", "rows", F.size("rows").alias("n_rows"))
-    cells = grid_cells(kept, "rows", "header", (*keys, "n_rows"))
-    return cells.filter(header_guard("header")).withColumn("value", null_like("value")).filter(cell_guard("value"))
+def table_columns(tables: DataFrame, keys: tuple[str, ...] = ("paper_id", "table_id")) -> DataFrame:
+    """Parsed tables (keys, header, rows) to named columns: (keys, col, header, cells, n_rows).
+
+    ``cells`` holds the usable cells in row order; blank headers and empty columns vanish.
+    Everything is turned inside the row of the table, so nothing is shuffled.
+    """
+
+    def column(c: Column) -> Column:
+        cells = F.transform("rows", lambda r: null_like(F.get(r, c)))
+        return F.struct(
+            c.alias("col"), F.get("header", c).alias("header"), F.filter(cells, lambda v: cell_guard(v)).alias("cells")
+        )
+
+    last = F.size("header") - 1
+    kept = tables.filter(F.size("header") > 0)
+    columns = kept.select(
+        *keys, F.size("rows").alias("n_rows"), F.explode(F.transform(F.sequence(F.lit(0), last), column)).alias("_c")
+    )
+    return columns.select(*keys, "_c.*", "n_rows").filter(header_guard("header") & (F.size("cells") > 0))
+
+
+def _centroids(refs: DataFrame) -> DataFrame:
+    """(ref, vector) to (ref, ref_vector)."""
+    return vec_mean(refs.select("ref", F.col("vector").alias("ref_vector")), ["ref"], "ref_vector")
 
 
 def reference_vectors(refs: DataFrame, text: str, dims: int) -> DataFrame:
     """Reference columns (ref, phrase) to their centroids (ref, ref_vector)."""
-    vectors = refs.select("ref", text_vector(text, dims).alias("vector"))
-    return vectors.groupBy("ref").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("vector"))).alias("ref_vector")
-    )
+    return _centroids(refs.select("ref", text_vector(text, dims).alias("vector")))
 
 
-def attribute_number_unit(attribute: Column, number: Column, unit: Column, dims: int) -> Column:
-    return vec_concat(text_vector(attribute, dims), text_vector(number, dims), text_vector(unit, dims))
+def attribute_number_unit(attribute: str, number: Column, unit: str, dims: int) -> Column:
+    return vec_concat(text_vector(attribute, dims), number, text_vector(unit, dims))
 
 
-def column_similarity_anu(tables: DataFrame, refs: DataFrame, dims: int, mode: str = "mean") -> DataFrame:
-    """Columns as (attribute, number, unit) vectors against reference triples (ref, attribute, number, unit)."""
-    keys = ["paper_id", "table_id", "col", "header"]
-    cells = cell_rows(tables)
-    unit = resolve_unit(detect_unit("header", UNITS_COLUMN), detect_unit("value", UNITS_COLUMN), "cell", "UNKNOWN")
-    cells = cells.withColumn("unit", unit).withColumn("vector", text_vector("value", dims))
-    numbers = vec_fold(cells.filter(F.col("vector").isNotNull()), keys, "n_rows", mode=mode)
-    units = cells.groupBy(*keys).agg(F.max_by("unit", "row").alias("unit"))
-    columns = numbers.join(units, keys)
-    whole = columns.withColumn(
-        "vector", vec_concat(text_vector("header", dims), F.col("vector"), text_vector("unit", dims))
-    )
-    ref_rows = refs.select(
-        "ref",
-        attribute_number_unit(F.col("attribute"), F.col("number"), F.col("unit"), dims).alias("vector"),
+def column_similarity_anu(
+    tables: DataFrame, refs: DataFrame, dims: int, mode: str = "mean", keys: tuple[str, ...] = ("paper_id", "table_id")
+) -> DataFrame:
+    """Columns as (attribute, number, unit) vectors against reference triples (ref, attribute, number, unit).
+
+    The unit of a column is that of its last cell, else of its header, else ``UNKNOWN``.
+    """
+    unit = resolve_unit(
+        detect_unit("header", UNITS_COLUMN), detect_unit(F.element_at("cells", -1), UNITS_COLUMN), "cell", "UNKNOWN"
     )
-    centroids = ref_rows.groupBy("ref").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("vector"))).alias("ref_vector")
+    columns = table_columns(tables, keys).withColumn("unit", unit)
+    numbers = fold_vector("cells", "n_rows", dims, mode)
+    whole = columns.select(*keys, "col", "header", attribute_number_unit("header", numbers, "unit", dims).alias("vector"))
+    centroids = _centroids(
+        refs.select("ref", attribute_number_unit("attribute", text_vector("number", dims), "unit", dims).alias("vector"))
     )
-    return cross_refs(whole.filter(F.col("vector").isNotNull()).select(*keys, "vector"), centroids)
+    return cross_refs(whole, centroids)
 
 
-def column_similarity(tables: DataFrame, refs: DataFrame, dims: int, mode: str = "mean") -> DataFrame:
+def column_similarity(
+    tables: DataFrame, refs: DataFrame, dims: int, mode: str = "mean", keys: tuple[str, ...] = ("paper_id", "table_id")
+) -> DataFrame:
     """Literal cells of every column against reference columns (ref, phrase)."""
-    keys = ["paper_id", "table_id", "col", "header"]
-    cells = cell_rows(tables).withColumn("vector", text_vector("value", dims)).filter(F.col("vector").isNotNull())
-    columns = vec_fold(cells, keys, "n_rows", mode=mode)
-    return cross_refs(columns, reference_vectors(refs, "phrase", dims))
+    columns = table_columns(tables, keys)
+    vectors = columns.select(*keys, "col", "header", fold_vector("cells", "n_rows", dims, mode).alias("vector"))
+    return cross_refs(vectors, reference_vectors(refs, "phrase", dims))
 
 
 def pivot_scores(scores: DataFrame, keys: Sequence[str], refs: Sequence[str]) -> DataFrame:

@@ -1 +1,7 @@
 """Registered queries, each next to the SQL that must give the same rows."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -241,7 +241,7 @@ LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantit
 
 def interval_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Quantity +-10% as interval bounds, in order of the line keys."""
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem").select(*LINE_ORDER)).select(
         *LINE_ORDER, (F.col("l_quantity") * 0.9).alias("lo"), (F.col("l_quantity") * 1.1).alias("hi")
     )
 

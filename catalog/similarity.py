@@ -13,6 +13,7 @@ from gridmine.functions.text import row_texts
 from gridmine.functions.vectors import hash_vector
 from gridmine.operators import unnest
 from gridmine.operators.embed import embed_with, text_vector
+from gridmine.operators.joins import cross_refs
 from gridmine.plans import similarity
 from gridmine.session import spread
 
@@ -238,3 +239,27 @@ def _letter_encoder():
 def m12_plugged(spark, sf):
     embedded = embed_with(table(spark, sf, "documents").select("doc_id", "text"), "text", _letter_encoder)
     return embedded.select("doc_id", F.round(F.get("vector", 0), 6).alias("share_a"), F.round(F.get("vector", 1), 6).alias("share_e"))
+
+
+@query(
+    "j1_rows_by_many_references",
+    f"""WITH {VECTORS_SQL}, q AS (SELECT id AS ref, vector AS rv FROM v WHERE word = '8')
+    SELECT id, ref, abs(round(list_cosine_similarity(vector, rv), 6)) AS similarity FROM v, q""",
+)
+def j1_many(spark, sf):
+    """The block form for reference sets that must not travel with the plan."""
+    v = word_vectors(spark, sf)
+    refs = v.filter("word = '8'").select(F.col("id").alias("ref"), F.col("vector").alias("ref_vector"))
+    return cross_refs(v.select("id", "vector"), refs, max_inline=0)
+
+
+@query(
+    "q1_similar_words_in_blocks",
+    f"""WITH {VECTORS_SQL}, q AS (SELECT id AS query, vector AS qv FROM v WHERE word = '8'),
+    s AS (SELECT query, id, word, abs(round(list_cosine_similarity(vector, qv), 6)) AS similarity FROM v, q)
+    SELECT query, id, word, similarity FROM (SELECT *, rank() OVER (PARTITION BY query ORDER BY similarity DESC) AS rk FROM s) WHERE rk <= 10""",
+)
+def q1_blocks(spark, sf):
+    v = word_vectors(spark, sf)
+    queries = v.filter("word = '8'").select(F.col("id").alias("query"), "vector")
+    return similarity.nearest(v.select("id", "word", "vector"), queries, 10, max_inline=0)

@@ -18,7 +18,7 @@ _ORDER = ", ".join(LINE_ORDER)
       lead(l_quantity) OVER (ORDER BY {_ORDER}) AS next_l_quantity FROM lineitem) WHERE next_l_orderkey IS NOT NULL""",
 )
 def w1(spark, sf):
-    lines = table(spark, sf, "lineitem").select(*LINE_ORDER)
+    lines = interval_lines(spark, sf).select(*LINE_ORDER)
     pairs = ordering.with_next(lines, LINE_ORDER, ["l_orderkey", "l_quantity"])
     return pairs.select("l_orderkey", "l_linenumber", "l_quantity", "next_l_orderkey", "next_l_quantity")
 

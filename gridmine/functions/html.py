@@ -19,8 +19,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from gridmine import schemas
 from gridmine.functions.predicates import as_col
 from gridmine.functions.text import HEADER_STYLES
+from gridmine.functions.vectors import costly
 
-_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
 _SPAN = re.compile(r"\b(rowspan|colspan)\s*=\s*[\"'\\/]*\s*(\d+)", re.I)
 _VOID = {"br", "hr", "img", "input", "col", "meta", "link", "wbr"}
 Row = list[str | None]
@@ -33,57 +34,75 @@ def clean_table_html(c: str | Column) -> Column:
     return F.regexp_replace(c, r"<(/?)th(?=[ >])", "<$1td")
 
 
-@dataclass
+@dataclass(slots=True)
 class _Cell:
     rowspan: int = 1
     colspan: int = 1
     text: list[str] = field(default_factory=list)
 
     def value(self) -> str:
-        return html.unescape("".join(self.text))
+        text = "".join(self.text)
+        return html.unescape(text) if "&" in text else text
 
 
-def _spans(attributes: str) -> _Cell:
+def _cell(attributes: str) -> _Cell:
     cell = _Cell()
-    for name, number in _SPAN.findall(attributes):
-        setattr(cell, name.lower(), int(number))
+    if attributes:
+        for name, number in _SPAN.findall(attributes):
+            setattr(cell, name.lower(), int(number))
     return cell
 
 
 def _sections(markup: str) -> dict[str, list[list[_Cell]]]:
-    """Rows of the first thead and the first tbody; nested cells belong to every open row."""
+    """Rows of the first thead and the first tbody.
+
+    Elements stay open until their own end tag, so text, cells and rows of a nested
+    table also count for every cell, row and section around them.
+    """
     sections: dict[str, list[list[_Cell]]] = {}
-    stack: list[tuple[str, object]] = []
+    stack: list[str] = []
+    open_cells: list[_Cell] = []
+    open_rows: list[list[_Cell]] = []
+    open_sections: list[list[list[_Cell]] | None] = []
+    opened = {"td": open_cells, "tr": open_rows, "thead": open_sections, "tbody": open_sections}
     at = 0
     for tag in _TAG.finditer(markup):
-        if tag.start() > at:
-            piece = markup[at : tag.start()]
-            for name, node in stack:
-                if name == "td":
-                    node.text.append(piece)
+        start = tag.start()
+        if open_cells and start > at:
+            piece = markup[at:start]
+            for cell in open_cells:
+                cell.text.append(piece)
         at = tag.end()
-        if tag.group(2) is None:
+        closing, name, attributes = tag.groups()
+        if name is None:
             continue
-        closing, name = tag.group(1), tag.group(2).lower()
+        name = name.lower()
         if closing:
-            names = [n for n, _ in stack]
-            if name in names:
-                del stack[len(names) - 1 - names[::-1].index(name) :]
+            if name in stack:
+                while True:
+                    top = stack.pop()
+                    if top in opened:
+                        opened[top].pop()
+                    if top == name:
+                        break
             continue
-        if name in _VOID or tag.group(3).endswith("/"):
+        if name in _VOID or attributes.endswith("/"):
             continue
-        node: object = None
-        if name in ("thead", "tbody") and name not in sections:
-            node = sections[name] = []
+        stack.append(name)
+        if name == "td":
+            cell = _cell(attributes)
+            for row in open_rows:
+                row.append(cell)
+            open_cells.append(cell)
         elif name == "tr":
-            node = []
-            for _, outer in (s for s in stack if s[0] in ("thead", "tbody") and s[1] is not None):
-                outer.append(node)
-        elif name == "td":
-            node = _spans(tag.group(3))
-            for _, outer in (s for s in stack if s[0] == "tr"):
-                outer.append(node)
-        stack.append((name, node))
+            row = []
+            for section in open_sections:
+                if section is not None:
+                    section.append(row)
+            open_rows.append(row)
+        elif name in ("thead", "tbody"):
+            first = name not in sections
+            open_sections.append(sections.setdefault(name, []) if first else None)
     return sections
 
 
@@ -198,7 +217,7 @@ def parse_table(c: str | Column, spans: str = "none", style: str = "colon", head
     def parse(markups: pa.Array) -> pa.Array:
         return pa.array([parse_one(m, spans, style, header_optional) for m in markups.to_pylist()], type=arrow_type)
 
-    return parse(clean_table_html(c))
+    return costly(parse)(clean_table_html(c))
 
 
 def html_grid(c: str | Column, spans: str = "none") -> Column:

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from gridmine.functions.predicates import as_col
 
 
+def costly(udf):
+    """Evaluate a Python function once per row.
+
+    Filters that Spark infers or pushes down (``size(f(x)) > 0`` before an explode, say)
+    would run a deterministic function a second time, below any repartitioning.
+    """
+    return udf.asNondeterministic()
+
+
 def doubles(c: str | Column) -> Column:
     return as_col(c).cast("array<double>")
 
@@ -72,7 +81,7 @@ def rotate(v: str | Column, basis: np.ndarray) -> Column:
         out = iter((rows @ basis.T).tolist())
         return pa.array([next(out) if good else None for good in ok], type=pa.list_(pa.float64()))
 
-    return product(as_col(v))
+    return costly(product)(as_col(v))
 
 
 def score_refs(v: str | Column, refs: np.ndarray, rounded: bool = True) -> Column:
@@ -100,7 +109,7 @@ def score_refs(v: str | Column, refs: np.ndarray, rounded: bool = True) -> Colum
         offsets = np.concatenate([[0], np.cumsum(np.where(usable, k, 0))]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~usable))
 
-    return score(as_col(v))
+    return costly(score)(as_col(v))
 
 
 def hash_vector(token: str | Column, dims: int) -> Column:

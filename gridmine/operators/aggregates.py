@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridmine.functions.numbers import range_token
 from gridmine.functions.predicates import Pattern, as_col, matches_any
 from gridmine.operators.ordering import assign_ids, number_rows
+from gridmine.session import materialise
 
 
 def vec_mean(df: DataFrame, by: Sequence[str], vector: str = "vector") -> DataFrame:
@@ -102,7 +103,7 @@ def range_dictionary_ids(ranges: DataFrame, seen: Sequence[str]) -> DataFrame:
     """Distinct (attribute, lo, hi, unit) with sequential ids in order of first sight."""
     keys = ["attribute", "lo", "hi", "unit"]
     first = ranges.groupBy(*keys).agg(F.min(F.struct(*seen)).alias("_seen"))
-    return assign_ids(first, ["_seen", *keys]).drop("_seen")
+    return assign_ids(materialise(first), ["_seen", *keys]).drop("_seen")
 
 
 def vocabulary(tokens: DataFrame, size: int, min_df: int = 1, doc: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmine.functions.predicates import as_col
-from gridmine.functions.vectors import hash_vector
+from gridmine.functions.vectors import costly, hash_vector
 
 #: list of texts -> list of vectors; built once per Python worker by a factory.
 EncoderFactory = Callable[[], Callable[[list[str]], list[list[float]]]]
@@ -77,7 +77,7 @@ def text_vector(c: str | Column, dims: int, lower: bool = True) -> Column:
         rows, lengths = _mean_vectors(words, dims)
         return _vector_array(rows, lengths > 0)
 
-    return mean(words_of(c, lower))
+    return costly(mean)(words_of(c, lower))
 
 
 def row_sum_vector(row_texts: str | Column, dims: int, lower: bool = True) -> Column:
@@ -90,7 +90,7 @@ def row_sum_vector(row_texts: str | Column, dims: int, lower: bool = True) -> Co
         used = _segment_sums((lengths > 0).astype(float)[:, None], per_table)[:, 0] > 0
         return _vector_array(_segment_sums(rows, per_table), used)
 
-    return total(F.transform(as_col(row_texts), lambda t: words_of(t, lower)))
+    return costly(total)(F.transform(as_col(row_texts), lambda t: words_of(t, lower)))
 
 
 def fold_vector(texts: str | Column, n: str | Column, dims: int, mode: str = "mean", lower: bool = True) -> Column:
@@ -115,7 +115,7 @@ def fold_vector(texts: str | Column, n: str | Column, dims: int, mode: str = "me
             weight = np.where(used, base[owner] ** -(count[owner] - place + 1.0), 0.0)
         return _vector_array(_segment_sums(rows * weight[:, None], cells), count > 0)
 
-    return fold(F.transform(as_col(texts), lambda t: words_of(t, lower)), as_col(n))
+    return costly(fold)(F.transform(as_col(texts), lambda t: words_of(t, lower)), as_col(n))
 
 
 def embed_tokens(tokens: DataFrame, dims: int, name: str = "vector") -> DataFrame:

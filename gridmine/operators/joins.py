@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmine.functions.vectors import abs_cosine, score_refs
+from gridmine.functions.vectors import score_refs
 from gridmine.operators.ordering import number_rows
 
 #: Reference sets up to this many vectors travel with the plan; larger ones are joined in blocks.
@@ -39,7 +42,7 @@ def cross_refs(
     """Absolute cosine of every row with every reference: (df columns, ref, similarity).
 
     Few references: scored as one matrix per Arrow batch, no join and no shuffle.
-    Many references: both sides are cut into blocks and meet once per pair of blocks.
+    Many references: both sides are cut into bounded blocks that meet once per pair.
     """
     rows = small_rows(refs.select(ref_id, ref_vector), max_inline)
     keep = [c for c in df.columns if c != vector]
@@ -54,23 +57,58 @@ def cross_refs(
             .select(*keep, F.posexplode("_scores").alias("_i", "similarity"))
             .select(*keep, F.element_at(names, F.col("_i") + 1).alias(ref_id), "similarity")
         )
-    pairs = block_pairs(df, refs.select(ref_id, ref_vector))
-    return pairs.select(*keep, ref_id, abs_cosine(vector, ref_vector).alias("similarity")).filter(
-        F.col("similarity").isNotNull()
-    )
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"{fields}, `{ref_id}` {refs.schema[ref_id].dataType.simpleString()}, `similarity` double"
+
+    def scores(left: pa.Table, right: pa.Table) -> pa.Table:
+        sims = block_cosines(left[vector], right[ref_vector])
+        row, ref = np.nonzero(sims >= 0)
+        columns = [*left.select(keep).take(row).columns, right[ref_id].take(ref), pa.array(sims[row, ref])]
+        return pa.Table.from_arrays(columns, names=[*keep, ref_id, "similarity"])
+
+    typed = refs.select(ref_id, F.col(ref_vector).cast("array<double>"))
+    return block_cogroup(df.withColumn(vector, F.col(vector).cast("array<double>")), typed, scores, schema)
+
+
+#: Rows per block when two large sets meet; a pair of blocks is one bounded group.
+LEFT_BLOCK, RIGHT_BLOCK = 16_384, 1_024
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows; missing ones and those of another length become NaN rows."""
+    flat = vectors.combine_chunks()
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(flat), 0))
+    width = int(lengths.max(initial=0))
+    out = np.full((len(lengths), width), np.nan)
+    whole = lengths == width
+    out[whole] = np.asarray(flat.filter(pa.array(whole)).flatten()).reshape(-1, width)
+    return out
+
+
+def block_cosines(left: pa.ChunkedArray, right: pa.ChunkedArray) -> np.ndarray:
+    """Absolute cosines of all pairs with 6 decimals; -1 where there is none."""
+    a, b = _matrix(left), _matrix(right)
+    if a.shape[1] != b.shape[1] or a.shape[1] == 0:
+        return np.full((len(a), len(b)), -1.0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        a = a / np.linalg.norm(a, axis=1, keepdims=True)
+        b = b / np.linalg.norm(b, axis=1, keepdims=True)
+        sims = np.abs(np.round(a @ b.T, 6))
+    return np.where(np.isnan(sims), -1.0, sims)
 
 
-def block_pairs(left: DataFrame, right: DataFrame, left_blocks: int = 64, right_blocks: int = 16) -> DataFrame:
-    """All pairs of two large sets as an equi join on (left block, right block).
+def block_cogroup(left: DataFrame, right: DataFrame, fn, schema: str) -> DataFrame:
+    """Every pair of rows of two large sets, as cogroups of bounded blocks.
 
-    Rows are hashed into blocks as a whole row, so blocks are even; each row is copied
-    once per block of the other side and every pair of blocks is a task of its own.
+    Each side is hashed into blocks of a fixed size (rows differ by their id) and copied
+    once per block of the other side, so every pair of blocks meets in one group.
     """
-    left = left.withColumn("_lb", F.pmod(F.xxhash64(*left.columns), F.lit(left_blocks)))
-    right = right.withColumn("_rb", F.pmod(F.xxhash64(*right.columns), F.lit(right_blocks)))
-    left = left.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1)).cast("array<bigint>")))
-    right = right.withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1)).cast("array<bigint>")))
-    return left.join(right, ["_lb", "_rb"]).drop("_lb", "_rb")
+    n_left = max(1, math.ceil(left.count() / LEFT_BLOCK))
+    n_right = max(1, math.ceil(right.count() / RIGHT_BLOCK))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    left = left.withColumn("_lb", F.pmod(F.xxhash64(*left.columns), F.lit(n_left))).withColumn("_rb", blocks(n_right))
+    right = right.withColumn("_rb", F.pmod(F.xxhash64(*right.columns), F.lit(n_right))).withColumn("_lb", blocks(n_left))
+    return left.groupBy("_lb", "_rb").cogroup(right.groupBy("_lb", "_rb")).applyInArrow(fn, schema)
 
 
 def zip_rows(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str], name: str = "row_id") -> DataFrame:

@@ -61,9 +61,14 @@ def order_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None
     fine_type = T.StructType([T.StructField("b", T.ArrayType(T.ArrayType(key_type)))])
     coarse = F.from_json(F.lit(row["coarse"]), coarse_type)["b"]
     fine = F.from_json(F.lit(row["fine"]), fine_type)["b"]
-    group = F.size(F.filter(coarse, lambda b: b <= key))
-    inside = F.size(F.filter(F.element_at(fine, F.greatest(group, F.lit(1))), lambda b: b <= key))
-    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + inside)
+
+    def place(k: Column) -> Column:
+        group = F.size(F.filter(coarse, lambda b: b <= k))
+        inside = F.size(F.filter(F.element_at(fine, F.greatest(group, F.lit(1))), lambda b: b <= k))
+        return F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + inside)
+
+    # A one-element array binds the key once; otherwise it is built again per bound.
+    return F.get(F.transform(F.array(key), place), 0)
 
 
 def hash_bucket(hash_hex: Column, buckets: int) -> Column:

@@ -29,6 +29,7 @@ from gridmine.operators.aggregates import range_dictionary, range_dictionary_ids
 from gridmine.operators.ordering import running_min
 from gridmine.operators.sampling import sample_one
 from gridmine.operators.unnest import grid_cells
+from gridmine.session import materialise
 from gridmine.sources.readers import explode_payload
 
 
@@ -119,7 +120,8 @@ def range_token_corpus(tables: DataFrame, keys: tuple[str, ...]) -> tuple[DataFr
 
     Pass 1 builds the dictionary from all tables, pass 2 resolves numbers against it.
     """
-    cells = unit_cells(grid_cells(tables, "rows", "header", keys), UNITS_SHORT).filter(F.col("value").isNotNull())
+    cells = grid_cells(tables, "rows", "header", keys).filter(F.col("value").isNotNull())
+    cells = materialise(unit_cells(cells, UNITS_SHORT))  # read by both passes
     dictionary = range_dictionary(ranges_of(cells))
     with_tokens = F.when(
         F.col("unit").isNotNull(), tokenise_ranges("value", F.col("attribute"), F.col("unit"))
@@ -135,8 +137,9 @@ def unit_tables(tables: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, Da
     ``tables`` is (keys, cl_HMD, cl_DATA); the header is the flattened ``cl_HMD``.
     """
     flat = tables.select(*keys, flatten_nonempty("cl_HMD").alias("_h"), "cl_DATA")
-    cells = grid_cells(flat, "cl_DATA", "_h", keys)
-    cells = cells.withColumn("header_unit", detect_unit("header", UNITS_LONG)).filter(F.col("value").isNotNull())
+    named = F.transform("_h", lambda h: F.struct(h.alias("text"), detect_unit(h, UNITS_LONG).alias("unit")))
+    cells = grid_cells(flat.withColumn("_named", named), "cl_DATA", "_named", keys).filter(F.col("value").isNotNull())
+    cells = cells.withColumn("header_unit", F.col("header.unit")).withColumn("header", F.col("header.text"))
     completed = cells.withColumn("value", add_unit("value", "header_unit"))
     found = completed.select(
         *keys, "row", "col", "header", "header_unit", "value", F.posexplode(find_ranges("value")).alias("pos", "_r")

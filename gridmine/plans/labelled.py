@@ -85,12 +85,17 @@ QUERY_SETS: dict[str, tuple[KeywordQuery, KeywordQuery | None, int | None]] = {
 }
 
 
-def table_rows(papers: DataFrame, tree_depth: int = 2, mode: str = "all") -> DataFrame:
-    """Flat rows of all tables: (id, table_id, caption, meta_h, meta_v, data)."""
+def unwound(papers: DataFrame) -> DataFrame:
+    """(id, table_id, t): one row per table, still nested."""
     tables = papers.select(F.col("_id").alias("id"), F.explode("tables").alias("t"))
+    return tables.select("id", F.col("t.tableId").alias("table_id"), "t")
+
+
+def table_rows(tables: DataFrame, tree_depth: int = 2, mode: str = "all") -> DataFrame:
+    """Flat rows of unwound tables: (id, table_id, caption, meta_h, meta_v, data)."""
     return tables.select(
         "id",
-        F.col("t.tableId").alias("table_id"),
+        "table_id",
         F.col("t.tableCaption").alias("caption"),
         tree_text("t.HMD", tree_depth, mode).alias("meta_h"),
         tree_text("t.VMD", tree_depth, mode).alias("meta_v"),
@@ -107,8 +112,8 @@ def labelled_set(
     mode: str = "all",
 ) -> DataFrame:
     """Tables of positive papers (label 1) and of negative papers (label 0, first ``cap`` by id)."""
-    pos = label(table_rows(keyword_filter(papers, positive), tree_depth, mode), 1)
-    neg = label(table_rows(keyword_filter(papers, negative), tree_depth, mode), 0)
-    if cap is not None:
+    pos = unwound(keyword_filter(papers, positive))
+    neg = unwound(keyword_filter(papers, negative))
+    if cap is not None:  # before the texts are made
         neg = limit(neg, cap, ["id", "table_id"])
-    return union_all(pos, neg)
+    return union_all(label(table_rows(pos, tree_depth, mode), 1), label(table_rows(neg, tree_depth, mode), 0))

@@ -6,78 +6,96 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridmine.functions.numbers import UNITS_COLUMN, detect_unit, resolve_unit
 from gridmine.functions.predicates import cell_guard, guard, header_guard, search
 from gridmine.functions.text import null_like
-from gridmine.functions.vectors import abs_cosine, cosine, score_refs, vec_concat
+from gridmine.functions.vectors import cosine, score_refs, vec_concat
 from gridmine.operators.aggregates import token_key, vec_mean
 from gridmine.operators.embed import fold_vector, row_sum_vector, text_vector, words_of
-from gridmine.operators.joins import MAX_INLINE_REFS, block_pairs, cross_refs, lookup, small_rows
+from gridmine.operators.joins import block_cosines, block_cogroup, cross_refs, lookup, small_rows
 from gridmine.operators.ordering import topk_ties
 from gridmine.operators.sampling import seeded_hash
 
 
+#: Query sets up to this many vectors travel with the plan; larger ones are joined in blocks.
+MAX_INLINE_QUERIES = 4_096
+_QUERIES_AT_ONCE = 256
+
+
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int, query_id: str = "query", max_inline: int = MAX_INLINE_REFS
+    vectors: DataFrame, queries: DataFrame, k: int, query_id: str = "query", max_inline: int = MAX_INLINE_QUERIES
 ) -> DataFrame:
     """Top ``k`` with ties for every query: (query_id, columns of ``vectors``, similarity).
 
-    Up to ``max_inline`` queries are scored as a matrix per Arrow batch, and a task only
-    emits rows that reach its own current k-th score, so the final ranking shuffles a
-    few rows per task. More queries meet the vectors in blocks.
+    Queries are scored as matrices per Arrow batch, and a task only emits rows that reach
+    its own current k-th score, so the final ranking shuffles a few rows per task. A query
+    set that is too large to travel meets the vectors in bounded blocks, cut the same way.
     """
     keep = [c for c in vectors.columns if c != "vector"]
-    rows = small_rows(queries.select(query_id, "vector"), max_inline)
-    if rows is None:
-        other = queries.select(query_id, F.col("vector").alias("_query_vector"))
-        scored = block_pairs(vectors, other).select(
-            query_id, *keep, abs_cosine("vector", "_query_vector").alias("similarity")
-        )
-        return topk_ties(scored.filter(F.col("similarity").isNotNull()), [query_id], k, "similarity")
-    kind = queries.schema[query_id].dataType.simpleString()
+    kind = queries.schema[query_id].dataType
     fields = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"`{query_id}` {kind}, {fields}, `similarity` double"
-    if not rows:
+    schema = f"`{query_id}` {kind.simpleString()}, {fields}, `similarity` double"
+    vectors = vectors.withColumn("vector", F.col("vector").cast("array<double>")).select(*keep, "vector")
+    queries = queries.select(query_id, F.col("vector").cast("array<double>").alias("_query_vector"))
+    rows = small_rows(queries, max_inline)
+    if rows is None:
+        candidates = block_cogroup(vectors, queries, _block_candidates(keep, query_id, k), schema)
+    elif not rows:
         return vectors.sparkSession.createDataFrame([], schema)
-    ids = F.array(*[F.lit(r[query_id]).cast(kind) for r in rows])
-    refs = np.array([r["vector"] for r in rows], dtype=float)
-    candidates = _candidates(vectors.withColumn("vector", F.col("vector").cast("array<double>")), keep, refs, k)
-    candidates = candidates.select(
-        F.element_at(ids, F.col("_q") + 1).alias(query_id), *keep, "similarity"
-    )
+    else:
+        ids = pa.array([r[query_id] for r in rows], type=to_arrow_type(kind))
+        refs = np.array([r["_query_vector"] for r in rows], dtype=float)
+        candidates = vectors.mapInArrow(_batch_candidates(keep, query_id, ids, refs, k), schema)
     return topk_ties(candidates, [query_id], k, "similarity")
 
 
-def _candidates(vectors: DataFrame, keep: Sequence[str], refs: np.ndarray, k: int) -> DataFrame:
-    """Rows that reach the running k-th best score of their task, per query."""
-    q, d = refs.shape
+def _block_candidates(keep: Sequence[str], query_id: str, k: int):
+    """Cogroup function: per query of the block the rows that reach the k-th score of the block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sims = block_cosines(left["vector"], right["_query_vector"]).T
+        row_count = sims.shape[1]
+        floor = np.partition(sims, row_count - k, axis=1)[:, row_count - k] if row_count > k else np.zeros(len(sims))
+        query, row = np.nonzero((sims >= floor[:, None]) & (sims >= 0))
+        columns = [right[query_id].take(query), *left.select(keep).take(row).columns, pa.array(sims[query, row])]
+        return pa.Table.from_arrays(columns, names=[query_id, *keep, "similarity"])
+
+    return run
+
+
+def _batch_candidates(keep: Sequence[str], query_id: str, ids: pa.Array, refs: np.ndarray, k: int):
+    """Map function: rows that reach the running k-th best score of their task, per query."""
+    d = refs.shape[1]
     unit = refs / np.maximum(np.linalg.norm(refs, axis=1, keepdims=True), 1e-300)
-    fields = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.full((q, k), -np.inf)
+        best = np.full((len(unit), k), -np.inf)
         for batch in batches:
-            batch = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch["vector"]), d))
+            batch = batch.filter(pc.equal(pc.list_value_length(batch["vector"]), d))
             if batch.num_rows == 0:
                 continue
             rows = np.asarray(batch["vector"].flatten()).reshape(-1, d)
             with np.errstate(invalid="ignore", divide="ignore"):
-                sims = np.abs(unit @ rows.T / np.linalg.norm(rows, axis=1))
-            sims = np.where(np.isnan(sims), -1.0, np.round(sims, 6))
-            merged = np.concatenate([best, sims], axis=1)
-            best = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
-            query, row = np.nonzero((sims >= best.min(axis=1, keepdims=True)) & (sims >= 0))
-            if len(row) == 0:
-                continue
-            picked = batch.select(keep).take(pa.array(row))
-            columns = [pa.array(query.astype(np.int32)), *picked.columns, pa.array(sims[query, row])]
-            yield pa.RecordBatch.from_arrays(columns, names=["_q", *keep, "similarity"])
-
-    return vectors.select(*keep, "vector").mapInArrow(run, f"`_q` int, {fields}, `similarity` double")
+                rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+            for first in range(0, len(unit), _QUERIES_AT_ONCE):
+                part = slice(first, first + _QUERIES_AT_ONCE)
+                sims = np.abs(np.round(unit[part] @ rows.T, 6))
+                sims = np.where(np.isnan(sims), -1.0, sims)
+                merged = np.concatenate([best[part], sims], axis=1)
+                best[part] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+                query, row = np.nonzero((sims >= best[part].min(axis=1, keepdims=True)) & (sims >= 0))
+                if len(row):
+                    picked = batch.select(keep).take(pa.array(row))
+                    columns = [ids.take(pa.array(query + first)), *picked.columns, pa.array(sims[query, row])]
+                    yield pa.RecordBatch.from_arrays(columns, names=[query_id, *keep, "similarity"])
+
+    return run
 
 
 def similar_words(

@@ -49,3 +49,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write once to the shared folder and read back: for results used several times.
+
+    Cuts lineage with a written table, so lost executors cost nothing that is done.
+    """
+    path = scratch_dir(df.sparkSession) + "/table.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

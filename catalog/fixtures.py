@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog.registry import table
+from gridmine import schemas
 from gridmine.operators.unnest import tokens
-from gridmine.session import spread
+from gridmine.session import scratch_dir, spread
+from gridmine.sources.readers import read_papers
 
 # --- papers: one per document --------------------------------------------------------------
 # title = first line; abstract = lines 2-3; figure caption = line 4; body = all lines;
@@ -49,19 +52,32 @@ _TABLE_FIELDS = {
 }
 
 
-def papers(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
-    """Papers; ``fields`` names the table fields to build besides id and caption."""
+_CORPORA: dict[tuple[str, str], str] = {}
+
+
+def papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Papers as stored documents: written once per session, then scanned like any nested collection.
+
+    A scan prunes nested fields, while papers left as expressions would be rebuilt in
+    every filter pushed down to them.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CORPORA:
+        path = scratch_dir(spark) + "/papers.parquet"
+        build_papers(spark, sf).write.parquet(path)
+        _CORPORA[key] = path
+    return read_papers(spark, _CORPORA[key], PAPER)
+
+
+def build_papers(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
     docs = docs.select("doc_id", "lang", F.split("text", "\n").alias("lines"))
     lines = F.col("lines")
     kept = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x) != "")
 
     def element(line: Column, i: Column) -> Column:
-        return F.struct(
-            (i + 1).alias("tableId"),
-            line.alias("tableCaption"),
-            *[_TABLE_FIELDS[f](line).alias(f) for f in fields],
-        )
+        fields = [build(line).alias(name) for name, build in _TABLE_FIELDS.items()]
+        return F.struct((i + 1).alias("tableId"), line.alias("tableCaption"), *fields)
 
     tables = F.when(F.col("lang") == "es", None).otherwise(F.transform(kept, element))
     return docs.select(
@@ -74,6 +90,22 @@ def papers(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
     )
 
 
+_LEAF_TREE = T.ArrayType(T.StructType().add("text", T.StringType()).add("children", schemas.header_tree(1)))
+PAPER = T.StructType([f for f in schemas.paper() if f.name != "tables"]).add(
+    "tables",
+    T.ArrayType(
+        T.StructType()
+        .add("tableId", T.IntegerType())
+        .add("tableCaption", T.StringType())
+        .add("Data", schemas.GRID)
+        .add("HMD", _LEAF_TREE)
+        .add("VMD", _LEAF_TREE)
+        .add("cl_verified", T.IntegerType())
+        .add("cl_HMD", schemas.GRID)
+    ),
+)
+
+
 PAPERS_SQL = """docs AS (
   SELECT doc_id, lang, string_split(text, chr(10)) AS lines FROM documents
 ), papers AS (

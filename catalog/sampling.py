@@ -102,7 +102,7 @@ _ROWS = "SELECT t._id AS id, table_id, caption, {h} AS meta_h, caption AS meta_v
     SELECT * FROM pos UNION ALL SELECT * FROM neg""",
 )
 def x2(spark, sf):
-    return labelled_set(papers(spark, sf, "HMD", "VMD", "Data"), POSITIVE, NEGATIVE, 1017)
+    return labelled_set(papers(spark, sf), POSITIVE, NEGATIVE, 1017)
 
 
 _FIXED = {

@@ -152,7 +152,7 @@ _ROWS_SQL = f"{PAPERS_SQL}, tv AS (SELECT _id AS id, table_id, list_transform(st
 
 
 def _paper_rows(spark, sf):
-    rows = papers(spark, sf, "Data").select(F.col("_id").alias("id"), F.explode("tables").alias("t"))
+    rows = papers(spark, sf).select(F.col("_id").alias("id"), F.explode("tables").alias("t"))
     return rows.select("id", F.col("t.tableId").alias("table_id"), row_texts("t.Data").alias("rows"))
 
 

@@ -5,18 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalog.fixtures import PAPERS_SQL, papers, payloads, word_vectors
+from catalog.fixtures import PAPER, PAPERS_SQL, build_papers, payloads, word_vectors
 from catalog.registry import query, table
-from gridmine import schemas
 from gridmine.session import scratch_dir
 from gridmine.sources import readers, writers
 
-_PAPER = T.StructType([f for f in schemas.paper() if f.name != "tables"]).add(
-    "tables",
-    T.ArrayType(T.StructType([f for f in schemas.table() if f.name in ("tableId", "tableCaption", "Data", "cl_verified")])),
-)
-
-
 @query(
     "s1_scan_papers",
     f"""WITH {PAPERS_SQL}
@@ -27,9 +20,9 @@ _PAPER = T.StructType([f for f in schemas.paper() if f.name != "tables"]).add(
 )
 def s1(spark, sf):
     path = scratch_dir(spark) + "/papers"
-    writers.write_json(papers(spark, sf, "Data", "cl_verified"), path)
+    writers.write_json(build_papers(spark, sf), path)
     chars = F.aggregate("tables", F.lit(0).cast("bigint"), lambda acc, t: acc + F.length(t["tableCaption"]))
-    return readers.read_papers(spark, path, _PAPER).select(
+    return readers.read_papers(spark, path, PAPER).select(
         "_id",
         "title",
         F.size("bodyTextFlat").cast("long").alias("body_items"),

@@ -111,7 +111,7 @@ _UNIT_TABLES_SQL = f"""{PAPERS_SQL}, base AS (
 
 
 def _unit_tables(spark, sf):
-    verified = papers(spark, sf, "Data", "cl_HMD", "cl_verified").select("_id", F.explode("tables").alias("t"))
+    verified = papers(spark, sf).select("_id", F.explode("tables").alias("t"))
     tables = verified.filter(F.col("t.cl_verified") == 1).select(
         "_id", F.col("t.tableId").alias("table_id"), F.col("t.cl_HMD").alias("cl_HMD"), F.col("t.Data").alias("cl_DATA")
     )

@@ -23,7 +23,8 @@ def p1(spark, sf):
         CASE WHEN contains(caption, ' the ') THEN 1 ELSE 0 END AS cl_verified FROM tables""",
 )
 def p2(spark, sf):
-    return unnest.replace_root(unnest.unwind(papers(spark, sf, "cl_verified"), "tables"), "tables")
+    tables = unnest.replace_root(unnest.unwind(papers(spark, sf), "tables"), "tables")
+    return tables.select("tableId", "tableCaption", "cl_verified")
 
 
 @query("p3_rename_subset", "SELECT p_partkey AS id, p_name AS meta_h, p_type AS meta_v FROM part")
@@ -78,7 +79,7 @@ def u1(spark, sf):
       FROM (SELECT *, unnest(generate_series(1, len(cells))) AS j FROM sents)""",
 )
 def u2(spark, sf):
-    rows = papers(spark, sf, "Data").select("_id", F.explode("tables").alias("t"))
+    rows = papers(spark, sf).select("_id", F.explode("tables").alias("t"))
     grids = rows.select("_id", F.col("t.tableId").alias("table_id"), F.col("t.Data").alias("grid"))
     return unnest.grid_cells(grids, "grid", keys=("_id", "table_id"))
 
@@ -90,7 +91,7 @@ def u2(spark, sf):
     FROM tables""",
 )
 def u3(spark, sf):
-    rows = papers(spark, sf, "cl_HMD").select("_id", F.explode("tables").alias("t"))
+    rows = papers(spark, sf).select("_id", F.explode("tables").alias("t"))
     flat = flatten_nonempty("t.cl_HMD")
     return rows.select("_id", F.col("t.tableId").alias("table_id"), F.array_join(flat, "/").alias("header"))
 
@@ -108,7 +109,7 @@ def u4(spark, sf):
     FROM tables""",
 )
 def u5(spark, sf):
-    rows = papers(spark, sf, "Data").select("_id", F.explode("tables").alias("t"))
+    rows = papers(spark, sf).select("_id", F.explode("tables").alias("t"))
     texts = row_texts("t.Data")
     return rows.select(
         "_id",
@@ -127,7 +128,7 @@ def u5(spark, sf):
     FROM (SELECT *, string_split(string_split(caption, '. ')[-1], ' ') AS w FROM tables)""",
 )
 def u6(spark, sf):
-    rows = papers(spark, sf, "HMD").select("_id", F.explode("tables").alias("t"))
+    rows = papers(spark, sf).select("_id", F.explode("tables").alias("t"))
     return rows.select(
         "_id",
         F.col("t.tableId").alias("table_id"),
@@ -143,3 +144,14 @@ def u6(spark, sf):
 def j6(spark, sf):
     parsed = part_tables(spark, sf).select("paper_id", parse_table("html").alias("t")).select("paper_id", "t.*")
     return unnest.grid_cells(parsed, "rows", "header", ("paper_id",))
+
+
+@query(
+    "j6_cell_with_stored_header",
+    f"WITH {PART_CELLS_SQL} SELECT paper_id, row, col, header, value FROM part_cells",
+)
+def j6_stored(spark, sf):
+    """The header kept apart from the cells and joined by table and column."""
+    parsed = part_tables(spark, sf).select("paper_id", parse_table("html").alias("t")).select("paper_id", "t.*")
+    headers = parsed.select("paper_id", F.posexplode("header").alias("col", "header"))
+    return unnest.with_header(unnest.grid_cells(parsed, "rows", keys=("paper_id",)), headers, ("paper_id",))

@@ -38,25 +38,25 @@ def binarise(c: str | Column) -> Column:
 def grid_cells(df: DataFrame, grid: str, header: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Grid to one row per cell: (keys, row 1.., col 0.., value[, header]).
 
-    With ``header`` each cell carries its column name; no join is needed because the
-    header travels in the same row.
+    With ``header`` each cell carries its column name. The name is paired with the cell
+    while both are arrays of one row, so no join is needed and no cell row has to carry
+    the whole header.
     """
     names = [] if header is None else [F.col(header).alias("_header")]
     rows = df.select(*keys, *names, F.posexplode(grid).alias("_r", "_cells"))
-    cells = rows.select(
-        *keys,
-        *(["_header"] if header else []),
-        (F.col("_r") + 1).alias("row"),
-        F.posexplode("_cells").alias("col", "value"),
+
+    def cell(value: Column, c: Column) -> Column:
+        named = [] if header is None else [F.get("_header", c).alias("header")]
+        return F.struct(c.alias("col"), value.alias("value"), *named)
+
+    return rows.select(*keys, (F.col("_r") + 1).alias("row"), F.explode(F.transform("_cells", cell)).alias("_c")).select(
+        *keys, "row", "_c.*"
     )
-    if header is None:
-        return cells
-    return with_header(cells, "_header").drop("_header")
 
 
-def with_header(cells: DataFrame, header: str | Column, name: str = "header") -> DataFrame:
-    """Name of the column a cell stands in; NULL beyond the header."""
-    return cells.withColumn(name, F.get(as_col(header), F.col("col")))
+def with_header(cells: DataFrame, headers: DataFrame, keys: tuple[str, ...], name: str = "header") -> DataFrame:
+    """Column names from a table of headers (keys, col, header) that is stored apart from the cells."""
+    return cells.join(headers.select(*keys, "col", F.col("header").alias(name)), [*keys, "col"], "left")
 
 
 def tokens(df: DataFrame, c: str, keys: tuple[str, ...] = (), split_on: str = r"(?U)\s+") -> DataFrame:

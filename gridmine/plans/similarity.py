@@ -243,13 +243,14 @@ def table_similarity(tables: DataFrame, refs: dict[str, dict], dims: int, pool:
 
     ``tables`` is (id, table_id, rows array<string>). Tables without a vector score 0.
     """
-    vectors = tables.select("id", "table_id", table_vector(F.col("rows"), dims, pool).alias("vector"))
+    vector = table_vector(F.col("rows"), dims, pool).alias("vector")
     matrix, names = [], []
-    for name, key in refs.items():
-        row = lookup(vectors, **key).filter(F.col("vector").isNotNull()).select("vector").first()
-        if row is not None:
+    for name, key in refs.items():  # the key filter runs below the encoder
+        row = lookup(tables, **key).limit(1).select(vector).first()
+        if row is not None and row["vector"] is not None:
             names.append(name)
             matrix.append(row["vector"])
+    vectors = tables.select("id", "table_id", vector)
     scores = score_refs("vector", np.array(matrix, dtype=float)) if matrix else F.lit(None).cast("array<double>")
     scored = vectors.select("id", "table_id", scores.alias("_s"))
     return scored.select(

@@ -205,7 +205,7 @@ def a14(spark, sf):
 
 @query(
     "a14_confusion",
-    f"WITH {SCORED_SQL} SELECT label, prediction, count(*) AS n FROM scored GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY label, prediction"),
+    f"WITH {SCORED_SQL} SELECT label, prediction, count(*) AS n FROM scored GROUP BY label, prediction",
 )
 def a14_confusion(spark, sf):
     return aggregates.confusion(_scored(spark, sf))

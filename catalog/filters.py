@@ -85,13 +85,13 @@ def f6(spark, sf):
     WHERE _id IN (SELECT _id FROM papers WHERE {sql_path('captions', TOPIC)})""",
 )
 def f7(spark, sf):
-    hit = any_table(papers(spark, sf), lambda t: pr.rx_any(t["tableCaption"], TOPIC))
+    hit = any_table(papers(spark, sf), "tables.tableCaption", lambda caption: pr.rx_any(caption, TOPIC))
     return unwind(hit, "tables").select("_id", F.col("tables.tableId").alias("table_id"))
 
 
 @query("f8_table_filter", f"WITH {PAPERS_SQL} SELECT _id, table_id FROM tables WHERE {sql_any('caption', TOPIC)}")
 def f8(spark, sf):
-    rows = unwind(papers(spark, sf), "tables")
+    rows = unwind(papers(spark, sf), "tables", ("tableId", "tableCaption"))
     return rows.filter(pr.rx_any("tables.tableCaption", TOPIC)).select("_id", F.col("tables.tableId").alias("table_id"))
 
 

@@ -73,8 +73,8 @@ RANGES_SQL = """ranges AS (
     f"""WITH {RANGES_SQL}, hits AS (
       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, lo, hi
       FROM lineitem JOIN part ON p_partkey = l_partkey JOIN ranges ON attribute = p_type AND l_quantity BETWEEN lo AND hi)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n, min(lo) AS lo, max(hi) AS hi
-    FROM hits GROUP BY ALL""".replace("min(lo) AS lo, max(hi) AS hi\n    FROM hits GROUP BY ALL", "min(lo) AS min_lo, max(hi) AS max_hi\n    FROM hits GROUP BY 1, 2, 3, 4"),
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS n, min(lo) AS min_lo, max(hi) AS max_hi
+    FROM hits GROUP BY 1, 2, 3, 4""",
 )
 def j5(spark, sf):
     """Quantities of lines in the size ranges of their part type."""

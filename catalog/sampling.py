@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalog.filters import NEGATIVE, POSITIVE, TOPIC_SQL, VIRUS_SQL
@@ -60,8 +59,8 @@ def o6(spark, sf):
 
 @query(
     "o7_one_per_group",
-    """SELECT l_returnflag, arg_min(o_orderkey, md5(o_orderkey::VARCHAR || '|7')) AS o_orderkey
-    FROM (SELECT o_orderstatus AS l_returnflag, o_orderkey FROM orders) GROUP BY l_returnflag""".replace("l_returnflag", "o_orderstatus").replace("o_orderstatus AS o_orderstatus", "o_orderstatus"),
+    """SELECT o_orderstatus, arg_min(o_orderkey, md5(o_orderkey::VARCHAR || '|7')) AS o_orderkey
+    FROM orders GROUP BY o_orderstatus""",
 )
 def o7(spark, sf):
     return sampling.sample_one(table(spark, sf, "orders").select("o_orderstatus", "o_orderkey"), "o_orderstatus", "o_orderkey", 7)
@@ -92,25 +91,25 @@ def x1(spark, sf):
 
 
 _META_H = "array_to_string(string_split(caption, '. '), ' ')"
-_ROWS = "SELECT t._id AS id, table_id, caption, {h} AS meta_h, caption AS meta_v, to_json(list_transform(string_split(caption, '. '), lambda s: string_split(s, ' ')))::VARCHAR AS data, {label} AS label FROM tables t JOIN papers p ON p._id = t._id WHERE {cond}"
+_POSITIVE, _NEGATIVE = (c.replace("regexp_matches(title", "regexp_matches(p.title") for c in (f"{TOPIC_SQL} AND {VIRUS_SQL}", f"NOT {TOPIC_SQL} AND NOT {VIRUS_SQL}"))
+
+
+def _rows_sql(label: int, condition: str) -> str:
+    return f"""SELECT t._id AS id, table_id, caption, {_META_H} AS meta_h, caption AS meta_v,
+      to_json(list_transform(string_split(caption, '. '), lambda s: string_split(s, ' ')))::VARCHAR AS data, {label} AS label
+      FROM tables t JOIN papers p ON p._id = t._id WHERE {condition}"""
 
 
 @query(
     "x2_labelled_set",
-    f"""WITH {PAPERS_SQL}, pos AS ({_ROWS.format(h=_META_H, label=1, cond=TOPIC_SQL.replace('(title', '(p.title').replace("regexp_matches(title", "regexp_matches(p.title") + ' AND ' + VIRUS_SQL.replace("regexp_matches(title", "regexp_matches(p.title"))}),
-    neg AS ({_ROWS.format(h=_META_H, label=0, cond='NOT ' + TOPIC_SQL.replace("regexp_matches(title", "regexp_matches(p.title") + ' AND NOT ' + VIRUS_SQL.replace("regexp_matches(title", "regexp_matches(p.title"))} ORDER BY t._id, table_id LIMIT 1017)
+    f"""WITH {PAPERS_SQL}, pos AS ({_rows_sql(1, _POSITIVE)}),
+    neg AS ({_rows_sql(0, _NEGATIVE)} ORDER BY t._id, table_id LIMIT 1017)
     SELECT * FROM pos UNION ALL SELECT * FROM neg""",
 )
 def x2(spark, sf):
     return labelled_set(papers(spark, sf), POSITIVE, NEGATIVE, 1017)
 
 
-_FIXED = {
-    "T0": [("kidney disease", True), ("renal disease", True), ("CKD", False)],
-    "V2": [("covid", True), ("corona", True)],
-}
-
-
 @query(
     "x2_fixed_query_sets",
     f"WITH {PAPERS_SQL} SELECT 'q1' AS name, 0 AS label, count(*) AS papers FROM papers WHERE (captions IS NULL OR len(captions) > 0) AND NOT regexp_matches(title, 'covid|corona', 'i')"

@@ -11,10 +11,10 @@ from gridmine.functions.html import parse_table
 from gridmine.functions.numbers import UNITS_COLUMN
 from gridmine.functions.text import row_texts
 from gridmine.functions.vectors import hash_vector
-from gridmine.operators import unnest
 from gridmine.operators.embed import embed_with, text_vector
 from gridmine.operators.joins import cross_refs
 from gridmine.plans import similarity
+from gridmine.plans.labelled import unwound
 from gridmine.session import spread
 
 DIMS = 8
@@ -152,8 +152,8 @@ _ROWS_SQL = f"{PAPERS_SQL}, tv AS (SELECT _id AS id, table_id, list_transform(st
 
 
 def _paper_rows(spark, sf):
-    rows = papers(spark, sf).select(F.col("_id").alias("id"), F.explode("tables").alias("t"))
-    return rows.select("id", F.col("t.tableId").alias("table_id"), row_texts("t.Data").alias("rows"))
+    rows = unwound(papers(spark, sf), ("Data",))
+    return rows.select("id", "table_id", row_texts("t.Data").alias("rows"))
 
 
 def _table_sql(vector: str) -> str:

@@ -12,6 +12,7 @@ from catalog.text import row_corpus_sql, terms_sql
 from gridmine.functions import html, numbers
 from gridmine.operators.unnest import grid_cells
 from gridmine.plans import corpora
+from gridmine.plans.labelled import unwound
 
 
 @query(
@@ -111,9 +112,9 @@ _UNIT_TABLES_SQL = f"""{PAPERS_SQL}, base AS (
 
 
 def _unit_tables(spark, sf):
-    verified = papers(spark, sf).select("_id", F.explode("tables").alias("t"))
-    tables = verified.filter(F.col("t.cl_verified") == 1).select(
-        "_id", F.col("t.tableId").alias("table_id"), F.col("t.cl_HMD").alias("cl_HMD"), F.col("t.Data").alias("cl_DATA")
+    verified = unwound(papers(spark, sf), ("cl_verified", "cl_HMD", "Data")).filter(F.col("t.cl_verified") == 1)
+    tables = verified.select(
+        F.col("id").alias("_id"), "table_id", F.col("t.cl_HMD").alias("cl_HMD"), F.col("t.Data").alias("cl_DATA")
     )
     return corpora.unit_tables(tables, ("_id", "table_id"))
 

@@ -11,9 +11,15 @@ from gridmine.functions.text import flatten_nonempty, row_texts, table_text, tre
 from gridmine.operators import unnest
 
 
+def _tables(spark, sf, *fields):
+    """(_id, t) with the named table fields."""
+    rows = unnest.unwind(papers(spark, sf).select("_id", "tables"), "tables", ("tableId", *fields))
+    return rows.withColumnRenamed("tables", "t")
+
+
 @query("p1_project_paths", f"WITH {PAPERS_SQL} SELECT _id, table_id, caption FROM tables")
 def p1(spark, sf):
-    rows = unnest.unwind(papers(spark, sf), "tables")
+    rows = unnest.unwind(papers(spark, sf), "tables", ("tableId", "tableCaption"))
     return unnest.project(rows, {"table_id": "tables.tableId", "caption": "tables.tableCaption"}, keep=("_id",))
 
 
@@ -23,8 +29,8 @@ def p1(spark, sf):
         CASE WHEN contains(caption, ' the ') THEN 1 ELSE 0 END AS cl_verified FROM tables""",
 )
 def p2(spark, sf):
-    tables = unnest.replace_root(unnest.unwind(papers(spark, sf), "tables"), "tables")
-    return tables.select("tableId", "tableCaption", "cl_verified")
+    tables = unnest.unwind(papers(spark, sf), "tables", ("tableId", "tableCaption", "cl_verified"))
+    return unnest.replace_root(tables, "tables")
 
 
 @query("p3_rename_subset", "SELECT p_partkey AS id, p_name AS meta_h, p_type AS meta_v FROM part")
@@ -79,7 +85,7 @@ def u1(spark, sf):
       FROM (SELECT *, unnest(generate_series(1, len(cells))) AS j FROM sents)""",
 )
 def u2(spark, sf):
-    rows = papers(spark, sf).select("_id", F.explode("tables").alias("t"))
+    rows = _tables(spark, sf, "Data")
     grids = rows.select("_id", F.col("t.tableId").alias("table_id"), F.col("t.Data").alias("grid"))
     return unnest.grid_cells(grids, "grid", keys=("_id", "table_id"))
 
@@ -91,7 +97,7 @@ def u2(spark, sf):
     FROM tables""",
 )
 def u3(spark, sf):
-    rows = papers(spark, sf).select("_id", F.explode("tables").alias("t"))
+    rows = _tables(spark, sf, "cl_HMD")
     flat = flatten_nonempty("t.cl_HMD")
     return rows.select("_id", F.col("t.tableId").alias("table_id"), F.array_join(flat, "/").alias("header"))
 
@@ -109,7 +115,7 @@ def u4(spark, sf):
     FROM tables""",
 )
 def u5(spark, sf):
-    rows = papers(spark, sf).select("_id", F.explode("tables").alias("t"))
+    rows = _tables(spark, sf, "Data")
     texts = row_texts("t.Data")
     return rows.select(
         "_id",
@@ -128,7 +134,7 @@ def u5(spark, sf):
     FROM (SELECT *, string_split(string_split(caption, '. ')[-1], ' ') AS w FROM tables)""",
 )
 def u6(spark, sf):
-    rows = papers(spark, sf).select("_id", F.explode("tables").alias("t"))
+    rows = _tables(spark, sf, "HMD")
     return rows.select(
         "_id",
         F.col("t.tableId").alias("table_id"),

@@ -42,7 +42,13 @@ def rx_any(c: str | Column, patterns: Iterable[Pattern]) -> Column:
 
 
 def rx_path_any(c: str | Column, field: str, patterns: Sequence[Pattern]) -> Column:
-    return F.coalesce(F.exists(as_col(c), lambda x: F.coalesce(rx_any(x[field], patterns), F.lit(False))), F.lit(False))
+    """Any element of an array of structs matches.
+
+    Works on the array of the one field, which a scan can read without its siblings;
+    a struct used inside a lambda would pull in all of them.
+    """
+    values = as_col(c).getField(field)
+    return F.coalesce(F.exists(values, lambda x: F.coalesce(rx_any(x, patterns), F.lit(False))), F.lit(False))
 
 
 def matches(path: str, patterns: Sequence[Pattern]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridmine.functions.numbers import range_token
-from gridmine.functions.predicates import Pattern, as_col, matches_any
+from gridmine.functions.predicates import Pattern, as_col, matches_any, not_empty
 from gridmine.operators.ordering import assign_ids, number_rows
 from gridmine.session import materialise
 
@@ -81,10 +81,10 @@ def keyword_counts(papers: DataFrame, terms: Sequence[str], fields: Sequence[str
         pattern: list[Pattern] = [(term, ignore_case)]
         return F.when(matches_any({f: pattern for f in fields}), F.lit(term))
 
-    tables = F.coalesce(F.size("tables"), F.lit(0))
+    tables = F.col("tables.tableId")  # as long as tables, but cheaper to scan
     return (
-        papers.filter(F.col("tables").isNotNull() & (F.size("tables") > 0))
-        .select(F.explode(F.array_compact(F.array(*[hit(t) for t in terms]))).alias("keyword"), tables.alias("_t"))
+        papers.filter(not_empty(tables, missing_passes=False))
+        .select(F.explode(F.array_compact(F.array(*[hit(t) for t in terms]))).alias("keyword"), F.size(tables).alias("_t"))
         .groupBy("keyword")
         .agg(F.count("*").alias("documents"), F.sum("_t").alias("tables"))
     )

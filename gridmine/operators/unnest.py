@@ -17,10 +17,15 @@ def replace_root(df: DataFrame, struct_col: str) -> DataFrame:
     return df.select(f"{struct_col}.*")
 
 
-def unwind(df: DataFrame, array_col: str) -> DataFrame:
-    """One row per element under the same name; rows with NULL or ``[]`` vanish."""
+def unwind(df: DataFrame, array_col: str, fields: tuple[str, ...] = ()) -> DataFrame:
+    """One row per element under the same name; rows with NULL or ``[]`` vanish.
+
+    ``fields`` narrows the elements before the explode, so that a scan reads only those
+    fields; Spark prunes below an explode only if a single field is used after it.
+    """
     others = [F.col(c) for c in df.columns if c != array_col]
-    return df.select(*others, F.explode(array_col).alias(array_col)).select(*df.columns)
+    narrow = F.arrays_zip(*[F.col(f"{array_col}.{f}").alias(f) for f in fields]) if fields else F.col(array_col)
+    return df.select(*others, F.explode(narrow).alias(array_col)).select(*df.columns)
 
 
 def field_or(c: str | Column, default) -> Column:

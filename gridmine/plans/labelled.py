@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ from gridmine.functions.predicates import (
 from gridmine.functions.text import tree_text
 from gridmine.operators.ordering import limit
 from gridmine.operators.sampling import union_all
-from gridmine.operators.unnest import label
+from gridmine.operators.unnest import label, unwind
 
 Paths = dict[str, list[Pattern]]
 
@@ -37,7 +38,7 @@ class KeywordQuery:
 
     def condition(self) -> Column:
         return all_of(
-            not_empty("tables"),
+            not_empty(F.col("tables.tableId")),  # as long as tables, but cheaper to scan
             *(matches_any(paths) for paths in self.any),
             *(matches_none(paths) for paths in self.none),
         )
@@ -47,9 +48,9 @@ def keyword_filter(papers: DataFrame, query: KeywordQuery) -> DataFrame:
     return papers.filter(query.condition())
 
 
-def any_table(papers: DataFrame, condition) -> DataFrame:
-    """Papers with at least one matching table (all their tables stay)."""
-    return papers.filter(F.exists("tables", lambda t: F.coalesce(condition(t), F.lit(False))))
+def any_table(papers: DataFrame, path: str, condition: Callable[[Column], Column]) -> DataFrame:
+    """Papers where ``condition`` holds for the field ``path`` of at least one table; all their tables stay."""
+    return papers.filter(F.exists(F.col(path), lambda v: F.coalesce(condition(v), F.lit(False))))
 
 
 def topic_paths(patterns: list[Pattern], abstract: list[Pattern] | None = None, body: bool = False) -> Paths:
@@ -85,10 +86,10 @@ QUERY_SETS: dict[str, tuple[KeywordQuery, KeywordQuery | None, int | None]] = {
 }
 
 
-def unwound(papers: DataFrame) -> DataFrame:
+def unwound(papers: DataFrame, fields: tuple[str, ...] = ("tableCaption", "HMD", "VMD", "Data")) -> DataFrame:
     """(id, table_id, t): one row per table, still nested."""
-    tables = papers.select(F.col("_id").alias("id"), F.explode("tables").alias("t"))
-    return tables.select("id", F.col("t.tableId").alias("table_id"), "t")
+    tables = unwind(papers.select(F.col("_id").alias("id"), "tables"), "tables", ("tableId", *fields))
+    return tables.select("id", F.col("tables.tableId").alias("table_id"), F.col("tables").alias("t"))
 
 
 def table_rows(tables: DataFrame, tree_depth: int = 2, mode: str = "all") -> DataFrame:

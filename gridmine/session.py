@@ -30,7 +30,7 @@ def scratch_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a folder of this machine: on a cluster
     executors could not see it, so an unset setting is an error there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return f"{base.rstrip('/')}/gridmine-{os.urandom(8).hex()}"
     if not spark.sparkContext.master.startswith("local"):

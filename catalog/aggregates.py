@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import (
     document_tokens,
-    NUMERIC_CELLS_SQL,
     PAPERS_SQL,
     TOKENS_SQL,
     VECTORS_SQL,
@@ -20,7 +19,7 @@ from catalog.fixtures import (
 from catalog.registry import query, table
 from gridmine.functions import numbers, text
 from gridmine.functions.html import parse_table
-from gridmine.operators import aggregates, unnest
+from gridmine.operators import aggregates
 
 
 @query("a1_counts", f"WITH {PAPERS_SQL} SELECT count(*) AS n_rows, count(captions) AS n_with_tables FROM papers")

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.fixtures import (
-    NUMERIC_CELLS_SQL,
     PAPERS_SQL,
     PART_CELLS_SQL,
     TOPIC,
     VIRUS,
     interval_lines,
-    numeric_cells,
     papers,
     part_tables,
     sql_any,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import document_tokens, LINE_ORDER, TOKENS_SQL, VECTORS_SQL, interval_lines, word_vectors
+from catalog.fixtures import document_tokens, TOKENS_SQL, VECTORS_SQL, word_vectors
 from catalog.registry import query, table
 from gridmine.operators import aggregates, joins, unnest
 
 # Mean vector per label = reference vectors; cosine on doubles, 6 decimals.
+
 REFS_SQL = f"""{VECTORS_SQL}, refs AS (
   SELECT word AS ref, list(m ORDER BY i) AS ref_vector
   FROM (SELECT word, i, avg(vector[i]) AS m FROM v, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY word, i) GROUP BY word

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import LINE_ORDER, interval_lines
 from catalog.registry import query, table
-from gridmine.functions.vectors import hash_vector
-from gridmine.operators import ml, sampling, unnest
-from gridmine.operators.aggregates import vec_mean
+
+from gridmine.operators import ml, sampling
+
 from gridmine.operators.embed import text_vector
 from gridmine.plans.intervals import dice_pairs
 from gridmine.session import scratch_dir

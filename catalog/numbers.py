@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.aggregates import TOKEN_SQL
-from catalog.fixtures import NUMERIC_CELLS_SQL, PART_CELLS_SQL, numeric_cells, part_tables
+from catalog.fixtures import PART_CELLS_SQL, numeric_cells, part_tables
 from catalog.registry import query, table
 from gridmine.functions import numbers
 from gridmine.functions.html import parse_table
 from gridmine.operators.unnest import grid_cells
-from gridmine.plans.corpora import first_range, range_token_corpus, tokenise_numbers, unit_cells
+from gridmine.plans.corpora import range_token_corpus, tokenise_numbers, unit_cells
 
 # Blank-delimited text with whole numbers, one-decimal and two-decimal numbers.
+
 _PLAIN = "p_size::VARCHAR || ' a ' || p_retailprice::VARCHAR || ' 0 x' || p_size::VARCHAR || ' ' || p_size::VARCHAR || '.25'"
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.fixtures import PART_CELLS_SQL, PAPERS_SQL, html_lines, papers, part_tables, payloads, span_tables
-from catalog.numbers import unit_sql
+
 from catalog.registry import query, table
 from catalog.sources import PAYLOAD_SQL
 from catalog.text import row_corpus_sql, terms_sql
-from gridmine.functions import html, numbers
+from gridmine.functions import html
 from gridmine.operators.unnest import grid_cells
 from gridmine.plans import corpora
 from gridmine.plans.labelled import unwound

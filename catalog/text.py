@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from catalog.fixtures import LISTS_SQL, NUMERIC_CELLS_SQL, TOKENS_SQL, numeric_cells, printed_lists
 from catalog.registry import query, table
 from gridmine.functions import text
-from gridmine.operators import aggregates, unnest
+
 from gridmine.plans.corpora import token_corpus
 
 MONTHS = (

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from catalog.fixtures import LINE_ORDER, VECTORS_SQL, interval_lines, word_vectors
 from catalog.joins import REFS_SQL
 from catalog.registry import query, table
 from gridmine.functions import intervals, numbers, vectors
-from gridmine.operators import aggregates, joins
+from gridmine.operators import aggregates
 from gridmine.plans.intervals import dice_pairs, label_bounds, label_vectors
 
 

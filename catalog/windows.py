@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import document_tokens, LINE_ORDER, TOKENS_SQL, interval_lines, word_vectors
+from catalog.fixtures import document_tokens, LINE_ORDER, TOKENS_SQL, interval_lines
 from catalog.registry import query, table
-from gridmine.operators import ordering, tokens as token_ops, unnest
+from gridmine.operators import ordering, tokens as token_ops
 from gridmine.operators.embed import embed_tokens
 
 _ORDER = ", ".join(LINE_ORDER)

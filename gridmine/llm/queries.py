@@ -6,9 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from catalog.registry import query, table
-from gridmine.llm import token_files
+from gridmine.llm import chat, mixing, token_files
 
 
 @query("op1_token_files")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_files(table(spark, sf, "documents"))
+
+
+@query(
+    "op5_chat_documents",
+    """
+    WITH turns AS (
+      SELECT conv_id, turn, role, text,
+             CASE WHEN role IS NULL THEN '-' ELSE strlen(role) || ':' || role END
+             || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS piece
+      FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+      SELECT conv_id, count(*) AS n_turns,
+             list(piece ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pieces,
+             string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+                        ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
+      FROM turns GROUP BY conv_id),
+    prefixes AS (SELECT DISTINCT pieces[1:k] AS pieces FROM (SELECT pieces, unnest(range(1, len(pieces))) AS k FROM convs)),
+    whole AS (SELECT pieces, min(conv_id) AS conv_id, count(*) AS n_equal FROM convs GROUP BY pieces)
+    SELECT w.conv_id, c.n_turns, w.n_equal, c.rendered
+    FROM (SELECT * FROM whole WHERE pieces NOT IN (SELECT pieces FROM prefixes)) w JOIN convs c USING (conv_id)
+    """,
+)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.chat_documents(table(spark, sf, "conversations"))
+
+
+@query("op9_mixed_sources")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf, "documents"))

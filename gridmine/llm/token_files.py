@@ -14,6 +14,7 @@ gives no shards and an empty result. Other columns are not read, whatever their
 
 from __future__ import annotations
 
+import array
 import os
 import re
 import struct
@@ -110,10 +111,10 @@ class EliasFano:
         return upper | (planes << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-#: White space other than single blanks and line breaks between words: such texts are encoded as they are.
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
-#: Pieces a worker remembers.
-_REMEMBERED = 400_000
+#: Texts that hold one of these are encoded as they are: white space that is not a single blank or line break between words.
+_ODD_SPACE = ("  ", " \n", "\n ", "\n\n", *[c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"])
+#: Pieces a worker remembers; frequent ones come early, so a full memory takes no more.
+_REMEMBERED = 1_500_000
 
 
 class PieceEncoder:
@@ -130,7 +131,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else 4
-        self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
+        self.code, self.dtype = ("H", np.dtype("<u2")) if self.width == 2 else ("I", np.dtype("<u4"))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = self.tokenizer.pre_tokenizer
         self.by_piece = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and self.tokenizer.normalizer is None
@@ -146,17 +147,17 @@ class PieceEncoder:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
             new = list({p for p in pieces if p not in known})
-            if len(known) + len(new) > _REMEMBERED:
-                known.clear()
-                new = list(set(pieces))
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast([before + p for p in new], add_special_tokens=False), strict=True):
-                known[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
-            return b"".join(map(known.__getitem__, pieces))
+            coded = self.tokenizer.encode_batch_fast([before + p for p in new], add_special_tokens=False)
+            fresh = {p: array.array(self.code, e.ids).tobytes() for p, e in zip(new, coded, strict=True)}
+            if len(known) + len(fresh) <= _REMEMBERED:
+                known.update(fresh)
+                return b"".join(map(known.__getitem__, pieces))
+            return b"".join([known.get(p) or fresh[p] for p in pieces])
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_piece or _ODD_SPACE.search(text) or any(s in text for s in self.special):
+        if not self.by_piece or text[0] in " \n" or text[-1] in " \n" or any(s in text for s in _ODD_SPACE) or any(s in text for s in self.special):
             return self._direct(text)
         out = []
         for line in text.split("\n"):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from catalog.registry import query, table
-from gridmine.llm import chat, mixing, token_files
+from gridmine.llm import chat, decontaminate, line_rules, mixing, pii, token_files
 
 
 @query("op1_token_files")
@@ -14,6 +14,38 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_files(table(spark, sf, "documents"))
 
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_ITEM_WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+@query(
+    "op3_contamination",
+    f"""
+    WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+    items AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+    windows AS (
+      SELECT item_id, len(w) AS n, w AS win FROM items WHERE len(w) BETWEEN 1 AND 9
+      UNION
+      SELECT item_id, 10 AS n, w[i:i + 9] AS win
+      FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM items WHERE len(w) >= 10)),
+    lengths AS (SELECT DISTINCT n FROM windows),
+    grams AS (
+      SELECT doc_id, n, i, w[i:i + n - 1] AS win
+      FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
+    hits AS (SELECT g.doc_id, g.i, g.n, x.item_id FROM grams g JOIN windows x USING (n, win)),
+    hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+    hit_items AS (
+      SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+    """,
+)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contamination_digest(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query(
     "op5_chat_documents",
     """
@@ -38,6 +70,64 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return chat.chat_documents(table(spark, sf, "conversations"))
 
 
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+@query(
+    "op6_line_rules",
+    rf"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text,
+             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+      FROM documents),
+    windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+    repeats AS (
+      SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+      FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
+            FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1)
+      GROUP BY doc_id),
+    lines AS (
+      SELECT doc_id, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+    figures AS (
+      SELECT doc_id, line, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS chars,
+             length(line) - length(regexp_replace(line, {_sql_text(line_rules.SYMBOLS)}, '', 'g')) AS symbols,
+             length(line) - length(replace(line, '|', '')) AS bars,
+             len(list_filter(w, lambda x: ends_with(x, '!!'))) AS shouts,
+             len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS same,
+             regexp_matches(line, {_sql_text(line_rules.END_MARK)}) AS ended
+      FROM lines WHERE len(w) > 0),
+    judged AS (
+      SELECT *, symbols > {line_rules.SYMBOL_SHARE} * chars OR shouts >= {line_rules.SHOUT_SHARE} * n
+             OR bars >= 3 OR (n < {line_rules.SHORT_LINE} AND NOT ended)
+             OR regexp_matches(line, {_sql_text(line_rules.BOILERPLATE)})
+             OR (n > 3 AND same >= {line_rules.SAME_SHARE} * n) AS failed
+      FROM figures),
+    by_doc AS (
+      SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+             sum(failed::INT)::BIGINT AS n_failed_lines, sum(CASE WHEN failed THEN 0 ELSE n END)::BIGINT AS kept_words
+      FROM judged GROUP BY doc_id),
+    base AS (
+      SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, {_sql_text(line_rules.SYMBOLS)}, '', 'g')))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             len(w) < {line_rules.LEAST_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {line_rules.REPEATED_PERCENT} * len(w) AS base_failed,
+             coalesce(n_lines, 0) AS n_lines, coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(kept_words, 0) AS kept_words
+      FROM d LEFT JOIN repeats USING (doc_id) LEFT JOIN by_doc USING (doc_id))
+    SELECT *, NOT base_failed AND n_words - kept_words <= {line_rules.MOST_LOST} * n_words AS kept FROM base
+    """,
+)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return line_rules.quality_digest(table(spark, sf, "documents"))
+
+
 @query("op9_mixed_sources")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed(table(spark, sf, "documents"))
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data_digest(table(spark, sf, "documents"))

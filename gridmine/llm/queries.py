@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from catalog.registry import query, table
-from gridmine.llm import chat, decontaminate, line_rules, mixing, pii, token_files
+from gridmine.llm import chat, decontaminate, line_rules, mixing, ngram_join, pii, suffix_dedup, token_files
 
 
 @query("op1_token_files")
@@ -131,3 +131,13 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_personal_data")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return pii.personal_data_digest(table(spark, sf, "documents"))
+
+
+@query("op4_ngram_join")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicate_digest(table(spark, sf, "documents"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_digest(table(spark, sf, "documents"))

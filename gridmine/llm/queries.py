@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from catalog.registry import query, table
-from gridmine.llm import chat, decontaminate, line_rules, mixing, ngram_join, pii, suffix_dedup, token_files
+from gridmine.llm import chat, decontaminate, line_rules, mixing, ngram_join, pii, quality, suffix_dedup, token_files, toxicity
 
 
 @query("op1_token_files")
@@ -141,3 +141,13 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.suffix_dedup_digest(table(spark, sf, "documents"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf, "documents"))

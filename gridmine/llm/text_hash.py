@@ -9,7 +9,6 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=U64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
-_BYTE[_BLANK] = 0
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -35,24 +34,39 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text (A-Z as a-z), and the words before each text (n + 1 numbers).
+def words_of(texts: list[bytes], blank: np.ndarray = _BLANK, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(hashes, lengths, first word of each text and the end, hashes of the first bytes of words).
 
-    A word's hash is a sum of random numbers per byte times powers of an odd base, mod 2**64, mixed
-    with its length; words of equal bytes have equal hashes wherever they stand.
+    Words are runs of bytes that are not ``blank``; A-Z count as a-z. A hash is a sum of random numbers
+    per byte times powers of an odd base, mod 2**64, mixed with the length; words of equal bytes have
+    equal hashes wherever they stand. ``heads`` asks for hashes of so many first bytes (0 for words
+    that are not longer).
     """
     raw = b"\n" + b"\n".join(texts) + b"\n"
     data = np.frombuffer(raw.translate(_LOWER), np.uint8)
     up, down = _power_table(len(data) + 1)
-    blank = _BLANK[data]
-    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-    ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    off = blank[data]
+    starts = np.flatnonzero(off[:-1] & ~off[1:]) + 1
+    ends = np.flatnonzero(~off[:-1] & off[1:]) + 1
+    values = _BYTE[data] * up[: len(data)]
+    values[off] = 0
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts]
-    hashes = mix(hashes ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
+    np.cumsum(values, out=sums[1:])
+    lengths = ends - starts
+
+    def hashed(last: np.ndarray) -> np.ndarray:
+        own = (sums[last] - sums[starts]) * down[starts]
+        return mix(own ^ ((last - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
+
+    firsts = [np.where(lengths > k, hashed(np.minimum(starts + k, ends)), U64(0)) for k in heads]
     offsets = np.cumsum([1, *[len(t) + 1 for t in texts]])
-    return hashes, np.searchsorted(starts, offsets)
+    return hashed(ends), lengths, np.searchsorted(starts, offsets), firsts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every blank-separated word of every text, and the words before each text (n + 1 numbers)."""
+    hashes, _, at, _ = words_of(texts)
+    return hashes, at
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -5,10 +5,10 @@ matrix times its transpose. The product is formed only where an entry can reach
 
 1. Rows of equal shingle sets are one class.
 2. Columns are cut into parts by hash. Sets of Jaccard similarity t and sizes a, b differ in at most
-   (1 - t) / (1 + t) * (a + b) shingles, so of that many parts plus one, one is equal. A class emits a
-   hash of each of its first non-empty parts, as many as its size allows differences, plus one.
-   Classes are taken within size ranges; those close below a range also visit it. Whatever may link
-   shares a hash, and a passage that many documents share is hardly ever a whole part.
+   (1 - t) / (1 + t) * (a + b) shingles, so of that many parts plus g, g are equal. A class emits a
+   hash of each of its first non-empty parts, as many as its size allows differences, plus g, and is a
+   candidate if it shares g of them. Classes are taken within size ranges; those close below a range
+   also visit it. A passage that many documents share is hardly ever a whole part, much less g.
 3. Classes connected through equal hashes form a block of rows, found by connected components over
    one edge per class and hash. A block above ``BLOCK_ROWS`` rows or ``BLOCK_CELLS`` cells is cut into
    row blocks, and every pair of them is a task of its own.
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,9 @@ from gridmine.llm.text_hash import U64, mix, shingle_sets
 #: Size ranges grow by half.
 _GROWTH = 1.5
 BLOCK_ROWS, BLOCK_CELLS = 8192, 4_000_000
-_BATCH_BYTES = 1 << 22
+#: Classes placed in blocks (rows of four longs) that may be broadcast to their texts: 32 MB.
+MOST_BROADCAST = 1_000_000
+_BATCH_BYTES = 1 << 20
 
 
 def most_different(size, percent: int):
@@ -60,48 +63,55 @@ def size_ranges(percent: int, most: int) -> np.ndarray:
     return np.array(ends)
 
 
-def part_hashes(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the parts that rows emit."""
+def spare_parts(low: np.ndarray) -> np.ndarray:
+    """How many equal parts beyond the first are asked of a pair, by the low end of its size range."""
+    return np.where(low >= 120, 3, np.where(low >= 60, 1, 0))
+
+
+def part_hashes(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, asked) of the parts that rows emit; ``asked`` is how many a row must share to link.
+
+    With d differences at most, a pair whose sets have ``asked`` equal non-empty parts has that many
+    among the first d + asked non-empty parts of either row. A row with fewer parts than that may have
+    fewer equal ones; such rows also emit a hash in common, and nothing is asked of them (0).
+    """
     sizes = np.diff(at)
     lows = size_ranges(percent, int(sizes.max(initial=1)))
+    spare = spare_parts(lows)
+    top = np.ceil(lows * _GROWTH).astype(np.int64) - 1
+    n_parts = most_different(top, percent) + 4 + 2 * spare
     home = np.searchsorted(lows, sizes, side="right") - 1
-    rows, hashes = [], []
+    spread = mix(sets ^ U64(0x5851F42D4C957F2D)) >> U64(32)
+    content = mix(sets + U64(0x2545F4914F6CDD1D))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for visit in (0, 1):
         own = home + visit
-        takes = own >= 0
+        takes = (own >= 0) & (own < len(lows))
         if visit:
             takes &= percent * lows[np.minimum(own, len(lows) - 1)] <= 100 * sizes
-            takes &= own < len(lows)
-        takes &= sizes >= lows[0] * percent // 100
         if not takes.any():
             continue
+        cells = np.repeat(takes, sizes)
         row = np.repeat(np.arange(len(sizes)), np.where(takes, sizes, 0))
-        cells = sets[np.repeat(takes, sizes)]
-        top = np.ceil(lows * _GROWTH).astype(np.int64) - 1
-        n_parts = most_different(top, percent) + 2
-        spread = mix(cells ^ U64(0x5851F42D4C957F2D))
-        part = ((spread >> U64(32)) * n_parts[own[row]].astype(U64)) >> U64(32)
+        part = (spread[cells] * n_parts[own[row]].astype(U64)) >> U64(32)
         order = np.argsort(row.astype(U64) * U64(int(n_parts.max())) + part, kind="stable")
-        row, part, cells = row[order], part[order], cells[order]
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
-        first = np.flatnonzero(new)
-        sums = np.add.reduceat(mix(cells + U64(0x2545F4914F6CDD1D)), first)
+        row, part = row[order], part[order]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
+        sums = np.add.reduceat(content[cells][order], first)
         row, part = row[first], part[first]
         sums = mix(sums ^ (part * U64(0x9FB21C651E98DF25)) ^ (own[row].astype(U64) << U64(56)))
         begin = np.concatenate([[True], row[1:] != row[:-1]])
         rank = np.arange(len(row)) - np.maximum.accumulate(np.where(begin, np.arange(len(row)), 0))
-        need = most_different(sizes, percent) + 1
+        asked = 1 + spare[np.minimum(own, len(lows) - 1)]
+        need = most_different(sizes, percent) + asked
+        few = takes & (np.bincount(row, minlength=len(sizes)) < need)
         keep = rank < need[row]
-        rows.append(row[keep])
-        hashes.append(sums[keep])
-        # rows with too few parts to be sure of an equal one also meet each other under one hash
-        held = np.bincount(row, minlength=len(sizes))
-        few = np.flatnonzero(takes & (held < need))
-        rows.append(few)
-        hashes.append(mix(own[few].astype(U64) + U64(0xE7037ED1A0B428DB)))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    return np.concatenate(rows), np.concatenate(hashes)
+        out.append((row[keep], sums[keep], np.where(few, 0, asked)[row[keep]]))
+        some = np.flatnonzero(few)
+        out.append((some, mix(own[some].astype(U64) + U64(0xE7037ED1A0B428DB)), np.zeros(len(some), np.int64)))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -109,7 +119,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def set_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, n, h, parts): size and hash of each document's set, and the hashes it emits."""
+    """(doc_id, n, h, parts, asked): size and hash of each document's set, and the hashes it emits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", _BATCH_BYTES):
@@ -119,39 +129,47 @@ def set_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             filled = np.flatnonzero(sizes)
             if len(filled):
                 h[filled] = mix(np.add.reduceat(mix(sets), at[filled]) + sizes[filled].astype(U64))
-            row, parts = part_hashes(sets, at, percent)
+            row, parts, asked = part_hashes(sets, at, percent)
             order = np.argsort(row, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(parts[order].view(np.int64)))
-            yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(h.view(np.int64)), lists], ["doc_id", "n", "h", "parts"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (parts[order].view(np.int64), asked[order].astype(np.int8))]
+            yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(h.view(np.int64)), *lists], ["doc_id", "n", "h", "parts", "asked"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, h long, parts array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, h long, parts array<long>, asked array<byte>")
 
 
 def shared_parts(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes that emit an equal hash: one per class and hash, to the first of its run."""
+    """Edges (a, b) between classes that emit equal hashes: one per class and hash, to the smallest of its run.
+
+    Classes that share fewer hashes than any link would ask of them are left out first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_part, last_first = None, None
+        # rows come sorted by hash; a row goes out if one next to it has the same, across batches too
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, h = (batch.column(i).to_numpy() for i in (0, 1))
-            new = np.concatenate([[True], part[1:] != part[:-1]])
-            begin = np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))
-            first = h[begin]
-            if last_part is not None and part[0] == last_part:
-                first = np.where(begin == 0, last_first, first)
-            last_part, last_first = part[-1], first[-1]
-            other = np.flatnonzero(first != h)
-            if len(other):
-                pairs = np.unique(np.stack([first[other], h[other]], axis=1), axis=0)
-                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    rows = classes.select(F.explode("parts").alias("part"), "h")
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            part = rows.column(0).to_numpy()
+            before = np.concatenate([[held_shared if held is not None else False], part[1:] == part[:-1]])
+            after = np.concatenate([part[1:] == part[:-1], [False]])
+            out = pc.filter(rows, pa.array((before | after)[:-1].tolist() + [False], pa.bool_()))
+            yield from out.to_batches()
+            held, held_shared = rows.slice(len(part) - 1).to_batches()[0], bool(before[-1])
+        if held is not None and held_shared:
+            yield held
+
+    zipped = F.explode(F.arrays_zip("parts", "asked"))
+    rows = classes.select(zipped.alias("z"), "h").select(F.col("z.parts").alias("part"), "h", F.col("z.asked").cast("int").alias("asked"))
     n = partition_count(classes.sparkSession)
-    return rows.repartition(n, "part").sortWithinPartitions("part", "h").mapInArrow(run, "a long, b long").distinct()
+    met = materialise(rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "part long, h long, asked int"))
+    # ranges are told apart by what they ask as far as that matters: a row's own and the one it visits
+    enough = met.groupBy("h", "asked").agg(F.count(F.lit(1)).alias("n")).where("n >= asked").select("h", "asked")
+    kept = met.join(enough, ["h", "asked"]).select("part", "h")
+    low = kept.groupBy("part").agg(F.min("h").alias("a"))
+    return kept.join(low, "part").where("h <> a").select("a", F.col("h").alias("b")).distinct()
 
 
 def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -248,14 +266,15 @@ def near_duplicate_sets(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     rows = materialise(set_rows(docs, shingle, percent))
     whole = rows.where("n > 0 AND doc_id IS NOT NULL")
     # one representative per class, and per doc_id one edge between the classes of its rows
-    classes = materialise(whole.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")))
+    classes = materialise(whole.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("asked").alias("asked")))
     members = components(shared_parts(classes))
     cells = classes.select("h", "rep", "n").join(members.withColumnRenamed("v", "h"), "h")
     blocks = cells.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_CELLS)).cast("long").alias("n_blocks"))
     cells = materialise(cells.join(blocks, "root").select("h", "rep", "root", "n_blocks"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     own = F.pmod(F.xxhash64("h"), F.col("n_blocks"))
-    placed = cells.join(text, cells["rep"] == text["doc_id"]).select("root", "h", "n_blocks", own.alias("side"), "text")
+    near = F.broadcast(cells) if cells.count() <= MOST_BROADCAST else cells
+    placed = text.join(near, cells["rep"] == text["doc_id"]).select("root", "h", "n_blocks", own.alias("side"), "text")
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     placed = placed.select(F.col("root").alias("c"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "h", "text")
     n = partition_count(docs.sparkSession)

@@ -38,6 +38,19 @@ def worker_cache(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+#: Rows of an Arrow batch: texts are long, and batches live outside the heap on either side of the pipe.
+BATCH_ROWS = 2500
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """The documents, with the session told to hand texts to Python in batches of at most ``BATCH_ROWS``."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the bytes of one column stay near a bound (one row may exceed it)."""
     for batch in batches:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmine.llm.common import materialise, partition_count, sliced, text_or_empty
+from gridmine.llm.common import materialise, partition_count, sliced, text_batches, text_or_empty
 from gridmine.llm.components import components
 from gridmine.llm.text_hash import U64, mix, shingle_sets
 
@@ -135,7 +135,7 @@ def set_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (parts[order].view(np.int64), asked[order].astype(np.int8))]
             yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(h.view(np.int64)), *lists], ["doc_id", "n", "h", "parts", "asked"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, h long, parts array<long>, asked array<byte>")
 
 

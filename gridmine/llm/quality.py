@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmine.llm.common import sliced, text_or_empty
+from gridmine.llm.common import sliced, text_batches, text_or_empty
 from gridmine.llm.linear import fit, row_sums, sigmoid
 from gridmine.llm.text_hash import U64, mix, words_of
 
@@ -188,7 +188,7 @@ def vote_rows(docs: DataFrame) -> DataFrame:
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.ndarray, float]:
     """(posterior by vote pattern, weights, bias)."""
-    counts = vote_rows(docs).groupBy("pattern").count().collect()  # bounded by the labelers
+    counts = vote_rows(text_batches(docs)).groupBy("pattern").count().collect()  # bounded by the labelers
     posterior = fit_labelers((r["pattern"], r["count"]) for r in sorted(counts))[2]
     total = sum(r["count"] for r in counts)
     if not total:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmine.llm.common import materialise, partition_count, sliced, text_or_empty
+from gridmine.llm.common import materialise, partition_count, sliced, text_batches, text_or_empty
 from gridmine.llm.suffix_sort import neighbours, sort
 
 LENGTH, GRAM = 400, 128
@@ -109,7 +109,7 @@ def segment_table(docs: DataFrame) -> DataFrame:
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[c] for r in rows]).astype(kind))) for c, kind in enumerate(kinds)]
             yield pa.record_batch([batch.column(0), batch.column(1), *lists], ["doc_id", "digest", "a", "lo", "hi", "k", "s1", "s2"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), text_or_empty().alias("text")).where(F.octet_length("text") >= LENGTH)
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), text_or_empty().alias("text")).where(F.octet_length("text") >= LENGTH)
     return rows.mapInArrow(run, "doc_id long, digest long, a array<int>, lo array<int>, hi array<int>, k array<long>, s1 array<long>, s2 array<long>")
 
 

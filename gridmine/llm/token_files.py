@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridmine.llm.common import partition_count, scratch_dir, sliced, text_or_empty, worker_cache
+from gridmine.llm.common import partition_count, scratch_dir, sliced, text_batches, text_or_empty, worker_cache
 
 MAGIC = b"GMTOKEF1"
 FOOTER = "<8sIIQQQqQQ"  # magic, id bytes, -, documents, null ids, tokens, first id, bytes of ends, bytes of ids
@@ -220,7 +220,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str | None = Non
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["shard", "path", "n_docs", "n_tokens"])
 
     n = shards or partition_count(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")

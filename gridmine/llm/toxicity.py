@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmine.llm.common import sliced, text_or_empty
+from gridmine.llm.common import sliced, text_batches, text_or_empty
 from gridmine.llm.linear import fit, sigmoid
 from gridmine.llm.text_hash import U64, mix, words_of
 
@@ -180,7 +180,7 @@ def scorer(names: np.ndarray, w: np.ndarray, bias: float):
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    model = fitted(docs, labels, sample, penalty)
+    model = fitted(text_batches(docs), labels, sample, penalty)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(*model)

@@ -53,14 +53,14 @@ def q1_first(spark, sf):
 
 _ATTRIBUTES_SQL = f"""attrs AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS attribute, p_brand AS unit FROM part),
 av AS (SELECT attribute, unit, lower(replace(attribute, ' ', '') || ' ' || unit) AS word,
-  list_concat({text_vector_sql('attribute')}, {text_vector_sql('unit')}) AS vector FROM attrs WHERE length(attribute) <= 500)"""
+  list_concat({text_vector_sql('attribute')}, {text_vector_sql('unit')}) AS vector FROM attrs)"""
 
 
 @query(
     "q2_similar_attributes",
-    f"""WITH {_ATTRIBUTES_SQL}, found AS (SELECT search, word AS query, vector AS qv, row_number() OVER (PARTITION BY search ORDER BY md5(word || '|0'), word) AS n
+    f"""WITH {_ATTRIBUTES_SQL}, found AS (SELECT search, word AS query, vector AS qv
       FROM av JOIN (SELECT unnest(['ring', 'promo']) AS search) ON contains(word, search)),
-    s AS (SELECT search, query, word, abs(round(list_cosine_similarity(vector, qv), 6)) AS similarity FROM av, found WHERE n <= 15)
+    s AS (SELECT search, query, word, abs(round(list_cosine_similarity(vector, qv), 6)) AS similarity FROM av, found)
     SELECT search, query, word, similarity FROM (SELECT *, rank() OVER (PARTITION BY search, query ORDER BY similarity DESC) AS rk FROM s) WHERE rk <= 10""",
 )
 def q2(spark, sf):
@@ -70,6 +70,21 @@ def q2(spark, sf):
     return similarity.similar_attributes(attributes, ["ring", "promo"], DIMS)
 
 
+@query(
+    "q2_similar_attributes_sampled",
+    f"""WITH {_ATTRIBUTES_SQL}, found AS (SELECT search, word AS query, vector AS qv, row_number() OVER (PARTITION BY search ORDER BY md5(word || '|0'), word) AS n
+      FROM av JOIN (SELECT unnest(['ring', 'promo']) AS search) ON contains(word, search)),
+    s AS (SELECT search, query, word, abs(round(list_cosine_similarity(vector, qv), 6)) AS similarity FROM av, found WHERE n <= 15 AND length(word) <= 500)
+    SELECT search, query, word, similarity FROM (SELECT *, rank() OVER (PARTITION BY search, query ORDER BY similarity DESC) AS rk FROM s) WHERE rk <= 10""",
+)
+def q2_sampled(spark, sf):
+    """The variant with 15 sampled keys per word and a length guard."""
+    attributes = table(spark, sf, "part").select(
+        F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("attribute"), F.col("p_brand").alias("unit")
+    )
+    return similarity.similar_attributes(attributes, ["ring", "promo"], DIMS, queries=15, max_length=500)
+
+
 _NULLED = "CASE WHEN lower(trim(value, ' ')) IN ('-', '–', 'na', 'n/a', 'nan') THEN 'null' ELSE value END"
 _USABLE_SQL = f"""{PART_CELLS_SQL}, usable AS (
   SELECT paper_id, table_id, row, col, header, n_rows, {_NULLED} AS value FROM part_cells WHERE value IS NOT NULL AND trim(value, ' ') <> '' AND trim(header, ' ') <> '')"""
@@ -263,3 +278,43 @@ def q1_blocks(spark, sf):
     v = word_vectors(spark, sf)
     queries = v.filter("word = '8'").select(F.col("id").alias("query"), "vector")
     return similarity.nearest(v.select("id", "word", "vector"), queries, 10, max_inline=0)
+
+
+# Vectors of mixed length, NULL and zero, as rows and as references; the same rows either way.
+_MIXED_SQL = """WITH m AS (SELECT vec_id AS id, CASE WHEN vec_id % 11 = 0 THEN NULL
+      WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: 0.0::DOUBLE)
+      WHEN vec_id % 5 = 0 THEN embedding[1:32]::DOUBLE[] WHEN vec_id % 13 = 0 THEN list_concat(embedding, embedding[1:8])::DOUBLE[]
+      ELSE embedding::DOUBLE[] END AS vector FROM embeddings),
+    ok AS (SELECT * FROM m WHERE vector IS NOT NULL AND list_sum(list_transform(vector, lambda x: x * x)) > 0),
+    s AS (SELECT a.id, b.id AS ref, abs(round(list_cosine_similarity(a.vector, b.vector), 6)) AS similarity FROM ok a JOIN ok b ON len(a.vector) = len(b.vector) WHERE b.id % 9 < 2)"""
+
+
+def _mixed(spark, sf):
+    v, i = F.col("embedding").cast("array<double>"), F.col("vec_id")
+    mixed = F.when(i % 11 == 0, F.lit(None)).when(i % 7 == 0, F.transform(v, lambda x: F.lit(0.0)))
+    mixed = mixed.when(i % 5 == 0, F.slice(v, 1, 32)).when(i % 13 == 0, F.concat(v, F.slice(v, 1, 8))).otherwise(v)
+    return table(spark, sf, "embeddings").select(i.alias("id"), mixed.alias("vector"))
+
+
+def _register_mixed(name: str, most: int) -> None:
+    @query(f"j1_mixed_vectors_{name}", f"{_MIXED_SQL} SELECT id, ref, similarity FROM s")
+    def refs(spark, sf):
+        m = _mixed(spark, sf)
+        return cross_refs(m, m.where("id % 9 < 2").select(F.col("id").alias("ref"), F.col("vector").alias("ref_vector")), max_inline=most)
+
+    @query(
+        f"q1_mixed_vectors_{name}",
+        f"{_MIXED_SQL} SELECT ref AS query, id, similarity FROM (SELECT *, rank() OVER (PARTITION BY ref ORDER BY similarity DESC) AS rk FROM s) WHERE rk <= 5",
+    )
+    def words(spark, sf):
+        m = _mixed(spark, sf)
+        return similarity.nearest(m, m.where("id % 9 < 2").select(F.col("id").alias("query"), "vector"), 5, max_inline=most)
+
+
+_register_mixed("inline", 10**6)
+_register_mixed("in_blocks", 0)
+
+
+@query("q6_rank_absent_word", "SELECT vec_id AS id, '' AS word, 0.0::DOUBLE AS similarity FROM embeddings WHERE false")
+def q6_absent(spark, sf):
+    return similarity.rank_words(word_vectors(spark, sf), "no such word")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gridmine.functions.vectors import score_refs
 from gridmine.operators.ordering import number_rows
 
 #: Reference sets up to this many vectors travel with the plan; larger ones are joined in blocks.
@@ -41,60 +41,80 @@ def cross_refs(
 ) -> DataFrame:
     """Absolute cosine of every row with every reference: (df columns, ref, similarity).
 
-    Few references: scored as one matrix per Arrow batch, no join and no shuffle.
-    Many references: both sides are cut into bounded blocks that meet once per pair.
+    Only pairs of non-zero vectors of equal length have a row. Few references travel with the
+    plan and are scored per Arrow batch, without a join; beyond that both sides are cut into
+    bounded blocks that meet once per pair. Both ways score with ``pair_cosines``.
     """
-    rows = small_rows(refs.select(ref_id, ref_vector), max_inline)
     keep = [c for c in df.columns if c != vector]
-    if rows is not None:
-        if not rows:
-            return df.select(*keep, F.lit(None).cast(refs.schema[ref_id].dataType).alias(ref_id), F.lit(0.0).alias("similarity")).limit(0)
-        matrix = np.array([r[ref_vector] for r in rows], dtype=float)
-        kind = refs.schema[ref_id].dataType
-        names = F.array(*[F.lit(r[ref_id]).cast(kind) for r in rows])
-        return (
-            df.select(*keep, score_refs(F.col(vector), matrix).alias("_scores"))
-            .select(*keep, F.posexplode("_scores").alias("_i", "similarity"))
-            .select(*keep, F.element_at(names, F.col("_i") + 1).alias(ref_id), "similarity")
-        )
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{fields}, `{ref_id}` {refs.schema[ref_id].dataType.simpleString()}, `similarity` double"
+    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    schema = f"{fields}`{ref_id}` {refs.schema[ref_id].dataType.simpleString()}, `similarity` double"
+    df = df.withColumn(vector, F.col(vector).cast("array<double>"))
+    typed = refs.select(ref_id, F.col(ref_vector).cast("array<double>").alias(ref_vector))
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        sims = block_cosines(left[vector], right[ref_vector])
-        row, ref = np.nonzero(sims >= 0)
-        columns = [*left.select(keep).take(row).columns, right[ref_id].take(ref), pa.array(sims[row, ref])]
-        return pa.Table.from_arrays(columns, names=[*keep, ref_id, "similarity"])
+        parts = []
+        for first in range(0, right.num_rows, COLUMNS_AT_ONCE):
+            own = right.slice(first, COLUMNS_AT_ONCE)
+            sims = pair_cosines(left[vector], own[ref_vector])
+            row, ref = np.nonzero(sims >= 0)
+            columns = [*left.select(keep).take(row).columns, own[ref_id].take(ref), pa.array(sims[row, ref])]
+            parts.append(pa.Table.from_arrays(columns, names=[*keep, ref_id, "similarity"]))
+        return pa.concat_tables(parts)
 
-    typed = refs.select(ref_id, F.col(ref_vector).cast("array<double>"))
-    return block_cogroup(df.withColumn(vector, F.col(vector).cast("array<double>")), typed, scores, schema)
+    few = small_table(typed, max_inline)
+    if few is None:
+        return block_cogroup(df, typed, scores, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and few.num_rows:
+                yield from scores(pa.Table.from_batches([batch]), few).to_batches()
+
+    return df.mapInArrow(run, schema)
 
 
 #: Rows per block when two large sets meet; a pair of blocks is one bounded group.
-LEFT_BLOCK, RIGHT_BLOCK = 16_384, 1_024
+LEFT_BLOCK, RIGHT_BLOCK = 16_384, 16_384
+#: References scored as one matrix.
+COLUMNS_AT_ONCE = 1_024
+
+
+def small_table(df: DataFrame, limit: int) -> pa.Table | None:
+    """The rows as an Arrow table if there are at most ``limit``, else None."""
+    rows = small_rows(df, limit)
+    if rows is None:
+        return None
+    kinds = [to_arrow_type(f.dataType) for f in df.schema.fields]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=df.columns)
 
 
-def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
-    """Vectors as rows; missing ones and those of another length become NaN rows."""
-    flat = vectors.combine_chunks()
+def _by_length(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{length: (positions, unit vectors)} of the vectors that are neither NULL, empty nor zero."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     lengths = np.asarray(pc.fill_null(pc.list_value_length(flat), 0))
-    width = int(lengths.max(initial=0))
-    out = np.full((len(lengths), width), np.nan)
-    whole = lengths == width
-    out[whole] = np.asarray(flat.filter(pa.array(whole)).flatten()).reshape(-1, width)
+    out = {}
+    for width in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == width)
+        rows = np.asarray(flat.take(pa.array(at)).flatten(), dtype=float).reshape(-1, width)
+        norms = np.linalg.norm(rows, axis=1)
+        ok = np.isfinite(norms) & (norms > 0)
+        out[width] = (at[ok], rows[ok] / norms[ok, None])
     return out
 
 
-def block_cosines(left: pa.ChunkedArray, right: pa.ChunkedArray) -> np.ndarray:
-    """Absolute cosines of all pairs with 6 decimals; -1 where there is none."""
-    a, b = _matrix(left), _matrix(right)
-    if a.shape[1] != b.shape[1] or a.shape[1] == 0:
-        return np.full((len(a), len(b)), -1.0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        a = a / np.linalg.norm(a, axis=1, keepdims=True)
-        b = b / np.linalg.norm(b, axis=1, keepdims=True)
-        sims = np.abs(np.round(a @ b.T, 6))
-    return np.where(np.isnan(sims), -1.0, sims)
+def pair_cosines(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Absolute cosines of all pairs with 6 decimals; -1 where there is none.
+
+    There is none for a NULL, an empty or a zero vector, a vector with a missing component,
+    or two vectors of different length. Each vector is judged on its own.
+    """
+    out = np.full((len(left), len(right)), -1.0)
+    others = _by_length(right)
+    for width, (row, a) in _by_length(left).items():
+        if width in others:
+            column, b = others[width]
+            out[np.ix_(row, column)] = np.abs(np.round(a @ b.T, 6))
+    return out
 
 
 def block_cogroup(left: DataFrame, right: DataFrame, fn, schema: str) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from gridmine.functions.numbers import UNITS_COLUMN, detect_unit, resolve_unit
 from gridmine.functions.predicates import cell_guard, guard, header_guard, search
@@ -18,14 +18,13 @@ from gridmine.functions.text import null_like
 from gridmine.functions.vectors import cosine, score_refs, vec_concat
 from gridmine.operators.aggregates import token_key, vec_mean
 from gridmine.operators.embed import fold_vector, row_sum_vector, text_vector, words_of
-from gridmine.operators.joins import block_cosines, block_cogroup, cross_refs, lookup, small_rows
+from gridmine.operators.joins import COLUMNS_AT_ONCE, block_cogroup, cross_refs, pair_cosines, small_table
 from gridmine.operators.ordering import topk_ties
 from gridmine.operators.sampling import seeded_hash
 
 
 #: Query sets up to this many vectors travel with the plan; larger ones are joined in blocks.
 MAX_INLINE_QUERIES = 4_096
-_QUERIES_AT_ONCE = 256
 
 
 def nearest(
@@ -36,6 +35,7 @@ def nearest(
     Queries are scored as matrices per Arrow batch, and a task only emits rows that reach
     its own current k-th score, so the final ranking shuffles a few rows per task. A query
     set that is too large to travel meets the vectors in bounded blocks, cut the same way.
+    Both ways score with ``pair_cosines``: no row for NULL, zero and differently long vectors.
     """
     keep = [c for c in vectors.columns if c != "vector"]
     kind = queries.schema[query_id].dataType
@@ -43,61 +43,61 @@ def nearest(
     schema = f"`{query_id}` {kind.simpleString()}, {fields}, `similarity` double"
     vectors = vectors.withColumn("vector", F.col("vector").cast("array<double>")).select(*keep, "vector")
     queries = queries.select(query_id, F.col("vector").cast("array<double>").alias("_query_vector"))
-    rows = small_rows(queries, max_inline)
-    if rows is None:
+    few = small_table(queries, max_inline)
+    if few is None:
         candidates = block_cogroup(vectors, queries, _block_candidates(keep, query_id, k), schema)
-    elif not rows:
-        return vectors.sparkSession.createDataFrame([], schema)
     else:
-        ids = pa.array([r[query_id] for r in rows], type=to_arrow_type(kind))
-        refs = np.array([r["_query_vector"] for r in rows], dtype=float)
-        candidates = vectors.mapInArrow(_batch_candidates(keep, query_id, ids, refs, k), schema)
+        candidates = vectors.mapInArrow(_batch_candidates(keep, query_id, few, k), schema)
     return topk_ties(candidates, [query_id], k, "similarity")
 
 
+def _reaching(sims: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row) that reach the k best scores seen so far, and these scores with the new ones."""
+    k = best.shape[1]
+    merged = np.concatenate([best, sims], axis=1)
+    best = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+    query, row = np.nonzero((sims >= best.min(axis=1, keepdims=True)) & (sims >= 0))
+    return query, row, best
+
+
 def _block_candidates(keep: Sequence[str], query_id: str, k: int):
     """Cogroup function: per query of the block the rows that reach the k-th score of the block."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sims = block_cosines(left["vector"], right["_query_vector"]).T
-        row_count = sims.shape[1]
-        floor = np.partition(sims, row_count - k, axis=1)[:, row_count - k] if row_count > k else np.zeros(len(sims))
-        query, row = np.nonzero((sims >= floor[:, None]) & (sims >= 0))
-        columns = [right[query_id].take(query), *left.select(keep).take(row).columns, pa.array(sims[query, row])]
-        return pa.Table.from_arrays(columns, names=[query_id, *keep, "similarity"])
+        parts = []
+        for first in range(0, max(1, right.num_rows), COLUMNS_AT_ONCE):
+            own = right.slice(first, COLUMNS_AT_ONCE)
+            sims = pair_cosines(left["vector"], own["_query_vector"]).T
+            query, row, _ = _reaching(sims, np.full((len(sims), k), -np.inf))
+            columns = [own[query_id].take(query), *left.select(keep).take(row).columns, pa.array(sims[query, row])]
+            parts.append(pa.Table.from_arrays(columns, names=[query_id, *keep, "similarity"]))
+        return pa.concat_tables(parts)
 
     return run
 
 
-def _batch_candidates(keep: Sequence[str], query_id: str, ids: pa.Array, refs: np.ndarray, k: int):
+def _batch_candidates(keep: Sequence[str], query_id: str, queries: pa.Table, k: int):
     """Map function: rows that reach the running k-th best score of their task, per query."""
-    d = refs.shape[1]
-    unit = refs / np.maximum(np.linalg.norm(refs, axis=1, keepdims=True), 1e-300)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.full((len(unit), k), -np.inf)
+        best = np.full((queries.num_rows, k), -np.inf)
         for batch in batches:
-            batch = batch.filter(pc.equal(pc.list_value_length(batch["vector"]), d))
-            if batch.num_rows == 0:
-                continue
-            rows = np.asarray(batch["vector"].flatten()).reshape(-1, d)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-            for first in range(0, len(unit), _QUERIES_AT_ONCE):
+            for first in range(0, queries.num_rows, _QUERIES_AT_ONCE):
+                own = queries.slice(first, _QUERIES_AT_ONCE)
                 part = slice(first, first + _QUERIES_AT_ONCE)
-                sims = np.abs(np.round(unit[part] @ rows.T, 6))
-                sims = np.where(np.isnan(sims), -1.0, sims)
-                merged = np.concatenate([best[part], sims], axis=1)
-                best[part] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
-                query, row = np.nonzero((sims >= best[part].min(axis=1, keepdims=True)) & (sims >= 0))
+                sims = pair_cosines(batch["vector"], own["_query_vector"]).T
+                query, row, best[part] = _reaching(sims, best[part])
                 if len(row):
                     picked = batch.select(keep).take(pa.array(row))
-                    columns = [ids.take(pa.array(query + first)), *picked.columns, pa.array(sims[query, row])]
-                    yield pa.RecordBatch.from_arrays(columns, names=[query_id, *keep, "similarity"])
+                    ids = own[query_id].take(pa.array(query)).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([ids, *picked.columns, pa.array(sims[query, row])], names=[query_id, *keep, "similarity"])
 
     return run
 
 
+_QUERIES_AT_ONCE = 256
+
+
 def similar_words(
     vectors: DataFrame, words: Sequence[str], k: int = 10, max_occurrences: int | None = None
 ) -> DataFrame:
@@ -116,32 +116,50 @@ def similar_words(
 ATTRIBUTE_STOP = ["0", "", "na"]
 
 
-def attribute_vectors(attributes: DataFrame, dims: int) -> DataFrame:
-    """(attribute, unit) to key and attribute vector joined with the unit vector; no shuffle."""
-    kept = attributes.filter(guard("attribute", 500, ATTRIBUTE_STOP))
+def attribute_key(attribute: str, unit: str) -> Column:
+    return token_key(words_of(attribute, lower=False), F.array_join(words_of(unit, lower=False), ""))
+
+
+def attribute_vectors(attributes: DataFrame, dims: int, max_length: int | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """(attribute, unit) to key and attribute vector joined with the unit vector; no shuffle.
+
+    ``max_length`` leaves out longer attributes, for encoders that need it.
+    """
+    kept = attributes.filter(guard("attribute", max_length, ATTRIBUTE_STOP))
     return kept.select(
+        *also,
         "attribute",
         "unit",
-        token_key(words_of("attribute", lower=False), F.array_join(words_of("unit", lower=False), "")).alias("word"),
+        attribute_key("attribute", "unit").alias("word"),
         vec_concat(text_vector("attribute", dims), text_vector("unit", dims)).alias("vector"),
     )
 
 
 def similar_attributes(
-    attributes: DataFrame, words: Sequence[str], dims: int, k: int = 10, queries: int = 15, seed: int = 0
+    attributes: DataFrame,
+    words: Sequence[str],
+    dims: int,
+    k: int = 10,
+    queries: int | None = None,
+    seed: int = 0,
+    max_length: int | None = None,
 ) -> DataFrame:
-    """Nearest attribute/unit keys for up to ``queries`` sampled keys that contain a word."""
-    vectors = attribute_vectors(attributes.select("attribute", "unit").distinct(), dims)
-    vectors = vectors.filter(F.col("vector").isNotNull())
-    found = vectors.select(
-        F.explode(F.array_compact(F.array(*[F.when(search("word", w), F.lit(w)) for w in words]))).alias("search"),
-        F.col("word").alias("query"),
-        "vector",
-    )
-    w = W.partitionBy("search").orderBy(seeded_hash("query", seed), "query")
-    drawn = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= queries)
-    drawn = drawn.select(F.concat_ws("|", "search", "query").alias("query"), "vector").dropDuplicates(["query"])
-    return nearest(vectors.select("word", "vector"), drawn, k).select(
+    """Nearest attribute/unit keys for the keys that contain a word.
+
+    ``queries`` samples so many keys per word; by default all of them are queries. Keys are
+    found before anything is encoded.
+    """
+    distinct = attributes.select("attribute", "unit").distinct()
+    keyed = distinct.filter(guard("attribute", max_length, ATTRIBUTE_STOP)).withColumn("_key", attribute_key("attribute", "unit"))
+    hits = F.array_compact(F.array(*[F.when(search("_key", w), F.lit(w)) for w in words]))
+    found = keyed.select("attribute", "unit", F.explode(hits).alias("search"), "_key")
+    if queries is not None:
+        w = W.partitionBy("search").orderBy(seeded_hash("_key", seed), "_key")
+        found = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= queries)
+    drawn = attribute_vectors(found, dims, max_length, ["search"])
+    drawn = drawn.filter(F.col("vector").isNotNull()).select(F.concat_ws("|", "search", "word").alias("query"), "vector")
+    vectors = attribute_vectors(distinct, dims, max_length).filter(F.col("vector").isNotNull())
+    return nearest(vectors.select("word", "vector"), drawn.dropDuplicates(["query"]), k).select(
         F.substring_index("query", "|", 1).alias("search"),
         F.expr("substring(query, instr(query, '|') + 1)").alias("query"),
         "word",
@@ -244,14 +262,16 @@ def table_similarity(tables: DataFrame, refs: dict[str, dict], dims: int, pool:
     ``tables`` is (id, table_id, rows array<string>). Tables without a vector score 0.
     """
     vector = table_vector(F.col("rows"), dims, pool).alias("vector")
-    matrix, names = [], []
-    for name, key in refs.items():  # the key filter runs below the encoder
-        row = lookup(tables, **key).limit(1).select(vector).first()
-        if row is not None and row["vector"] is not None:
-            names.append(name)
-            matrix.append(row["vector"])
+    is_ref = [reduce(and_, [F.col(c) == v for c, v in key.items()]) for key in refs.values()]
+    found = {}
+    if refs:  # all references in one job; the key filters run below the encoder
+        named = F.array_compact(F.array(*[F.when(hit, F.lit(r)) for r, hit in zip(refs, is_ref, strict=True)]))
+        rows = tables.filter(reduce(or_, is_ref)).select(F.explode(named).alias("ref"), vector)
+        one = rows.groupBy("ref").agg(F.first("vector", ignorenulls=True).alias("vector"))
+        found = {r["ref"]: r["vector"] for r in one.collect() if r["vector"] is not None}
+    names = list(found)
     vectors = tables.select("id", "table_id", vector)
-    scores = score_refs("vector", np.array(matrix, dtype=float)) if matrix else F.lit(None).cast("array<double>")
+    scores = score_refs("vector", np.array(list(found.values()), dtype=float)) if found else F.lit(None).cast("array<double>")
     scored = vectors.select("id", "table_id", scores.alias("_s"))
     return scored.select(
         "id",
@@ -264,8 +284,13 @@ def table_similarity(tables: DataFrame, refs: dict[str, dict], dims: int, pool:
 
 
 def rank_words(vectors: DataFrame, word: str, dims: int = 60) -> DataFrame:
-    """Plain cosine of the whole store to the first vector of a word, over the first components, sorted."""
-    probe = vectors.filter(F.col("word") == word).orderBy("id").select("vector").first()
+    """Plain cosine of the whole store to the first vector of a word, over the first components, sorted.
+
+    A word that is not in the store has no row.
+    """
+    probe = vectors.filter(F.col("word") == word).agg(F.min_by("vector", "id").alias("vector")).first()
+    if probe["vector"] is None:
+        return vectors.select("id", "word", F.lit(0.0).alias("similarity")).limit(0)
     target = F.from_json(F.lit(str(list(probe["vector"])[:dims])), "array<double>")
     return (
         vectors.select("id", "word", cosine(F.slice("vector", 1, dims), target).alias("similarity"))

@@ -114,8 +114,8 @@ def vocabulary(tokens: DataFrame, size: int, min_df: int = 1, doc: str | None =
     counts = tokens.groupBy(F.col("token").alias("word")).agg(*aggs)
     if min_df > 1:
         counts = counts.filter(F.col("_df") >= min_df).drop("_df")
-    top = counts.orderBy(F.col("freq").desc(), "word").limit(size)  # bounded by size from here on
-    return top.withColumn("idx", F.row_number().over(W.orderBy(F.col("freq").desc(), "word")).cast("long"))
+    numbered = number_rows(counts.withColumn("_less", -F.col("freq")), ["_less", "word"], "idx")
+    return numbered.filter(F.col("idx") <= size).drop("_less")
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

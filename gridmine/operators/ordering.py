@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmine.session import partition_count
+from gridmine.session import materialise, partition_count
 
 _BUCKET = "_bucket"
 _SAMPLE_PER_BUCKET = 32
@@ -27,9 +27,10 @@ _SAMPLE_PER_BUCKET = 32
 def order_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> Column:
     """Column with the bucket of a row; buckets follow ``order`` (ascending, NULL first).
 
-    The sample is the ``32 * buckets`` rows of smallest key hash: one pass, exact
-    size, the same whatever the partitioning. ``order`` should be a total order,
-    otherwise a frequent key stays in one bucket.
+    The sample is the keys whose hash lies below a threshold that one count of the rows
+    gives: about ``32 * buckets`` keys over all tasks together, the same whatever the
+    partitioning. ``order`` should be a total order, otherwise a frequent key stays in
+    one bucket. ``df`` is read twice; callers hand in a written table.
     """
     spark = df.sparkSession
     n = buckets or partition_count(spark)
@@ -37,12 +38,19 @@ def order_bucket(df: DataFrame, order: Sequence[str], buckets: int | None = None
     if n <= 1:
         return F.lit(0)
     key_type = df.select(key.alias("k")).schema["k"].dataType
+    keys = df.select(key.alias("k"))
+    wanted, rows = n * _SAMPLE_PER_BUCKET, df.count()
+    if rows > 2 * wanted:
+        keys = keys.filter(F.pmod(F.xxhash64("k"), F.lit(2**40)) < int(2**40 * wanted / rows))
     sample = (
-        df.select(key.alias("k"))
-        .orderBy(F.xxhash64("k"))
-        .limit(n * _SAMPLE_PER_BUCKET)
+        keys.distinct()
         .agg(F.sort_array(F.collect_list("k")).alias("ks"))
-        .select(F.expr(f"filter(ks, (x, i) -> i > 0 AND i % {_SAMPLE_PER_BUCKET} = 0)").alias("bounds"))
+        .select(
+            F.expr(
+                "CASE WHEN size(ks) = 0 THEN array() ELSE transform("
+                f"sequence(1, {n - 1}), i -> element_at(ks, cast(floor(i * size(ks) / {n}) AS int) + 1)) END AS bounds"
+            )
+        )
     )
     step = max(1, math.isqrt(n))
     row = sample.select(
@@ -90,9 +98,11 @@ def number_rows(
 ) -> DataFrame:
     """1-based row number over ``order`` (within ``partition_by``), as bigint.
 
-    One shuffle of the rows; border offsets are one row per bucket and group.
+    The input is computed once and written. One shuffle of the rows; border offsets are one
+    row per bucket and group.
     """
     parts = list(partition_by)
+    df = materialise(df)
     bucket = order_bucket(df, [*parts, *order], buckets) if bucket is None else bucket
     rows = df.withColumn(_BUCKET, bucket)
     inside = W.partitionBy(_BUCKET, *parts).orderBy(*order)
@@ -128,6 +138,7 @@ def running_min(
 ) -> DataFrame:
     """Running minimum (current row included) over ``order`` within ``partition_by``."""
     parts = list(partition_by)
+    df = materialise(df)
     bucket = order_bucket(df, [*parts, *order], buckets)
     inside = W.partitionBy(_BUCKET, *parts).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = df.withColumn(_BUCKET, bucket).withColumn(name, F.min(value).over(inside))
@@ -145,6 +156,7 @@ def running_min(
 
 def with_next(df: DataFrame, order: Sequence[str], columns: Sequence[str], prefix: str = "next_") -> DataFrame:
     """Each row with ``columns`` of the following row; the last row has no pair and is dropped."""
+    df = materialise(df)
     bucket = order_bucket(df, order)
     rows = df.withColumn(_BUCKET, bucket)
     payload = F.struct(*[F.col(c) for c in columns])
@@ -183,8 +195,9 @@ def assign_ids(df: DataFrame, order: Sequence[str], prefix: str = "unq_tkn_", na
 
 
 def page(df: DataFrame, offset: int, n: int, order: Sequence[str]) -> DataFrame:
-    """OFFSET/LIMIT with an explicit order."""
-    return df.orderBy(*order).offset(offset).limit(n)
+    """OFFSET/LIMIT with an explicit order; a deep offset gathers no rows before it in one task."""
+    numbered = number_rows(df, order, "_rn").filter((F.col("_rn") > offset) & (F.col("_rn") <= offset + n))
+    return numbered.orderBy("_rn").drop("_rn")
 
 
 def limit(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
@@ -195,8 +208,17 @@ def limit(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
 def topk_ties(df: DataFrame, by: Sequence[str], k: int, score: str, rank: str | None = None) -> DataFrame:
     """Top ``k`` per group, keeping every row that ties with the k-th.
 
-    ``rank() <= k`` lets Spark cut each partition before the shuffle.
+    Equal scores are counted first (map-side), so a group's window sees its k best distinct
+    scores only, and ``row_number() <= k`` cuts each partition before the shuffle. Rows then
+    join their score, which leaves the ties of a hot group spread; ``df`` is read twice.
     """
-    w = W.partitionBy(*by).orderBy(F.col(score).desc())
-    out = df.withColumn("_rank", F.rank().over(w)).filter(F.col("_rank") <= k)
+    best = W.partitionBy(*by).orderBy(F.col(score).desc())
+    counts = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= k)
+    above = F.coalesce(F.sum("_n").over(best.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    top = top.withColumn("_rank", (above + 1).cast("int")).filter(F.col("_rank") <= k)
+    keys = [*by, score]
+    top = top.select(*[F.col(c).alias(f"_top_{i}") for i, c in enumerate(keys)], "_rank")
+    same = [F.col(c).eqNullSafe(F.col(f"_top_{i}")) for i, c in enumerate(keys)]
+    out = df.join(top, same).drop(*[f"_top_{i}" for i in range(len(keys))])
     return out.withColumnRenamed("_rank", rank) if rank else out.drop("_rank")

@@ -21,6 +21,7 @@ from gridmine.operators.embed import fold_vector, row_sum_vector, text_vector, w
 from gridmine.operators.joins import COLUMNS_AT_ONCE, block_cogroup, cross_refs, pair_cosines, small_table
 from gridmine.operators.ordering import topk_ties
 from gridmine.operators.sampling import seeded_hash
+from gridmine.session import materialise
 
 
 #: Query sets up to this many vectors travel with the plan; larger ones are joined in blocks.
@@ -48,7 +49,7 @@ def nearest(
         candidates = block_cogroup(vectors, queries, _block_candidates(keep, query_id, k), schema)
     else:
         candidates = vectors.mapInArrow(_batch_candidates(keep, query_id, few, k), schema)
-    return topk_ties(candidates, [query_id], k, "similarity")
+    return topk_ties(materialise(candidates), [query_id], k, "similarity")
 
 
 def _reaching(sims: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -27,15 +27,21 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "gri
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
+    It is removed when the driver ends.
+
     Only a local master may fall back to a folder of this machine: on a cluster
     executors could not see it, so an unset setting is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
-        return f"{base.rstrip('/')}/gridmine-{os.urandom(8).hex()}"
-    if not spark.sparkContext.master.startswith("local"):
+        path = f"{base.rstrip('/')}/gridmine-{os.urandom(8).hex()}"
+    elif spark.sparkContext.master.startswith("local"):
+        path = tempfile.mkdtemp(prefix="gridmine-")
+    else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="gridmine-")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def partition_count(spark: SparkSession) -> int:

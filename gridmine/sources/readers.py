@@ -37,13 +37,13 @@ def read_delim(
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with file and line number (from 0 in each file).
+    """Text lines with the path of their file and line number (from 0 in each file).
 
     Large files are split over tasks: lines are ordered by (file, offset of the split,
     position in the task) and numbered without a single sorting task.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
         "value",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,16 +14,16 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StandardScaler, VectorAssembler, Word2Vec, Word2VecModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmine.functions.predicates import as_col, bounded
+from gridmine.session import partition_count
 
 # Settings of the feature stages and models.
 VOCABULARY_SIZE = 500_000
 MIN_DOCUMENTS = 5
-INTERVAL_BOUND = 1_000_000
 
 
 def tokenizer(c: str, out: str) -> RegexTokenizer:
@@ -41,9 +42,22 @@ def counter(words: str, out: str, size: int = VOCABULARY_SIZE, min_df: float = M
 def bag_of_words(df: DataFrame, words: str, out: str = "counts", size: int = VOCABULARY_SIZE, min_df: float = MIN_DOCUMENTS):
     """(fitted vocabulary model, df with sparse counts)."""
     model = counter(words, out, size, min_df).fit(df)
+    if len(model.vocabulary) == size:
+        warnings.warn(f"the vocabulary is cut at {size} words; rarer words are not counted", stacklevel=2)
     return model, model.transform(df)
 
 
+def sparse_values(c: str | Column) -> Column:
+    """Stored values of a vector column, without making it dense."""
+    return F.unwrap_udt(as_col(c))["values"]
+
+
+def width(c: str | Column) -> Column:
+    """Length of a vector column."""
+    raw = F.unwrap_udt(as_col(c))
+    return F.coalesce(raw["size"], F.size(raw["values"])).cast("long")
+
+
 def features(columns: Sequence[str], out: str = "features", min_df: float = MIN_DOCUMENTS) -> Pipeline:
     """Tokens and counts per text column, assembled to one sparse vector."""
     stages = []
@@ -80,9 +94,17 @@ def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
-def top_positive(predictions: DataFrame, key: str, n: int = 10) -> DataFrame:
-    """Predicted positives, first ``n`` by prediction and key."""
-    return predictions.filter(F.col("prediction") == 1).orderBy(F.col("prediction").desc(), key).limit(n)
+def top_positive(predictions: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """Predicted positives by prediction and key; ``n`` shows the first ones only."""
+    ranked = predictions.filter(F.col("prediction") == 1).orderBy(F.col("prediction").desc(), key)
+    return ranked if n is None else ranked.limit(n)
+
+
+def at_least_majority(predictions: DataFrame) -> Column:
+    """Whether the share of right predictions reaches that of the commonest label, for ``agg``."""
+    right = F.avg((F.col("label").cast("double") == F.col("prediction")).cast("double"))
+    ones = F.avg(F.col("label").cast("double"))
+    return right >= F.greatest(ones, 1 - ones)
 
 
 def area_under_pr(predictions: DataFrame, raw: str = "rawPrediction") -> float:
@@ -93,16 +115,35 @@ def threshold(score: str | Column, at: float = 0.5) -> Column:
     return F.when(as_col(score) > at, 1).otherwise(0)
 
 
-def train_word2vec(df: DataFrame, words: str, size: int = 300, window: int = 3, min_count: int = 1, seed: int = 0, iterations: int = 1) -> Word2VecModel:
+def train_word2vec(
+    df: DataFrame,
+    words: str,
+    size: int = 300,
+    window: int = 3,
+    min_count: int = 1,
+    seed: int = 0,
+    iterations: int = 1,
+    partitions: int | None = None,
+) -> Word2VecModel:
+    """Word vectors trained in as many partitions as the session shuffles into.
+
+    The vocabulary and its vectors are held by every task: ``min_count`` bounds them on large corpora.
+    """
     return Word2Vec(
-        vectorSize=size, windowSize=window, minCount=min_count, inputCol=words, outputCol="vector", seed=seed, maxIter=iterations
+        vectorSize=size,
+        windowSize=window,
+        minCount=min_count,
+        inputCol=words,
+        outputCol="vector",
+        seed=seed,
+        maxIter=iterations,
+        numPartitions=partitions or partition_count(df.sparkSession),
     ).fit(df)
 
 
-def word_vectors(model: Word2VecModel, n: int | None = None) -> DataFrame:
-    """Word vectors, first ``n`` in word order."""
-    vectors = model.getVectors()
-    return vectors if n is None else vectors.orderBy("word").limit(n)
+def word_vectors(model: Word2VecModel) -> DataFrame:
+    """(word, vector) of the whole vocabulary, as arrays."""
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
 def mean_features(df: DataFrame, vector: str) -> DataFrame:
@@ -110,9 +151,11 @@ def mean_features(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(vector))
 
 
-def pair_features(pairs: DataFrame, columns: Sequence[str] = ("Rx1", "Ry1", "Rx2", "Ry2")) -> DataFrame:
-    """Interval pairs below the bound as standardised feature vectors."""
-    kept = pairs.filter(bounded(columns, INTERVAL_BOUND))
+def pair_features(
+    pairs: DataFrame, columns: Sequence[str] = ("Rx1", "Ry1", "Rx2", "Ry2"), bound: float | None = None
+) -> DataFrame:
+    """Interval pairs as standardised feature vectors; ``bound`` leaves out those with larger values."""
+    kept = pairs if bound is None else pairs.filter(bounded(columns, bound))
     raw = VectorAssembler(inputCols=list(columns), outputCol="_raw").transform(kept)
     scaler = StandardScaler(withMean=True, inputCol="_raw", outputCol="features").fit(raw)
     return scaler.transform(raw).drop("_raw")

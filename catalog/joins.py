@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.fixtures import document_tokens, TOKENS_SQL, VECTORS_SQL, word_vectors
 from catalog.registry import query, table
 from gridmine.operators import aggregates, joins, unnest
+from gridmine.operators.embed import words_of
 
 # Mean vector per label = reference vectors; cosine on doubles, 6 decimals.
 
@@ -105,14 +106,25 @@ def j7(spark, sf):
     return unnest.label(inside, 1, "held_out").unionByName(unnest.label(outside, 0, "held_out"))
 
 
-@query(
-    "j8_encode_by_vocabulary",
-    f"""WITH {TOKENS_SQL}, vocab AS (
+_ENCODE_SQL = f"""WITH {TOKENS_SQL}, vocab AS (
       SELECT token AS word, row_number() OVER (ORDER BY count(*) DESC, token) AS idx FROM toks GROUP BY token
       ORDER BY count(*) DESC, token LIMIT 5000)
-    SELECT doc_id, string_agg(idx::VARCHAR, ' ' ORDER BY pos) AS ids FROM toks JOIN vocab ON word = token GROUP BY doc_id""",
-)
+    SELECT doc_id, string_agg(idx::VARCHAR, ' ' ORDER BY pos) AS ids FROM toks JOIN vocab ON word = token GROUP BY doc_id"""
+
+
+@query("j8_encode_by_vocabulary", _ENCODE_SQL)
 def j8(spark, sf):
-    tokens = document_tokens(spark, sf)
-    vocab = aggregates.vocabulary(tokens, 5000)
-    return joins.encode(tokens, vocab, "doc_id").select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    return _encoded(spark, sf, joins.MAX_BROADCAST_ROWS)
+
+
+@query("j8_encode_by_large_vocabulary", _ENCODE_SQL)
+def j8_large(spark, sf):
+    """The joined form, for vocabularies that must not travel with the plan."""
+    return _encoded(spark, sf, 0)
+
+
+def _encoded(spark, sf, limit):
+    vocab = aggregates.vocabulary(document_tokens(spark, sf), 5000)
+    docs = table(spark, sf, "documents").select("doc_id", words_of("text", lower=False).alias("words"))
+    ids = joins.encode_arrays(docs, "words", vocab, limit=limit).filter(F.size("ids") > 0)
+    return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,19 +72,26 @@ def s2(spark, sf):
 
 @query(
     "s3_scan_lines",
-    """SELECT value, count(*) AS n, true AS numbered
-    FROM (SELECT unnest(string_split(text, chr(10))) AS value FROM documents) GROUP BY value""",
+    """SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY doc_id, i) - 1 AS line_no, value FROM (
+      SELECT 'p' || (doc_id % 2)::VARCHAR AS folder, doc_id, ls[i] AS value, i
+      FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))""",
 )
 def s3(spark, sf):
-    """Lines with their number in the file; numbers of a file must be 0..count-1."""
+    """Lines of two folders whose files have equal names, with their real numbers.
+
+    Files of a folder follow the document order, so the number in a file plus the lines of the
+    files before it is the line's place in the folder.
+    """
     path = scratch_dir(spark) + "/lines"
-    writers.write_lines(table(spark, sf, "documents"), "text", path)
+    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "value"))
+    ordered = docs.repartitionByRange(4, "doc_id").sortWithinPartitions((F.col("doc_id") % 2), "doc_id", "i")
+    ordered.select((F.col("doc_id") % 2).alias("p"), "value").write.partitionBy("p").text(path)
     lines = readers.read_lines(spark, path)
-    per_file = lines.groupBy("file").agg(
-        ((F.max("line_no") + 1 == F.count("*")) & (F.min("line_no") == 0)).alias("dense")
-    )
-    dense = per_file.agg(F.bool_and("dense").alias("numbered"))  # one row
-    return lines.groupBy("value").agg(F.count("*").alias("n")).join(F.broadcast(dense))
+    lines = lines.withColumn("folder", F.concat(F.lit("p"), F.regexp_extract("file", r"/p=(\d+)/", 1)))
+    files = lines.groupBy("folder", "file").agg(F.count("*").alias("n"))  # one row per file
+    before = F.sum("n").over(Window.partitionBy("folder").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("folder", "file", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(files), ["folder", "file"]).select("folder", (F.col("line_no") + F.col("before")).alias("line_no"), "value")
 
 
 @query(

@@ -82,11 +82,8 @@ def h5(spark, sf):
     pages = table(spark, sf, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("paper_id"), "html")
     markup = part_tables(spark, sf).select("paper_id", "html").unionByName(pages)
     parsed = markup.select("paper_id", html.parse_table("html").alias("t")).select("paper_id", "t.*")
-    missing = parsed.filter(F.col("rows").isNull()).select(
-        "paper_id", *[F.lit(None).cast(t).alias(c) for c, t in (("row", "int"), ("col", "int"), ("header", "string"), ("value", "string"))]
-    )
-    cells = grid_cells(parsed, "rows", "header", ("paper_id",))
-    return cells.select("paper_id", "row", "col", "header", "value").unionByName(missing)
+    cells = grid_cells(parsed, "rows", "header", ("paper_id",), outer=True)
+    return cells.select("paper_id", "row", "col", "header", "value")
 
 
 @query(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import document_tokens, LINE_ORDER, TOKENS_SQL, interval_lines
+from catalog.fixtures import LINE_ORDER, TOKENS_SQL, interval_lines
 from catalog.registry import query, table
 from gridmine.operators import ordering, tokens as token_ops
-from gridmine.operators.embed import embed_tokens
+from gridmine.operators.embed import tokens_vector
+from gridmine.session import spread
 
 _ORDER = ", ".join(LINE_ORDER)
 
@@ -48,14 +49,24 @@ PIECES_SQL = f"""{TOKENS_SQL}, pieces AS (
 )"""
 
 
-def _pieces(spark, sf):
-    tokens = document_tokens(spark, sf)
-    first = F.substring("token", 1, 4)
-    rest = F.when(F.length("token") > 4, F.concat(F.lit("##"), F.substring("token", 5, 1 << 30)))
-    split = F.array_compact(F.array(first, rest))
-    return tokens.select("doc_id", F.col("pos").alias("_p"), F.posexplode(split).alias("_k", "token")).select(
-        "doc_id", (F.col("_p") * 2 + F.col("_k")).alias("pos"), "token"
-    )
+_MERGE_DIMS = 300
+_BLANKS = r"(?U)\s+"
+
+
+def _items(spark, sf, split, keep=lambda t: F.lit(True)):
+    """Every document as an array of (pos, token): each word cut into pieces by ``split``."""
+    words = F.filter(F.split("text", _BLANKS), lambda t: t != "")
+    numbered = F.filter(F.transform(words, lambda t, i: F.struct(i.alias("at"), t.alias("token"))), lambda x: keep(x["token"]))
+    items = F.flatten(F.transform(numbered, split))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", items.alias("items"))
+
+
+def _merged(df, runs):
+    """Merged words as rows with the mean vector of their pieces; no shuffle."""
+    rows = df.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*")
+    vectors = rows.withColumn("vector", tokens_vector("parts", _MERGE_DIMS))
+    ends = [F.round(F.get("vector", i), 6).alias(n) for i, n in ((0, "first"), (_MERGE_DIMS - 1, "last"))]
+    return vectors.select("doc_id", "pos", "token", "pieces", *ends)
 
 
 def _component(token: str, i: int) -> str:
@@ -65,12 +76,18 @@ def _component(token: str, i: int) -> str:
 @query(
     "w4_merge_subwords",
     f"""WITH {PIECES_SQL} SELECT doc_id, min(pos)::INTEGER AS pos, any_value(word) AS token, count(*) AS pieces,
-      round(avg({_component('token', 0)}), 6) + 0.0 AS first FROM pieces GROUP BY doc_id, pos // 2""",
+      round(avg({_component('token', 0)}), 6) + 0.0 AS first, round(avg({_component('token', _MERGE_DIMS - 1)}), 6) + 0.0 AS last
+      FROM pieces GROUP BY doc_id, pos // 2""",
 )
 def w4(spark, sf):
     """Split words are put together again, with the mean of their piece vectors."""
-    merged = token_ops.merge_subwords(embed_tokens(_pieces(spark, sf), 2), ["doc_id"], "vector")
-    return merged.select("doc_id", "pos", "token", "pieces", F.round(F.get("vector", 0), 6).alias("first"))
+
+    def split(x):
+        first = F.struct((x["at"] * 2).alias("pos"), F.substring(x["token"], 1, 4).alias("token"))
+        rest = F.struct((x["at"] * 2 + 1).alias("pos"), F.concat(F.lit("##"), F.substring(x["token"], 5, 1 << 30)).alias("token"))
+        return F.when(F.length(x["token"]) > 4, F.array(first, rest)).otherwise(F.array(first))
+
+    return _merged(_items(spark, sf, split), token_ops.subword_runs("items"))
 
 
 # Bracket spans: every token ending in "." or "," stands as "[", word, sign, "]".
@@ -84,21 +101,19 @@ SPANS_SQL = f"""{TOKENS_SQL}, marked AS (
     f"""WITH {SPANS_SQL} SELECT doc_id, (pos * 4)::INTEGER AS pos,
       CASE WHEN span THEN '[' || token || ']' ELSE token END AS token, CASE WHEN span THEN 4 ELSE 1 END::BIGINT AS pieces,
       round(CASE WHEN span THEN ({_component("'['", 0)} + {_component('token[1:-2]', 0)} + {_component('token[-1:]', 0)} + {_component("']'", 0)}) / 4
-                 ELSE {_component('token', 0)} END, 6) + 0.0 AS first FROM marked""",
+                 ELSE {_component('token', 0)} END, 6) + 0.0 AS first,
+      round(CASE WHEN span THEN ({_component("'['", _MERGE_DIMS - 1)} + {_component('token[1:-2]', _MERGE_DIMS - 1)} + {_component('token[-1:]', _MERGE_DIMS - 1)} + {_component("']'", _MERGE_DIMS - 1)}) / 4
+                 ELSE {_component('token', _MERGE_DIMS - 1)} END, 6) + 0.0 AS last FROM marked""",
 )
 def w5(spark, sf):
-    tokens = document_tokens(spark, sf).filter(~F.col("token").isin("[", "]"))
-    length = F.length("token")
-    span = F.col("token").rlike("(?s).[.,]$")
-    parts = F.when(
-        span,
-        F.array(F.lit("["), F.substr("token", F.lit(1), length - 1), F.substr("token", length, F.lit(1)), F.lit("]")),
-    ).otherwise(F.array("token"))
-    pieces = tokens.select("doc_id", F.col("pos").alias("_p"), F.posexplode(parts).alias("_k", "token")).select(
-        "doc_id", (F.col("_p") * 4 + F.col("_k")).alias("pos"), "token"
-    )
-    merged = token_ops.merge_spans(embed_tokens(pieces, 2), ["doc_id"], vector="vector")
-    return merged.select("doc_id", "pos", "token", "pieces", F.round(F.get("vector", 0), 6).alias("first"))
+    def split(x):
+        t, n = x["token"], F.length(x["token"])
+        parts = F.array(F.lit("["), F.substring(t, F.lit(1), n - 1), F.substring(t, n, F.lit(1)), F.lit("]"))
+        parts = F.when(F.rlike(t, F.lit("(?s).[.,]$")), parts).otherwise(F.array(t))
+        return F.transform(parts, lambda p, k: F.struct((x["at"] * 4 + k).alias("pos"), p.alias("token")))
+
+    items = _items(spark, sf, split, lambda t: ~t.isin("[", "]"))
+    return _merged(items, token_ops.span_runs("items"))
 
 
 @query(

@@ -40,6 +40,25 @@ def _segment_sums(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 _TOKENS_AT_ONCE = 1 << 18
+#: Components of token vectors a task remembers between batches (64 MB).
+_REMEMBERED = 1 << 23
+_known: dict[int, dict[str, np.ndarray]] = {}
+
+
+def _token_table(tokens: list[str], dims: int) -> np.ndarray:
+    """``_token_vectors`` of distinct tokens, with those of earlier batches of the task remembered."""
+    known = _known.setdefault(dims, {})
+    new = [t for t in tokens if t not in known]
+    if (len(known) + len(new)) * dims > _REMEMBERED:
+        known.clear()
+        new = tokens
+    rows = _token_vectors(new, dims)
+    if len(new) == len(tokens):
+        if rows.size <= _REMEMBERED:
+            known.update(zip(new, rows, strict=True))
+        return rows
+    known.update(zip(new, rows, strict=True))
+    return np.stack([known[t] for t in tokens])
 
 
 def _mean_vectors(words: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +68,7 @@ def _mean_vectors(words: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """
     lengths = np.asarray(words.value_lengths().fill_null(0), dtype=np.int64)
     coded = words.flatten().dictionary_encode()
-    table = _token_vectors(coded.dictionary.to_pylist(), dims)
+    table = _token_table(coded.dictionary.to_pylist(), dims)
     index = np.asarray(coded.indices)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     sums = np.zeros((len(lengths), dims))
@@ -72,12 +91,18 @@ def text_vector(c: str | Column, dims: int, lower: bool = True) -> Column:
     Evaluated per Arrow batch: no explode and no shuffle, distinct tokens hashed once.
     """
 
+    return tokens_vector(words_of(c, lower), dims)
+
+
+def tokens_vector(tokens: str | Column, dims: int) -> Column:
+    """Mean of the default vectors of an array of tokens; NULL without tokens."""
+
     @F.arrow_udf("array<double>")
     def mean(words: pa.Array) -> pa.Array:
         rows, lengths = _mean_vectors(words, dims)
         return _vector_array(rows, lengths > 0)
 
-    return costly(mean)(words_of(c, lower))
+    return costly(mean)(as_col(tokens))
 
 
 def row_sum_vector(row_texts: str | Column, dims: int, lower: bool = True) -> Column:

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from gridmine.functions.vectors import costly
 from gridmine.operators.ordering import number_rows
+from gridmine.session import materialise
 
 #: Reference sets up to this many vectors travel with the plan; larger ones are joined in blocks.
 MAX_INLINE_REFS = 256
@@ -219,3 +221,32 @@ def encode(tokens: DataFrame, vocab: DataFrame, doc: str, name: str = "ids") ->
         .agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("_s"))
         .select(doc, F.col("_s.idx").alias(name))
     )
+
+
+def encode_arrays(df: DataFrame, words: str, vocab: DataFrame, name: str = "ids", limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Adds the id sequence of an array of words; unknown words are dropped, order is kept.
+
+    A vocabulary of at most ``limit`` words travels with the plan and is looked up per Arrow batch,
+    without a shuffle. A larger one is joined: the words of a row are numbered, joined and gathered.
+    Rows without any known word get an empty sequence.
+    """
+    table = small_table(vocab.select("word", F.col("idx").cast("long").alias("idx")), limit)
+    if table is not None:
+        # position 0 is "unknown"
+        known = pa.concat_arrays([pa.array([None], pa.string()), table["word"].combine_chunks()])
+        ids = np.concatenate([[0], table["idx"].to_numpy()]) if table.num_rows else np.zeros(1, np.int64)
+
+        @F.arrow_udf("array<bigint>")
+        def look_up(rows: pa.Array) -> pa.Array:
+            at = np.asarray(pc.fill_null(pc.index_in(rows.flatten(), value_set=known, skip_nulls=True), 0))
+            lengths = np.asarray(rows.value_lengths().fill_null(0), dtype=np.int64)
+            owner = np.repeat(np.arange(len(lengths)), lengths)[at > 0]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(lengths)))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[at[at > 0]], pa.int64()))
+
+        return df.withColumn(name, costly(look_up)(F.col(words)))
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    tokens = rows.select("_row", F.posexplode(words).alias("pos", "token"))
+    return rows.join(encode(tokens, vocab, "_row", name), "_row", "left").drop("_row").withColumn(
+        name, F.coalesce(F.col(name).cast("array<bigint>"), F.array().cast("array<bigint>"))
+    )

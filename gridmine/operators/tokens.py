@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridmine.functions.predicates import as_col
+
 
 def _mean_of(vectors: Column) -> Column:
     total = F.aggregate(
@@ -37,6 +39,66 @@ def _merge(tokens: DataFrame, doc: Sequence[str], island: Column, piece: Column,
     )
 
 
+def _hold(value: Column, then) -> Column:
+    """Compute an array once and use it inside lambdas."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _runs(items: Column, starts: Column, piece) -> Column:
+    """Runs of (pos, token) items that begin at ``starts``: (pos, token, pieces, parts) each."""
+
+    def run(held: Column) -> Column:
+        def one(s: Column, k: Column) -> Column:
+            part = F.slice(items, s + 1, F.coalesce(F.get(held, k + 1), F.size(items)) - s)
+            return F.struct(
+                F.get(part, 0)["pos"].alias("pos"),
+                F.array_join(F.transform(part, lambda x: piece(x["token"])), "").alias("token"),
+                F.size(part).cast("long").alias("pieces"),
+                F.transform(part, lambda x: x["token"]).alias("parts"),
+            )
+
+        return F.transform(held, one)
+
+    return _hold(starts, run)
+
+
+def _places(items: Column) -> Column:
+    return F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def subword_runs(items: str | Column) -> Column:
+    """Runs ``tok ##a ##b`` of an array of (pos, token), in order: (pos, token, pieces, parts) per word.
+
+    All inside the row of a text: nothing is exploded or shuffled.
+    """
+    items = as_col(items)
+    follows = lambda t: F.startswith(t, F.lit("##"))
+    starts = F.filter(_places(items), lambda i: (i == 0) | ~follows(F.get(items, i)["token"]))
+    return _runs(items, starts, lambda t: F.when(follows(t), F.substring(t, 3, 2**31 - 1)).otherwise(t))
+
+
+def span_runs(items: str | Column, opening: str = "[", closing: str = "]") -> Column:
+    """Tokens from an opening to the next closing bracket as one, of an array of (pos, token).
+
+    Tokens up to the first bracket, and after a closing one up to the next bracket, stand alone.
+    """
+    items = as_col(items)
+    brackets = F.filter(_places(items), lambda i: F.get(items, i)["token"].isin(opening, closing))
+
+    def alone(held: Column) -> Column:
+        last = F.size(items) - 1
+        none = F.array().cast("array<int>")
+        head = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.coalesce(F.get(held, F.lit(0)), last))).otherwise(none)
+
+        def after(b: Column, k: Column) -> Column:
+            upto = F.coalesce(F.get(held, k + 1), last)
+            return F.when((F.get(items, b)["token"] == closing) & (b < upto), F.sequence(b + 1, upto)).otherwise(none)
+
+        return F.concat(head, F.flatten(F.transform(held, after)))
+
+    return _runs(items, _hold(brackets, alone), lambda t: t)
+
+
 def merge_subwords(tokens: DataFrame, doc: Sequence[str], vector: str | None = None) -> DataFrame:
     """Runs ``tok ##a ##b`` to one word with the mean vector. Windows stay inside one text."""
     w = W.partitionBy(*doc).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)

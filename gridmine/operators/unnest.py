@@ -40,21 +40,22 @@ def binarise(c: str | Column) -> Column:
     return F.when(as_col(c) == 0, 0).otherwise(1)
 
 
-def grid_cells(df: DataFrame, grid: str, header: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def grid_cells(df: DataFrame, grid: str, header: str | None = None, keys: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
     """Grid to one row per cell: (keys, row 1.., col 0.., value[, header]).
 
     With ``header`` each cell carries its column name. The name is paired with the cell
     while both are arrays of one row, so no join is needed and no cell row has to carry
-    the whole header.
+    the whole header. ``outer`` keeps a row of NULLs for a grid without cells.
     """
+    spread_rows, spread_cells = (F.posexplode_outer, F.explode_outer) if outer else (F.posexplode, F.explode)
     names = [] if header is None else [F.col(header).alias("_header")]
-    rows = df.select(*keys, *names, F.posexplode(grid).alias("_r", "_cells"))
+    rows = df.select(*keys, *names, spread_rows(grid).alias("_r", "_cells"))
 
     def cell(value: Column, c: Column) -> Column:
         named = [] if header is None else [F.get("_header", c).alias("header")]
         return F.struct(c.alias("col"), value.alias("value"), *named)
 
-    return rows.select(*keys, (F.col("_r") + 1).alias("row"), F.explode(F.transform("_cells", cell)).alias("_c")).select(
+    return rows.select(*keys, (F.col("_r") + 1).alias("row"), spread_cells(F.transform("_cells", cell)).alias("_c")).select(
         *keys, "row", "_c.*"
     )
 

@@ -27,7 +27,7 @@ from gridmine.functions.predicates import without_nan
 from gridmine.functions.text import flatten_nonempty, interleave, normalise, serialise_rows, terms
 from gridmine.operators.aggregates import range_dictionary, range_dictionary_ids
 from gridmine.operators.ordering import running_min
-from gridmine.operators.sampling import sample_one
+from gridmine.operators.sampling import seeded_hash
 from gridmine.operators.unnest import grid_cells
 from gridmine.session import materialise
 from gridmine.sources.readers import explode_payload
@@ -169,20 +169,27 @@ def header_data_rows(records: DataFrame, key: str, header_count: str, blob: str,
     tables with two header rows give a raw data row.
     """
     rows = explode_payload(records, blob, (key, header_count)).withColumn("text", F.get("fields", 1))
-    data = sample_one(
-        rows.filter(F.col("tag") == "D").select(key, header_count, F.concat_ws("#", key, "line_no").alias("_id"), "text"),
-        key,
-        "_id",
-        seed,
-    )
-    headers = rows.filter((F.col("tag") == "HMD") & (F.col(header_count) == 1)).groupBy(key).agg(
-        F.min_by("text", "line_no").alias("text")
+    rows = rows.withColumn("_id", F.concat_ws("#", key, "line_no"))
+    data, head = F.col("tag") == "D", (F.col("tag") == "HMD") & (F.col(header_count) == 1)
+    draw = F.struct(seeded_hash("_id", seed), F.col("_id"))
+    # payloads are unpacked once: both rows of a table come from one grouping
+    drawn = rows.groupBy(key).agg(
+        F.min_by(F.struct("text", header_count), F.when(data, draw)).alias("_data"),
+        F.min_by(F.struct("text"), F.when(head, F.col("line_no"))).alias("_head"),
     )
 
-    def joined(c: str) -> Column:
+    def joined(c: Column) -> Column:
         return F.array_join(terms(c), " ")
 
-    one = data.filter(F.col(header_count) == 1).select(key, F.lit("data").alias("kind"), joined("text").alias("text"))
-    head = headers.select(key, F.lit("hmd").alias("kind"), joined("text").alias("text"))
-    two = data.filter(F.col(header_count) == 2).select(key, F.lit("datarow").alias("kind"), "text")
-    return one.unionByName(head).unionByName(two)
+    def row(kind: str, when: Column, text: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), text.alias("text")))
+
+    text, count = F.col("_data")["text"], F.col("_data")[header_count]
+    found = F.array_compact(
+        F.array(
+            row("data", count == 1, joined(text)),
+            row("hmd", F.col("_head").isNotNull(), joined(F.col("_head")["text"])),
+            row("datarow", count == 2, text),
+        )
+    )
+    return drawn.select(key, F.explode(found).alias("_r")).select(key, "_r.*")

@@ -17,7 +17,7 @@ from gridmine.plans import similarity
 from gridmine.plans.labelled import unwound
 from gridmine.session import spread
 
-DIMS = 8
+DIMS = 64
 
 
 def text_vector_sql(c: str, dims: int = DIMS) -> str:

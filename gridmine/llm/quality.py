@@ -189,10 +189,10 @@ def vote_rows(docs: DataFrame) -> DataFrame:
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.ndarray, float]:
     """(posterior by vote pattern, weights, bias)."""
     counts = vote_rows(text_batches(docs)).groupBy("pattern").count().collect()  # bounded by the labelers
-    posterior = fit_labelers((r["pattern"], r["count"]) for r in sorted(counts))[2]
     total = sum(r["count"] for r in counts)
     if not total:
-        return posterior, np.zeros(1 << BITS), 0.0
+        return {}, np.zeros(1 << BITS), 0.0
+    posterior = fit_labelers((r["pattern"], r["count"]) for r in sorted(counts))[2]
     pick = F.pmod(F.xxhash64(F.lit(13), text_or_empty()), F.lit(1 << 20))
     chosen = docs.select(text_or_empty().alias("text"), pick.alias("pick")).where(F.col("pick") < (1 << 20) * sample / total).dropDuplicates(["text"])
 

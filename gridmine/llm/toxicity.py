@@ -33,7 +33,8 @@ from gridmine.llm.text_hash import U64, mix, words_of
 SAMPLE = 6000
 #: Features kept: those whose presence differs most between the classes.
 FEATURES = 8192
-LEAST_ROWS = 4
+#: A feature must be in so many rows, and its log odds so many standard errors from 0.
+LEAST_ROWS, LEAST_Z = 4, 3.0
 HEADS = (4, 5, 6)
 PENALTY = 1.0
 #: Identity terms by kind; a term is swapped for the next of its kind.
@@ -107,7 +108,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, penalty: floa
     # smoothed log odds over their standard error, of the features that enough rows hold
     odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    z[pos + neg < LEAST_ROWS] = 0
+    z[(pos + neg < LEAST_ROWS) | (z < LEAST_Z)] = 0
     best = np.sort(np.argsort(-z, kind="stable")[:most_features])
     names = names[best[z[best] > 0]]
     place = np.searchsorted(names, hashes)
@@ -117,7 +118,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, penalty: floa
     target = np.concatenate([toxic.astype(float), np.zeros(len(twins))])
     weights = np.concatenate([weight, np.zeros(len(twins))])
     pairs = (np.array([i for i, _ in twins], np.int64), n + np.arange(len(twins)))
-    w, bias = fit(place[known], np.ones(int(known.sum())), starts, target, weights, max(len(names), 1), 1e-5, 200, 0.1, pairs, penalty)
+    w, bias = fit(place[known], np.ones(int(known.sum())), starts, target, weights, max(len(names), 1), 1e-4, 200, 0.1, pairs, penalty)
     return names, w[: len(names)], bias
 
 

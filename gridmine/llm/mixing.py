@@ -34,7 +34,7 @@ from gridmine.llm.common import materialise, text_or_empty, words
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: Mean rows of a block of the flight phase.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 _EDGE = 1e-9
 
 

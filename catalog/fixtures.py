@@ -70,7 +70,11 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_papers(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    return papers_of(spread(table(spark, sf, "documents").select("doc_id", "lang", "text")))
+
+
+def papers_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, text) as papers: lines become title, abstract, captions, tables."""
     docs = docs.select("doc_id", "lang", F.split("text", "\n").alias("lines"))
     lines = F.col("lines")
     kept = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x) != "")
@@ -117,6 +121,22 @@ PAPERS_SQL = """docs AS (
   FROM (SELECT _id, title, captions, unnest(generate_series(1, len(captions))) AS i FROM papers)
 )"""
 
+# The same papers with the terms of the fixed query sets in them: title, second line (abstract and
+# first caption), or last line (body and last caption).
+def with_terms(docs: DataFrame) -> DataFrame:
+    i, text = F.col("doc_id"), F.col("text")
+    text = F.when(i % 3 == 0, F.concat(F.lit("Covid-19 "), text)).when(i % 7 == 0, F.concat(F.lit("sars-cov-2 "), text)).otherwise(text)
+    line = F.when(i % 4 == 0, F.lit("\nRenal disease and CKD")).when(i % 5 == 0, F.lit("\nabdominal pain")).when(i % 11 == 0, F.lit("\nckd with dialysis"))
+    return docs.withColumn("text", F.concat(text, F.coalesce(line, F.lit(""))))
+
+
+TERM_PAPERS_SQL = PAPERS_SQL.replace(
+    "string_split(text, chr(10)) AS lines FROM documents",
+    """string_split(CASE WHEN doc_id % 3 = 0 THEN 'Covid-19 ' WHEN doc_id % 7 = 0 THEN 'sars-cov-2 ' ELSE '' END || text
+    || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Renal disease and CKD' WHEN doc_id % 5 = 0 THEN chr(10) || 'abdominal pain'
+       WHEN doc_id % 11 = 0 THEN chr(10) || 'ckd with dialysis' ELSE '' END, chr(10)) AS lines FROM documents""",
+)
+
 # Query vocabulary that occurs in the given texts, in place of the medical terms.
 TOPIC = [("than the", True), ("ering", True), ("The", False)]
 VIRUS = [("the ", True), ("and", True)]

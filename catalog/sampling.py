@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.filters import NEGATIVE, POSITIVE, TOPIC_SQL, VIRUS_SQL
-from catalog.fixtures import PAPERS_SQL, papers
+from catalog.fixtures import PAPERS_SQL, TERM_PAPERS_SQL, papers, papers_of, sql_any, sql_path, with_terms
 from catalog.registry import query, table
 from gridmine.operators import ordering, sampling, unnest
 from gridmine.plans.labelled import QUERY_SETS, keyword_filter, labelled_set
+from gridmine.session import materialise
 
 
 @query(
@@ -150,3 +151,47 @@ def m14(spark, sf):
     placed = sampling.hash_rank(train, "doc_id", 8)
     part = F.when((F.col("_draw") - 1) % 1000 == 0, "validation").otherwise("train")
     return placed.select("doc_id", "label", part.alias("part")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+_TOPIC = [("kidney disease", True), ("renal disease", True), ("CKD", False)]
+_WIDE = [("kidney", True), ("renal", True), ("CKD", False)]
+_SIGNS = [(t, True) for t in ("kidney stones", "electrolyte imbalance", "edema", "pruritus", "urine", "dialysis", "anemia", "urina")]
+_PAIN = [*_SIGNS, ("abdominal pain", True), ("abdominal discomfort", True)]
+_VIRUS = [("covid", True), ("corona", True)]
+_VIRUS_MORE = [*_VIRUS, ("SARS-CoV-2", True)]
+
+
+def _sides_sql() -> str:
+    """Papers on either side of every fixed query set, spelled out per field."""
+    title = lambda p: sql_any("coalesce(title, '')", p)
+
+    def topic(words, abstract, body=False):
+        parts = [title(words), sql_path("abstract", abstract), sql_path("captions", words), sql_path("figures", words)]
+        return "(" + " OR ".join([*parts, *([sql_path("body", abstract)] if body else [])]) + ")"
+
+    virus = f"({title(_VIRUS_MORE)} OR {sql_path('abstract', _VIRUS_MORE)})"
+    first, second = topic(_TOPIC, _TOPIC), topic([*_TOPIC, *_SIGNS], [*_TOPIC, *_PAIN])
+    wide = topic([*_WIDE, *_SIGNS], [*_WIDE, *_PAIN], body=True)
+    sides = [
+        ("q1", 1, f"{title(_VIRUS)} AND {sql_path('captions', _TOPIC)}"),
+        ("q1", 0, f"NOT {title(_VIRUS)}"),
+        ("q2", 1, f"{first} AND {virus}"),
+        ("q2", 0, f"NOT {first} AND NOT {virus}"),
+        ("q3", 1, f"{second} AND {virus}"),
+        ("q3", 0, f"NOT {second} AND NOT {virus}"),
+        ("wide", 1, f"{wide} AND {virus}"),
+    ]
+    whole = "(captions IS NULL OR len(captions) > 0)"
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, {l} AS label, _id FROM papers WHERE {whole} AND {c}" for n, l, c in sides)
+
+
+@query("x2_query_sets_with_terms", f"WITH {TERM_PAPERS_SQL} {_sides_sql()}")
+def x2_terms(spark, sf):
+    """Both sides of the fixed query sets, and the wide one over body text, on papers that hold the terms."""
+    p = materialise(papers_of(with_terms(table(spark, sf, "documents").select("doc_id", "lang", "text"))))
+    frames = []
+    for name, (positive, negative, _) in QUERY_SETS.items():
+        for side, label in ((positive, 1), (negative, 0)):
+            if side is not None:
+                frames.append(keyword_filter(p, side).select(F.lit(name).alias("name"), F.lit(label).alias("label"), "_id"))
+    return sampling.union_all(*frames)

@@ -318,3 +318,51 @@ _register_mixed("in_blocks", 0)
 @query("q6_rank_absent_word", "SELECT vec_id AS id, '' AS word, 0.0::DOUBLE AS similarity FROM embeddings WHERE false")
 def q6_absent(spark, sf):
     return similarity.rank_words(word_vectors(spark, sf), "no such word")
+
+
+# Web tables: the cells of the part tables as list literals, the header first; every tenth cannot be read.
+
+
+def _web_tables(spark, sf):
+    parsed = _parsed(spark, sf)
+    texts = F.transform(F.concat(F.array("header"), "rows"), lambda r: F.concat(F.lit("['"), F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), "', '"), F.lit("']")))
+    literal = F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]"))
+    broken = F.col("paper_id").cast("long") % 10 == 3
+    return parsed.select("paper_id", "table_id", F.when(broken, F.lit("[['a', ")).otherwise(literal).alias("table"))
+
+
+def _read_web_tables(spark, sf):
+    return similarity.literal_tables(_web_tables(spark, sf), keys=("paper_id", "table_id"))
+
+
+@query("q4_web_table_columns", _column_sql("mean").replace("WHERE value IS NOT NULL", "WHERE paper_id::BIGINT % 10 <> 3 AND value IS NOT NULL"))
+def q4_web(spark, sf):
+    """Column similarity over tables stored as literals."""
+    scores = similarity.column_similarity(_read_web_tables(spark, sf), _refs(spark, sf), DIMS)
+    return similarity.pivot_scores(scores, ["paper_id", "table_id", "col", "header"], ["PROMO", "SMALL"])
+
+
+_PART_REFS = {"ref1": {"id": "1", "table_id": 1}, "ref2": {"id": "12", "table_id": 1}, "ref3": {"id": "25", "table_id": 1}}
+
+
+def _part_rows_sql(where: str) -> str:
+    refs = ", ".join(
+        f"coalesce(abs(round(list_cosine_similarity(vector, (SELECT vector FROM x WHERE id = '{k['id']}')), 6)), 0) AS {r}_similarity"
+        for r, k in _PART_REFS.items()
+    )
+    return f"""WITH {PART_CELLS_SQL}, t AS (SELECT paper_id AS id, table_id, string_agg(value, ' ' ORDER BY row, col) AS body FROM part_cells WHERE {where} GROUP BY paper_id, table_id),
+    x AS (SELECT id, table_id, {text_vector_sql('body')} AS vector FROM t) SELECT id, table_id, {refs} FROM x"""
+
+
+@query("q5_web_tables", _part_rows_sql("paper_id::BIGINT % 10 <> 3"))
+def q5_web(spark, sf):
+    """Table similarity over tables stored as literals."""
+    tables = _read_web_tables(spark, sf).select(F.col("paper_id").alias("id"), "table_id", row_texts("rows").alias("rows"))
+    return similarity.table_similarity(tables, _PART_REFS, DIMS)
+
+
+@query("q5_html_tables_without_header", _part_rows_sql("true"))
+def q5_html(spark, sf):
+    """Table similarity straight from markup that has no header."""
+    bare = part_tables(spark, sf).select(F.col("paper_id").alias("id"), "table_id", F.regexp_replace("html", "<thead>.*</thead>", "").alias("html"))
+    return similarity.table_similarity(similarity.html_row_texts(bare), _PART_REFS, DIMS)

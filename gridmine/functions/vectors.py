@@ -78,8 +78,8 @@ def rotate(v: str | Column, basis: np.ndarray) -> Column:
     @F.arrow_udf("array<double>")
     def product(vectors: pa.Array) -> pa.Array:
         rows, ok = _matrix(vectors, d)
-        out = iter((rows @ basis.T).tolist())
-        return pa.array([next(out) if good else None for good in ok], type=pa.list_(pa.float64()))
+        offsets = np.concatenate([[0], np.cumsum(np.where(ok, d, 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((rows @ basis.T).ravel()), mask=pa.array(~ok))
 
     return costly(product)(as_col(v))
 

@@ -186,7 +186,15 @@ def range_join(
     copied at most twice and each number once per level in use. The join key holds the
     bin, which spreads one frequent (attribute, unit) over many tasks.
     """
-    ranges = ranges.filter(F.col(lo) <= F.col(hi)).withColumn("_level", _level(F.col(hi) - F.col(lo)))
+    ranges = ranges.filter(F.col(lo) <= F.col(hi))
+    inside = (F.col(lo) <= F.col(number)) & (F.col(number) <= F.col(hi))
+    # open-ended ranges, and those wider than the largest bin, are joined by their keys alone
+    wide = ranges.filter(~(F.col(hi) - F.col(lo) <= F.lit(2.0 ** _LEVELS[-1])))
+    if wide.limit(1).count():
+        rest = ranges.filter(F.col(hi) - F.col(lo) <= F.lit(2.0 ** _LEVELS[-1]))
+        by_keys = cells.join(broadcast_if_small(wide), list(keys)).filter(inside)
+        return range_join(cells, rest, keys, number, lo, hi).unionByName(by_keys)
+    ranges = ranges.withColumn("_level", _level(F.col(hi) - F.col(lo)))
     size = F.pow(F.lit(2.0), F.col("_level"))
     first, last = F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)
     binned = ranges.withColumn("_bin", F.explode(F.array_distinct(F.array(first, F.least(first + 1, last), last))))
@@ -195,7 +203,6 @@ def range_join(
         levels = [0]
     numbers = cells.withColumn("_level", F.explode(F.array(*[F.lit(p) for p in sorted(levels)])))
     numbers = numbers.withColumn("_bin", F.floor(F.col(number) / F.pow(F.lit(2.0), F.col("_level"))))
-    inside = (F.col(lo) <= F.col(number)) & (F.col(number) <= F.col(hi))
     return numbers.join(binned, [*keys, "_level", "_bin"]).filter(inside).drop("_level", "_bin")
 
 

@@ -236,3 +236,32 @@ def test_labels_in_closed_form_equal_those_of_vectors(spark):
     vectors = df.withColumn("v1", dice_interval(F.col("lo1"), F.col("hi1"), 16)).withColumn("v2", dice_interval(F.col("lo2"), F.col("hi2"), 16))
     both = label_bounds(label_vectors(vectors, bounds, "v1", "v2", 1e-3), bounds, 16, tolerance=1e-3, name="closed")
     assert all(r.label == r.closed for r in both.collect())
+
+
+def test_open_ended_ranges(spark):
+    """Ranges without an end meet every number of their key, next to ordinary ones."""
+    from gridmine.operators.joins import range_join
+
+    inf = float("inf")
+    spans = [("a", 1.0, inf, 1), ("a", -inf, 5.0, 2), ("a", 3.0, 4.0, 3), ("b", -inf, inf, 4), ("a", -1e19, 1e19, 5), ("a", 7.0, 6.0, 6)]
+    numbers = [("a", x) for x in (-1e300, 0.0, 3.5, 9.0, 1e300)] + [("b", 2.0), ("c", 2.0)]
+    got = range_join(spark.createDataFrame(numbers, "k string, number double"), spark.createDataFrame(spans, "k string, lo double, hi double, id int"), ["k"])
+    want = {(k, x, i) for k, x in numbers for q, lo, hi, i in spans if q == k and lo <= x <= hi}
+    assert {(r["k"], r["number"], r["id"]) for r in got.collect()} == want
+
+
+def test_vectors_of_any_kind_score_alike_inline_and_in_blocks(spark):
+    """One longer, a missing and a zero vector leave the scores of the others alone."""
+    from gridmine.operators.joins import cross_refs
+    from gridmine.plans.similarity import nearest
+
+    rows = [(i, [float(i + 1), 1.0, float(i % 3)]) for i in range(30)] + [(100, [1.0, 2.0, 3.0, 4.0]), (101, None), (102, [0.0, 0.0, 0.0]), (103, [])]
+    refs = [(0, [1.0, 0.0, 1.0]), (1, [0.0, 0.0, 0.0]), (2, None), (3, [1.0, 1.0, 1.0, 1.0]), (4, [2.0, 1.0])]
+    v = spark.createDataFrame(rows, "id int, vector array<double>")
+    r = spark.createDataFrame(refs, "ref int, ref_vector array<double>")
+    both = [sorted(map(tuple, cross_refs(v, r, max_inline=n).collect())) for n in (100, 0)]
+    assert both[0] == both[1]
+    assert {(i, q) for i, q, _ in both[0]} == {(i, 0) for i in range(30)} | {(100, 3)}
+    q = r.withColumnRenamed("ref", "query").withColumnRenamed("ref_vector", "vector")
+    top = [sorted(map(tuple, nearest(v, q, 4, max_inline=n).collect())) for n in (100, 0)]
+    assert top[0] == top[1] and {x[0] for x in top[0]} == {0, 3}

@@ -213,7 +213,8 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.
         w, bias = fit(index, value, np.concatenate([[0], np.cumsum(sizes)]), y, weight, 1 << BITS, 1e-6, 150, 0.3)
         yield pa.record_batch([pa.array([w.astype(np.float32).tobytes()]), pa.array([float(bias)])], ["w", "bias"])
 
-    got = chosen.select("text").coalesce(1).mapInArrow(run, "w binary, bias double").first()
+    # the sample is bounded, so it may meet in one task; sorted, so that reruns agree
+    got = chosen.select("text").repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(run, "w binary, bias double").first()
     return posterior, np.frombuffer(got["w"], np.float32).astype(np.float64), got["bias"]
 
 

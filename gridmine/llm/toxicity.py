@@ -143,7 +143,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: fl
     chosen = known.where(F.when(F.col("label") == 1, draw < 1e6 * sample / counts[1]).otherwise(draw < 1e6 * sample / counts[0]))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # the chosen rows are bounded by the sample, so they may be broadcast and meet in one task
-    rows = read.join(F.broadcast(chosen), "doc_id").select("text", "label").coalesce(1)
+    rows = read.join(F.broadcast(chosen), "doc_id").select("text", "label").repartition(1).sortWithinPartitions("label", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = [], []

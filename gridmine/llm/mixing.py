@@ -26,7 +26,7 @@ import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmine.llm.common import materialise, text_or_empty, words
@@ -176,18 +176,23 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: floa
 
     Copies of rows with equal doc_id and text are dealt out to these rows in turn.
     """
-    taken = mix(sized(docs), weights, cap, seed).groupBy("doc_id", "source", "size", "digest").agg(F.sum("copies").alias("_copies"))
+    taken = mix(sized(docs), weights, cap, seed).groupBy("doc_id", "source", "digest").agg(F.sum("copies").alias("_copies"))
     names = docs.columns
-    text = text_or_empty()
-    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.lit(7), text).alias("digest"))
-    rows = docs.select(F.struct(*names).alias("_row"), own.alias("_own"))
+
+    def keyed(doc: Column, source: Column, digest: Column) -> list[Column]:
+        # without nulls, so that the window and the join deal rows out alike and texts are shuffled once
+        parts = (F.coalesce(doc, F.lit(0)), doc.isNull(), F.coalesce(source, F.lit("")), source.isNull(), digest)
+        return [c.alias(f"_k{i}") for i, c in enumerate(parts)]
+
+    keys = [f"_k{i}" for i in range(5)]
+    own = keyed(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.lit(7), text_or_empty()))
+    rows = docs.select(F.struct(*names).alias("_row"), *own)
     # equal rows: each keeps an equal part, the first ones one more
-    nth = F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))
-    rows = rows.select("_row", "_own", nth.alias("_nth"), F.count(F.lit(1)).over(Window.partitionBy("_own")).alias("_same"))
-    t, o = taken, "_own"
-    match = t["doc_id"].eqNullSafe(F.col(f"{o}.doc_id")) & t["source"].eqNullSafe(F.col(f"{o}.source")) & (t["digest"] == F.col(f"{o}.digest"))
+    same = Window.partitionBy(*keys)
+    rows = rows.select("_row", *keys, F.row_number().over(same.orderBy(F.lit(0))).alias("_nth"), F.count(F.lit(1)).over(same).alias("_same"))
+    taken = taken.where("_copies > 0").select(*keyed(F.col("doc_id"), F.col("source"), F.col("digest")), "_copies")
     times = (F.floor(F.col("_copies") / F.col("_same")) + (F.col("_nth") <= F.col("_copies") % F.col("_same")).cast("long")).cast("int")
-    kept = rows.join(t, match).select("_row", times.alias("_times")).where("_times > 0")
+    kept = rows.join(taken, keys).select("_row", times.alias("_times")).where("_times > 0")
     return kept.select(F.explode(F.expr("array_repeat(_row, _times)")).alias("_row")).select("_row.*")
 
 

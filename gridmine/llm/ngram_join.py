@@ -41,7 +41,7 @@ from gridmine.llm.text_hash import U64, mix, shingle_sets
 
 #: Size ranges grow by half.
 _GROWTH = 1.5
-BLOCK_ROWS, BLOCK_CELLS = 8192, 4_000_000
+BLOCK_ROWS, BLOCK_CELLS = 4096, 1_000_000
 #: Classes placed in blocks (rows of four longs) that may be broadcast to their texts: 32 MB.
 MOST_BROADCAST = 1_000_000
 _BATCH_BYTES = 1 << 20
@@ -161,8 +161,8 @@ def shared_parts(classes: DataFrame) -> DataFrame:
         if held is not None and held_shared:
             yield held
 
-    zipped = F.explode(F.arrays_zip("parts", "asked"))
-    rows = classes.select(zipped.alias("z"), "h").select(F.col("z.parts").alias("part"), "h", F.col("z.asked").cast("int").alias("asked"))
+    # one array is exploded and the other looked up by place: zipping them would build an object per entry
+    rows = classes.select(F.posexplode("parts").alias("at", "part"), "h", "asked").select("part", "h", F.get("asked", F.col("at")).cast("int").alias("asked"))
     n = partition_count(classes.sparkSession)
     met = materialise(rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "part long, h long, asked int"))
     # ranges are told apart by what they ask as far as that matters: a row's own and the one it visits

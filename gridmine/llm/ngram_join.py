@@ -44,7 +44,7 @@ _GROWTH = 1.5
 BLOCK_ROWS, BLOCK_CELLS = 4096, 1_000_000
 #: Classes placed in blocks (rows of four longs) that may be broadcast to their texts: 32 MB.
 MOST_BROADCAST = 1_000_000
-_BATCH_BYTES = 1 << 20
+_BATCH_BYTES = 1 << 18
 
 
 def most_different(size, percent: int):

@@ -178,7 +178,7 @@ def vote_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, pattern, picked): the votes of each document, and a hash to sample by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 1 << 20):
+        for batch in sliced(batches, "text", 1 << 18):
             code = pattern_code(votes(batch.column(2).cast(pa.binary()).to_pylist()))
             yield pa.record_batch([batch.column(0), pa.array(code.astype(np.int32)), batch.column(1)], ["doc_id", "pattern", "pick"])
 
@@ -198,7 +198,7 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, targets = [], []
-        for batch in sliced(batches, "text", 1 << 20):
+        for batch in sliced(batches, "text", 1 << 18):
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             code = pattern_code(votes(texts))
             parts.append(_summed(*features(texts)))
@@ -223,7 +223,7 @@ def judged(docs: DataFrame, sample: int = SAMPLE, keep_from: float = 0.5) -> Dat
     posterior, w, bias = fitted(docs, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 1 << 20):
+        for batch in sliced(batches, "text", 1 << 18):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             index, value, at = features(texts)
             code = pattern_code(votes(texts))
@@ -243,7 +243,7 @@ def clean_documents(docs: DataFrame, sample: int = SAMPLE, keep_from: float = 0.
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 1 << 20):
+        for batch in sliced(batches, "text", 1 << 18):
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             index, value, ends = features(texts)
             kept = (np.diff(ends) > 0) & (sigmoid(row_sums(w[index] * value, ends) + bias) >= keep_from)

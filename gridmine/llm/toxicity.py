@@ -185,7 +185,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(*model)
-        for batch in sliced(batches, "text", 1 << 20):
+        for batch in sliced(batches, "text", 1 << 18):
             own = score(batch.column(2).cast(pa.binary()).to_pylist())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(own), pa.array((own >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

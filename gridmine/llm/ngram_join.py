@@ -41,7 +41,7 @@ from gridmine.llm.text_hash import U64, mix, shingle_sets
 
 #: Size ranges grow by half.
 _GROWTH = 1.5
-BLOCK_ROWS, BLOCK_CELLS = 4096, 1_000_000
+BLOCK_ROWS, BLOCK_CELLS = 8192, 2_000_000
 #: Classes placed in blocks (rows of four longs) that may be broadcast to their texts: 32 MB.
 MOST_BROADCAST = 1_000_000
 _BATCH_BYTES = 1 << 18
@@ -65,7 +65,7 @@ def size_ranges(percent: int, most: int) -> np.ndarray:
 
 def spare_parts(low: np.ndarray) -> np.ndarray:
     """How many equal parts beyond the first are asked of a pair, by the low end of its size range."""
-    return np.where(low >= 120, 3, np.where(low >= 60, 1, 0))
+    return np.where(low >= 36, np.minimum(low // 12, 24), 0)
 
 
 def part_hashes(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -30,7 +30,9 @@ from gridmine.llm.linear import fit, sigmoid
 from gridmine.llm.text_hash import U64, mix, words_of
 
 #: Rows per class the model is fitted on, at most (in expectation; chosen by hash).
-SAMPLE = 6000
+SAMPLE = 2500
+#: Texts whose features are in memory before repeats are dropped.
+_TEXTS_AT_ONCE = 64
 #: Features kept: those whose presence differs most between the classes.
 FEATURES = 8192
 #: A feature must be in so many rows, and its log odds so many standard errors from 0.
@@ -97,7 +99,11 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, penalty: floa
     terms = identity_pattern()
     twins = [(i, s) for i, s in ((i, swapped(t, terms)) for i, t in enumerate(texts)) if s is not None]
     every = [t.encode() for t in texts] + [s.encode() for _, s in twins]
-    hashes, at = _distinct(*features(every), len(every))
+    parts = [every[k : k + _TEXTS_AT_ONCE] for k in range(0, len(every), _TEXTS_AT_ONCE)]
+    distinct = [_distinct(*features(p), len(p)) for p in parts]
+    hashes = np.concatenate([d[0] for d in distinct])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(d[1]) for d in distinct]))])
+    del distinct
     n = len(texts)
     own = hashes[: at[n]]
     names, code = np.unique(own, return_inverse=True)

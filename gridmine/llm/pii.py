@@ -37,14 +37,14 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Base kinds in listed order.
 BASE = ("email", "ip", "card", "phone")
 
-# Wider patterns: (kind, what the text must hold, pattern).
+# Wider patterns: (kind, pattern).
 WIDER = (
-    ("email", "(at)", r"(?i)[A-Za-z0-9._%+-]++ ?\(at\) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)) ?[A-Za-z0-9-]++)++"),
-    ("phone", "-", r"(?<![0-9+()./-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
-    ("ssn", "-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("key", "", r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])[A-Z]{4}[A-Z0-9]{12,36}(?![A-Za-z0-9])"),
-    ("secret", "=", r"(?i)(?:password|passwd|token|secret|api_key)\s?=\s?\"?[A-Za-z0-9_./+-]{8,128}+\"?"),
+    ("email", r"(?i)[A-Za-z0-9._%+-]++ ?\(at\) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)) ?[A-Za-z0-9-]++)++"),
+    ("phone", r"(?<![0-9+()./-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
+    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("key", r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])[A-Z]{4}[A-Z0-9]{12,36}(?![A-Za-z0-9])"),
+    ("secret", r"(?i)(?:password|passwd|token|secret|api_key)\s?=\s?\"?[A-Za-z0-9_./+-]{8,}+\"?"),
 )
 KINDS = (*BASE, "ssn", "iban", "key", "secret")
 
@@ -169,9 +169,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     has = lambda s: F.contains(text, F.lit(s))
     needed = {"email": has("@") & has("."), "ip": F.col("digit") & has("."), "card": F.col("digit"), "phone": F.col("digit") & has("+")}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-    cut = read.select("doc_id", "text", *[_checked(k, _matches(text, needed[k], patterns[k])).alias(k) for k in BASE], *[_matches(text, F.col("digit") & (has(hold) if hold else F.lit(True)) if kind != "email" else has(hold), p).alias(f"more{i}") for i, (kind, hold, p) in enumerate(WIDER)])
+    # What every match of a wider pattern holds: no match is lost by asking for it first.
+    holds = {"email": F.rlike(text, F.lit(r"(?i)\(at\)")), "phone": F.col("digit") & (has("-") | has(".")), "ssn": F.col("digit") & has("-"), "iban": F.col("digit"), "key": F.col("digit"), "secret": has("=")}
+    cut = read.select("doc_id", "text", *[_checked(k, _matches(text, needed[k], patterns[k])).alias(k) for k in BASE], *[_matches(text, holds[kind], p).alias(f"more{i}") for i, (kind, p) in enumerate(WIDER)])
     base = F.concat(*[_labelled(k, text, F.col(k), True, True) for k in BASE])
-    more = F.concat(*[_labelled(kind, text, F.col(f"more{i}"), False, False) for i, (kind, _, _) in enumerate(WIDER)])
+    more = F.concat(*[_labelled(kind, text, F.col(f"more{i}"), False, False) for i, (kind, _) in enumerate(WIDER)])
     both = cut.select("doc_id", base.alias("base"), more.alias("more"))
     apart = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return both.select("doc_id", F.concat("base", apart).alias("spans"))

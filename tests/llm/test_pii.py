@@ -66,6 +66,16 @@ def test_added_spans(spark):
     assert got[7] == got[8] == got[9] == ""
 
 
+def test_candidates_do_not_depend_on_the_rest_of_the_text(spark):
+    texts = ["password = correcthorse", "write to john (AT) example (DOT) com", "ring 212.555.0188 now", "token=" + "a1" * 100 + " end"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [(P.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"]] for r in P.candidates(df).collect()}
+    assert got[0] == [("secret", 0, len(texts[0]))]
+    assert got[1] == [("email", texts[1].index("john"), len(texts[1]))]
+    assert got[2] == [("phone", 5, 17)]
+    assert got[3] == [("secret", 0, len("token=") + 200)]
+
+
 def test_redaction(spark):
     df, _ = frame(spark)
     found = P.personal_data(df).join(df.select("doc_id", "text"), "doc_id")

@@ -152,7 +152,7 @@ def s12(spark, sf):
     return again.join(saved, "doc_id").select("doc_id", "width", "total", (F.col("saved") == F.col("again")).alias("same"))
 
 
-#: Words in fewer occurrences get no vector: bounds the vocabulary every training task holds.
+#: The SQL leaves out words in fewer occurrences; the queries leave out none.
 _MIN_COUNT = 3
 _VOCABULARY_SQL = rf"""SELECT word FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS word FROM documents)
     GROUP BY word HAVING count(*) >= {_MIN_COUNT}"""
@@ -160,7 +160,7 @@ _VOCABULARY_SQL = rf"""SELECT word FROM (SELECT unnest(list_filter(regexp_split_
 
 def _word2vec(spark, sf):
     words = ml.tokenize(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return words, ml.train_word2vec(words, "words", min_count=_MIN_COUNT)
+    return words, ml.train_word2vec(words, "words")
 
 
 @query("m8_word2vec", f"SELECT word, 300::BIGINT AS dims, true AS finite FROM ({_VOCABULARY_SQL})")

@@ -106,8 +106,8 @@ def range_dictionary_ids(ranges: DataFrame, seen: Sequence[str]) -> DataFrame:
     return assign_ids(materialise(first), ["_seen", *keys]).drop("_seen")
 
 
-def vocabulary(tokens: DataFrame, size: int, min_df: int = 1, doc: str | None = None) -> DataFrame:
-    """Most frequent words with index 1..; ties in word order; optional minimum document count."""
+def vocabulary(tokens: DataFrame, size: int | None, min_df: int = 1, doc: str | None = None) -> DataFrame:
+    """Most frequent words (all if no size is given) with index 1..; ties in word order; optional minimum document count."""
     aggs = [F.count("*").alias("freq")]
     if min_df > 1:
         aggs.append(F.count_distinct(doc).alias("_df"))
@@ -115,7 +115,7 @@ def vocabulary(tokens: DataFrame, size: int, min_df: int = 1, doc: str | None =
     if min_df > 1:
         counts = counts.filter(F.col("_df") >= min_df).drop("_df")
     numbered = number_rows(counts.withColumn("_less", -F.col("freq")), ["_less", "word"], "idx")
-    return numbered.filter(F.col("idx") <= size).drop("_less")
+    return (numbered if size is None else numbered.filter(F.col("idx") <= size)).drop("_less")
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

@@ -1,7 +1,5 @@
 """Registered queries on small fixtures, against what they must return in full."""
 
-from pyspark.sql import functions as F
-
 import __spark_entry__ as entry
 
 
@@ -22,3 +20,12 @@ def test_rare_words_get_vectors(spark, tmp_path):
     assert {tuple(r)[1:] for r in got} == {(300, True)}
     assert {tuple(r) for r in entry.queries()["m9_export_word_vectors"](spark, sf).collect()} == {(w, 300) for w in want}
     assert entry.queries()["m10_trained_vector_network"](spark, sf).count() > 0
+
+
+def test_encoding_keeps_the_words_of_a_large_vocabulary(spark, tmp_path):
+    texts = [" ".join(f"w{k:05d}" for k in range(first, first + 200)) for first in range(0, 51000, 200)]
+    sf = documents(spark, tmp_path, texts)
+    for name, size in (("j8_encode_by_vocabulary", 50000), ("j8_encode_by_large_vocabulary", 51000)):
+        got = {r["doc_id"]: r["ids"] for r in entry.queries()[name](spark, sf).collect()}
+        # all words are equally frequent, so ids follow their order
+        assert got == {d: " ".join(str(k + 1) for k in range(d * 200, d * 200 + 200)) for d in range(size // 200)}

@@ -184,9 +184,9 @@ def m9(spark, sf):
 @query("m10_mean_vector_network", _HELD_OUT_SQL)
 def m10(spark, sf):
     """Mean token vector of a document as input of a network with one hidden layer."""
-    rows = _labelled(spark, sf).withColumn("vector", text_vector("text", 16)).filter(F.col("vector").isNotNull())
+    rows = _labelled(spark, sf).withColumn("vector", text_vector("text", 300)).filter(F.col("vector").isNotNull())
     rows = ml.mean_features(rows, "vector")
-    model = ml.train(rows.filter("is_train = 1"), "mlp", inputs=16)
+    model = ml.train(rows.filter("is_train = 1"), "mlp", inputs=300)
     return _judged(ml.predict(model, rows.filter("is_train = 0")))
 
 

@@ -18,6 +18,8 @@ from gridmine.plans.labelled import unwound
 from gridmine.session import spread
 
 DIMS = 64
+#: Width of the reference's encoder; the SQL of m12 has its first 4 components.
+WIDTH = 768
 
 
 def text_vector_sql(c: str, dims: int = DIMS) -> str:
@@ -225,7 +227,7 @@ def q6(spark, sf):
 )
 def m12(spark, sf):
     tokens = document_tokens(spark, sf).select("token").distinct()
-    return tokens.select("token", F.posexplode(hash_vector("token", 4)).alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return tokens.select("token", F.posexplode(hash_vector("token", WIDTH)).alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @query(
@@ -233,7 +235,7 @@ def m12(spark, sf):
     f"""SELECT doc_id, i::INTEGER AS pos, round(vec[i + 1], 6) + 0.0 AS x FROM (SELECT doc_id, {text_vector_sql('text', 4)} AS vec FROM documents), (SELECT unnest(generate_series(0, 3)) AS i) WHERE vec IS NOT NULL""",
 )
 def m12_texts(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text_vector("text", 4).alias("vector"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text_vector("text", WIDTH).alias("vector"))
     return docs.select("doc_id", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 

@@ -1,6 +1,11 @@
 """Registered queries on small fixtures, against what they must return in full."""
 
+import hashlib
+
+import pytest
+
 import __spark_entry__ as entry
+from catalog import models
 
 
 def documents(spark, path, texts):
@@ -29,3 +34,25 @@ def test_encoding_keeps_the_words_of_a_large_vocabulary(spark, tmp_path):
         got = {r["doc_id"]: r["ids"] for r in entry.queries()[name](spark, sf).collect()}
         # all words are equally frequent, so ids follow their order
         assert got == {d: " ".join(str(k + 1) for k in range(d * 200, d * 200 + 200)) for d in range(size // 200)}
+
+
+def component(token, i):
+    return int(hashlib.md5(f"{token}#{i}".encode()).hexdigest()[:8], 16) * 2 / 2**32 - 1
+
+
+def test_encoders_have_the_full_width(spark, tmp_path):
+    sf = documents(spark, tmp_path, ["one two", "two three three"])
+    got = {(r["token"], r["pos"]): r["x"] for r in entry.queries()["m12_embed_tokens"](spark, sf).collect()}
+    assert got == pytest.approx({(t, i): component(t, i) for t in ("one", "two", "three") for i in range(768)}, abs=1e-6)
+    got = {(r["doc_id"], r["pos"]): r["x"] for r in entry.queries()["m12_embed_texts"](spark, sf).collect()}
+    words = {0: ["one", "two"], 1: ["two", "three", "three"]}
+    assert got == pytest.approx({(d, i): sum(component(t, i) for t in w) / len(w) for d, w in words.items() for i in range(768)}, abs=1e-6)
+
+
+def test_mean_vector_network_has_the_full_width(spark, tmp_path, monkeypatch):
+    sf = documents(spark, tmp_path, [f"common words once{k} and twice{k // 2}" for k in range(40)])
+    widths = []
+    train = models.ml.train
+    monkeypatch.setattr(models.ml, "train", lambda *a, **b: widths.append(b["inputs"]) or train(*a, **b))
+    assert entry.queries()["m10_mean_vector_network"](spark, sf).count() > 0
+    assert widths == [300]

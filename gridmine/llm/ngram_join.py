@@ -118,12 +118,17 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _digest() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(text_or_empty())
+
+
 def set_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, n, h, parts, asked): size and hash of each document's set, and the hashes it emits."""
+    """(doc_id, digest, n, h, parts, asked): hash of each text, size and hash of its set, and the hashes it emits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", _BATCH_BYTES):
-            sets, at = shingle_sets(_texts(batch.column(1)), shingle)
+            sets, at = shingle_sets(_texts(batch.column(2)), shingle)
             sizes = np.diff(at)
             h = np.zeros(len(sizes), U64)
             filled = np.flatnonzero(sizes)
@@ -133,10 +138,10 @@ def set_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             order = np.argsort(row, kind="stable")
             ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (parts[order].view(np.int64), asked[order].astype(np.int8))]
-            yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(h.view(np.int64)), *lists], ["doc_id", "n", "h", "parts", "asked"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes), pa.array(h.view(np.int64)), *lists], ["doc_id", "digest", "n", "h", "parts", "asked"])
 
-    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, h long, parts array<long>, asked array<byte>")
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest long, n long, h long, parts array<long>, asked array<byte>")
 
 
 def shared_parts(classes: DataFrame) -> DataFrame:
@@ -252,6 +257,9 @@ def block_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, sets, sides in groups(batches):
+            _, once = np.unique(h, return_index=True)  # rows of equal id and text bring their class again
+            if len(once) < len(h):
+                h, sets, sides = h[once], [sets[r] for r in once.tolist()], sides[once]
             if len(h) > 1:
                 links = linked(sets, sides, percent)
                 if links:
@@ -261,44 +269,66 @@ def block_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicate_sets(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; see the module text."""
-    rows = materialise(set_rows(docs, shingle, percent))
+def _classes(rows: DataFrame) -> DataFrame:
+    """(h, rep, n, parts, asked): rows of equal sets, represented by the smallest (doc_id, digest)."""
     whole = rows.where("n > 0 AND doc_id IS NOT NULL")
-    # one representative per class, and per doc_id one edge between the classes of its rows
-    classes = materialise(whole.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("asked").alias("asked")))
+    rep = F.min(F.struct("doc_id", "digest")).alias("rep")
+    return materialise(whole.groupBy("h").agg(rep, F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("asked").alias("asked")))
+
+
+def _class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes; see the module text."""
     members = components(shared_parts(classes))
     cells = classes.select("h", "rep", "n").join(members.withColumnRenamed("v", "h"), "h")
     blocks = cells.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_CELLS)).cast("long").alias("n_blocks"))
-    cells = materialise(cells.join(blocks, "root").select("h", "rep", "root", "n_blocks"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    cells = materialise(cells.join(blocks, "root").select("h", F.col("rep.doc_id").alias("_doc"), F.col("rep.digest").alias("_digest"), "root", "n_blocks"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), text_or_empty().alias("text"))
     own = F.pmod(F.xxhash64("h"), F.col("n_blocks"))
     near = F.broadcast(cells) if cells.count() <= MOST_BROADCAST else cells
-    placed = text.join(near, cells["rep"] == text["doc_id"]).select("root", "h", "n_blocks", own.alias("side"), "text")
+    placed = text.join(near, (near["_doc"] == text["doc_id"]) & (near["_digest"] == text["digest"])).select("root", "h", "n_blocks", own.alias("side"), "text")
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     placed = placed.select(F.col("root").alias("c"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "h", "text")
     n = partition_count(docs.sparkSession)
-    links = block_links(placed.repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j"), shingle, percent)
-    same_id = whole.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("a", "b")
-    found = components(links.unionByName(same_id))
-    # the smallest document of each class, then of each component of classes
+    return block_links(placed.repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j"), shingle, percent)
+
+
+def _smallest(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(h, first): the smallest (doc_id, digest) of each class's component of classes."""
+    found = components(links)
     named = classes.select("h", "rep").join(found.withColumnRenamed("v", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    label = materialise(named.select("h", F.min("rep").over(Window.partitionBy("root")).alias("component")))
+    return materialise(named.select("h", F.min("rep").over(Window.partitionBy("root")).alias("first")))
+
+
+def near_duplicate_sets(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; see the module text."""
+    rows = materialise(set_rows(docs, shingle, percent))
+    classes = _classes(rows)
+    links = _class_links(docs, classes, shingle, percent)
+    # the classes of rows of equal doc_id are linked to the smallest of them
+    whole = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "h")
+    several = whole.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("most")).where("a <> most").select("doc_id", "a")
+    same_id = whole.join(several, "doc_id").where("h <> a").select("a", F.col("h").alias("b"))
+    label = _smallest(classes, links.unionByName(same_id)).select("h", F.col("first.doc_id").alias("component"))
     out = rows.select("doc_id", "n", "h").join(label, "h", "left")
     component: Column = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, that of the smallest id; of rows of equal id, one.
+    """One row of each group of texts that links connect, that of the smallest doc_id.
 
-    Documents without words stay, and rows without doc_id, which are no copies of anything.
+    A row is told by its doc_id and text: different texts under one doc_id are linked only if they are
+    alike, and of rows equal in both one stays. Documents without words stay, and rows without doc_id,
+    which are no copies of anything.
     """
-    found = near_duplicate_sets(docs, shingle, percent)
-    dropped = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_doc")).distinct())
-    left = docs.join(dropped, F.col("doc_id").cast("long") == dropped["_doc"], "left_anti")
-    digest = F.xxhash64(text_or_empty())
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), digest)).orderBy(digest, "text"))
+    rows = materialise(set_rows(docs, shingle, percent))
+    classes = _classes(rows)
+    label = _smallest(classes, _class_links(docs, classes, shingle, percent))
+    found = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "digest", "h").join(label, "h")
+    copies = found.where(F.struct("doc_id", "digest") != F.col("first"))
+    dropped = materialise(copies.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).distinct())
+    left = docs.join(dropped, (F.col("doc_id").cast("long") == dropped["_doc"]) & (_digest() == dropped["_digest"]), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", _digest(), "text").orderBy(F.lit(0)))
     return left.withColumn("_nth", nth).where("doc_id IS NULL OR _nth = 1").drop("_nth")
 
 

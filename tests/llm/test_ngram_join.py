@@ -81,6 +81,16 @@ def test_one_of_each_group_stays(docs, rows, no_docs):
     assert N.without_near_duplicates(no_docs).collect() == []
 
 
+def test_equal_ids_of_unlike_texts(spark):
+    words = [" ".join(f"{g}{k}" for k in range(40)) for g in "abcdef"]
+    rows = [(5, words[0]), (5, words[1]), (5, words[2]), (5, words[2]), (5, words[3]), (7, words[1]), (8, words[3] + " x"), (9, ""), (9, " "), (9, words[4]), (4, words[5]), (5, words[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in N.without_near_duplicates(df).collect())
+    assert got == sorted([*((5, w) for w in words[:4]), (9, ""), (9, " "), (9, words[4]), (4, words[5])])
+    # for components, rows of equal id are one document, whatever number of texts it has
+    assert sorted((tuple(r) for r in N.near_duplicate_sets(df, 5, 80).collect()), key=str) == plain(rows, 5, 80)
+
+
 def test_linked_sets_share_a_part():
     draw = random.Random(4)
     for _ in range(400):

@@ -15,7 +15,8 @@ matrix times its transpose. The product is formed only where an entry can reach
 4. Inside a block, columns are ordered from rare to common. Counts are accumulated over the first
    columns of each row, as many as the size bound leaves; pairs without a common one there, of sizes too
    far apart, or already connected are discarded. The rest get their full overlap. Links that
-   connect rows not connected before are kept, so a group of copies costs its size, not its square.
+   connect rows not connected before are kept, so a group of copies costs its size, not its square
+   (``near_duplicate_links`` keeps all).
 5. Components over these links, and over classes, give every document the smallest id it can reach.
 
 Sets are compared by 64-bit hashes of shingles (and classes by a 64-bit hash of the set).
@@ -177,8 +178,8 @@ def shared_parts(classes: DataFrame) -> DataFrame:
     return kept.join(low, "part").where("h <> a").select("a", F.col("h").alias("b")).distinct()
 
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect the rows of a block: the sparse product with early discards.
+def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int, every: bool = False) -> list[tuple[int, int, int]]:
+    """Links (row, row, overlap) that connect the rows of a block, or every link: the sparse product with early discards.
 
     If rows come from two sides, only pairs across are compared (each side alone is another task).
     """
@@ -186,7 +187,7 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
     sizes = np.array([len(s) for s in sets])
     if n == 2:
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * common >= percent * (sizes[0] + sizes[1] - common) else []
+        return [(0, 1, common)] if 100 * common >= percent * (sizes[0] + sizes[1] - common) else []
     across = len(set(sides.tolist())) > 1
     columns, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(columns), np.int64)
@@ -215,7 +216,7 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
         if not lists:
             continue
         near = np.unique(np.concatenate(lists))
-        near = near[~done[near] & (root[near] != root[i]) & (100 * np.minimum(sizes[near], sizes[i]) >= percent * np.maximum(sizes[near], sizes[i]))]
+        near = near[~done[near] & (every | (root[near] != root[i])) & (100 * np.minimum(sizes[near], sizes[i]) >= percent * np.maximum(sizes[near], sizes[i]))]
         if across:
             near = near[sides[near] != sides[i]]
         if not len(near):
@@ -226,14 +227,16 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
         cells = np.repeat(at[near] - begin, lengths) + np.arange(lengths.sum())
         common = np.add.reduceat(flag[code[cells]].astype(np.int64), begin)
         flag[code[at[i] : at[i + 1]]] = False
-        for j in near[100 * common >= percent * (sizes[near] + sizes[i] - common)].tolist():
-            links.append((i, j))
-            root[root == root[j]] = root[i]
+        hit = 100 * common >= percent * (sizes[near] + sizes[i] - common)
+        for j, overlap in zip(near[hit].tolist(), common[hit].tolist(), strict=True):
+            links.append((i, j, overlap))
+            if not every:
+                root[root == root[j]] = root[i]
     return links
 
 
-def block_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) from rows (c, i, j, side, h, text) sorted by block (c, i, j) inside partitions."""
+def block_links(rows: DataFrame, shingle: int, percent: int, every: bool = False) -> DataFrame:
+    """Links (a, b, common) from rows (c, i, j, side, h, text) sorted by block (c, i, j) inside partitions."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
         held: tuple[list, list, list] = ([], [], [])
@@ -261,12 +264,12 @@ def block_links(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             if len(once) < len(h):
                 h, sets, sides = h[once], [sets[r] for r in once.tolist()], sides[once]
             if len(h) > 1:
-                links = linked(sets, sides, percent)
+                links = linked(sets, sides, percent, every)
                 if links:
-                    a, b = np.array(links).T
-                    yield pa.record_batch([pa.array(h[a]), pa.array(h[b])], ["a", "b"])
+                    a, b, common = np.array(links).T
+                    yield pa.record_batch([pa.array(h[a]), pa.array(h[b]), pa.array(common)], ["a", "b", "common"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, common long")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -276,8 +279,8 @@ def _classes(rows: DataFrame) -> DataFrame:
     return materialise(whole.groupBy("h").agg(rep, F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("asked").alias("asked")))
 
 
-def _class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes; see the module text."""
+def _class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, every: bool = False) -> DataFrame:
+    """Links (a, b, common) that connect classes, or every link between them; see the module text."""
     members = components(shared_parts(classes))
     cells = classes.select("h", "rep", "n").join(members.withColumnRenamed("v", "h"), "h")
     blocks = cells.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_CELLS)).cast("long").alias("n_blocks"))
@@ -289,7 +292,7 @@ def _class_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     placed = placed.select(F.col("root").alias("c"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "h", "text")
     n = partition_count(docs.sparkSession)
-    return block_links(placed.repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j"), shingle, percent)
+    return block_links(placed.repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j"), shingle, percent, every)
 
 
 def _smallest(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -308,12 +311,34 @@ def near_duplicate_sets(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     whole = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "h")
     several = whole.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("most")).where("a <> most").select("doc_id", "a")
     same_id = whole.join(several, "doc_id").where("h <> a").select("a", F.col("h").alias("b"))
-    label = _smallest(classes, links.unionByName(same_id)).select("h", F.col("first.doc_id").alias("component"))
+    label = _smallest(classes, links.select("a", "b").unionByName(same_id)).select("h", F.col("first.doc_id").alias("component"))
     out = rows.select("doc_id", "n", "h").join(label, "h", "left")
     component: Column = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
 
 
+def near_duplicate_links(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Every link between classes of rows with equal sets: (class_a, doc_a, n_a, rows_a, class_b, doc_b, n_b, rows_b, common).
+
+    doc is the smallest doc_id of a class, n the size of its set, rows its number of rows (told by doc_id and
+    text), common the overlap. A class of several rows is also linked to itself. So the linked pairs of rows
+    are rows_a * rows_b over links of two classes, and rows_a * (rows_a - 1) / 2 over those of one. The
+    result grows with the square of a group of different near copies; components do not need it.
+    """
+    rows = materialise(set_rows(docs, shingle, percent))
+    classes = _classes(rows)
+    held = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("h").agg(F.count_distinct("doc_id", "digest").alias("rows"))
+    named = materialise(classes.select("h", F.col("rep.doc_id").alias("doc"), "n").join(held, "h"))
+
+    def side(x: str) -> DataFrame:
+        return named.select(F.col("h").alias(f"class_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "n", "rows")])
+
+    links = _class_links(docs, classes, shingle, percent, every=True).select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), "common")
+    own = named.where("rows > 1").select(F.col("h").alias("class_a"), F.col("h").alias("class_b"), F.col("n").alias("common"))
+    out = links.unionByName(own).join(side("a"), "class_a").join(side("b"), "class_b")
+    return out.select("class_a", "doc_a", "n_a", "rows_a", "class_b", "doc_b", "n_b", "rows_b", "common")
+
+
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of texts that links connect, that of the smallest doc_id.
 

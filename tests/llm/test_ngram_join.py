@@ -81,6 +81,29 @@ def test_one_of_each_group_stays(docs, rows, no_docs):
     assert N.without_near_duplicates(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("block_rows", [8192, 3])
+def test_every_link(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(N, "BLOCK_ROWS", block_rows)
+    every = near_copies()
+    every += [(2000 + k, t) for k, (_, t) in enumerate(every[:5])]
+    every += [(3000 + k, " ".join([f"dense{i}" for i in range(80)] + [f"end{k}"])) for k in range(6)]
+    df = spark.createDataFrame(every, "doc_id long, text string").repartition(3)
+    by_set = {}
+    for d, t in every:
+        by_set.setdefault(shingles(t, 4), []).append(d)
+    want = []
+    for s, mine in by_set.items():
+        for t, other in by_set.items():
+            if 100 * len(s & t) >= 85 * len(s | t) and (min(mine) < min(other) or s == t and len(mine) > 1):
+                want.append((min(mine), len(s), len(mine), min(other), len(t), len(other), len(s & t)))
+    got = []
+    for r in N.near_duplicate_links(df, 4, 85).collect():
+        a, b = sorted([(r["doc_a"], r["n_a"], r["rows_a"]), (r["doc_b"], r["n_b"], r["rows_b"])])
+        got.append((*a, *b, r["common"]))
+    assert sorted(got) == sorted(want)
+    assert sum(g[0] >= 3000 for g in got) == 15  # five would connect the six
+
+
 def test_equal_ids_of_unlike_texts(spark):
     words = [" ".join(f"{g}{k}" for k in range(40)) for g in "abcdef"]
     rows = [(5, words[0]), (5, words[1]), (5, words[2]), (5, words[2]), (5, words[3]), (7, words[1]), (8, words[3] + " x"), (9, ""), (9, " "), (9, words[4]), (4, words[5]), (5, words[5])]

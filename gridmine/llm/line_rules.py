@@ -44,8 +44,9 @@ _PACKED_BITS = 20
 def repeated_words(w: Column) -> Column:
     """Number of words in 3-word windows that occur at least twice in the array.
 
-    Windows are sorted by hash with their place in the low bits, so equal windows are neighbours;
-    neighbours of equal hash are compared word by word. Longer texts sort pairs of hash and place.
+    Windows are sorted by hash with their place in the low bits, so equal windows are neighbours, and neighbours of
+    equal hash are compared word by word. If unlike neighbours have equal hashes, which could stand
+    between equal windows, and in longer texts, windows are sorted by their words.
     """
     n_windows = F.greatest(F.size(w) - 2, F.lit(0))
     starts = F.slice(w, F.lit(1), n_windows)
@@ -55,34 +56,46 @@ def repeated_words(w: Column) -> Column:
 
     size = 1 << _PACKED_BITS
     packed = F.sort_array(F.transform(starts, lambda first, i: F.shiftleft(window_hash(first, i), _PACKED_BITS) + i.cast("long")))
-    pairs = F.sort_array(F.transform(starts, lambda first, i: F.struct(window_hash(first, i).alias("h"), i.cast("long").alias("i"))))
-    short = _covered(w, packed, lambda x: F.shiftright(x, _PACKED_BITS), lambda x: x.bitwiseAND(F.lit(size - 1)))
-    long = _covered(w, pairs, lambda x: x["h"], lambda x: x["i"])
-    return F.when(n_windows < size, short).otherwise(long)
-
-
-def _covered(w: Column, ordered: Column, hash_of, place_of) -> Column:
-    """Words covered by the windows that have an equal neighbour in the ordered array."""
-
-    def equal(x: Column, y: Column) -> Column:
-        same_hash = F.coalesce(hash_of(x) == hash_of(y), F.lit(False))
-        a, b = place_of(x).cast("int"), place_of(y).cast("int")
-        same = F.get(w, a) == F.get(w, b)
-        for k in (1, 2):
-            same = same & (F.get(w, a + k) == F.get(w, b + k))
-        return same_hash & same
-
-    def hold(arr: Column, then) -> Column:
-        """Evaluate an array once and use it under a name inside a lambda."""
-        return F.element_at(F.transform(F.array(arr), then), 1)
-
-    def count(sorted_windows: Column) -> Column:
-        repeated = F.filter(sorted_windows, lambda x, i: equal(x, F.get(sorted_windows, i + 1)) | ((i > 0) & equal(x, F.get(sorted_windows, i - 1))))
-        places = F.sort_array(F.transform(repeated, lambda x: place_of(x).cast("int")))
-        # a window covers three words, fewer if the next one starts inside it
-        return hold(places, lambda p: F.aggregate(F.transform(p, lambda at, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - at, F.lit(3)))), F.lit(0), lambda a, b: a + b))
-
-    return hold(ordered, count)
+
+    def by_words() -> Column:
+        windows = F.transform(starts, lambda first, i: F.struct(first.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")))
+
+        def equal(x: Column, y: Column) -> Column:
+            return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+
+        return _hold(F.sort_array(windows), lambda s: _covered(s, equal, lambda x: x["i"]))
+
+    def by_hash(s: Column) -> Column:
+        def same_hash(x: Column, y: Column) -> Column:
+            return F.coalesce(F.shiftright(x, _PACKED_BITS) == F.shiftright(y, _PACKED_BITS), F.lit(False))
+
+        def place(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(size - 1)).cast("int")
+
+        def same_words(x: Column, y: Column) -> Column:
+            a, b = place(x), place(y)
+            same = F.get(w, a) == F.get(w, b)
+            for k in (1, 2):
+                same = same & (F.get(w, a + k) == F.get(w, b + k))
+            return F.coalesce(same, F.lit(False))
+
+        clash = F.size(F.filter(s, lambda x, i: same_hash(x, F.get(s, i + 1)) & ~same_words(x, F.get(s, i + 1)))) > 0
+        return F.when(clash, by_words()).otherwise(_covered(s, lambda x, y: same_hash(x, y) & same_words(x, y), place))
+
+    return F.when(n_windows < size, _hold(packed, by_hash)).otherwise(by_words())
+
+
+def _hold(arr: Column, then) -> Column:
+    """Evaluate an array once and use it under a name inside a lambda."""
+    return F.element_at(F.transform(F.array(arr), then), 1)
+
+
+def _covered(s: Column, equal, place_of) -> Column:
+    """Words covered by the windows that have an equal neighbour in the sorted array."""
+    repeated = F.filter(s, lambda x, i: equal(x, F.get(s, i + 1)) | ((i > 0) & equal(x, F.get(s, i - 1))))
+    places = F.sort_array(F.transform(repeated, place_of))
+    # a window covers three words, fewer if the next one starts inside it
+    return _hold(places, lambda p: F.aggregate(F.transform(p, lambda at, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - at, F.lit(3)))), F.lit(0), lambda a, b: a + b))
 
 
 def share(part: Column, whole: Column) -> Column:

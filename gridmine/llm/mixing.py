@@ -132,17 +132,26 @@ def _flight(seed: int, level: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+#: Rows of one entry that are dealt out at once.
+_STEP = 10_000
+
+
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, seed: int = 29, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows of (doc_id, source, size, digest) with source_size, target and ``copies`` to take of each.
 
-    ``digest`` tells rows of equal doc_id apart and spreads them over blocks.
+    ``digest`` tells rows of equal doc_id apart. Rows equal in all four are one entry that may be taken several
+    times: it moves with the fraction of what its rows are due together, and what it gets is dealt out to
+    them evenly. So no number of copies fills a block.
     """
     rows = materialise(rows.select("doc_id", "source", "size", "digest"))
     targets = materialise(source_targets(rows, weights, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     key = rows["source"].eqNullSafe(targets["source"])
     known = rows.join(targets, key).select(rows["*"], "n_rows", "source_size", "target", rate.alias("rate"))
-    known = known.withColumn("whole", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.floor("rate"))
+    names = ["doc_id", "source", "size", "digest", "n_rows", "source_size", "target"]
+    known = known.groupBy(*names).agg(F.count(F.lit(1)).alias("same"), F.max("rate").alias("rate"))
+    due = F.col("same") * F.col("rate")
+    known = known.withColumn("whole", F.floor(due).cast("long")).withColumn("p", due - F.floor(due))
 
     def blocked(df: DataFrame) -> DataFrame:
         blocks = F.greatest(F.ceil(F.col("left") / block_rows), F.lit(1)).cast("long")
@@ -163,7 +172,13 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = 3.0, s
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", "source", "size", "digest", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    copies = F.col("whole") + F.col("p").cast("long")
+    out = out.select("doc_id", "source", "size", "digest", "source_size", "target", "same", copies.alias("all"))
+    # the rows of an entry again, in steps that keep arrays short
+    out = out.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1, F.lit(_STEP).cast("long"))))
+    out = out.withColumn("nth", F.explode(F.sequence("at", F.least(F.col("at") + _STEP, F.col("same")) - 1)))
+    own = F.floor(F.col("all") / F.col("same")).cast("long") + (F.col("nth") < F.col("all") % F.col("same")).cast("long")
+    return out.select("doc_id", "source", "size", "digest", "source_size", "target", own.alias("copies"))
 
 
 def sized(docs: DataFrame) -> DataFrame:

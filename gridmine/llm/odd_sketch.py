@@ -282,8 +282,11 @@ def links_of_groups(docs: DataFrame, classes: DataFrame, groups: DataFrame, shin
     cells = classes.select("h", "rep", "n", "sketch").join(groups, "h")
     size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_CELLS)).cast("long")
     sizes = cells.groupBy("c").agg(size.alias("blocks"), F.array(F.min("h"), F.max("h"), F.min_by("h", F.xxhash64("h", F.lit(7))), F.max_by("h", F.xxhash64("h", F.lit(7)))).alias("shared"))
-    cells = cells.join(sizes, "c").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")))
-    cells = materialise(cells.select("c", "h", "sketch", F.col("rep.doc_id").alias("_doc"), F.col("rep.digest").alias("_digest"), "blocks", "own", F.array_contains("shared", F.col("h")).alias("everywhere")))
+    large = materialise(sizes.where("blocks > 1"))  # at most one row per BLOCK_ROWS classes
+    large = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
+    cells = cells.join(large, "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")))
+    everywhere = F.coalesce(F.array_contains("shared", F.col("h")), F.lit(False))
+    cells = materialise(cells.select("c", "h", "sketch", F.col("rep.doc_id").alias("_doc"), F.col("rep.digest").alias("_digest"), "blocks", "own", everywhere.alias("everywhere")))
     placed = _with_texts(docs, cells)
     to = F.when(F.col("everywhere"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
     first = placed.select("c", F.explode(to).alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("side"), "h", F.col("h").alias("root"), "sketch", "text")

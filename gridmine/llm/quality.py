@@ -6,11 +6,11 @@ and on bad documents, and gives every pattern a posterior. The posteriors train
 features (word shapes, words, word beginnings, repetition), which judges every document.
 
 Vote patterns are bounded (``3 ** len(LABELERS)``), whatever the input; their counts cover all
-documents. ``SAMPLE`` bounds the documents whose posteriors the scorer is fitted on (chosen by a hash
+documents. ``SAMPLE`` bounds the different texts whose posteriors the scorer is fitted on (chosen by a hash
 of the text); one task fits it.
 
 Nulls: a null text is an empty one; a text without words is rejected with score 0. Rows with null or
-repeated doc_id are judged one by one. An empty table gives an empty result. Extra columns are kept
+repeated doc_id are judged one by one. If the sample is empty, every text with words scores 0.5. An empty table gives an empty result. Extra columns are kept
 by ``clean_documents`` and not read.
 """
 
@@ -21,16 +21,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmine.llm.common import sliced, text_batches, text_or_empty
+from gridmine.llm.common import materialise, sliced, text_batches, text_or_empty
 from gridmine.llm.linear import fit, row_sums, sigmoid
 from gridmine.llm.text_hash import U64, mix, words_of
 
 LABELERS = ("symbols", "shouting", "repeats", "variety", "marks", "endings", "word_length", "length")
 ABSTAIN, BAD, GOOD = 0, 1, 2
 SAMPLE = 6000
+#: Values of the hash that samples texts.
+_PICKS = 1 << 40
 BITS = 16
 EM_ROUNDS = 40
 #: Chances of abstain, bad and good on bad and on good documents before any data, and the prior's weight
@@ -174,27 +176,32 @@ def fit_labelers(patterns: Iterable[tuple[int, int]]) -> tuple[float, list[list[
     return share, chance, {code: q for (code, _), q in zip(patterns, posterior, strict=True)}
 
 
+def _pick() -> Column:
+    """Hash of the text to sample by, up to ``_PICKS``."""
+    return F.pmod(F.xxhash64(F.lit(13), text_or_empty()), F.lit(_PICKS))
+
+
 def vote_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pattern, picked): the votes of each document, and a hash to sample by."""
+    """(doc_id, pattern, pick): the votes of each document, and a hash to sample by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 18):
             code = pattern_code(votes(batch.column(2).cast(pa.binary()).to_pylist()))
             yield pa.record_batch([batch.column(0), pa.array(code.astype(np.int32)), batch.column(1)], ["doc_id", "pattern", "pick"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.lit(13), text_or_empty()), F.lit(1 << 20)).alias("pick"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _pick().alias("pick"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "doc_id long, pattern int, pick long")
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.ndarray, float]:
     """(posterior by vote pattern, weights, bias)."""
-    counts = vote_rows(text_batches(docs)).groupBy("pattern").count().collect()  # bounded by the labelers
-    total = sum(r["count"] for r in counts)
-    if not total:
+    texts_met = materialise(vote_rows(text_batches(docs)).groupBy("pick", "pattern").agg(F.count(F.lit(1)).alias("rows")))
+    counts = texts_met.groupBy("pattern").agg(F.sum("rows").alias("rows")).collect()  # bounded by the labelers
+    if not counts:
         return {}, np.zeros(1 << BITS), 0.0
-    posterior = fit_labelers((r["pattern"], r["count"]) for r in sorted(counts))[2]
-    pick = F.pmod(F.xxhash64(F.lit(13), text_or_empty()), F.lit(1 << 20))
-    chosen = docs.select(text_or_empty().alias("text"), pick.alias("pick")).where(F.col("pick") < (1 << 20) * sample / total).dropDuplicates(["text"])
+    posterior = fit_labelers((r["pattern"], r["rows"]) for r in sorted(counts))[2]
+    # the share is one of different texts, so that copies do not thin out the sample
+    chosen = docs.select(text_or_empty().alias("text"), _pick().alias("pick")).where(F.col("pick") < _PICKS * sample / texts_met.count()).dropDuplicates(["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, targets = [], []
@@ -215,6 +222,8 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, float], np.
 
     # the sample is bounded, so it may meet in one task; sorted, so that reruns agree
     got = chosen.select("text").repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(run, "w binary, bias double").first()
+    if got is None:
+        return posterior, np.zeros(1 << BITS), 0.0
     return posterior, np.frombuffer(got["w"], np.float32).astype(np.float64), got["bias"]
 
 

@@ -10,7 +10,8 @@ doc_id); one task fits it. Every document is then scored, whole, in one pass wit
 Label, language, source and doc_id are no inputs of a score.
 
 Nulls: a null text is an empty one and gets the score of a document without known features; labels that
-are null or belong to no document are left out; of differing labels of one doc_id the largest counts. A null
+are null or belong to no document are left out; of differing labels of one doc_id the largest counts, and of several
+texts of one doc_id one is learned from (that of the least hash). A null
 doc_id counts as held out. Without rows of both classes, the score is the share of toxic labels (0.0 without
 any). An empty table gives an empty result. Extra columns are not read.
 """
@@ -94,17 +95,36 @@ def _distinct(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray
     return hashes[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=n))])
 
 
+Features = tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[np.ndarray], list[int]]
+
+
+def gathered(parts: Iterator[list[str]]) -> Features:
+    """Distinct features of texts (hashes, sizes), of their swapped twins (hashes, sizes), and whose twins these are."""
+    terms = identity_pattern()
+    out: Features = ([], [], [], [], [])
+    n = 0
+    for texts in parts:
+        twins = [(n + i, s) for i, s in ((i, swapped(t, terms)) for i, t in enumerate(texts)) if s is not None]
+        for at, some in ((0, texts), (2, [s for _, s in twins])):
+            hashes, ends = _distinct(*features([t.encode() for t in some]), len(some))
+            out[at].append(hashes)
+            out[at + 1].append(np.diff(ends))
+        out[4].extend(i for i, _ in twins)
+        n += len(texts)
+    return out
+
+
 def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, most_features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """(sorted feature hashes, their weights, bias) from labelled texts."""
-    terms = identity_pattern()
-    twins = [(i, s) for i, s in ((i, swapped(t, terms)) for i, t in enumerate(texts)) if s is not None]
-    every = [t.encode() for t in texts] + [s.encode() for _, s in twins]
-    parts = [every[k : k + _TEXTS_AT_ONCE] for k in range(0, len(every), _TEXTS_AT_ONCE)]
-    distinct = [_distinct(*features(p), len(p)) for p in parts]
-    hashes = np.concatenate([d[0] for d in distinct])
-    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(d[1]) for d in distinct]))])
-    del distinct
-    n = len(texts)
+    return train_on(gathered(texts[k : k + _TEXTS_AT_ONCE] for k in range(0, len(texts), _TEXTS_AT_ONCE)), toxic, weight, penalty, most_features)
+
+
+def train_on(found: Features, toxic: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, most_features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
+    """As ``train``, from gathered features."""
+    hashes = np.concatenate([np.zeros(0, U64), *found[0], *found[2]])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *found[1], *found[3]]))])
+    twin_of = np.array(found[4], np.int64)
+    n, n_every = len(toxic), len(toxic) + len(twin_of)
     own = hashes[: at[n]]
     names, code = np.unique(own, return_inverse=True)
     row = np.repeat(np.arange(n), np.diff(at[: n + 1]))
@@ -119,11 +139,11 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, penalty: floa
     names = names[best[z[best] > 0]]
     place = np.searchsorted(names, hashes)
     known = (place < len(names)) & (names[np.minimum(place, len(names) - 1)] == hashes) if len(names) else np.zeros(len(hashes), bool)
-    owner = np.repeat(np.arange(len(every)), np.diff(at))[known]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(every)))])
-    target = np.concatenate([toxic.astype(float), np.zeros(len(twins))])
-    weights = np.concatenate([weight, np.zeros(len(twins))])
-    pairs = (np.array([i for i, _ in twins], np.int64), n + np.arange(len(twins)))
+    owner = np.repeat(np.arange(n_every), np.diff(at))[known]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n_every))])
+    target = np.concatenate([toxic.astype(float), np.zeros(len(twin_of))])
+    weights = np.concatenate([weight, np.zeros(len(twin_of))])
+    pairs = (twin_of, n + np.arange(len(twin_of)))
     w, bias = fit(place[known], np.ones(int(known.sum())), starts, target, weights, max(len(names), 1), 1e-4, 200, 0.1, pairs, penalty)
     return names, w[: len(names)], bias
 
@@ -140,29 +160,38 @@ def held_out():
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, float]:
     """The model, from at most about ``sample`` labelled rows of each class that are not held out."""
-    known = _labels(labels, "toxic").where(~held_out())
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    known = _labels(labels, "toxic").where(~held_out()).join(read.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not counts.get(0) or not counts.get(1):
         share = 1.0 if counts.get(1) else 0.0
         return np.zeros(0, U64), np.zeros(0), 30.0 if share else -30.0
-    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000))
-    chosen = known.where(F.when(F.col("label") == 1, draw < 1e6 * sample / counts[1]).otherwise(draw < 1e6 * sample / counts[0]))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    # the chosen rows are bounded by the sample, so they may be broadcast and meet in one task
-    rows = read.join(F.broadcast(chosen), "doc_id").select("text", "label").repartition(1).sortWithinPartitions("label", F.xxhash64("text"))
+    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40))
+    chosen = known.where(F.when(F.col("label") == 1, draw < 2.0**40 * sample / counts[1]).otherwise(draw < 2.0**40 * sample / counts[0]))
+    # the chosen rows are bounded by the sample, so they may be broadcast and, one for each doc_id, meet in one task
+    rows = read.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = rows.select("t.text", "label").repartition(1).sortWithinPartitions("label", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic = [], []
-        for batch in batches:
-            texts += batch.column(0).to_pylist()
-            toxic += batch.column(1).to_pylist()
+        toxic: list[int] = []
+
+        def texts() -> Iterator[list[str]]:
+            for batch in sliced(batches, "text", 1 << 18):
+                toxic.extend(batch.column(1).to_pylist())
+                yield batch.column(0).to_pylist()
+
+        found = gathered(texts())
         y = np.array(toxic)
+        if not len(y):
+            return
         n1 = max(int((y == 1).sum()), 1)
         n0 = max(int((y != 1).sum()), 1)
-        names, w, bias = train(texts, y, np.where(y == 1, 1 / n1, 1 / n0), penalty)
+        names, w, bias = train_on(found, y, np.where(y == 1, 1 / n1, 1 / n0), penalty)
         yield pa.record_batch([pa.array([names.tobytes()]), pa.array([w.tobytes()]), pa.array([float(bias)])], ["names", "w", "bias"])
 
     got = rows.mapInArrow(run, "names binary, w binary, bias double").first()
+    if got is None:  # a sample of nothing
+        return np.zeros(0, U64), np.zeros(0), 0.0
     return np.frombuffer(got["names"], U64), np.frombuffer(got["w"], np.float64), got["bias"]
 
 

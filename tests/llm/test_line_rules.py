@@ -60,3 +60,9 @@ def test_cleaning(spark):
 
 def test_empty_table(no_docs):
     assert L.quality_digest(no_docs).collect() == []
+
+
+def test_equal_hashes_of_unlike_windows(docs, rows, monkeypatch):
+    monkeypatch.setattr(L, "_PACKED_BITS", 57)  # seven bits of the hash are left
+    got = L.quality_digest(docs).select("doc_id", "n_repeat_words").collect()
+    assert sorted((str(r[0]), r[1]) for r in got) == sorted((str(d), plain(t)[4]) for d, t, _ in rows)

@@ -92,3 +92,18 @@ def test_mixed_documents(docs, rows, no_docs):
     assert got == {d: n for d, n in want.items() if n}
     assert M.mixed(no_docs).collect() == []
     assert M.mix_documents(no_docs).collect() == []
+
+
+def test_a_third_of_equal_rows(spark):
+    draw = random.Random(4)
+    rows = [(k, draw.choice("abc"), draw.randint(1, 500), k * 7919 % 1009) for k in range(4000)] + [(77, "b", 120, 5)] * 21_000
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, digest long").repartition(4)
+    out = M.mix(df, block_rows=200)
+    got = out.withColumn("taken", out["size"] * out["copies"]).collect()
+    assert sorted((r["doc_id"], r["source"], r["size"], r["digest"]) for r in got) == sorted(rows)
+    sizes = {}
+    for _, s, n, _ in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    check(got, sizes, {s: 0.01 * v + 60 for s, v in sizes.items()})
+    same = [r["copies"] for r in got if (r["doc_id"], r["digest"]) == (77, 5)]
+    assert max(same) - min(same) <= 1

@@ -61,3 +61,17 @@ def test_edges(docs, no_docs, rows):
     assert Q.quality_digest(no_docs).collect() == []
     assert Q.clean_documents(no_docs).collect() == []
     assert Q.clean_documents(docs).columns == docs.columns
+
+
+def test_many_copies_of_few_texts(spark):
+    copies = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'one text that repeats.' ELSE 'and another one.' END AS text").repartition(4)
+    got = Q.quality_digest(copies)
+    assert got.count() == 20_000 and got.select("score", "kept").distinct().count() <= 2
+    same = spark.range(20_000).selectExpr("id AS doc_id", "'one text that repeats.' AS text").repartition(4)
+    assert Q.quality_digest(same).select("score").distinct().count() == 1
+    assert Q.clean_documents(same).count() in (0, 20_000)
+
+
+def test_a_sample_of_nothing(docs, monkeypatch):
+    got = Q.judged(docs, sample=0).collect()
+    assert {r["score"] for r in got} <= {0.0, 0.5} and len(got) == docs.count()

@@ -64,3 +64,21 @@ def test_edges(docs, no_docs, spark, rows):
     got = X.toxicity(docs, labels).collect()
     assert len(got) == len(rows)
     assert [r["held_out"] for r in got if r["doc_id"] is None] == [True, True]
+
+
+def test_labels_without_documents(spark, docs, no_docs):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    assert X.toxicity(no_docs, labels).collect() == []
+    strange = spark.createDataFrame([(10**6 + k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    assert {r["predicted"] for r in X.toxicity(docs, strange).collect()} == {0}
+    ones = spark.createDataFrame([(10**6, 0), (1, 1), (2, 1), (3, 1)], "doc_id long, toxic int")
+    assert {r["score"] > 0.99 for r in X.toxicity(docs, ones).collect()} == {True}
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    rows = sentences(300)
+    docs, labels = frames(spark, rows)
+    more = spark.range(3000).selectExpr("7L AS doc_id", "concat('copy ', id % 5) AS text", "'en' AS lang", "0.1 AS score").selectExpr("doc_id", "text", "lang", "CAST(score AS double) AS score")
+    got = X.toxicity(docs.unionByName(more), labels).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == 3300 and sum(r["predicted"] == rows[r["doc_id"]][1] for r in held) >= 0.9 * len(held)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from catalog.fixtures import document_tokens, TOKENS_SQL, VECTORS_SQL, word_vectors
 from catalog.registry import query, table
 from gridmine.operators import aggregates, joins, unnest
+from gridmine.operators.dictionaries import encode_by_blocks
 from gridmine.operators.embed import words_of
+from gridmine.session import spread
 
 # Mean vector per label = reference vectors; cosine on doubles, 6 decimals.
 
@@ -106,26 +108,29 @@ def j7(spark, sf):
     return unnest.label(inside, 1, "held_out").unionByName(unnest.label(outside, 0, "held_out"))
 
 
-# The SQL keeps 5,000 words; the queries keep 50,000 and all.
-_ENCODE_SQL = f"""WITH {TOKENS_SQL}, vocab AS (
+def _encode_sql(limit: str) -> str:
+    return f"""WITH {TOKENS_SQL}, vocab AS (
       SELECT token AS word, row_number() OVER (ORDER BY count(*) DESC, token) AS idx FROM toks GROUP BY token
-      ORDER BY count(*) DESC, token LIMIT 5000)
+      ORDER BY count(*) DESC, token {limit})
     SELECT doc_id, string_agg(idx::VARCHAR, ' ' ORDER BY pos) AS ids FROM toks JOIN vocab ON word = token GROUP BY doc_id"""
 
 
-@query("j8_encode_by_vocabulary", _ENCODE_SQL)
+@query("j8_encode_by_vocabulary", _encode_sql("LIMIT 50000"))
 def j8(spark, sf):
-    return _encoded(spark, sf, 50000, joins.MAX_BROADCAST_ROWS)
+    vocab = aggregates.vocabulary(document_tokens(spark, sf), 50000)
+    return _encoded(joins.encode_arrays(_word_arrays(spark, sf), "words", vocab))
 
 
-@query("j8_encode_by_large_vocabulary", _ENCODE_SQL)
+@query("j8_encode_by_large_vocabulary", _encode_sql(""))
 def j8_large(spark, sf):
-    """The joined form, for vocabularies that must not travel with the plan: all words."""
-    return _encoded(spark, sf, None, 0)
+    """The form for vocabularies that must not travel with the plan: all words."""
+    vocab = aggregates.vocabulary(document_tokens(spark, sf), None)
+    return _encoded(encode_by_blocks(_word_arrays(spark, sf), "words", vocab))
 
 
-def _encoded(spark, sf, size, limit):
-    vocab = aggregates.vocabulary(document_tokens(spark, sf), size)
-    docs = table(spark, sf, "documents").select("doc_id", words_of("text", lower=False).alias("words"))
-    ids = joins.encode_arrays(docs, "words", vocab, limit=limit).filter(F.size("ids") > 0)
-    return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+def _word_arrays(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words_of("text", lower=False).alias("words"))
+
+
+def _encoded(ids):
+    return ids.filter(F.size("ids") > 0).select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))

@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import LINE_ORDER, interval_lines
 from catalog.registry import query, table
-
 from gridmine.operators import ml, sampling
-
 from gridmine.operators.aggregates import vec_sum
-from gridmine.operators.embed import text_vector
+from gridmine.operators.embed import text_vector, words_of
 from gridmine.operators.joins import embed_vocab
+from gridmine.operators.word_vectors import context_vectors
 from gridmine.plans.intervals import dice_pairs
-from gridmine.session import materialise, scratch_dir
+from gridmine.session import materialise, scratch_dir, spread
 
 
 def _labelled(spark, sf):
@@ -152,33 +151,31 @@ def s12(spark, sf):
     return again.join(saved, "doc_id").select("doc_id", "width", "total", (F.col("saved") == F.col("again")).alias("same"))
 
 
-#: The SQL leaves out words in fewer occurrences; the queries leave out none.
-_MIN_COUNT = 3
-_VOCABULARY_SQL = rf"""SELECT word FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS word FROM documents)
-    GROUP BY word HAVING count(*) >= {_MIN_COUNT}"""
+_VOCABULARY_SQL = r"""SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS word FROM documents)
+    GROUP BY word"""
 
 
-def _word2vec(spark, sf):
-    words = ml.tokenize(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return words, ml.train_word2vec(words, "words")
+def _word_arrays(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words_of("text").alias("words"))
 
 
-@query("m8_word2vec", f"SELECT word, 300::BIGINT AS dims, true AS finite FROM ({_VOCABULARY_SQL})")
+@query("m8_word2vec", f"SELECT word, n, 300 AS dims, true AS unit FROM ({_VOCABULARY_SQL})")
 def m8(spark, sf):
-    _, model = _word2vec(spark, sf)
-    finite = F.forall("vector", lambda x: F.abs(x) < 1e6)
-    return ml.word_vectors(model).select("word", F.size("vector").cast("long").alias("dims"), finite.alias("finite"))
+    """Vectors of all words, of length 1 (0 for a word that never has a neighbour)."""
+    vectors = context_vectors(_word_arrays(spark, sf))
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return vectors.select("word", "n", F.size("vector").alias("dims"), ((F.abs(square - 1) < 1e-9) | (square == 0)).alias("unit"))
 
 
-@query("m9_export_word_vectors", f"SELECT word, 300::BIGINT AS parts FROM ({_VOCABULARY_SQL})")
+@query("m9_export_word_vectors", f"SELECT word, 300 AS parts FROM ({_VOCABULARY_SQL})")
 def m9(spark, sf):
     """All word vectors, written as delimited text and read back."""
-    _, model = _word2vec(spark, sf)
     path = scratch_dir(spark) + "/vectors"
-    lines = ml.word_vectors(model).select("word", F.concat_ws(" ", F.transform("vector", lambda x: x.cast("string"))).alias("vector"))
+    vectors = context_vectors(_word_arrays(spark, sf))
+    lines = vectors.select("word", F.array_join(F.transform("vector", lambda x: F.round(x, 6).cast("string")), " ").alias("vector"))
     lines.write.option("sep", "\t").option("quote", "").csv(path)
     back = spark.read.option("sep", "\t").option("quote", "").csv(path, schema="word string, vector string")
-    return back.select("word", F.size(F.split("vector", " ")).cast("long").alias("parts"))
+    return back.select("word", F.size(F.split("vector", " ")).alias("parts"))
 
 
 @query("m10_mean_vector_network", _HELD_OUT_SQL)
@@ -193,11 +190,12 @@ def m10(spark, sf):
 @query("m10_trained_vector_network", _HELD_OUT_SQL)
 def m10_trained(spark, sf):
     """The same over trained word vectors: tokens meet the vocabulary, unknown words count as zeros."""
-    words, model = _word2vec(spark, sf)
+    words = _word_arrays(spark, sf)
+    vectors = context_vectors(words)
     rows = _labelled(spark, sf).select("doc_id", "label", "is_train")
     tokens = words.join(rows, "doc_id").select("doc_id", F.explode("words").alias("word"))
     counts = tokens.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    known = embed_vocab(counts, ml.word_vectors(model), 300)
+    known = embed_vocab(counts, vectors.select("word", "vector"), 300)
     weighed = known.select("doc_id", F.transform("vector", lambda x: x * F.col("n")).alias("vector"), "n")
     sums = vec_sum(weighed, ["doc_id"], "vector").join(weighed.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id")
     means = sums.select("doc_id", F.transform("vector", lambda x: x / F.col("n")).alias("vector"))

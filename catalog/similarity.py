@@ -10,25 +10,30 @@ from catalog.registry import query, table
 from gridmine.functions.html import parse_table
 from gridmine.functions.numbers import UNITS_COLUMN
 from gridmine.functions.text import row_texts
-from gridmine.functions.vectors import hash_vector
-from gridmine.operators.embed import embed_with, text_vector
+from gridmine.operators.embed import embed_tokens, embed_with, text_vector, vector_digest
 from gridmine.operators.joins import cross_refs
 from gridmine.plans import similarity
 from gridmine.plans.labelled import unwound
 from gridmine.session import spread
 
-DIMS = 64
-#: Width of the reference's encoder; the SQL of m12 has its first 4 components.
-WIDTH = 768
+#: Width of the encoder.
+DIMS = WIDTH = 768
+
+
+def token_vector_sql(t: str, dims: int) -> str:
+    """Vector of a token: 16 numbers of 16 bits from each digest."""
+    digests = f"list_transform(generate_series(0, {-(-dims // 16) - 1}), lambda b: sha256({t} || '#' || b::VARCHAR))"
+    numbers = "list_transform(generate_series(0, 15), lambda k: ('0x' || substr(h, k * 4 + 1, 4))::BIGINT / 32768.0::DOUBLE - 1)"
+    return f"flatten(list_transform({digests}, lambda h: {numbers}))[1:{dims}]"
 
 
 def text_vector_sql(c: str, dims: int = DIMS) -> str:
     """Mean of the token vectors of a text (lower case, split on blanks); NULL without tokens."""
     words = f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda t: t <> '')"
-    component = "(('0x' || substr(md5(t || '#' || i::VARCHAR), 1, 8))::BIGINT * 2 / 4294967296.0::DOUBLE - 1)"
+    vectors = f"list_transform({words}, lambda t: {token_vector_sql('t', dims)})"
     return (
-        f"CASE WHEN len({words}) > 0 THEN list_transform(generate_series(0, {dims - 1}), lambda i: "
-        f"list_avg(list_transform({words}, lambda t: {component}))) END"
+        f"CASE WHEN len({words}) > 0 THEN list_transform([{vectors}], lambda vs: "
+        f"list_transform(generate_series(1, {dims}), lambda i: list_avg(list_transform(vs, lambda v: v[i]))))[1] END"
     )
 
 
@@ -178,7 +183,7 @@ def _table_sql(vector: str) -> str:
         f"coalesce(abs(round(list_cosine_similarity(vector, (SELECT vector FROM x WHERE id = '{k['id']}' AND table_id = {k['table_id']})), 6)), 0) AS {r}_similarity"
         for r, k in _REF_TABLES.items()
     )
-    return f"WITH {_ROWS_SQL}, x AS (SELECT id, table_id, {vector} AS vector FROM tv) SELECT id, table_id, {refs} FROM x"
+    return f"WITH {_ROWS_SQL}, x AS MATERIALIZED (SELECT id, table_id, {vector} AS vector FROM tv) SELECT id, table_id, {refs} FROM x"
 
 
 @query("q5_table_similarity", _table_sql(text_vector_sql("array_to_string(rows, ' ')")))
@@ -188,9 +193,9 @@ def q5(spark, sf):
 
 # Row vectors are listed once per table, then added up position by position.
 _SUM_SQL = _table_sql("vector").replace(
-    "x AS (SELECT id, table_id, vector AS vector FROM tv)",
+    "x AS MATERIALIZED (SELECT id, table_id, vector AS vector FROM tv)",
     f"""rv AS (SELECT id, table_id, list_filter(list_transform(rows, lambda r: {text_vector_sql('r')}), lambda z: z IS NOT NULL) AS vs FROM tv),
-    x AS (SELECT id, table_id, CASE WHEN len(vs) > 0 THEN list_transform(generate_series(1, {DIMS}), lambda p: list_sum(list_transform(vs, lambda z: z[p]))) END AS vector FROM rv)""",
+    x AS MATERIALIZED (SELECT id, table_id, CASE WHEN len(vs) > 0 THEN list_transform(generate_series(1, {DIMS}), lambda p: list_sum(list_transform(vs, lambda z: z[p]))) END AS vector FROM rv)""",
 )
 
 
@@ -220,23 +225,39 @@ def q6(spark, sf):
     return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
+def digest_sql(v: str) -> str:
+    """Sum of a vector, and its sum weighed by place."""
+    return f"round(list_sum({v}), 6) + 0.0 AS total, round(list_sum(list_transform({v}, lambda x, i: x * i)), 6) + 0.0 AS weighed"
+
+
+def _with_digest(vector, places):
+    d = vector_digest(vector)
+    return [F.size(vector).alias("width"), F.round(d[0], places).alias("total"), F.round(d[1], places).alias("weighed")]
+
+
 @query(
     "m12_embed_tokens",
-    """SELECT token, i::INTEGER AS pos, round((('0x' || substr(md5(token || '#' || i::VARCHAR), 1, 8))::BIGINT * 2 / 4294967296.0 - 1)::DOUBLE, 6) + 0.0 AS x
-    FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS token FROM documents), (SELECT unnest(generate_series(0, 3)) AS i) WHERE token <> ''""",
+    f"""SELECT token, len(v)::INTEGER AS width, {digest_sql("v")} FROM (SELECT token, {token_vector_sql('token', WIDTH)} AS v
+    FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS token FROM documents) WHERE token <> '')""",
 )
 def m12(spark, sf):
+    """One vector per distinct token, shown by two numbers that every component enters."""
     tokens = document_tokens(spark, sf).select("token").distinct()
-    return tokens.select("token", F.posexplode(hash_vector("token", WIDTH)).alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return embed_tokens(tokens, WIDTH).select("token", *_with_digest("vector", 6))
 
 
+# The digest of a mean vector is the mean of the digests of its tokens.
 @query(
     "m12_embed_texts",
-    f"""SELECT doc_id, i::INTEGER AS pos, round(vec[i + 1], 6) + 0.0 AS x FROM (SELECT doc_id, {text_vector_sql('text', 4)} AS vec FROM documents), (SELECT unnest(generate_series(0, 3)) AS i) WHERE vec IS NOT NULL""",
+    f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS token FROM documents),
+    d AS (SELECT token, list_sum(v) AS total, list_sum(list_transform(v, lambda x, i: x * i)) AS weighed
+      FROM (SELECT token, {token_vector_sql('token', WIDTH)} AS v FROM (SELECT DISTINCT token FROM w)))
+    SELECT doc_id, {WIDTH} AS width, round(avg(total), 3) + 0.0 AS total, round(avg(weighed), 3) + 0.0 AS weighed FROM w JOIN d USING (token) GROUP BY doc_id""",
 )
 def m12_texts(spark, sf):
+    """One vector per document, shown likewise."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text_vector("text", WIDTH).alias("vector"))
-    return docs.select("doc_id", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    return docs.where(F.col("vector").isNotNull()).select("doc_id", *_with_digest("vector", 3))
 
 
 def _letter_encoder():
@@ -285,24 +306,27 @@ def q1_blocks(spark, sf):
 # Vectors of mixed length, NULL and zero, as rows and as references; the same rows either way.
 _MIXED_SQL = """WITH m AS (SELECT vec_id AS id, CASE WHEN vec_id % 11 = 0 THEN NULL
       WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: 0.0::DOUBLE)
-      WHEN vec_id % 5 = 0 THEN embedding[1:32]::DOUBLE[] WHEN vec_id % 13 = 0 THEN list_concat(embedding, embedding[1:8])::DOUBLE[]
+      WHEN vec_id % 3 = 0 THEN embedding[1:32]::DOUBLE[] WHEN vec_id % 13 = 0 THEN list_concat(embedding, embedding[1:8])::DOUBLE[]
       ELSE embedding::DOUBLE[] END AS vector FROM embeddings),
     ok AS (SELECT * FROM m WHERE vector IS NOT NULL AND list_sum(list_transform(vector, lambda x: x * x)) > 0),
-    s AS (SELECT a.id, b.id AS ref, abs(round(list_cosine_similarity(a.vector, b.vector), 6)) AS similarity FROM ok a JOIN ok b ON len(a.vector) = len(b.vector) WHERE b.id % 9 < 2)"""
+    s AS (SELECT a.id, b.id AS ref, abs(round(list_cosine_similarity(a.vector, b.vector), 6)) AS similarity FROM ok a JOIN ok b ON len(a.vector) = len(b.vector) WHERE b.id % 20 = 0)"""
 
 
 def _mixed(spark, sf):
     v, i = F.col("embedding").cast("array<double>"), F.col("vec_id")
     mixed = F.when(i % 11 == 0, F.lit(None)).when(i % 7 == 0, F.transform(v, lambda x: F.lit(0.0)))
-    mixed = mixed.when(i % 5 == 0, F.slice(v, 1, 32)).when(i % 13 == 0, F.concat(v, F.slice(v, 1, 8))).otherwise(v)
+    mixed = mixed.when(i % 3 == 0, F.slice(v, 1, 32)).when(i % 13 == 0, F.concat(v, F.slice(v, 1, 8))).otherwise(v)
     return table(spark, sf, "embeddings").select(i.alias("id"), mixed.alias("vector"))
 
 
-def _register_mixed(name: str, most: int) -> None:
+def _register_mixed(name: str, most: int | None) -> None:
+    """The stated query set, ids divisible by 20, inline as far as its bytes allow, and in blocks."""
+    limit = {} if most is None else {"max_inline": most}
+
     @query(f"j1_mixed_vectors_{name}", f"{_MIXED_SQL} SELECT id, ref, similarity FROM s")
     def refs(spark, sf):
         m = _mixed(spark, sf)
-        return cross_refs(m, m.where("id % 9 < 2").select(F.col("id").alias("ref"), F.col("vector").alias("ref_vector")), max_inline=most)
+        return cross_refs(m, m.where("id % 20 = 0").select(F.col("id").alias("ref"), F.col("vector").alias("ref_vector")), **limit)
 
     @query(
         f"q1_mixed_vectors_{name}",
@@ -310,10 +334,10 @@ def _register_mixed(name: str, most: int) -> None:
     )
     def words(spark, sf):
         m = _mixed(spark, sf)
-        return similarity.nearest(m, m.where("id % 9 < 2").select(F.col("id").alias("query"), "vector"), 5, max_inline=most)
+        return similarity.nearest(m, m.where("id % 20 = 0").select(F.col("id").alias("query"), "vector"), 5, **limit)
 
 
-_register_mixed("inline", 10**6)
+_register_mixed("inline", None)
 _register_mixed("in_blocks", 0)
 
 
@@ -353,7 +377,7 @@ def _part_rows_sql(where: str) -> str:
         for r, k in _PART_REFS.items()
     )
     return f"""WITH {PART_CELLS_SQL}, t AS (SELECT paper_id AS id, table_id, string_agg(value, ' ' ORDER BY row, col) AS body FROM part_cells WHERE {where} GROUP BY paper_id, table_id),
-    x AS (SELECT id, table_id, {text_vector_sql('body')} AS vector FROM t) SELECT id, table_id, {refs} FROM x"""
+    x AS MATERIALIZED (SELECT id, table_id, {text_vector_sql('body')} AS vector FROM t) SELECT id, table_id, {refs} FROM x"""
 
 
 @query("q5_web_tables", _part_rows_sql("paper_id::BIGINT % 10 <> 3"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import LINE_ORDER, TOKENS_SQL, interval_lines
 from catalog.registry import query, table
+from catalog.similarity import token_vector_sql
 from gridmine.operators import ordering, tokens as token_ops
-from gridmine.operators.embed import tokens_vector
+from gridmine.operators.embed import tokens_vector_digest
 from gridmine.session import spread
 
 _ORDER = ", ".join(LINE_ORDER)
@@ -62,22 +63,25 @@ def _items(spark, sf, split, keep=lambda t: F.lit(True)):
 
 
 def _merged(df, runs):
-    """Merged words as rows with the mean vector of their pieces; no shuffle."""
+    """Merged words as rows with two numbers that every component of the mean vector of their pieces enters; no shuffle."""
     rows = df.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.*")
-    vectors = rows.withColumn("vector", tokens_vector("parts", _MERGE_DIMS))
-    ends = [F.round(F.get("vector", i), 6).alias(n) for i, n in ((0, "first"), (_MERGE_DIMS - 1, "last"))]
-    return vectors.select("doc_id", "pos", "token", "pieces", *ends)
+    rows = rows.withColumn("digest", tokens_vector_digest("parts", _MERGE_DIMS))
+    numbers = [F.round(F.get("digest", i), 6).alias(n) for i, n in enumerate(("total", "weighed"))]
+    return rows.select("doc_id", "pos", "token", "pieces", *numbers)
 
 
-def _component(token: str, i: int) -> str:
-    return f"(('0x' || substr(md5({token} || '#{i}'), 1, 8))::BIGINT * 2 / 4294967296.0 - 1)"
+def _digests_sql(tokens: str) -> str:
+    """digests(piece, total, weighed) of the distinct tokens of a query; that of a mean is the mean of them."""
+    return f"""digests AS (SELECT piece, list_sum(v) AS total, list_sum(list_transform(v, lambda x, i: x * i)) AS weighed
+      FROM (SELECT piece, {token_vector_sql('piece', _MERGE_DIMS)} AS v FROM (SELECT DISTINCT piece FROM ({tokens}))))"""
 
 
 @query(
     "w4_merge_subwords",
-    f"""WITH {PIECES_SQL} SELECT doc_id, min(pos)::INTEGER AS pos, any_value(word) AS token, count(*) AS pieces,
-      round(avg({_component('token', 0)}), 6) + 0.0 AS first, round(avg({_component('token', _MERGE_DIMS - 1)}), 6) + 0.0 AS last
-      FROM pieces GROUP BY doc_id, pos // 2""",
+    f"""WITH {PIECES_SQL}, {_digests_sql("SELECT token AS piece FROM pieces")}
+      SELECT doc_id, min(pos)::INTEGER AS pos, any_value(word) AS token, count(*) AS pieces,
+      round(avg(total), 6) + 0.0 AS total, round(avg(weighed), 6) + 0.0 AS weighed
+      FROM pieces JOIN digests ON piece = token GROUP BY doc_id, pos // 2""",
 )
 def w4(spark, sf):
     """Split words are put together again, with the mean of their piece vectors."""
@@ -98,12 +102,13 @@ SPANS_SQL = f"""{TOKENS_SQL}, marked AS (
 
 @query(
     "w5_merge_spans",
-    f"""WITH {SPANS_SQL} SELECT doc_id, (pos * 4)::INTEGER AS pos,
-      CASE WHEN span THEN '[' || token || ']' ELSE token END AS token, CASE WHEN span THEN 4 ELSE 1 END::BIGINT AS pieces,
-      round(CASE WHEN span THEN ({_component("'['", 0)} + {_component('token[1:-2]', 0)} + {_component('token[-1:]', 0)} + {_component("']'", 0)}) / 4
-                 ELSE {_component('token', 0)} END, 6) + 0.0 AS first,
-      round(CASE WHEN span THEN ({_component("'['", _MERGE_DIMS - 1)} + {_component('token[1:-2]', _MERGE_DIMS - 1)} + {_component('token[-1:]', _MERGE_DIMS - 1)} + {_component("']'", _MERGE_DIMS - 1)}) / 4
-                 ELSE {_component('token', _MERGE_DIMS - 1)} END, 6) + 0.0 AS last FROM marked""",
+    f"""WITH {SPANS_SQL}, parts AS (
+      SELECT doc_id, pos, CASE WHEN span THEN '[' || token || ']' ELSE token END AS token,
+             unnest(CASE WHEN span THEN ['[', token[1:-2], token[-1:], ']'] ELSE [token] END) AS piece FROM marked),
+    {_digests_sql("SELECT piece FROM parts")}
+    SELECT doc_id, (pos * 4)::INTEGER AS pos, any_value(token) AS token, count(*) AS pieces,
+      round(avg(total), 6) + 0.0 AS total, round(avg(weighed), 6) + 0.0 AS weighed
+    FROM parts JOIN digests USING (piece) GROUP BY doc_id, pos""",
 )
 def w5(spark, sf):
     def split(x):

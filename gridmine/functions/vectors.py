@@ -112,12 +112,21 @@ def score_refs(v: str | Column, refs: np.ndarray, rounded: bool = True) -> Colum
     return costly(score)(as_col(v))
 
 
+#: Components that one digest of the default encoder gives (16 bits each).
+PER_DIGEST = 16
+
+
 def hash_vector(token: str | Column, dims: int) -> Column:
-    """Default encoder: component i is the first 32 bits of md5(token#i), scaled to [-1, 1]."""
+    """Default encoder: component i is bits 16 * (i % 16) and following of sha-256(token#(i // 16)), scaled to [-1, 1).
+
+    Values are whole multiples of 2**-15, so they and their sums do not depend on the order of addition.
+    """
     token = as_col(token)
 
-    def component(i: int) -> Column:
-        digest = F.md5(F.concat(token, F.lit(f"#{i}")))
-        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") * 2 / F.lit(4294967296.0) - 1
+    def parts(digest: Column) -> Column:
+        words = F.transform(F.sequence(F.lit(0), F.lit(PER_DIGEST - 1)), lambda k: F.conv(F.substring(digest, k * 4 + 1, F.lit(4)), 16, 10))
+        return F.transform(words, lambda x: x.cast("double") / F.lit(32768.0) - 1)
 
-    return F.array(*[component(i) for i in range(dims)])
+    n = -(-dims // PER_DIGEST)
+    digests = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.sha2(F.concat(token, F.lit("#"), b.cast("string")), 256))
+    return F.slice(F.flatten(F.transform(digests, parts)), 1, dims)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from gridmine.functions.numbers import range_token
 from gridmine.functions.predicates import Pattern, as_col, matches_any, not_empty
 from gridmine.operators.ordering import assign_ids, number_rows
-from gridmine.session import materialise
+from gridmine.session import materialise, partition_count
 
 
 def vec_mean(df: DataFrame, by: Sequence[str], vector: str = "vector") -> DataFrame:
@@ -57,17 +60,56 @@ def vec_fold(
 ) -> DataFrame:
     """Column vector from its cell vectors.
 
-    ``mean`` is the plain mean. ``decay`` divides the running sum by the number of body
-    rows n after every cell; unrolled, the cell that is r-th from the end weighs n^-r, so
-    it is a weighted sum. Ranks come from ``number_rows``, safe for one huge column.
+    ``mean`` is the plain mean. ``decay`` divides the running sum by the number of body rows n
+    after every cell; unrolled, the cell that is r-th from the end weighs n^-r. That fold merges: a
+    stretch of a column is (cells, weighted sum), and two stretches in row order are (a + b, A * n^-b + B).
+    Tasks hold ranges of the order, so one huge column is folded in many of them, and only a vector per
+    stretch is shuffled.
     """
     if mode == "mean":
         return vec_mean(cells, by, vector)
-    ranked = number_rows(cells, list(order), "_k", partition_by=list(by))
-    last = ranked.groupBy(*by).agg(F.max("_k").alias("_m"))
-    weight = F.pow(F.col(rows).cast("double"), -(F.col("_m") - F.col("_k") + 1))
-    weighted = ranked.join(last, list(by)).withColumn(vector, _scaled(vector, weight))
-    return vec_sum(weighted, by, vector)
+    parts = _folded_stretches(cells, list(by), rows, list(order), vector)
+    later = W.partitionBy(*by).orderBy(F.desc("_seq")).rowsBetween(W.unboundedPreceding, -1)
+    after = F.coalesce(F.sum("_cells").over(later), F.lit(0))
+    weight = F.pow(F.col("_rows"), -after.cast("double"))
+    return vec_sum(parts.withColumn("_w", weight).withColumn(vector, _scaled(vector, F.col("_w"))), by, vector)
+
+
+def _folded_stretches(cells: DataFrame, by: list[str], rows: str, order: list[str], vector: str) -> DataFrame:
+    """(by, _seq, _cells, _rows, vector): the fold of each stretch of a group, numbered in row order."""
+    keys = "".join(f"`{c}` {cells.schema[c].dataType.simpleString()}, " for c in by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[0] = True
+            codes = [np.asarray(batch.column(k).dictionary_encode(null_encoding="encode").indices) for k in range(len(by))]
+            lists = batch.column(len(by) + 1)
+            width = np.asarray(lists.value_lengths().fill_null(0))
+            for code in [*codes, width]:  # vectors of other length are told apart, as they cannot be added
+                new[1:] |= code[1:] != code[:-1]
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], n)
+            body = np.asarray(batch.column(len(by)).cast(pa.float64()))
+            place = np.repeat(ends, ends - starts) - np.arange(n)  # 1 for the last cell of its stretch
+            weight = body ** -place.astype(float)
+            flat = np.asarray(lists.flatten(), dtype=float)
+            at = np.concatenate([[0], np.cumsum(width)])
+            sums = [weight[a:b] @ flat[at[a] : at[b]].reshape(b - a, -1) for a, b in zip(starts, ends, strict=True)]
+            folded = pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))
+            picked = [batch.column(k).take(pa.array(starts)) for k in range(len(by))]
+            numbers = [pa.array(seq + np.arange(len(starts))), pa.array(ends - starts), pa.array(body[starts])]
+            seq += len(starts)
+            yield pa.record_batch([*picked, *numbers, folded], [*by, "_seq", "_cells", "_rows", vector])
+
+    wanted = cells.select(*by, rows, F.col(vector).cast("array<double>").alias(vector), *[c for c in order if c not in by])
+    n = partition_count(cells.sparkSession)
+    ordered = wanted.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
+    return ordered.mapInArrow(run, f"{keys}_seq long, _cells long, _rows double, `{vector}` array<double>")
 
 
 def _scaled(vector: str, weight: Column) -> Column:
@@ -106,16 +148,42 @@ def range_dictionary_ids(ranges: DataFrame, seen: Sequence[str]) -> DataFrame:
     return assign_ids(materialise(first), ["_seen", *keys]).drop("_seen")
 
 
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The ``size`` most frequent (word, freq), ties in word order.
+
+    A histogram of frequencies tells the frequency at the cut; only words of just that frequency are ordered.
+    """
+    histogram = counts.groupBy("freq").agg(F.count(F.lit(1)).alias("words"))
+    # one row per frequency, of which a corpus of n tokens has at most sqrt(2 n)
+    above = F.coalesce(F.sum("words").over(W.orderBy(F.desc("freq")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = histogram.withColumn("above", above).where(F.col("above") + F.col("words") > size).orderBy("above").first()
+    if cut is None:
+        return counts
+    tied = counts.where(F.col("freq") == cut["freq"]).orderBy("word").limit(max(0, size - cut["above"]))
+    return counts.where(F.col("freq") > cut["freq"]).unionByName(tied)
+
+
+#: Survivors of a cut that are numbered in one task.
+MOST_SORTED = 200_000
+
+
 def vocabulary(tokens: DataFrame, size: int | None, min_df: int = 1, doc: str | None = None) -> DataFrame:
-    """Most frequent words (all if no size is given) with index 1..; ties in word order; optional minimum document count."""
-    aggs = [F.count("*").alias("freq")]
-    if min_df > 1:
-        aggs.append(F.count_distinct(doc).alias("_df"))
-    counts = tokens.groupBy(F.col("token").alias("word")).agg(*aggs)
+    """Most frequent words (all if no size is given) with index 1..; ties in word order; optional minimum document count.
+
+    Words are counted once and cut before any are numbered.
+    """
+    word = F.col("token").alias("word")
     if min_df > 1:
+        inside = tokens.groupBy(doc, word).agg(F.count(F.lit(1)).alias("n"))
+        counts = inside.groupBy("word").agg(F.sum("n").alias("freq"), F.count(F.lit(1)).alias("_df"))
         counts = counts.filter(F.col("_df") >= min_df).drop("_df")
-    numbered = number_rows(counts.withColumn("_less", -F.col("freq")), ["_less", "word"], "idx")
-    return (numbered if size is None else numbered.filter(F.col("idx") <= size)).drop("_less")
+    else:
+        counts = tokens.groupBy(word).agg(F.count(F.lit(1)).alias("freq"))
+    if size is not None:
+        counts = most_frequent(materialise(counts), size)
+        if size <= MOST_SORTED:
+            return counts.withColumn("idx", F.row_number().over(W.orderBy(F.desc("freq"), "word")).cast("long"))
+    return number_rows(counts.withColumn("_less", -F.col("freq")), ["_less", "word"], "idx").drop("_less")
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

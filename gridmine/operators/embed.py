@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from hashlib import md5
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmine.functions.predicates import as_col
-from gridmine.functions.vectors import costly, hash_vector
+from gridmine.functions.vectors import PER_DIGEST, costly
 
 #: list of texts -> list of vectors; built once per Python worker by a factory.
 EncoderFactory = Callable[[], Callable[[list[str]], list[list[float]]]]
@@ -23,11 +23,11 @@ def words_of(c: str | Column, lower: bool = True) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda t: t != "")
 
 
-def _token_vectors(tokens: list[str], dims: int) -> np.ndarray:
-    """Default encoder on distinct tokens; the same numbers as ``hash_vector``."""
-    labels = [f"#{i}".encode() for i in range(dims)]
-    bits = b"".join(md5(raw + label).digest()[:4] for raw in (t.encode() for t in tokens) for label in labels)
-    return np.frombuffer(bits, dtype=">u4").astype(float).reshape(-1, dims) * 2 / 4294967296.0 - 1
+def _token_codes(tokens: list[str], dims: int) -> np.ndarray:
+    """Default encoder on distinct tokens, as 16-bit numbers x; ``hash_vector`` gives x / 2**15 - 1."""
+    labels = [f"#{i}".encode() for i in range(-(-dims // PER_DIGEST))]
+    bits = b"".join([sha256(raw + label).digest() for raw in [t.encode() for t in tokens] for label in labels])
+    return np.frombuffer(bits, dtype=">u2").reshape(-1, len(labels) * PER_DIGEST)[:, :dims].astype(np.uint16)
 
 
 def _segment_sums(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -39,45 +39,64 @@ def _segment_sums(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-_TOKENS_AT_ONCE = 1 << 18
+#: Numbers gathered at once when token rows are summed (64 MB).
+_GATHERED = 1 << 23
 #: Components of token vectors a task remembers between batches (64 MB).
-_REMEMBERED = 1 << 23
-_known: dict[int, dict[str, np.ndarray]] = {}
+_REMEMBERED = 1 << 25
+_known: dict[int, tuple[dict[str, int], np.ndarray]] = {}
 
 
 def _token_table(tokens: list[str], dims: int) -> np.ndarray:
-    """``_token_vectors`` of distinct tokens, with those of earlier batches of the task remembered."""
-    known = _known.setdefault(dims, {})
-    new = [t for t in tokens if t not in known]
-    if (len(known) + len(new)) * dims > _REMEMBERED:
-        known.clear()
-        new = tokens
-    rows = _token_vectors(new, dims)
-    if len(new) == len(tokens):
-        if rows.size <= _REMEMBERED:
-            known.update(zip(new, rows, strict=True))
-        return rows
-    known.update(zip(new, rows, strict=True))
-    return np.stack([known[t] for t in tokens])
-
+    """``_token_codes`` of distinct tokens, with those of earlier batches of the task remembered."""
+    place, table = _known.get(dims, ({}, np.zeros((0, dims), np.uint16)))
+    new = [t for t in tokens if t not in place]
+    if (len(place) + len(new)) * dims > _REMEMBERED:
+        place, table, new = {}, table[:0], tokens
+    if len(new) * dims > _REMEMBERED:
+        return _token_codes(tokens, dims)
+    if new:
+        place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+        if len(place) > len(table):  # grows by doubling
+            table = np.concatenate([table, np.empty((max(len(place), 2 * len(table)) - len(table), dims), np.uint16)])
+        table[len(place) - len(new) : len(place)] = _token_codes(new, dims)
+    _known[dims] = place, table
+    return table[np.fromiter((place[t] for t in tokens), np.int64, len(tokens))]
+
+
+def _code_sums(index: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sums of the table rows that each run of ``index`` names, in slices of bounded size."""
+    sums = np.zeros((len(lengths), table.shape[1]))
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    most = max(1, _GATHERED // max(1, table.shape[1]))
+    first = 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
+        if at[last] - at[first] > most:  # one long run
+            for k in range(at[first], at[last], most):
+                sums[first] += table[index[k : min(k + most, at[last])]].sum(axis=0, dtype=np.float64)
+        else:
+            filled = first + np.flatnonzero(lengths[first:last])
+            if len(filled):
+                rows = table[index[at[first] : at[last]]]
+                sums[filled] = np.add.reduceat(rows, at[filled] - at[first], axis=0, dtype=np.float64)
+        first = last
+    return sums
 
-def _mean_vectors(words: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean token vector per list of words, and the word counts.
 
-    Each distinct token of the batch is hashed once; token rows are gathered in slices.
-    """
+def _coded(words: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token of each place, words of each row, codes of the distinct tokens): each token is hashed once."""
     lengths = np.asarray(words.value_lengths().fill_null(0), dtype=np.int64)
     coded = words.flatten().dictionary_encode()
-    table = _token_table(coded.dictionary.to_pylist(), dims)
-    index = np.asarray(coded.indices)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    sums = np.zeros((len(lengths), dims))
-    for first in range(0, len(index), _TOKENS_AT_ONCE):
-        part = slice(first, first + _TOKENS_AT_ONCE)
-        low, high = owner[part][0], owner[part][-1] + 1
-        runs = np.bincount(owner[part] - low, minlength=high - low)
-        sums[low:high] += _segment_sums(table[index[part]], runs)
-    return sums / np.maximum(lengths, 1)[:, None], lengths
+    return np.asarray(coded.indices), lengths, _token_table(coded.dictionary.to_pylist(), dims)
+
+
+def _mean_vectors(words: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean token vector per list of words, and the word counts."""
+    index, lengths, table = _coded(words, dims)
+    sums = _code_sums(index, lengths, table)
+    sums /= 32768.0 * np.maximum(lengths, 1)[:, None]
+    sums[lengths > 0] -= 1
+    return sums, lengths
 
 
 def _vector_array(rows: np.ndarray, usable: np.ndarray) -> pa.Array:
@@ -85,6 +104,26 @@ def _vector_array(rows: np.ndarray, usable: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows[usable].ravel()), mask=pa.array(~usable))
 
 
+def _pooled_tables(tables: pa.Array, numbers: np.ndarray, dims: int, pool) -> pa.Array:
+    """One vector per table from the vectors of its texts, a few tables at a time.
+
+    ``pool(rows, used, texts per table, number of each table)`` gives the vectors and which of them count.
+    """
+    counts = np.asarray(tables.value_lengths().fill_null(0), dtype=np.int64)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    texts = tables.flatten()
+    most = max(1, _GATHERED // dims)
+    out, usable, first = [np.zeros((0, dims))], [np.zeros(0, bool)], 0
+    while first < len(counts):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
+        rows, lengths = _mean_vectors(texts.slice(at[first], at[last] - at[first]), dims)
+        vectors, used = pool(rows, lengths > 0, counts[first:last], numbers[first:last])
+        out.append(vectors)
+        usable.append(used)
+        first = last
+    return _vector_array(np.concatenate(out), np.concatenate(usable))
+
+
 def text_vector(c: str | Column, dims: int, lower: bool = True) -> Column:
     """Mean of the default token vectors of a text; NULL for a text without tokens.
 
@@ -105,15 +144,48 @@ def tokens_vector(tokens: str | Column, dims: int) -> Column:
     return costly(mean)(as_col(tokens))
 
 
+def digest_of(vectors: np.ndarray) -> np.ndarray:
+    """Two numbers per vector that every component enters: their sum, and the sum weighed by place (1, 2, ...)."""
+    return np.stack([vectors.sum(axis=1), vectors @ np.arange(1.0, vectors.shape[1] + 1)], axis=1)
+
+
+def tokens_vector_digest(tokens: str | Column, dims: int) -> Column:
+    """``digest_of`` the vector that ``tokens_vector`` gives, where the vector itself need not leave the worker."""
+
+    @F.arrow_udf("array<double>")
+    def digest(words: pa.Array) -> pa.Array:
+        index, lengths, table = _coded(words, dims)
+        parts = []
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        step = max(1, _GATHERED // dims)
+        for first in range(0, len(lengths), step):
+            own = lengths[first : first + step]
+            sums = _code_sums(index[at[first] : at[first] + own.sum()], own, table)
+            sums /= 32768.0 * np.maximum(own, 1)[:, None]
+            sums -= 1
+            parts.append(digest_of(sums))
+        return _vector_array(np.concatenate([np.zeros((0, 2)), *parts]), lengths > 0)
+
+    return costly(digest)(as_col(tokens))
+
+
+def vector_digest(vector: str | Column) -> Column:
+    """``digest_of`` an array column, in the JVM."""
+    v = as_col(vector)
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    weighed = F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(v) > 0, F.array(total, weighed))
+
+
 def row_sum_vector(row_texts: str | Column, dims: int, lower: bool = True) -> Column:
     """Sum of the text vectors of the rows of a table; NULL if no row has tokens."""
 
+    def pooled(rows: np.ndarray, used: np.ndarray, per_table: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _segment_sums(rows, per_table), _segment_sums(used.astype(float)[:, None], per_table)[:, 0] > 0
+
     @F.arrow_udf("array<double>")
     def total(tables: pa.Array) -> pa.Array:
-        rows, lengths = _mean_vectors(tables.flatten(), dims)
-        per_table = np.asarray(tables.value_lengths().fill_null(0), dtype=np.int64)
-        used = _segment_sums((lengths > 0).astype(float)[:, None], per_table)[:, 0] > 0
-        return _vector_array(_segment_sums(rows, per_table), used)
+        return _pooled_tables(tables, np.zeros(len(tables)), dims, pooled)
 
     return costly(total)(F.transform(as_col(row_texts), lambda t: words_of(t, lower)))
 
@@ -125,27 +197,27 @@ def fold_vector(texts: str | Column, n: str | Column, dims: int, mode: str = "me
     after every cell, so the cell that is r-th from the end weighs n^-r.
     """
 
-    @F.arrow_udf("array<double>")
-    def fold(columns: pa.Array, sizes: pa.Array) -> pa.Array:
-        rows, lengths = _mean_vectors(columns.flatten(), dims)
-        cells = np.asarray(columns.value_lengths().fill_null(0), dtype=np.int64)
+    def pooled(rows: np.ndarray, used: np.ndarray, cells: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(cells)), cells)
-        used = lengths > 0
         count = np.bincount(owner[used], minlength=len(cells))
         if mode == "mean":
             weight = np.where(used, 1.0 / np.maximum(count, 1)[owner], 0.0)
         else:
             place = np.cumsum(used) - (np.cumsum(count) - count)[owner]
-            base = np.asarray(sizes.fill_null(1), dtype=float)
             weight = np.where(used, base[owner] ** -(count[owner] - place + 1.0), 0.0)
-        return _vector_array(_segment_sums(rows * weight[:, None], cells), count > 0)
+        rows *= weight[:, None]
+        return _segment_sums(rows, cells), count > 0
+
+    @F.arrow_udf("array<double>")
+    def fold(columns: pa.Array, sizes: pa.Array) -> pa.Array:
+        return _pooled_tables(columns, np.asarray(sizes.fill_null(1), dtype=float), dims, pooled)
 
     return costly(fold)(F.transform(as_col(texts), lambda t: words_of(t, lower)), as_col(n))
 
 
 def embed_tokens(tokens: DataFrame, dims: int, name: str = "vector") -> DataFrame:
-    """Default encoder on token rows."""
-    return tokens.withColumn(name, hash_vector("token", dims))
+    """Default encoder on token rows, per Arrow batch; ``hash_vector`` gives the same in the JVM."""
+    return tokens.withColumn(name, F.when(F.col("token").isNotNull(), tokens_vector(F.array("token"), dims)))
 
 
 def embed_with(df: DataFrame, c: str, factory: EncoderFactory, name: str = "vector") -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gridmine.functions.vectors import costly
+from gridmine.operators.dictionaries import encode_by_blocks
 from gridmine.operators.ordering import number_rows
-from gridmine.session import materialise
 
 #: Reference sets up to this many vectors travel with the plan; larger ones are joined in blocks.
 MAX_INLINE_REFS = 256
@@ -234,7 +234,8 @@ def encode_arrays(df: DataFrame, words: str, vocab: DataFrame, name: str = "ids"
     """Adds the id sequence of an array of words; unknown words are dropped, order is kept.
 
     A vocabulary of at most ``limit`` words travels with the plan and is looked up per Arrow batch,
-    without a shuffle. A larger one is joined: the words of a row are numbered, joined and gathered.
+    without a shuffle. A larger one meets the distinct words of blocks of rows (``encode_by_blocks``, which
+    drops the array of words; callers that do not need it save its copy).
     Rows without any known word get an empty sequence.
     """
     table = small_table(vocab.select("word", F.col("idx").cast("long").alias("idx")), limit)
@@ -252,8 +253,4 @@ def encode_arrays(df: DataFrame, words: str, vocab: DataFrame, name: str = "ids"
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[at[at > 0]], pa.int64()))
 
         return df.withColumn(name, costly(look_up)(F.col(words)))
-    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
-    tokens = rows.select("_row", F.posexplode(words).alias("pos", "token"))
-    return rows.join(encode(tokens, vocab, "_row", name), "_row", "left").drop("_row").withColumn(
-        name, F.coalesce(F.col(name).cast("array<bigint>"), F.array().cast("array<bigint>"))
-    )
+    return encode_by_blocks(df.withColumn("_encoded", F.col(words)), "_encoded", vocab, name).select(*df.columns, name)

@@ -195,9 +195,22 @@ def assign_ids(df: DataFrame, order: Sequence[str], prefix: str = "unq_tkn_", na
 
 
 def page(df: DataFrame, offset: int, n: int, order: Sequence[str]) -> DataFrame:
-    """OFFSET/LIMIT with an explicit order; a deep offset gathers no rows before it in one task."""
-    numbered = number_rows(df, order, "_rn").filter((F.col("_rn") > offset) & (F.col("_rn") <= offset + n))
-    return numbered.orderBy("_rn").drop("_rn")
+    """OFFSET/LIMIT with an explicit order: only the ordered buckets that hold the page are sorted.
+
+    Counts per bucket (one row each) tell which these are; rows before and after them are not numbered,
+    shuffled or sorted.
+    """
+    df = materialise(df)
+    bucket = order_bucket(df, order)
+    sizes = dict(df.groupBy(bucket.alias(_BUCKET)).count().collect())  # as many as buckets
+    before, wanted, skipped = 0, [], 0
+    for b in sorted(sizes):
+        if before + sizes[b] > offset and before < offset + n:
+            if not wanted:
+                skipped = before
+            wanted.append(b)
+        before += sizes[b]
+    return df.where(bucket.isin(wanted)).orderBy(*order).offset(max(0, offset - skipped)).limit(n)
 
 
 def limit(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:

@@ -36,17 +36,20 @@ def test_encoding_keeps_the_words_of_a_large_vocabulary(spark, tmp_path):
         assert got == {d: " ".join(str(k + 1) for k in range(d * 200, d * 200 + 200)) for d in range(size // 200)}
 
 
-def component(token, i):
-    return int(hashlib.md5(f"{token}#{i}".encode()).hexdigest()[:8], 16) * 2 / 2**32 - 1
+def vector(token, dims=768):
+    digests = b"".join(hashlib.sha256(f"{token}#{i}".encode()).digest() for i in range(dims // 16))
+    return [int.from_bytes(digests[2 * i : 2 * i + 2], "big") / 2**15 - 1 for i in range(dims)]
 
 
 def test_encoders_have_the_full_width(spark, tmp_path):
     sf = documents(spark, tmp_path, ["one two", "two three three"])
-    got = {(r["token"], r["pos"]): r["x"] for r in entry.queries()["m12_embed_tokens"](spark, sf).collect()}
-    assert got == pytest.approx({(t, i): component(t, i) for t in ("one", "two", "three") for i in range(768)}, abs=1e-6)
-    got = {(r["doc_id"], r["pos"]): r["x"] for r in entry.queries()["m12_embed_texts"](spark, sf).collect()}
+    rows = entry.queries()["m12_embed_tokens"](spark, sf).collect()
+    got = {r["token"]: (r["width"], r["total"], r["weighed"]) for r in rows}
+    digest = lambda v: (768, pytest.approx(sum(v), abs=2e-3), pytest.approx(sum((i + 1) * x for i, x in enumerate(v)), abs=2e-3))
+    assert got == {t: digest(vector(t)) for t in ("one", "two", "three")} and len(rows) == 3
+    got = {r["doc_id"]: (r["width"], r["total"], r["weighed"]) for r in entry.queries()["m12_embed_texts"](spark, sf).collect()}
     words = {0: ["one", "two"], 1: ["two", "three", "three"]}
-    assert got == pytest.approx({(d, i): sum(component(t, i) for t in w) / len(w) for d, w in words.items() for i in range(768)}, abs=1e-6)
+    assert got == {d: digest([sum(x) / len(w) for x in zip(*map(vector, w))]) for d, w in words.items()}
 
 
 def test_mean_vector_network_has_the_full_width(spark, tmp_path, monkeypatch):

@@ -21,10 +21,10 @@ DIMS = WIDTH = 768
 
 
 def token_vector_sql(t: str, dims: int) -> str:
-    """Vector of a token: 16 numbers of 16 bits from each digest."""
-    digests = f"list_transform(generate_series(0, {-(-dims // 16) - 1}), lambda b: sha256({t} || '#' || b::VARCHAR))"
-    numbers = "list_transform(generate_series(0, 15), lambda k: ('0x' || substr(h, k * 4 + 1, 4))::BIGINT / 32768.0::DOUBLE - 1)"
-    return f"flatten(list_transform({digests}, lambda h: {numbers}))[1:{dims}]"
+    """Vector of a token from three 32-bit words of its md5."""
+    word = ", ".join(f"{n} := ('0x' || substr(md5({t}), {8 * k + 1}, 8))::BIGINT" for k, n in enumerate("abc"))
+    number = "((s.a + s.b * i + s.c * i * i) % 4294967296 // 65536) / 32768.0::DOUBLE - 1"
+    return f"list_transform([struct_pack({word})], lambda s: list_transform(generate_series(0, {dims - 1}), lambda i: {number}))[1]"
 
 
 def text_vector_sql(c: str, dims: int = DIMS) -> str:

@@ -112,21 +112,21 @@ def score_refs(v: str | Column, refs: np.ndarray, rounded: bool = True) -> Colum
     return costly(score)(as_col(v))
 
 
-#: Components that one digest of the default encoder gives (16 bits each).
-PER_DIGEST = 16
-
-
 def hash_vector(token: str | Column, dims: int) -> Column:
-    """Default encoder: component i is bits 16 * (i % 16) and following of sha-256(token#(i // 16)), scaled to [-1, 1).
+    """Default encoder: component i is the upper half of the 32 bits of a + b i + c i^2, scaled to [-1, 1).
 
-    Values are whole multiples of 2**-15, so they and their sums do not depend on the order of addition.
+    a, b and c are the first three words (of 32 bits) of md5(token). Values are whole multiples of 2**-15,
+    so their sums do not depend on the order of addition.
     """
-    token = as_col(token)
+    digest = F.md5(as_col(token).cast("binary"))
+    word = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(3)]
+
+    def components(w: Column) -> Column:
+        def one(i: Column) -> Column:
+            x = w["a"] + w["b"] * i + w["c"] * i * i
+            return F.shiftright(F.pmod(x, F.lit(1 << 32)), 16).cast("double") / F.lit(32768.0) - 1
 
-    def parts(digest: Column) -> Column:
-        words = F.transform(F.sequence(F.lit(0), F.lit(PER_DIGEST - 1)), lambda k: F.conv(F.substring(digest, k * 4 + 1, F.lit(4)), 16, 10))
-        return F.transform(words, lambda x: x.cast("double") / F.lit(32768.0) - 1)
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), one)
 
-    n = -(-dims // PER_DIGEST)
-    digests = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.sha2(F.concat(token, F.lit("#"), b.cast("string")), 256))
-    return F.slice(F.flatten(F.transform(digests, parts)), 1, dims)
+    seeds = F.struct(*[w.alias(n) for w, n in zip(word, "abc", strict=True)])
+    return F.when(digest.isNotNull(), F.get(F.transform(F.array(seeds), components), 0))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from hashlib import sha256
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmine.functions.predicates import as_col
-from gridmine.functions.vectors import PER_DIGEST, costly
+from gridmine.functions.vectors import costly
 
 #: list of texts -> list of vectors; built once per Python worker by a factory.
 EncoderFactory = Callable[[], Callable[[list[str]], list[list[float]]]]
@@ -25,75 +25,77 @@ def words_of(c: str | Column, lower: bool = True) -> Column:
 
 def _token_codes(tokens: list[str], dims: int) -> np.ndarray:
     """Default encoder on distinct tokens, as 16-bit numbers x; ``hash_vector`` gives x / 2**15 - 1."""
-    labels = [f"#{i}".encode() for i in range(-(-dims // PER_DIGEST))]
-    bits = b"".join([sha256(raw + label).digest() for raw in [t.encode() for t in tokens] for label in labels])
-    return np.frombuffer(bits, dtype=">u2").reshape(-1, len(labels) * PER_DIGEST)[:, :dims].astype(np.uint16)
+    digests = b"".join([md5(t.encode()).digest() for t in tokens])
+    a, b, c = np.frombuffer(digests, ">u4").astype(np.uint32).reshape(-1, 4).T[:3, :, None]
+    i = np.arange(dims, dtype=np.uint32)
+    out = np.empty((len(tokens), dims), np.uint16)
+    step = max(1, _GATHERED // dims)
+    for k in range(0, len(tokens), step):
+        part = slice(k, k + step)
+        out[part] = (a[part] + b[part] * i + c[part] * (i * i)) >> np.uint32(16)
+    return out
 
 
-def _segment_sums(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of rows; empty runs give zeros."""
-    out = np.zeros((len(lengths), rows.shape[1]))
-    filled = np.flatnonzero(lengths)
-    if len(filled):
-        out[filled] = np.add.reduceat(rows, (np.cumsum(lengths) - lengths)[filled], axis=0)
+#: Numbers worked on at once (16 to 32 MB).
+_GATHERED = 1 << 22
+#: Runs up to this length are added up place by place, longer ones one by one.
+_SHORT_RUN = 16
+
+
+def _run_sums(table: np.ndarray, index: np.ndarray, lengths: np.ndarray, kind: type) -> np.ndarray:
+    """Sums (of a number type) of the table rows that consecutive runs of ``index`` name; empty runs give zeros."""
+    out = np.zeros((len(lengths), table.shape[1]), kind)
+    at = np.cumsum(lengths) - lengths
+    short = np.flatnonzero((lengths > 0) & (lengths <= _SHORT_RUN))
+    short = short[np.argsort(-lengths[short], kind="stable")]
+    step = max(1, _GATHERED // table.shape[1])
+    for first in range(0, len(short), step):
+        rows = short[first : first + step]
+        sums = np.zeros((len(rows), table.shape[1]), kind)
+        for k in range(int(lengths[rows[0]])):
+            more = int(np.searchsorted(-lengths[rows], -k, side="left"))
+            sums[:more] += table.take(index[at[rows[:more]] + k], axis=0)
+        out[rows] = sums
+    for r in np.flatnonzero(lengths > _SHORT_RUN).tolist():
+        for k in range(at[r], at[r] + lengths[r], step):
+            out[r] += table.take(index[k : min(k + step, at[r] + lengths[r])], axis=0).sum(axis=0, dtype=kind)
     return out
 
 
-#: Numbers gathered at once when token rows are summed (64 MB).
-_GATHERED = 1 << 23
-#: Components of token vectors a task remembers between batches (64 MB).
-_REMEMBERED = 1 << 25
-_known: dict[int, tuple[dict[str, int], np.ndarray]] = {}
-
-
-def _token_table(tokens: list[str], dims: int) -> np.ndarray:
-    """``_token_codes`` of distinct tokens, with those of earlier batches of the task remembered."""
-    place, table = _known.get(dims, ({}, np.zeros((0, dims), np.uint16)))
-    new = [t for t in tokens if t not in place]
-    if (len(place) + len(new)) * dims > _REMEMBERED:
-        place, table, new = {}, table[:0], tokens
-    if len(new) * dims > _REMEMBERED:
-        return _token_codes(tokens, dims)
-    if new:
-        place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-        if len(place) > len(table):  # grows by doubling
-            table = np.concatenate([table, np.empty((max(len(place), 2 * len(table)) - len(table), dims), np.uint16)])
-        table[len(place) - len(new) : len(place)] = _token_codes(new, dims)
-    _known[dims] = place, table
-    return table[np.fromiter((place[t] for t in tokens), np.int64, len(tokens))]
-
-
-def _code_sums(index: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sums of the table rows that each run of ``index`` names, in slices of bounded size."""
-    sums = np.zeros((len(lengths), table.shape[1]))
-    at = np.concatenate([[0], np.cumsum(lengths)])
-    most = max(1, _GATHERED // max(1, table.shape[1]))
-    first = 0
-    while first < len(lengths):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
-        if at[last] - at[first] > most:  # one long run
-            for k in range(at[first], at[last], most):
-                sums[first] += table[index[k : min(k + most, at[last])]].sum(axis=0, dtype=np.float64)
-        else:
-            filled = first + np.flatnonzero(lengths[first:last])
-            if len(filled):
-                rows = table[index[at[first] : at[last]]]
-                sums[filled] = np.add.reduceat(rows, at[filled] - at[first], axis=0, dtype=np.float64)
-        first = last
-    return sums
+def _segment_sums(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of rows; empty runs give zeros."""
+    return _run_sums(rows, np.arange(len(rows)), lengths, float)
 
 
-def _coded(words: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token of each place, words of each row, codes of the distinct tokens): each token is hashed once."""
-    lengths = np.asarray(words.value_lengths().fill_null(0), dtype=np.int64)
-    coded = words.flatten().dictionary_encode()
-    return np.asarray(coded.indices), lengths, _token_table(coded.dictionary.to_pylist(), dims)
+#: Tokens whose codes are held at once (200 MB at 768 components, if all are different).
+_TOKENS_AT_ONCE = 1 << 17
 
 
 def _mean_vectors(words: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean token vector per list of words, and the word counts."""
-    index, lengths, table = _coded(words, dims)
-    sums = _code_sums(index, lengths, table)
+    """Mean token vector per list of words, and the word counts.
+
+    Texts are taken in slices of ``_TOKENS_AT_ONCE`` words, long ones in pieces; each distinct token of a slice is hashed once.
+    """
+    lengths = np.asarray(words.value_lengths().fill_null(0), dtype=np.int64)
+    flat = words.flatten()
+    pieces = -(-lengths // _TOKENS_AT_ONCE)
+    owner = np.repeat(np.arange(len(lengths)), pieces)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    size = np.minimum(lengths[owner] - nth * _TOKENS_AT_ONCE, _TOKENS_AT_ONCE)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    sums = np.zeros((len(lengths), dims))
+    first = 0
+    while first < len(owner):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + _TOKENS_AT_ONCE, side="right")) - 1)
+        coded = flat.slice(ends[first], ends[last] - ends[first]).dictionary_encode()
+        table = _token_codes(coded.dictionary.to_pylist(), dims)
+        kind = np.uint32 if size[first:last].max() <= 1 << 16 else np.uint64  # sums of 16-bit numbers
+        own = _run_sums(table, np.asarray(coded.indices), size[first:last], kind)
+        if pieces.max(initial=0) <= 1:
+            sums[owner[first:last]] = own
+        else:
+            np.add.at(sums, owner[first:last], own)
+        first = last
     sums /= 32768.0 * np.maximum(lengths, 1)[:, None]
     sums[lengths > 0] -= 1
     return sums, lengths
@@ -152,19 +154,16 @@ def digest_of(vectors: np.ndarray) -> np.ndarray:
 def tokens_vector_digest(tokens: str | Column, dims: int) -> Column:
     """``digest_of`` the vector that ``tokens_vector`` gives, where the vector itself need not leave the worker."""
 
+    step = max(1, _GATHERED // dims)
+
     @F.arrow_udf("array<double>")
     def digest(words: pa.Array) -> pa.Array:
-        index, lengths, table = _coded(words, dims)
-        parts = []
-        at = np.concatenate([[0], np.cumsum(lengths)])
-        step = max(1, _GATHERED // dims)
-        for first in range(0, len(lengths), step):
-            own = lengths[first : first + step]
-            sums = _code_sums(index[at[first] : at[first] + own.sum()], own, table)
-            sums /= 32768.0 * np.maximum(own, 1)[:, None]
-            sums -= 1
-            parts.append(digest_of(sums))
-        return _vector_array(np.concatenate([np.zeros((0, 2)), *parts]), lengths > 0)
+        parts, used = [np.zeros((0, 2))], [np.zeros(0, bool)]
+        for first in range(0, len(words), step):
+            vectors, lengths = _mean_vectors(words.slice(first, step), dims)
+            parts.append(digest_of(vectors))
+            used.append(lengths > 0)
+        return _vector_array(np.concatenate(parts), np.concatenate(used))
 
     return costly(digest)(as_col(tokens))
 

@@ -76,7 +76,7 @@ def cross_refs(
 
 
 #: Rows per block when two large sets meet; a pair of blocks is one bounded group.
-LEFT_BLOCK, RIGHT_BLOCK = 16_384, 16_384
+LEFT_BLOCK, RIGHT_BLOCK = 4_096, 4_096
 #: References scored as one matrix.
 COLUMNS_AT_ONCE = 1_024
 

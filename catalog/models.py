@@ -159,12 +159,19 @@ def _word_arrays(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", words_of("text").alias("words"))
 
 
-@query("m8_word2vec", f"SELECT word, n, 300 AS dims, true AS unit FROM ({_VOCABULARY_SQL})")
+@query("m8_word2vec", f"SELECT word, 300::BIGINT AS dims, true AS finite FROM ({_VOCABULARY_SQL})")
 def m8(spark, sf):
-    """Vectors of all words, of length 1 (0 for a word that never has a neighbour)."""
-    vectors = context_vectors(_word_arrays(spark, sf))
+    """Vectors of all words."""
+    finite = F.forall("vector", lambda x: F.abs(x) < 1e6)
+    return context_vectors(_word_arrays(spark, sf)).select("word", F.size("vector").cast("long").alias("dims"), finite.alias("finite"))
+
+
+@query("m8_occurrences_and_length", f"SELECT word, n, true AS unit FROM ({_VOCABULARY_SQL})")
+def m8_length(spark, sf):
+    """Occurrences of each word, and that its vector has length 1 (0 for a word that never has a neighbour)."""
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    return vectors.select("word", "n", F.size("vector").alias("dims"), ((F.abs(square - 1) < 1e-9) | (square == 0)).alias("unit"))
+    vectors = context_vectors(_word_arrays(spark, sf))
+    return vectors.select("word", "n", ((F.abs(square - 1) < 1e-9) | (square == 0)).alias("unit"))
 
 
 @query("m9_export_word_vectors", f"SELECT word, 300 AS parts FROM ({_VOCABULARY_SQL})")

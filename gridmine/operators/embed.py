@@ -42,7 +42,7 @@ _GATHERED = 1 << 22
 _SHORT_RUN = 16
 
 
-def _run_sums(table: np.ndarray, index: np.ndarray, lengths: np.ndarray, kind: type) -> np.ndarray:
+def run_sums(table: np.ndarray, index: np.ndarray, lengths: np.ndarray, kind: type) -> np.ndarray:
     """Sums (of a number type) of the table rows that consecutive runs of ``index`` name; empty runs give zeros."""
     out = np.zeros((len(lengths), table.shape[1]), kind)
     at = np.cumsum(lengths) - lengths
@@ -64,7 +64,7 @@ def _run_sums(table: np.ndarray, index: np.ndarray, lengths: np.ndarray, kind: t
 
 def _segment_sums(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of rows; empty runs give zeros."""
-    return _run_sums(rows, np.arange(len(rows)), lengths, float)
+    return run_sums(rows, np.arange(len(rows)), lengths, float)
 
 
 #: Tokens whose codes are held at once (200 MB at 768 components, if all are different).
@@ -90,7 +90,7 @@ def _mean_vectors(words: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
         coded = flat.slice(ends[first], ends[last] - ends[first]).dictionary_encode()
         table = _token_codes(coded.dictionary.to_pylist(), dims)
         kind = np.uint32 if size[first:last].max() <= 1 << 16 else np.uint64  # sums of 16-bit numbers
-        own = _run_sums(table, np.asarray(coded.indices), size[first:last], kind)
+        own = run_sums(table, np.asarray(coded.indices), size[first:last], kind)
         if pieces.max(initial=0) <= 1:
             sums[owner[first:last]] = own
         else:

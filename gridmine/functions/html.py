@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from gridmine import schemas
 from gridmine.functions.predicates import as_col
-from gridmine.functions.text import HEADER_STYLES
+from gridmine.functions.text import HEADER_STYLES, collapse_header
 from gridmine.functions.vectors import costly
 
 _TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
@@ -132,38 +132,7 @@ def _place_rectangular(rows: list[list[_Cell]], width: int) -> list[Row] | None:
     return grid
 
 
-def _place_slots(rows: list[list[_Cell]], width: int) -> list[Row] | None:
-    """Span fill kept for comparability with earlier results.
-
-    A row starts at its first free column. A cell fills down its column (each of its
-    rows taking the first free slot at or below), the column then moves on by one only,
-    and its extra columns take the first free slots to the right. Positions past the
-    width void the table.
-    """
-    grid: list[Row] = [[None] * width for _ in rows]
-
-    def free(slots: list[tuple[int, int]]) -> tuple[int, int] | None:
-        return next(((r, c) for r, c in slots if grid[r][c] is None), None)
-
-    for i, row in enumerate(rows):
-        j = next((c for c in range(width) if grid[i][c] is None), 0)
-        for cell in row:
-            if j >= width:
-                return None
-            text = cell.value()
-            for k in range(cell.rowspan):
-                spot = free([(r, j) for r in range(i + k, len(rows))])
-                if spot:
-                    grid[spot[0]][spot[1]] = text
-            j += 1
-            for k in range(cell.colspan - 1):
-                spot = free([(i, c) for c in range(j + k, width)])
-                if spot:
-                    grid[spot[0]][spot[1]] = text
-    return grid
-
-
-_PLACERS = {"none": _place_plain, "fill": _place_rectangular, "slots": _place_slots}
+_PLACERS = {"none": _place_plain, "fill": _place_rectangular}
 
 
 def _collapse(rows: list[Row], width: int, style: str) -> list[str]:
@@ -181,14 +150,21 @@ def _collapse(rows: list[Row], width: int, style: str) -> list[str]:
     return out
 
 
-def parse_one(markup: str | None, spans: str, style: str, header_optional: bool) -> dict | None:
-    """One table; None when it cannot be read as header plus body."""
+def _read(markup: str | None, header_optional: bool) -> tuple[list[list[_Cell]] | None, list[list[_Cell]]] | None:
+    """(header rows, body rows); None without a body, or without a header where one is asked for."""
     if markup is None or markup.strip() in ("", "{}", "nan"):
         return None
     sections = _sections(markup)
     body, head = sections.get("tbody"), sections.get("thead")
-    if not body or (head is None and not header_optional):
+    return None if not body or (head is None and not header_optional) else (head, body)
+
+
+def parse_one(markup: str | None, spans: str, style: str, header_optional: bool) -> dict | None:
+    """One table; None when it cannot be read as header plus body."""
+    read = _read(markup, header_optional)
+    if read is None:
         return None
+    head, body = read
     width = sum(c.colspan for c in body[0])
     place = _PLACERS[spans]
     rows = place(body, width)
@@ -203,14 +179,102 @@ def parse_one(markup: str | None, spans: str, style: str, header_optional: bool)
     return {"header": header, "rows": rows}
 
 
+def _raw_cells(c: Column, header_optional: bool) -> Column:
+    """Cleaned markup to struct<head, body>, rows of cells with their spans as they are written."""
+    arrow_type = to_arrow_type(schemas.RAW_TABLE)
+
+    def plain(rows: list[list[_Cell]] | None) -> list[list[dict]] | None:
+        return rows and [[{"rowspan": x.rowspan, "colspan": x.colspan, "text": x.value()} for x in r] for r in rows]
+
+    @F.arrow_udf(schemas.RAW_TABLE)
+    def read(markups: pa.Array) -> pa.Array:
+        found = (_read(m, header_optional) for m in markups.to_pylist())
+        return pa.array([f and {"head": plain(f[0]), "body": plain(f[1])} for f in found], type=arrow_type)
+
+    return costly(read)(c)
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def fill_free_slots(rows: Column, width: Column) -> Column:
+    """Rows of cells (rowspan, colspan, text) to a grid; NULL where a cell lies past the width.
+
+    Slots are numbered row by row, and the free ones are kept in order. The cells of a row lie in neighbouring
+    columns, from its first free slot on (from column 0 if it has none). A cell takes the next ``rowspan`` free slots
+    of its column, from its row down, and the next ``colspan`` - 1 free slots of its row, to the right of its column;
+    spans that run out of slots end there.
+    """
+    cells = F.flatten(
+        F.transform(rows, lambda r, i: F.transform(r, lambda x, k: F.struct(i.alias("row"), k.alias("at"), x.alias("cell"))))
+    )
+    slots = F.slice(F.sequence(F.lit(0), F.size(rows) * width), 1, F.size(rows) * width)
+    state = "struct<free: array<int>, filled: array<struct<slot: int, text: string>>, start: int, void: boolean>"
+    empty = F.struct(slots.alias("free"), F.array().alias("filled"), F.lit(0).alias("start"), F.lit(False).alias("void"))
+
+    def add(acc: Column, x: Column) -> Column:
+        left = x["row"] * width  # slot of the row's first column
+        of_row = F.filter(acc["free"], lambda s: (s >= left) & (s < left + width))
+        start = F.when(x["at"] > 0, acc["start"]).otherwise(F.coalesce(F.get(of_row, 0) - left, F.lit(0)))
+
+        def place(start: Column) -> Column:
+            own = left + start + x["at"]
+            below = F.filter(acc["free"], lambda s: (s >= own) & ((s - own) % width == 0))
+            beside = F.filter(acc["free"], lambda s: (s > own) & (s < left + width))
+            taken = F.concat(
+                F.slice(below, 1, x["cell"]["rowspan"]), F.slice(beside, 1, F.greatest(x["cell"]["colspan"] - 1, F.lit(0)))
+            )
+
+            def after(taken: Column) -> Column:
+                filled = F.transform(taken, lambda s: F.struct(s.alias("slot"), x["cell"]["text"].alias("text")))
+                return F.struct(
+                    F.array_except(acc["free"], taken).alias("free"),
+                    F.concat(acc["filled"], filled).alias("filled"),
+                    start.alias("start"),
+                    (acc["void"] | (start + x["at"] >= width)).alias("void"),
+                )
+
+            return _bind(taken, after)
+
+        return F.when(acc["void"], acc).otherwise(_bind(start, place))
+
+    def grid(end: Column) -> Column:
+        texts = F.map_from_entries(end["filled"])
+        line = lambda i: F.transform(F.slice(slots, i * width + 1, width), lambda s: F.try_element_at(texts, s))
+        return F.when(~end["void"], F.transform(rows, lambda _, i: line(i)))
+
+    return _bind(F.aggregate(cells, empty.cast(state), add), grid)
+
+
+def _slot_table(t: Column, style: str, header_optional: bool) -> Column:
+    """Raw cells to struct<header, rows> with free slots filled; NULL for tables that cannot be placed."""
+    width = F.aggregate(F.get(t["body"], 0), F.lit(0), lambda n, x: n + x["colspan"])
+
+    def result(placed: Column) -> Column:
+        head, rows = placed["head"], placed["rows"]
+        paths = F.when((F.size(head) > 0) & (width > 0), collapse_header(head, style))
+        header = F.coalesce(paths, F.when(head.isNotNull(), F.array_repeat(F.lit(""), width)))
+        bad = rows.isNull() if header_optional else rows.isNull() | head.isNull()
+        return F.when(~bad, F.struct(header.alias("header"), rows.alias("rows")))
+
+    placed = F.struct(fill_free_slots(t["head"], width).alias("head"), fill_free_slots(t["body"], width).alias("rows"))
+    return _bind(placed, result)
+
+
 def parse_table(c: str | Column, spans: str = "none", style: str = "colon", header_optional: bool = False) -> Column:
     """Cleaned markup to struct<header, rows>; NULL for tables that cannot be read.
 
     ``spans``: ``none`` (cells as they come), ``fill`` (rectangular span fill) or
-    ``slots`` (first-free-slot fill). Width is the sum of colspans of the first body row.
+    ``slots`` (``fill_free_slots``, for comparability with earlier results). Width is the sum of colspans of the
+    first body row.
     """
-    if spans not in _PLACERS or style not in HEADER_STYLES:
+    if spans not in (*_PLACERS, "slots") or style not in HEADER_STYLES:
         raise ValueError(f"unknown spans {spans!r} or style {style!r}")
+    if spans == "slots":
+        raw = _raw_cells(clean_table_html(c), header_optional)
+        return _bind(raw, lambda t: F.when(t.isNotNull(), _slot_table(t, style, header_optional)))
     arrow_type = to_arrow_type(schemas.PARSED_TABLE)
 
     @F.arrow_udf(schemas.PARSED_TABLE)

@@ -61,3 +61,9 @@ WORD_VECTORS = T.StructType(
     [T.StructField("word", T.StringType()), T.StructField("text", T.StringType()), T.StructField("vector", VECTOR)]
 )
 PARSED_TABLE = T.StructType([T.StructField("header", T.ArrayType(T.StringType())), T.StructField("rows", GRID)])
+#: Cells of markup as they are written, before spans are filled.
+RAW_CELL = T.StructType(
+    [T.StructField("rowspan", T.IntegerType()), T.StructField("colspan", T.IntegerType()), T.StructField("text", T.StringType())]
+)
+RAW_ROWS = T.ArrayType(T.ArrayType(RAW_CELL))
+RAW_TABLE = T.StructType([T.StructField("head", RAW_ROWS), T.StructField("body", RAW_ROWS)])

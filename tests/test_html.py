@@ -14,20 +14,43 @@ def body(rows: str, head: str = "<thead><tr><td>a</td><td>b</td></tr></thead>")
     return f"<table>{head}<tbody>{rows}</tbody></table>"
 
 
-@pytest.mark.parametrize(
-    ("spans", "header"),
-    # First free slot: "Age" meets the wide "Dose" in its column and moves down, "ml" finds no slot.
-    [("fill", ["Dose : mg", "Dose : ml", "Age"]), ("slots", ["Dose : mg", "Dose : Age", "0"])],
-)
-def test_spans_are_filled(spans, header):
-    out = parse_one(SPANS, spans, "colon", False)
-    assert out == {"header": header, "rows": [["1-5", "0.5", "60"], ["1-5", "7", "na"]]}
-
-
-def test_first_free_slot_moves_on_by_one():
-    markup = body("<tr><td colspan=2>x</td><td>y</td></tr><tr><td>1</td><td>2</td><td>3</td></tr>")
-    # The cell after the wide one lands in the next column and moves down, where it displaces "2".
-    assert parse_one(markup, "slots", "colon", True)["rows"] == [["x", "x", None], ["1", "y", "3"]]
+def test_spans_are_filled():
+    out = parse_one(SPANS, "fill", "colon", False)
+    assert out == {"header": ["Dose : mg", "Dose : ml", "Age"], "rows": [["1-5", "0.5", "60"], ["1-5", "7", "na"]]}
+
+
+def slots(spark, markups, header_optional):
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(markups)], "i int, m string")
+    rows = df.select("i", parse_table("m", "slots", "colon", header_optional).alias("t")).collect()
+    return [r.t and (r.t.header, r.t.rows) for r in sorted(rows, key=lambda r: r.i)]
+
+
+def test_free_slots(spark):
+    inner = [
+        # The cell after the wide one lands in the next column and moves down, where it displaces "2".
+        ("<tr><td colspan=2>x</td><td>y</td></tr><tr><td>1</td><td>2</td><td>3</td></tr>", [["x", "x", None], ["1", "y", "3"]]),
+        # A tall cell ends with the table; the row below starts at its first free column.
+        ("<tr><td rowspan=9>x</td><td>1</td></tr><tr><td>2</td></tr>", [["x", "1"], ["x", "2"]]),
+        ("<tr><td>1</td><td>2</td></tr><tr><td>3</td></tr>", [["1", "2"], ["3", None]]),
+        # A cell past the width voids the table, also one that would find no free slot.
+        ("<tr><td>1</td></tr><tr><td>1</td><td>2</td></tr>", None),
+        # A full row starts at column 0 again, and its cell falls into the row below.
+        ("<tr><td rowspan=2>a</td><td rowspan=2>b</td></tr><tr><td>c</td></tr><tr><td>d</td></tr>", [["a", "b"], ["a", "b"], ["c", "d"]]),
+        ("<tr><td rowspan=0 colspan=0>a</td></tr>", None),
+        ("<tr></tr><tr></tr>", [[], []]),
+    ]
+    found = slots(spark, [body(rows) for rows, _ in inner], True)
+    assert [t and t[1] for t in found] == [want for _, want in inner]
+
+
+def test_free_slots_of_headers(spark):
+    row = "<tr><td>1</td><td>2</td></tr>"
+    markups = [SPANS, body(row, head=""), body(row, head="<thead></thead>"), body(row, head="<thead><tr><td>a</td><td>b</td><td>c</td></tr></thead>"), None, "nan"]
+    # "Age" meets the wide "Dose" in its column and moves down, "ml" finds no slot.
+    first = (["Dose : mg", "Dose : Age", "0"], [["1-5", "0.5", "60"], ["1-5", "7", "na"]])
+    rows = [["1", "2"]]
+    assert slots(spark, markups, False) == [first, None, (["", ""], rows), None, None, None]
+    assert slots(spark, markups, True) == [first, (None, rows), (["", ""], rows), (None, rows), None, None]
 
 
 def test_rectangular_fill_of_wide_cell():

@@ -10,7 +10,7 @@ from catalog.registry import query, table
 from gridmine.functions import numbers
 from gridmine.functions.html import parse_table
 from gridmine.operators.unnest import grid_cells
-from gridmine.plans.corpora import range_token_corpus, tokenise_numbers, unit_cells
+from gridmine.plans.corpora import header_lines, range_token_corpus, tokenise_numbers, unit_cells
 
 # Blank-delimited text with whole numbers, one-decimal and two-decimal numbers.
 
@@ -219,6 +219,38 @@ def q8_dictionary(spark, sf):
     return range_token_corpus(parsed, ("paper_id", "table_id"))[1]
 
 
+# Tables arrive in the order of paper_id; a range is known to its own table and to later ones.
+_SEEN_SQL = f"""{PART_CELLS_SQL}, dict AS (SELECT p_size AS lo, p_size + 5 AS hi, min(p_partkey::VARCHAR) AS seen FROM part GROUP BY p_size), nums AS (
+  SELECT paper_id, row, col, value::INTEGER AS x FROM part_cells WHERE col = 1 AND row > 1
+), best AS (
+  SELECT paper_id, row, col, min(lo) AS lo FROM nums JOIN dict ON x BETWEEN lo AND hi AND seen <= paper_id GROUP BY paper_id, row, col
+), tokens AS (
+  SELECT paper_id, row, col, sha256('Mean age years group|years|' || lo::VARCHAR || '.0|' || (lo + 5)::VARCHAR || '.0') AS h FROM best
+  UNION ALL SELECT paper_id, row, col, sha256('Mean age years group|years|' || string_split(value, '-')[1] || '.0|' || string_split(value, '-')[2] || '.0')
+  FROM part_cells WHERE col = 1 AND row = 1
+)"""
+
+
+@query(
+    "q8_range_token_corpus_as_seen",
+    f"""WITH {_SEEN_SQL} SELECT c.paper_id, c.row, c.col, header, CASE WHEN h IS NULL THEN value ELSE ' ' || {TOKEN_SQL} || ' ' END AS value
+    FROM part_cells c LEFT JOIN tokens USING (paper_id, row, col) WHERE value IS NOT NULL""",
+)
+def q8_as_seen(spark, sf):
+    parsed = part_tables(spark, sf).select("paper_id", "table_id", parse_table("html").alias("t")).select("paper_id", "table_id", "t.*")
+    cells, _ = range_token_corpus(parsed, ("paper_id", "table_id"), as_seen=True)
+    return cells.select("paper_id", "row", "col", "header", "value")
+
+
+@query(
+    "q8_header_lines",
+    f"""WITH {PART_CELLS_SQL} SELECT paper_id, string_agg(header, ' ' ORDER BY col) AS line FROM part_cells WHERE row = 1 GROUP BY paper_id""",
+)
+def q8_headers(spark, sf):
+    parsed = part_tables(spark, sf).select("paper_id", parse_table("html").alias("t")).select("paper_id", "t.*")
+    return header_lines(parsed, ("paper_id",))
+
+
 @query(
     "n24_parse_interval",
     """SELECT p_partkey, p_size::DOUBLE AS lo, CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_retailprice END AS hi FROM part""",

@@ -132,13 +132,14 @@ def keyword_counts(papers: DataFrame, terms: Sequence[str], fields: Sequence[str
     )
 
 
-def range_dictionary(ranges: DataFrame) -> DataFrame:
-    """Distinct (attribute, unit, lo, hi) with the token of the range; lo and hi are number texts."""
-    return (
-        ranges.select("attribute", "unit", "lo", "hi")
-        .distinct()
-        .withColumn("token", range_token(F.col("attribute"), F.col("unit"), F.col("lo"), F.col("hi")))
-    )
+def range_dictionary(ranges: DataFrame, seen: str | None = None) -> DataFrame:
+    """Distinct (attribute, unit, lo, hi) with the token of the range; lo and hi are number texts.
+
+    ``seen`` names a column whose smallest value tells where a range is first seen.
+    """
+    keys = ["attribute", "unit", "lo", "hi"]
+    known = ranges.select(*keys).distinct() if seen is None else ranges.groupBy(*keys).agg(F.min(seen).alias("seen"))
+    return known.withColumn("token", range_token(F.col("attribute"), F.col("unit"), F.col("lo"), F.col("hi")))
 
 
 def range_dictionary_ids(ranges: DataFrame, seen: Sequence[str]) -> DataFrame:

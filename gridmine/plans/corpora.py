@@ -26,7 +26,7 @@ from gridmine.functions.numbers import (
 from gridmine.functions.predicates import without_nan
 from gridmine.functions.text import flatten_nonempty, interleave, normalise, serialise_rows, terms
 from gridmine.operators.aggregates import range_dictionary, range_dictionary_ids
-from gridmine.operators.ordering import running_min
+from gridmine.operators.ordering import number_rows, running_min
 from gridmine.operators.sampling import seeded_hash
 from gridmine.operators.unnest import grid_cells
 from gridmine.session import materialise
@@ -66,46 +66,95 @@ def ranges_of(cells: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return found.select(*keep, "attribute", "unit", "pos", "_r.lo", "_r.hi")
 
 
-def first_range(numbers: DataFrame, dictionary: DataFrame, keys: Sequence[str] = ("attribute", "unit")) -> DataFrame:
-    """For each distinct (keys, number): the range with the smallest (lo, hi) that contains it.
+def sweep_ranges(
+    points: DataFrame, dictionary: DataFrame, keys: Sequence[str], ident: Sequence[str], extra: Sequence[str] = ()
+) -> DataFrame:
+    """Each point (keys, number, ident) with ``_range``: the range with the smallest (lo, hi) that contains its number.
 
-    Ranges (at hi) and numbers share one descending order; the running minimum of
-    (lo, hi) over ranges with hi >= number is the answer if its lo is not above the
-    number. No pairs are formed, and one frequent attribute is spread over tasks.
+    ``_range`` is a struct of lo_value, hi_value, lo, hi and the ``extra`` columns of the dictionary, NULL where no range
+    contains the number. Ranges (at hi) and points share one descending order; the running minimum of (lo, hi) over
+    ranges with hi >= number is the answer if its lo is not above the number. No pairs are formed, nothing is joined
+    back, and wide and open-ended ranges cost what others do. ``ident`` makes the order total, so a number, attribute or
+    unit that holds most of the points is spread over buckets like any other stretch of the order.
     """
-    keys = list(keys)
-    bounds = F.struct(F.col("lo").cast("double").alias("lo_value"), F.col("hi").cast("double").alias("hi_value"), "lo", "hi")
-    ranges = dictionary.select(
-        *keys, (-F.col("hi").cast("double")).alias("_at"), F.lit(0).alias("_kind"), bounds.alias("_range")
-    )
-    points = numbers.select(*keys, "number").distinct().select(
-        *keys, (-F.col("number")).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(ranges.schema["_range"].dataType).alias("_range")
-    )
-    swept = running_min(ranges.unionByName(points), ["_at", "_kind"], "_range", "_best", partition_by=keys)
+    keys, ident = list(keys), list(ident)
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+    bounds = F.struct(lo.alias("lo_value"), hi.alias("hi_value"), "lo", "hi", *extra)
+    no_point = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in ident]
+    ranges = dictionary.select(*keys, (-hi).alias("_at"), F.lit(0).alias("_kind"), *no_point, bounds.alias("_range"))
+    no_range = F.lit(None).cast(ranges.schema["_range"].dataType).alias("_range")
+    marks = points.select(*keys, (-F.col("number")).alias("_at"), F.lit(1).alias("_kind"), *ident, no_range)
+    swept = running_min(ranges.unionByName(marks), ["_at", "_kind", *ident], "_range", "_best", partition_by=keys)
     number = -F.col("_at")
-    return swept.filter((F.col("_kind") == 1) & (F.col("_best.lo_value") <= number)).select(
-        *keys, number.alias("number"), "_best.lo", "_best.hi"
-    )
+    found = F.when(F.col("_best.lo_value") <= number, F.col("_best"))
+    return swept.filter(F.col("_kind") == 1).select(*keys, number.alias("number"), *ident, found.alias("_range"))
+
+
+def first_range(numbers: DataFrame, dictionary: DataFrame, keys: Sequence[str] = ("attribute", "unit")) -> DataFrame:
+    """For each distinct (keys, number): the range with the smallest (lo, hi) that contains it."""
+    points = numbers.select(*keys, "number").distinct()
+    hits = sweep_ranges(points, dictionary, keys, ()).filter(F.col("_range").isNotNull())
+    return hits.select(*keys, "number", "_range.lo", "_range.hi")
+
+
+def _nodes(column: str, levels: int, offset: int) -> Column:
+    """Blocks of 2^level documents that a binary count of documents is made of, as an array of (level, node)."""
+    blocks = f"transform(sequence(0, {levels - 1}), l -> struct(l AS level, shiftright({column}, l) - {offset} AS node))"
+    return F.explode(F.expr(f"filter({blocks}, x -> x.node % 2 = 0)"))
+
+
+def sweep_ranges_as_seen(
+    points: DataFrame,
+    dictionary: DataFrame,
+    keys: Sequence[str],
+    ident: Sequence[str],
+    doc: str = "doc",
+    seen: str = "seen",
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """``sweep_ranges`` in which a point of document ``doc`` only knows ranges with ``seen <= doc``.
+
+    Documents are numbered from 1 (``ident`` need not hold the number). The documents up to d are a few blocks of
+    2^level documents, one for every bit set in d; a range lies in one block per level, and only every other block of
+    a level is ever asked. So one sweep with the block as a further key answers both conditions, at a cost of about half
+    the bits of the number of documents for each point and range, whatever the order of arrival. A point with
+    a NULL ``doc`` has no row, a range with a NULL ``seen`` is never known.
+    """
+    last = points.agg(F.max(doc)).first()[0] or 1
+    levels = int(last).bit_length()
+    known = dictionary.filter(F.col(seen) <= last).withColumn("_first", F.col(seen).cast("long") - 1)
+    known = known.withColumn("_node", _nodes("_first", levels, 0))
+    asked = points.withColumn("_upto", F.col(doc).cast("long")).withColumn("_node", _nodes("_upto", levels, 1))
 
+    def spread(df: DataFrame) -> DataFrame:
+        return df.withColumn("_level", F.col("_node.level")).withColumn("_node", F.col("_node.node"))
 
-def tokenise_numbers(cells: DataFrame, dictionary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    hits = sweep_ranges(spread(asked), spread(known), [*keys, "_level", "_node"], ident, extra)
+    return hits.groupBy(*keys, "number", *ident).agg(F.min("_range").alias("_range"))
+
+
+def tokenise_numbers(cells: DataFrame, dictionary: DataFrame, keys: Sequence[str], doc: str | None = None) -> DataFrame:
     """Single numbers that fall into a known range of their attribute and unit become its token.
 
-    Only cells without a range of their own take part; others pass unchanged.
+    Only cells without a range of their own take part; others pass unchanged. With ``doc``, the number of a cell's
+    document from 1, only ranges whose ``seen`` is not above it are known to the cell.
     """
     keys = list(keys)
     eligible = F.col("unit").isNotNull() & F.col("value").rlike(NUMBER) & ~F.col("value").rlike(RANGE)
+    own = [] if doc is None or doc in keys else [doc]
     texts = cells.filter(eligible).select(
-        *keys, "attribute", "unit", F.posexplode(find_numbers("value")).alias("pos", "text")
+        *keys, *own, "attribute", "unit", F.posexplode(find_numbers("value")).alias("pos", "text")
     )
     numbers = texts.withColumn("number", F.col("text").cast("double"))
-    hits = first_range(numbers, dictionary)
     token = range_token(F.col("attribute"), F.col("unit"), F.col("lo"), F.col("hi"))
-    hits = hits.select(F.col("attribute").alias("_a"), F.col("unit").alias("_u"), F.col("number").alias("_x"), token.alias("_t"))
-    same = (F.col("attribute") == F.col("_a")) & (F.col("unit") == F.col("_u")) & (F.col("number") == F.col("_x"))
+    book, of, ident = dictionary.withColumn("token", token), ["attribute", "unit"], [*keys, "pos", "text"]
+    if doc is None:
+        met = sweep_ranges(numbers, book, of, ident, ["token"])
+    else:
+        met = sweep_ranges_as_seen(numbers, book, of, ident, doc, extra=["token"])
+    fill = F.coalesce(F.concat(F.lit(" "), F.col("_range.token"), F.lit(" ")), F.col("text"))
     placed = (
-        numbers.join(hits, same, "left")
-        .withColumn("fill", F.coalesce(F.concat(F.lit(" "), "_t", F.lit(" ")), F.col("text")))
+        met.select(*keys, "pos", fill.alias("fill"))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("pos", "fill"))).getField("fill").alias("_fills"))
     )
@@ -115,22 +164,33 @@ def tokenise_numbers(cells: DataFrame, dictionary: DataFrame, keys: Sequence[str
     ).drop("_fills")
 
 
-def range_token_corpus(tables: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+def range_token_corpus(tables: DataFrame, keys: tuple[str, ...], as_seen: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cells with ranges and in-range numbers replaced by tokens, range dictionary).
 
-    Pass 1 builds the dictionary from all tables, pass 2 resolves numbers against it.
+    Pass 1 builds the dictionary from all tables, pass 2 resolves numbers against it. With ``as_seen`` tables arrive
+    in the order of ``keys`` (unique, NULL first), and a table knows the ranges of itself and of tables before it; the
+    dictionary then names the table that shows a range first (``seen``, from 1).
     """
-    cells = grid_cells(tables, "rows", "header", keys).filter(F.col("value").isNotNull())
+    order = [*keys]
+    if as_seen:
+        tables, order = number_rows(tables, keys, "doc"), [*keys, "doc"]
+    cells = grid_cells(tables, "rows", "header", tuple(order)).filter(F.col("value").isNotNull())
     cells = materialise(unit_cells(cells, UNITS_SHORT))  # read by both passes
-    dictionary = range_dictionary(ranges_of(cells))
+    dictionary = range_dictionary(ranges_of(cells, ["doc"] if as_seen else ()), "doc" if as_seen else None)
     with_tokens = F.when(
         F.col("unit").isNotNull(), tokenise_ranges("value", F.col("attribute"), F.col("unit"))
     ).otherwise(F.col("value"))
-    numbered = tokenise_numbers(cells, dictionary, [*keys, "row", "col"])
+    numbered = tokenise_numbers(cells, dictionary, [*keys, "row", "col"], "doc" if as_seen else None).drop(*order[len(keys):])
     own_range = F.col("value").rlike(RANGE)
     return numbered.withColumn("value", F.when(own_range, with_tokens).otherwise(F.col("value"))), dictionary
 
 
+def header_lines(tables: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One line per table with a header: its column names joined by blanks, missing ones as ``0``: (keys, line)."""
+    names = F.transform("header", lambda h: F.coalesce(h, F.lit("0")))
+    return tables.filter(F.size("header") > 0).select(*keys, F.array_join(names, " ").alias("line"))
+
+
 def unit_tables(tables: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(unit-completed cells, range dictionary with ids, letter-digit tokens).
 

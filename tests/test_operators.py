@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridmine.functions.vectors import abs_cosine, hash_vector, score_refs
 from gridmine.operators import aggregates, joins, ordering, sampling, tokens
 from gridmine.operators.embed import fold_vector, row_sum_vector, text_vector
-from gridmine.plans.corpora import first_range
+from gridmine.plans.corpora import first_range, header_lines, sweep_ranges, sweep_ranges_as_seen, tokenise_numbers
 from gridmine.plans.intervals import label_bounds, label_vectors
 from gridmine.functions.intervals import dice_interval, interval_relation
 from gridmine.plans.similarity import nearest
@@ -100,6 +100,58 @@ def test_first_range_is_the_smallest_containing(spark):
     assert got == want
 
 
+def _swept(rows):
+    return {r.id: r._range and (r._range.lo_value, r._range.hi_value) for r in rows.collect()}
+
+
+def test_sweep_answers_every_point_without_a_join_back(spark):
+    numbers, ranges = _ranges(4)
+    numbers += [(1000 + i, "hot", "mg", 3.0) for i in range(900)] + [(5000, "alone", "mg", 3.0)]  # one hot number
+    inf = float("inf")
+    ranges += [("hot", "mg", 55, inf), ("cold", "mg", -inf, -8), ("hot", "mg", 9, 4)]  # open-ended, reversed
+    points = spark.createDataFrame(numbers, "id int, attribute string, unit string, number double")
+    book = spark.createDataFrame([(a, u, float(lo), float(hi)) for a, u, lo, hi in ranges], "attribute string, unit string, lo double, hi double")
+    want = {i: min(((lo, hi) for b, _, lo, hi in ranges if a == b and lo <= x <= hi), default=None) for i, a, _, x in numbers}
+    assert _swept(sweep_ranges(points, book, ["attribute", "unit"], ["id"])) == want
+    assert _swept(sweep_ranges(points, book.limit(0), ["attribute", "unit"], ["id"])) == dict.fromkeys(want)
+    assert _swept(sweep_ranges(points.limit(0), book, ["attribute", "unit"], ["id"])) == {}
+
+
+@pytest.mark.parametrize("docs", [1, 7, 64, 100])
+def test_sweep_as_seen(spark, docs):
+    numbers, ranges = _ranges(docs)
+    rng = random.Random(docs)
+    numbers = [(*n, rng.randint(1, docs)) for n in numbers] + [(1000 + d, "hot", "mg", 3.0, d) for d in range(1, docs + 1)]
+    ranges = [(*r, rng.choice([rng.randint(1, docs), 1, docs, docs + 5])) for r in ranges]
+    points = spark.createDataFrame(numbers, "id int, attribute string, unit string, number double, doc long")
+    book = spark.createDataFrame([(a, u, float(lo), float(hi), s) for a, u, lo, hi, s in ranges], "attribute string, unit string, lo double, hi double, seen long")
+    want = {
+        i: min(((lo, hi) for b, _, lo, hi, seen in ranges if a == b and lo <= x <= hi and seen <= d), default=None)
+        for i, a, _, x, d in numbers
+    }
+    assert _swept(sweep_ranges_as_seen(points, book, ["attribute", "unit"], ["id"])) == want
+    nowhere = points.withColumn("doc", F.lit(None).cast("long"))
+    assert _swept(sweep_ranges_as_seen(nowhere, book, ["attribute", "unit"], ["id"])) == {}
+
+
+def test_numbers_know_only_ranges_seen_before(spark):
+    cells = spark.createDataFrame(
+        [(1, "age", "years", "7 or 20"), (2, "age", "years", "7 and 7"), (3, "age", "years", "20, 7"), (4, "age", None, "7"), (5, "age", "years", None)],
+        "doc int, attribute string, unit string, value string",
+    )
+    book = spark.createDataFrame([("age", "years", "5", "9", 2), ("age", "years", "1", "30", 3)], "attribute string, unit string, lo string, hi string, seen int")
+    got = {r.doc: r.value for r in tokenise_numbers(cells, book, ["doc"], "doc").collect()}
+    small = got[2].split()[0]
+    wide = got[3].split(",")[0].strip()
+    assert len({small, wide}) == 2 and len(small) == len(wide) == 32
+    assert got == {1: "7 or 20", 2: f" {small}  and  {small} ", 3: f" {wide} ,  {wide} ", 4: "7", 5: None}
+
+
+def test_header_lines(spark):
+    tables = spark.createDataFrame([(1, ["a", None, ""]), (2, []), (3, None)], "k int, header array<string>")
+    assert [(r.k, r.line) for r in header_lines(tables, ("k",)).collect()] == [(1, "a 0 ")]
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(5)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from catalog.fixtures import LISTS_SQL, NUMERIC_CELLS_SQL, TOKENS_SQL, numeric_cells, printed_lists
 from catalog.registry import query, table
 from gridmine.functions import text
-
 from gridmine.plans.corpora import token_corpus
 
+# Month names as the DATE patterns know them.
 MONTHS = (
     "january|february|march|april|may|june|july|august|september|october|november|december"
     "|JANUARY|FEBRUARY|MARCH|APRIL|MAY|JUNE|JULY|AUGUST|SEPTEMBER|OCTOBER|NOVEMBER|DECEMBER"

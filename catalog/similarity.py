@@ -291,16 +291,23 @@ def j1_many(spark, sf):
     return cross_refs(v.select("id", "vector"), refs, max_inline=0)
 
 
-@query(
-    "q1_similar_words_in_blocks",
-    f"""WITH {VECTORS_SQL}, q AS (SELECT id AS query, vector AS qv FROM v WHERE word = '8'),
-    s AS (SELECT query, id, word, abs(round(list_cosine_similarity(vector, qv), 6)) AS similarity FROM v, q)
-    SELECT query, id, word, similarity FROM (SELECT *, rank() OVER (PARTITION BY query ORDER BY similarity DESC) AS rk FROM s) WHERE rk <= 10""",
-)
-def q1_blocks(spark, sf):
-    v = word_vectors(spark, sf)
-    queries = v.filter("word = '8'").select(F.col("id").alias("query"), "vector")
-    return similarity.nearest(v.select("id", "word", "vector"), queries, 10, max_inline=0)
+def _register_large_query_set(name: str, **limits: int) -> None:
+    """Query sets that must not travel with the plan."""
+
+    @query(
+        f"q1_similar_words_{name}",
+        f"""WITH {VECTORS_SQL}, q AS (SELECT id AS query, vector AS qv FROM v WHERE word = '8'),
+        s AS (SELECT query, id, word, abs(round(list_cosine_similarity(vector, qv), 6)) AS similarity FROM v, q)
+        SELECT query, id, word, similarity FROM (SELECT *, rank() OVER (PARTITION BY query ORDER BY similarity DESC) AS rk FROM s) WHERE rk <= 10""",
+    )
+    def words(spark, sf):
+        v = word_vectors(spark, sf)
+        queries = v.filter("word = '8'").select(F.col("id").alias("query"), "vector")
+        return similarity.nearest(v.select("id", "word", "vector"), queries, 10, max_inline=0, **limits)
+
+
+_register_large_query_set("in_blocks")
+_register_large_query_set("pruned", max_scan=0)
 
 
 # Vectors of mixed length, NULL and zero, as rows and as references; the same rows either way.
@@ -319,26 +326,30 @@ def _mixed(spark, sf):
     return table(spark, sf, "embeddings").select(i.alias("id"), mixed.alias("vector"))
 
 
-def _register_mixed(name: str, most: int | None) -> None:
-    """The stated query set, ids divisible by 20, inline as far as its bytes allow, and in blocks."""
-    limit = {} if most is None else {"max_inline": most}
+def _register_mixed(name: str, **limit: int) -> None:
+    """The stated query set, ids divisible by 20: inline if it is small, and in blocks."""
 
     @query(f"j1_mixed_vectors_{name}", f"{_MIXED_SQL} SELECT id, ref, similarity FROM s")
     def refs(spark, sf):
         m = _mixed(spark, sf)
         return cross_refs(m, m.where("id % 20 = 0").select(F.col("id").alias("ref"), F.col("vector").alias("ref_vector")), **limit)
 
+
+def _register_mixed_search(name: str, **limits: int) -> None:
     @query(
         f"q1_mixed_vectors_{name}",
         f"{_MIXED_SQL} SELECT ref AS query, id, similarity FROM (SELECT *, rank() OVER (PARTITION BY ref ORDER BY similarity DESC) AS rk FROM s) WHERE rk <= 5",
     )
     def words(spark, sf):
         m = _mixed(spark, sf)
-        return similarity.nearest(m, m.where("id % 20 = 0").select(F.col("id").alias("query"), "vector"), 5, **limit)
+        return similarity.nearest(m, m.where("id % 20 = 0").select(F.col("id").alias("query"), "vector"), 5, **limits)
 
 
-_register_mixed("inline", None)
-_register_mixed("in_blocks", 0)
+_register_mixed("inline")
+_register_mixed("in_blocks", max_inline=0)
+_register_mixed_search("inline")
+_register_mixed_search("in_blocks", max_inline=0)
+_register_mixed_search("pruned", max_inline=0, max_scan=0)
 
 
 @query("q6_rank_absent_word", "SELECT vec_id AS id, '' AS word, 0.0::DOUBLE AS similarity FROM embeddings WHERE false")

@@ -90,7 +90,7 @@ def small_table(df: DataFrame, limit: int) -> pa.Table | None:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=df.columns)
 
 
-def _by_length(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def unit_vectors(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """{length: (positions, unit vectors)} of the vectors that are neither NULL, empty nor zero."""
     flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     lengths = np.asarray(pc.fill_null(pc.list_value_length(flat), 0))
@@ -111,8 +111,8 @@ def pair_cosines(left: pa.Array, right: pa.Array) -> np.ndarray:
     or two vectors of different length. Each vector is judged on its own.
     """
     out = np.full((len(left), len(right)), -1.0)
-    others = _by_length(right)
-    for width, (row, a) in _by_length(left).items():
+    others = unit_vectors(right)
+    for width, (row, a) in unit_vectors(left).items():
         if width in others:
             column, b = others[width]
             out[np.ix_(row, column)] = np.abs(np.round(a @ b.T, 6))

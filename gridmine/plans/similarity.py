@@ -19,7 +19,8 @@ from gridmine.functions.text import null_like, row_texts
 from gridmine.functions.vectors import cosine, score_refs, vec_concat
 from gridmine.operators.aggregates import token_key, vec_mean
 from gridmine.operators.embed import fold_vector, row_sum_vector, text_vector, words_of
-from gridmine.operators.joins import COLUMNS_AT_ONCE, block_cogroup, cross_refs, pair_cosines, small_table
+from gridmine.operators.joins import block_cogroup, cross_refs, pair_cosines, small_table
+from gridmine.operators.neighbours import block_candidates, near_candidates, reaching
 from gridmine.operators.ordering import topk_ties
 from gridmine.operators.sampling import seeded_hash
 from gridmine.session import materialise
@@ -27,17 +28,25 @@ from gridmine.session import materialise
 
 #: Query sets up to this many vectors travel with the plan; larger ones are joined in blocks.
 MAX_INLINE_QUERIES = 4_096
+#: Up to this many vectors, comparing all blocks costs less than the rounds that leave some out.
+MAX_SCAN = 1 << 18
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int, query_id: str = "query", max_inline: int = MAX_INLINE_QUERIES
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int,
+    query_id: str = "query",
+    max_inline: int = MAX_INLINE_QUERIES,
+    max_scan: int = MAX_SCAN,
 ) -> DataFrame:
     """Top ``k`` with ties for every query: (query_id, columns of ``vectors``, similarity).
 
     Queries are scored as matrices per Arrow batch, and a task only emits rows that reach
     its own current k-th score, so the final ranking shuffles a few rows per task. A query
-    set that is too large to travel meets the vectors in bounded blocks, cut the same way.
-    Both ways score with ``pair_cosines``: no row for NULL, zero and differently long vectors.
+    set that is too large to travel meets only the cells of vectors that can hold its nearest ones
+    (``near_candidates``, nothing is missed); up to ``max_scan`` vectors it meets all of them in bounded blocks.
+    All ways score with ``pair_cosines``: no row for NULL, zero and differently long vectors.
     """
     keep = [c for c in vectors.columns if c != "vector"]
     kind = queries.schema[query_id].dataType
@@ -47,37 +56,18 @@ def nearest(
     queries = queries.select(query_id, F.col("vector").cast("array<double>").alias("_query_vector"))
     few = small_table(queries, max_inline)
     if few is None:
-        candidates = block_cogroup(vectors, queries, _block_candidates(keep, query_id, k), schema)
+        vectors, queries = materialise(vectors), materialise(queries)
+        n = vectors.count()
+        if n > max_scan:
+            candidates = near_candidates(vectors, queries, n, k, query_id)
+        else:
+            asked = queries.withColumn("_kth", F.lit(-1.0))
+            candidates = block_cogroup(vectors, asked, block_candidates(keep, query_id, k), schema)
     else:
         candidates = vectors.mapInArrow(_batch_candidates(keep, query_id, few, k), schema)
     return topk_ties(materialise(candidates), [query_id], k, "similarity")
 
 
-def _reaching(sims: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row) that reach the k best scores seen so far, and these scores with the new ones."""
-    k = best.shape[1]
-    merged = np.concatenate([best, sims], axis=1)
-    best = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
-    query, row = np.nonzero((sims >= best.min(axis=1, keepdims=True)) & (sims >= 0))
-    return query, row, best
-
-
-def _block_candidates(keep: Sequence[str], query_id: str, k: int):
-    """Cogroup function: per query of the block the rows that reach the k-th score of the block."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = []
-        for first in range(0, max(1, right.num_rows), COLUMNS_AT_ONCE):
-            own = right.slice(first, COLUMNS_AT_ONCE)
-            sims = pair_cosines(left["vector"], own["_query_vector"]).T
-            query, row, _ = _reaching(sims, np.full((len(sims), k), -np.inf))
-            columns = [own[query_id].take(query), *left.select(keep).take(row).columns, pa.array(sims[query, row])]
-            parts.append(pa.Table.from_arrays(columns, names=[query_id, *keep, "similarity"]))
-        return pa.concat_tables(parts)
-
-    return run
-
-
 def _batch_candidates(keep: Sequence[str], query_id: str, queries: pa.Table, k: int):
     """Map function: rows that reach the running k-th best score of their task, per query."""
 
@@ -88,7 +78,7 @@ def _batch_candidates(keep: Sequence[str], query_id: str, queries: pa.Table, k:
                 own = queries.slice(first, _QUERIES_AT_ONCE)
                 part = slice(first, first + _QUERIES_AT_ONCE)
                 sims = pair_cosines(batch["vector"], own["_query_vector"]).T
-                query, row, best[part] = _reaching(sims, best[part])
+                query, row, best[part] = reaching(sims, best[part])
                 if len(row):
                     picked = batch.select(keep).take(pa.array(row))
                     ids = own[query_id].take(pa.array(query)).combine_chunks()
@@ -145,11 +135,12 @@ def similar_attributes(
     queries: int | None = None,
     seed: int = 0,
     max_length: int | None = None,
+    **limits: int,
 ) -> DataFrame:
     """Nearest attribute/unit keys for the keys that contain a word.
 
     ``queries`` samples so many keys per word; by default all of them are queries. Keys are
-    found before anything is encoded.
+    found before anything is encoded. ``limits`` go to ``nearest``.
     """
     distinct = attributes.select("attribute", "unit").distinct()
     keyed = distinct.filter(guard("attribute", max_length, ATTRIBUTE_STOP)).withColumn("_key", attribute_key("attribute", "unit"))
@@ -161,7 +152,7 @@ def similar_attributes(
     drawn = attribute_vectors(found, dims, max_length, ["search"])
     drawn = drawn.filter(F.col("vector").isNotNull()).select(F.concat_ws("|", "search", "word").alias("query"), "vector")
     vectors = attribute_vectors(distinct, dims, max_length).filter(F.col("vector").isNotNull())
-    return nearest(vectors.select("word", "vector"), drawn.dropDuplicates(["query"]), k).select(
+    return nearest(vectors.select("word", "vector"), drawn.dropDuplicates(["query"]), k, **limits).select(
         F.substring_index("query", "|", 1).alias("search"),
         F.expr("substring(query, instr(query, '|') + 1)").alias("query"),
         "word",

@@ -317,3 +317,63 @@ def test_vectors_of_any_kind_score_alike_inline_and_in_blocks(spark):
     q = r.withColumnRenamed("ref", "query").withColumnRenamed("ref_vector", "vector")
     top = [sorted(map(tuple, nearest(v, q, 4, max_inline=n).collect())) for n in (100, 0)]
     assert top[0] == top[1] and {x[0] for x in top[0]} == {0, 3}
+
+
+def _brute_nearest(rows, queries, k):
+    out = set()
+    for q, v in queries:
+        scores = {}
+        for i, w in rows:
+            if v is not None and w is not None and len(v) == len(w) and np.linalg.norm(v) and np.linalg.norm(w):
+                scores[i] = round(abs(np.dot(v, w)) / np.linalg.norm(v) / np.linalg.norm(w), 6)
+        kth = sorted(scores.values(), reverse=True)[:k][-1] if scores else 2
+        out |= {(q, i, round(s * 1e6)) for i, s in scores.items() if s >= kth}
+    return out
+
+
+def _near_groups(n_groups, each, width, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n_groups, width))
+    return [(centres[i % n_groups] * rng.choice([-1, 1]) + rng.normal(scale=0.05, size=width)).tolist() for i in range(n_groups * each)]
+
+
+def test_pruned_neighbours_equal_brute_force(spark, monkeypatch):
+    """Many cells, cells of several blocks, copies that tie, lengths with and without pivots, unusable vectors."""
+    from gridmine.operators import neighbours
+
+    for name, value in (("PIVOT_ROWS", 20), ("FIRST_ROWS", 10), ("LEFT_BLOCK", 16), ("RIGHT_BLOCK", 3)):
+        monkeypatch.setattr(neighbours, name, value)
+    vectors = _near_groups(12, 30, 8, 1)
+    vectors += [vectors[0]] * 200 + [[1.0, float(i)] for i in range(5)] + [[1.0] * 66, [2.0] * 66, None, [], [0.0] * 8, [None] + [1.0] * 7]
+    rows = list(enumerate(vectors))
+    df = spark.createDataFrame(rows, "id int, vector array<double>").repartition(3)
+    asked = rows[::9] + [(1000, [1.0] * 3), (1001, None), (None, vectors[5])]
+    queries = spark.createDataFrame(asked, "query int, vector array<double>")
+    got = {(r.query, r.id, round(r.similarity * 1e6)) for r in nearest(df, queries, 4, max_inline=0, max_scan=0).collect()}
+    clean = [(i, v if v and None not in v else None) for i, v in rows]
+    assert got == _brute_nearest(clean, [(q, v if v and None not in v else None) for q, v in asked], 4)
+    none = spark.createDataFrame([], "id int, vector array<double>")
+    assert nearest(none, queries, 4, max_inline=0, max_scan=0).count() == 0
+    assert nearest(df, queries.limit(0), 4, max_inline=0, max_scan=0).count() == 0
+
+
+def test_most_cells_are_left_out_where_vectors_form_groups():
+    import pyarrow as pa
+
+    from gridmine.operators.neighbours import Cells, Pivots
+
+    vectors = np.array(_near_groups(40, 25, 16, 2))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    column = pa.array(vectors.tolist(), pa.list_(pa.float64()))
+    pivots = Pivots({16: (0, unit[:40])})
+    _, cell, angle = pivots.place(column)
+    number = np.unique(cell)
+    of = [angle[cell == c] for c in number]
+    cells = Cells(pivots, number, np.array([len(a) for a in of]), np.array([a.min() for a in of]), np.array([a.max() for a in of]))
+    scores = np.abs(unit @ unit.T)
+    kth = np.sort(scores, axis=1)[:, -10]
+    reached = cells.within(column, kth)
+    for i, own in enumerate(reached):
+        assert set(cell[scores[i] >= kth[i]].tolist()) <= set(own)
+    asked = sum(dict(zip(number.tolist(), cells.rows.tolist()))[c] for own in reached for c in own)
+    assert asked < 0.1 * len(vectors) ** 2

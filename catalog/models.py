@@ -9,6 +9,7 @@ from catalog.registry import query, table
 from gridmine.operators import ml, sampling
 from gridmine.operators.aggregates import vec_sum
 from gridmine.operators.embed import text_vector, words_of
+from gridmine.operators.features import fit_text_features
 from gridmine.operators.joins import embed_vocab
 from gridmine.operators.word_vectors import context_vectors
 from gridmine.plans.intervals import dice_pairs
@@ -52,6 +53,20 @@ def m2(spark, sf):
     )
 
 
+@query(
+    "m2_bag_of_words_joined",
+    f"""WITH {_WORDS_SQL} SELECT d.doc_id, count(kept.word) AS total, count(DISTINCT kept.word) AS different, (SELECT count(*) FROM kept) AS width
+    FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN kept USING (word) GROUP BY d.doc_id""",
+)
+def m2_joined(spark, sf):
+    """Counts over a vocabulary of any size that is joined, not collected."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    counted = fit_text_features(docs, ["text"], size=None).transform(docs, "counts")
+    values = ml.sparse_values("counts")
+    different = F.size(values).cast("long").alias("different")
+    return counted.select("doc_id", _total("counts").cast("long").alias("total"), different, ml.width("counts").alias("width"))
+
+
 _SPLIT_SQL = "(('0x' || substr(md5(doc_id::VARCHAR || '|100'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.7)::INT"
 _LABELLED_SQL = f"""lab AS (SELECT doc_id, l.quality AS label, text, source, {_SPLIT_SQL} AS is_train
   FROM labels l JOIN documents USING (doc_id) WHERE l.quality IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL)"""
@@ -87,9 +102,25 @@ def m3(spark, sf):
     return out.select("doc_id", "label", "is_train", ml.width("features").alias("width"), _total("features").alias("total"))
 
 
-def _predictions(spark, sf, kind):
+def _joined_features(spark, sf):
+    """The same features over vocabularies that stay tables."""
+    rows = _labelled(spark, sf)
+    return fit_text_features(rows.filter("is_train = 1"), ["source", "text"], min_df=2).transform(rows)
+
+
+@query(
+    "m3_features_joined",
+    f"""WITH {_features_sql('is_train = 1')} SELECT doc_id, label, is_train, (SELECT count(*) FROM vocab) AS width, coalesce(total, 0) AS total
+    FROM lab LEFT JOIN totals USING (doc_id)""",
+)
+def m3_joined(spark, sf):
+    out = _joined_features(spark, sf)
+    return out.select("doc_id", "label", "is_train", ml.width("features").alias("width"), _total("features").alias("total"))
+
+
+def _predictions(spark, sf, kind, features=_features):
     """Fitted on the training part, applied to the held-out part."""
-    rows = _features(spark, sf)
+    rows = features(spark, sf)
     model = ml.train(rows.filter("is_train = 1"), kind)
     return ml.predict(model, rows.filter("is_train = 0"))
 
@@ -100,10 +131,10 @@ def _judged(scored):
     return scored.select("doc_id", "label").join(F.broadcast(scored.agg(ml.at_least_majority(scored).alias("at_least_majority"))))
 
 
-def _register(name, kind):
+def _register(name, kind, features=_features):
     @query(name, _HELD_OUT_SQL)
     def run(spark, sf):
-        return _judged(_predictions(spark, sf, kind))
+        return _judged(_predictions(spark, sf, kind, features))
 
     return run
 
@@ -111,6 +142,7 @@ def _register(name, kind):
 _register("m4_linear_svm", "svm")
 _register("m5_logistic_regression", "lr")
 _register("m6_naive_bayes", "nb")
+_register("m5_logistic_regression_joined", "lr", _joined_features)
 
 
 @query("m7_top_positives", f"WITH {_LABELLED_SQL} SELECT doc_id, label, true AS listed_if_positive FROM lab WHERE is_train = 0")

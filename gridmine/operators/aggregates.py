@@ -180,6 +180,11 @@ def vocabulary(tokens: DataFrame, size: int | None, min_df: int = 1, doc: str |
         counts = counts.filter(F.col("_df") >= min_df).drop("_df")
     else:
         counts = tokens.groupBy(word).agg(F.count(F.lit(1)).alias("freq"))
+    return number_words(counts, size)
+
+
+def number_words(counts: DataFrame, size: int | None) -> DataFrame:
+    """The most frequent (word, freq), all if no size is given, with idx 1..; ties in word order."""
     if size is not None:
         counts = most_frequent(materialise(counts), size)
         if size <= MOST_SORTED:

@@ -61,7 +61,7 @@ def m2(spark, sf):
 def m2_joined(spark, sf):
     """Counts over a vocabulary of any size that is joined, not collected."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    counted = fit_text_features(docs, ["text"], size=None).transform(docs, "counts")
+    counted = fit_text_features(docs, ["text"], size=None).transform(docs, "counts", ["doc_id"])
     values = ml.sparse_values("counts")
     different = F.size(values).cast("long").alias("different")
     return counted.select("doc_id", _total("counts").cast("long").alias("total"), different, ml.width("counts").alias("width"))
@@ -105,7 +105,7 @@ def m3(spark, sf):
 def _joined_features(spark, sf):
     """The same features over vocabularies that stay tables."""
     rows = _labelled(spark, sf)
-    return fit_text_features(rows.filter("is_train = 1"), ["source", "text"], min_df=2).transform(rows)
+    return fit_text_features(rows.filter("is_train = 1"), ["source", "text"], min_df=2).transform(rows, keep=["doc_id", "label", "is_train"])
 
 
 @query(

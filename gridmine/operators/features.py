@@ -1,13 +1,13 @@
 """Bag-of-words features whose vocabulary stays a table.
 
-Words are counted in one pass (occurrences and documents together, partly in every task), cut by a histogram of
+Words are counted in one pass (occurrences and documents together, in blocks where they are read), cut by a histogram of
 frequencies and numbered; texts meet the vocabulary through block dictionaries, so the driver never holds a
 word. The result is the sparse vector column that Spark ML expects.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,20 +19,49 @@ from pyspark.sql.types import StructField, StructType
 
 from gridmine.functions.vectors import costly
 from gridmine.operators.aggregates import number_words
-from gridmine.operators.dictionaries import encode_by_blocks
+from gridmine.operators.dictionaries import BLOCK_WORDS, encode_by_blocks
 from gridmine.operators.embed import words_of
 from gridmine.operators.ml import MIN_DOCUMENTS, VOCABULARY_SIZE
 from gridmine.session import materialise, scratch_dir
 
+_ROWS_AT_ONCE = 32
+
+
+def _counts_of(lists: list[pa.Array]) -> pa.RecordBatch:
+    """(word, freq, docs) of some rows of words."""
+    rows = pa.concat_arrays(lists)
+    coded = rows.flatten().dictionary_encode()
+    n = len(coded.dictionary)
+    owner = np.repeat(np.arange(len(rows)), np.asarray(rows.value_lengths().fill_null(0), dtype=np.int64))
+    known = np.asarray(coded.indices.is_valid())
+    codes = np.asarray(coded.indices.fill_null(0), dtype=np.int64)[known]
+    inside = np.unique(owner[known] * n + codes) % n if n else codes
+    counts = [pa.array(np.bincount(c, minlength=n), pa.int64()) for c in (codes, inside)]
+    return pa.RecordBatch.from_arrays([coded.dictionary, *counts], names=["word", "freq", "docs"])
+
 
 def word_frequencies(df: DataFrame, words: str) -> DataFrame:
-    """(word, freq, docs) of an array of words: occurrences, and rows that hold the word."""
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    known = F.array_compact(F.col(words))
-    each = F.transform(known, lambda w: F.struct(w.alias("word"), one.alias("freq"), none.alias("docs")))
-    once = F.transform(F.array_distinct(known), lambda w: F.struct(w.alias("word"), none.alias("freq"), one.alias("docs")))
-    rows = df.select(F.explode(F.concat(each, once)).alias("_w")).select("_w.*")
-    return rows.groupBy("word").agg(F.sum("freq").alias("freq"), F.sum("docs").alias("docs"))
+    """(word, freq, docs) of an array of words: occurrences, and rows that hold the word.
+
+    Some ``BLOCK_WORDS`` words at a time are counted where they are read, so no row per word is made.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+        n_words = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                part = batch.column(0).slice(at, _ROWS_AT_ONCE)
+                held.append(part)
+                n_words += len(part.flatten())
+                if n_words >= BLOCK_WORDS:
+                    yield _counts_of(held)
+                    held, n_words = [], 0
+        if held:
+            yield _counts_of(held)
+
+    counts = df.select(words).mapInArrow(run, "word string, freq long, docs long")
+    return counts.groupBy("word").agg(F.sum("freq").alias("freq"), F.sum("docs").alias("docs"))
 
 
 def _counted(ids: pa.Array) -> pa.Array:
@@ -62,19 +91,25 @@ class TextFeatures:
     def width(self) -> int:
         return sum(self.sizes)
 
-    def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
-        """Adds the sparse counts of all columns, one behind the other; a null text counts nothing. Written once."""
-        rows = df
+    def transform(self, df: DataFrame, out: str = "features", keep: Sequence[str] | None = None) -> DataFrame:
+        """Adds the sparse counts of all columns, one behind the other; a null text counts nothing. Written once.
+
+        ``keep`` names the columns that stay (all by default): a text that is not needed afterwards is not
+        written and shuffled with its counts.
+        """
+        kept = list(df.columns if keep is None else keep)
         names = [f"_ids_{i}" for i in range(len(self.columns))]
-        for c, vocab, name in zip(self.columns, self.vocabularies, names, strict=True):
-            rows = encode_by_blocks(rows.withColumn("_text_words", words_of(c)), "_text_words", vocab, name)
+        words = [words_of(c).alias(f"_words_{i}") for i, c in enumerate(self.columns)]
+        rows = df.select(*kept, *words)
+        for i, (vocab, name) in enumerate(zip(self.vocabularies, names, strict=True)):
+            rows = encode_by_blocks(rows, f"_words_{i}", vocab, name)
         counted = F.arrow_udf(_counted, "struct<indices: array<int>, values: array<double>>")
-        counts = rows.select(*df.columns, costly(counted)(F.concat(*names)).alias("_counts"))
+        counts = rows.select(*kept, costly(counted)(F.concat(*names)).alias("_counts"))
         # the stored form of a sparse vector, read back as one
         sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(self.width).alias("size"), "_counts.indices", "_counts.values")
         path = scratch_dir(df.sparkSession) + "/features.parquet"
-        counts.select(*df.columns, sparse.alias(out)).write.parquet(path)
-        schema = StructType([*df.schema.fields, StructField(out, VectorUDT())])
+        counts.select(*kept, sparse.alias(out)).write.parquet(path)
+        schema = StructType([*df.select(*kept).schema.fields, StructField(out, VectorUDT())])
         return df.sparkSession.read.schema(schema).parquet(path)
 
     def save(self, path: str) -> None:

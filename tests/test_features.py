@@ -54,3 +54,4 @@ def test_words_unknown_to_the_fit_and_saved_features(spark, tmp_path):
     got = {r.id: r.features.toArray().tolist() for r in again.transform(new).collect()}
     assert got == {9: [0.0, 1.0, 0.0, 0.0], 8: [1.0, 0.0, 0.0, 0.0]}
     assert again.transform(new.limit(0)).count() == 0
+    assert again.transform(new, "f", keep=["id"]).columns == ["id", "f"]

@@ -7,6 +7,7 @@ word. The result is the sparse vector column that Spark ML expects.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,16 +20,19 @@ from pyspark.sql.types import StructField, StructType
 
 from gridmine.functions.vectors import costly
 from gridmine.operators.aggregates import number_words
-from gridmine.operators.dictionaries import BLOCK_WORDS, encode_by_blocks
+from gridmine.operators.dictionaries import BLOCK_WORDS, BUCKETS, by_bucket, encode_by_blocks, packed_words, unpacked_words
 from gridmine.operators.embed import words_of
 from gridmine.operators.ml import MIN_DOCUMENTS, VOCABULARY_SIZE
-from gridmine.session import materialise, scratch_dir
+from gridmine.session import materialise, partition_count, scratch_dir
 
 _ROWS_AT_ONCE = 32
 
 
-def _counts_of(lists: list[pa.Array]) -> pa.RecordBatch:
-    """(word, freq, docs) of some rows of words."""
+_COUNTS = pa.schema([("_bucket", pa.int32()), ("_n", pa.int32()), ("_words", pa.binary()), ("_counts", pa.binary())])
+
+
+def _counts_of(lists: list[pa.Array], buckets: int) -> pa.RecordBatch:
+    """Words of some rows with their occurrences and rows, packed by bucket."""
     rows = pa.concat_arrays(lists)
     coded = rows.flatten().dictionary_encode()
     n = len(coded.dictionary)
@@ -36,15 +40,48 @@ def _counts_of(lists: list[pa.Array]) -> pa.RecordBatch:
     known = np.asarray(coded.indices.is_valid())
     codes = np.asarray(coded.indices.fill_null(0), dtype=np.int64)[known]
     inside = np.unique(owner[known] * n + codes) % n if n else codes
-    counts = [pa.array(np.bincount(c, minlength=n), pa.int64()) for c in (codes, inside)]
-    return pa.RecordBatch.from_arrays([coded.dictionary, *counts], names=["word", "freq", "docs"])
+    counts = np.stack([np.bincount(c, minlength=n) for c in (codes, inside)])
+    words = coded.dictionary.to_pylist()
+    packed = [
+        {"_bucket": b, "_n": len(at), "_words": packed_words([words[k] for k in at]), "_counts": zlib.compress(counts[:, at].astype(np.int64).tobytes(), 1)}
+        for b, at in by_bucket(words, buckets)
+    ]
+    return pa.RecordBatch.from_pylist(packed, _COUNTS)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, freq, docs) of packed counts that come sorted by bucket; the words of one bucket are held."""
+    bucket: int | None = None
+    held: dict[bytes, list[int]] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        items = list(held.items())
+        for first in range(0, len(items), 10_000):
+            part = items[first : first + 10_000]
+            counts = [pa.array([c[k] for _, c in part], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in part]), *counts], ["word", "freq", "docs"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["_bucket"] != bucket:
+                yield from rows()
+                bucket, held = row["_bucket"], {}
+            freq, docs = np.frombuffer(zlib.decompress(row["_counts"]), np.int64).reshape(2, -1).tolist()
+            for word, f, d in zip(unpacked_words(row["_words"], row["_n"]), freq, docs, strict=True):
+                own = held.setdefault(word, [0, 0])
+                own[0] += f
+                own[1] += d
+    yield from rows()
 
 
 def word_frequencies(df: DataFrame, words: str) -> DataFrame:
     """(word, freq, docs) of an array of words: occurrences, and rows that hold the word.
 
-    Some ``BLOCK_WORDS`` words at a time are counted where they are read, so no row per word is made.
+    Some ``BLOCK_WORDS`` words at a time are counted where they are read, and their counts travel as compressed lists
+    per bucket of words, so no row per word is shuffled.
     """
+    parts = partition_count(df.sparkSession)
+    buckets = BUCKETS * parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Array] = []
@@ -55,13 +92,13 @@ def word_frequencies(df: DataFrame, words: str) -> DataFrame:
                 held.append(part)
                 n_words += len(part.flatten())
                 if n_words >= BLOCK_WORDS:
-                    yield _counts_of(held)
+                    yield _counts_of(held, buckets)
                     held, n_words = [], 0
         if held:
-            yield _counts_of(held)
+            yield _counts_of(held, buckets)
 
-    counts = df.select(words).mapInArrow(run, "word string, freq long, docs long")
-    return counts.groupBy("word").agg(F.sum("freq").alias("freq"), F.sum("docs").alias("docs"))
+    packed = df.select(words).mapInArrow(run, "_bucket int, _n int, _words binary, _counts binary")
+    return packed.repartition(parts, "_bucket").sortWithinPartitions("_bucket").mapInArrow(_summed, "word string, freq long, docs long")
 
 
 def _counted(ids: pa.Array) -> pa.Array:
@@ -108,7 +145,7 @@ class TextFeatures:
         # the stored form of a sparse vector, read back as one
         sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(self.width).alias("size"), "_counts.indices", "_counts.values")
         path = scratch_dir(df.sparkSession) + "/features.parquet"
-        counts.select(*kept, sparse.alias(out)).write.parquet(path)
+        counts.select(*kept, sparse.alias(out)).write.option("compression", "zstd").parquet(path)
         schema = StructType([*df.select(*kept).schema.fields, StructField(out, VectorUDT())])
         return df.sparkSession.read.schema(schema).parquet(path)
 
@@ -134,7 +171,7 @@ def fit_text_features(
     """
     vocabularies, sizes = [], []
     for c in columns:
-        counts = word_frequencies(df.select(words_of(c).alias("words")), "words").where(F.col("docs") >= min_df)
+        counts = materialise(word_frequencies(df.select(words_of(c).alias("words")), "words").where(F.col("docs") >= min_df))
         numbered = number_words(counts.select("word", "freq"), size)
         vocab = materialise(numbered.select("word", (F.col("idx") - 1 + sum(sizes)).alias("idx")))
         vocabularies.append(vocab)

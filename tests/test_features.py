@@ -4,7 +4,9 @@ from collections import Counter
 
 import pytest
 
-from gridmine.operators.features import fit_text_features, load_text_features
+from gridmine.operators.dictionaries import encode_by_blocks
+from gridmine.operators.embed import words_of
+from gridmine.operators.features import fit_text_features, load_text_features, word_frequencies
 
 ROWS = [
     (1, "s1", "b a  A c"),
@@ -55,3 +57,14 @@ def test_words_unknown_to_the_fit_and_saved_features(spark, tmp_path):
     assert got == {9: [0.0, 1.0, 0.0, 0.0], 8: [1.0, 0.0, 0.0, 0.0]}
     assert again.transform(new.limit(0)).count() == 0
     assert again.transform(new, "f", keep=["id"]).columns == ["id", "f"]
+
+
+def test_no_row_per_word_is_shuffled(spark):
+    df = spark.createDataFrame([(k, f"a b w{k % 7}") for k in range(300)], "id int, text string")
+    words = df.select("id", words_of("text").alias("words"))
+    counts = word_frequencies(words, "words")
+    assert {tuple(r) for r in counts.collect()} == {("a", 300, 300), ("b", 300, 300)} | {(f"w{k}", 43 if k < 6 else 42, 43 if k < 6 else 42) for k in range(7)}
+    vocab = spark.createDataFrame([("a", 0), ("w1", 1)], "word string, idx long")
+    for out in (counts, encode_by_blocks(words, "words", vocab)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plan and not any(step in plan for step in ("Generate", "Join", "Aggregate"))

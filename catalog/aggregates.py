@@ -24,7 +24,7 @@ from gridmine.operators import aggregates
 
 @query("a1_counts", f"WITH {PAPERS_SQL} SELECT count(*) AS n_rows, count(captions) AS n_with_tables FROM papers")
 def a1(spark, sf):
-    return papers(spark, sf).agg(F.count("*").alias("n_rows"), F.count("tables").alias("n_with_tables"))
+    return papers(spark, sf, ()).agg(F.count("*").alias("n_rows"), F.count("tables").alias("n_with_tables"))
 
 
 KEYWORDS = ["the", "license", "der", "que", "widget", "than the"]
@@ -40,7 +40,7 @@ def _keyword_sql(word: str) -> str:
 @query("a2_keyword_counts", f"WITH {PAPERS_SQL} " + " UNION ALL ".join(_keyword_sql(k) for k in KEYWORDS))
 def a2(spark, sf):
     fields = ["title", "abstract.text", "tables.tableCaption", "bodyTextFlat.text"]
-    return aggregates.keyword_counts(papers(spark, sf), KEYWORDS, fields)
+    return aggregates.keyword_counts(papers(spark, sf, ()), KEYWORDS, fields)
 
 
 # Vectors by (word, position), long form on both sides.

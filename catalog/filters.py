@@ -30,7 +30,7 @@ from gridmine.plans.labelled import KeywordQuery, any_table, keyword_filter, top
         captions IS NOT NULL AND len(captions) > 0 AS present FROM papers""",
 )
 def f1(spark, sf):
-    return papers(spark, sf).select(
+    return papers(spark, sf, ()).select(
         "_id", pr.not_empty("tables").alias("passes"), pr.not_empty("tables", missing_passes=False).alias("present")
     )
 
@@ -51,7 +51,7 @@ def f3(spark, sf):
 
 @query("f4_path_any", f"WITH {PAPERS_SQL} SELECT _id FROM papers WHERE {sql_path('abstract', TOPIC)}")
 def f4(spark, sf):
-    return papers(spark, sf).filter(pr.rx_path_any("abstract", "text", TOPIC)).select("_id")
+    return papers(spark, sf, ()).filter(pr.rx_path_any("abstract", "text", TOPIC)).select("_id")
 
 
 @query(
@@ -59,7 +59,7 @@ def f4(spark, sf):
     f"WITH {PAPERS_SQL} SELECT _id FROM papers WHERE NOT {sql_path('captions', TOPIC)} AND NOT {sql_any('title', VIRUS)}",
 )
 def f5(spark, sf):
-    return papers(spark, sf).filter(pr.rx_none("tables.tableCaption", TOPIC) & pr.rx_none("title", VIRUS)).select("_id")
+    return papers(spark, sf, ()).filter(pr.rx_none("tables.tableCaption", TOPIC) & pr.rx_none("title", VIRUS)).select("_id")
 
 
 TOPIC_SQL = f"({sql_any('title', TOPIC)} OR {sql_path('abstract', TOPIC)} OR {sql_path('captions', TOPIC)} OR {sql_path('figures', TOPIC)})"
@@ -74,7 +74,7 @@ NEGATIVE = KeywordQuery(none=(topic_paths(TOPIC), {"title": VIRUS, "abstract.tex
     WHERE (captions IS NULL OR len(captions) > 0) AND {TOPIC_SQL} AND {VIRUS_SQL}""",
 )
 def f6(spark, sf):
-    return keyword_filter(papers(spark, sf), POSITIVE).select("_id", "title")
+    return keyword_filter(papers(spark, sf, ()), POSITIVE).select("_id", "title")
 
 
 @query(
@@ -83,13 +83,13 @@ def f6(spark, sf):
     WHERE _id IN (SELECT _id FROM papers WHERE {sql_path('captions', TOPIC)})""",
 )
 def f7(spark, sf):
-    hit = any_table(papers(spark, sf), "tables.tableCaption", lambda caption: pr.rx_any(caption, TOPIC))
+    hit = any_table(papers(spark, sf, ()), "tables.tableCaption", lambda caption: pr.rx_any(caption, TOPIC))
     return unwind(hit, "tables").select("_id", F.col("tables.tableId").alias("table_id"))
 
 
 @query("f8_table_filter", f"WITH {PAPERS_SQL} SELECT _id, table_id FROM tables WHERE {sql_any('caption', TOPIC)}")
 def f8(spark, sf):
-    rows = unwind(papers(spark, sf), "tables", ("tableId", "tableCaption"))
+    rows = unwind(papers(spark, sf, ()), "tables", ("tableId", "tableCaption"))
     return rows.filter(pr.rx_any("tables.tableCaption", TOPIC)).select("_id", F.col("tables.tableId").alias("table_id"))
 
 
@@ -173,7 +173,7 @@ def f16(spark, sf):
     f"WITH {PAPERS_SQL} SELECT _id FROM papers WHERE title IS NOT NULL AND trim(title, ' ') NOT IN ('', '{{}}') AND coalesce(len(captions), 0) > 0",
 )
 def f17(spark, sf):
-    return papers(spark, sf).filter(pr.has_payload(["title"], ["tables"])).select("_id")
+    return papers(spark, sf, ()).filter(pr.has_payload(["title"], ["tables"])).select("_id")
 
 
 @query(

@@ -123,7 +123,7 @@ def x2(spark, sf):
 )
 def x2_fixed(spark, sf):
     """Papers selected by the negative side of the fixed query sets."""
-    p = papers(spark, sf)
+    p = papers(spark, sf, ())
     frames = [
         keyword_filter(p, QUERY_SETS[q][1]).agg(F.count("*").alias("papers")).select(F.lit(q).alias("name"), F.lit(0).alias("label"), "papers")
         for q in ("q1", "q2")

@@ -109,7 +109,7 @@ _UNIT_TABLES_SQL = f"""{PAPERS_SQL}, base AS (
 
 
 def _unit_tables(spark, sf):
-    verified = unwound(papers(spark, sf), ("cl_verified", "cl_HMD", "Data")).filter(F.col("t.cl_verified") == 1)
+    verified = unwound(papers(spark, sf, ("cl_verified", "cl_HMD", "Data")), ("cl_verified", "cl_HMD", "Data")).filter(F.col("t.cl_verified") == 1)
     tables = verified.select(
         F.col("id").alias("_id"), "table_id", F.col("t.cl_HMD").alias("cl_HMD"), F.col("t.Data").alias("cl_DATA")
     )

@@ -13,13 +13,13 @@ from gridmine.operators import unnest
 
 def _tables(spark, sf, *fields):
     """(_id, t) with the named table fields."""
-    rows = unnest.unwind(papers(spark, sf).select("_id", "tables"), "tables", ("tableId", *fields))
+    rows = unnest.unwind(papers(spark, sf, fields).select("_id", "tables"), "tables", ("tableId", *fields))
     return rows.withColumnRenamed("tables", "t")
 
 
 @query("p1_project_paths", f"WITH {PAPERS_SQL} SELECT _id, table_id, caption FROM tables")
 def p1(spark, sf):
-    rows = unnest.unwind(papers(spark, sf), "tables", ("tableId", "tableCaption"))
+    rows = unnest.unwind(papers(spark, sf, ()), "tables", ("tableId", "tableCaption"))
     return unnest.project(rows, {"table_id": "tables.tableId", "caption": "tables.tableCaption"}, keep=("_id",))
 
 
@@ -29,7 +29,7 @@ def p1(spark, sf):
         CASE WHEN contains(caption, ' the ') THEN 1 ELSE 0 END AS cl_verified FROM tables""",
 )
 def p2(spark, sf):
-    tables = unnest.unwind(papers(spark, sf), "tables", ("tableId", "tableCaption", "cl_verified"))
+    tables = unnest.unwind(papers(spark, sf, ("cl_verified",)), "tables", ("tableId", "tableCaption", "cl_verified"))
     return unnest.replace_root(tables, "tables")
 
 
@@ -63,7 +63,7 @@ def p5(spark, sf):
     f"WITH {PAPERS_SQL} SELECT _id, coalesce(len(captions), -1) AS n_tables, coalesce(figures[1], '') AS figure FROM papers",
 )
 def p6(spark, sf):
-    p = papers(spark, sf)
+    p = papers(spark, sf, ())
     return p.select(
         "_id",
         unnest.field_or(F.size("tables").cast("long"), -1).alias("n_tables"),
@@ -73,7 +73,7 @@ def p6(spark, sf):
 
 @query("u1_unwind", f"WITH {PAPERS_SQL} SELECT _id, title, table_id FROM tables")
 def u1(spark, sf):
-    return unnest.unwind(papers(spark, sf), "tables").select("_id", "title", F.col("tables.tableId").alias("table_id"))
+    return unnest.unwind(papers(spark, sf, ()), "tables").select("_id", "title", F.col("tables.tableId").alias("table_id"))
 
 
 @query(

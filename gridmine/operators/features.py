@@ -22,7 +22,7 @@ from gridmine.functions.vectors import costly
 from gridmine.operators.aggregates import number_words
 from gridmine.operators.dictionaries import BLOCK_WORDS, BUCKETS, by_bucket, encode_by_blocks, packed_words, unpacked_words
 from gridmine.operators.embed import words_of
-from gridmine.operators.ml import MIN_DOCUMENTS, VOCABULARY_SIZE
+from gridmine.operators.ml import MIN_DOCUMENTS
 from gridmine.session import materialise, partition_count, scratch_dir
 
 _ROWS_AT_ONCE = 32
@@ -163,7 +163,7 @@ def load_text_features(spark: SparkSession, path: str) -> TextFeatures:
 
 
 def fit_text_features(
-    df: DataFrame, columns: Sequence[str], size: int | None = VOCABULARY_SIZE, min_df: int = MIN_DOCUMENTS
+    df: DataFrame, columns: Sequence[str], size: int | None = None, min_df: int = MIN_DOCUMENTS
 ) -> TextFeatures:
     """The ``size`` most frequent words (all if None) in at least ``min_df`` rows, per text column.
 

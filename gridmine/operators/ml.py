@@ -22,7 +22,7 @@ from gridmine.functions.predicates import as_col, bounded
 from gridmine.session import partition_count
 
 # Settings of the feature stages and models.
-VOCABULARY_SIZE = 500_000
+VOCABULARY_SIZE = 2**31 - 1  # all words; they are held by the driver, see ``features`` for larger vocabularies
 MIN_DOCUMENTS = 5
 
 

@@ -3,7 +3,11 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+import catalog.models  # noqa: F401
+from catalog.registry import QUERIES
+from gridmine.operators import ml
 from gridmine.operators.dictionaries import encode_by_blocks
 from gridmine.operators.embed import words_of
 from gridmine.operators.features import fit_text_features, load_text_features, word_frequencies
@@ -68,3 +72,11 @@ def test_no_row_per_word_is_shuffled(spark):
     for out in (counts, encode_by_blocks(words, "words", vocab)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" in plan and not any(step in plan for step in ("Generate", "Join", "Aggregate"))
+
+
+def test_more_words_than_the_former_cut(spark, tmp_path):
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(500_009)), lambda k: F.conv(k.cast("string"), 10, 36)), " ")
+    spark.range(5).select(F.col("id").alias("doc_id"), words.alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["m2_bag_of_words"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(k, 500_010, 500_010) for k in range(5)]
+    assert ml.counter("words", "counts").getVocabSize() > 500_010

@@ -127,3 +127,30 @@ def test_page(spark, offset, n):
     df = spark.createDataFrame(random.Random(6).sample(rows, 1000), "a int, b int").repartition(3)
     want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))[offset : offset + n]
     assert [tuple(r) for r in ordering.page(df, offset, n, ["a", "b"]).collect()] == want
+
+
+@pytest.mark.parametrize("block, texts_of_block, at_once, chunk, many", [(1 << 20, 1 << 13, 1 << 12, 1 << 20, 50), (30, 4, 3, 90, 2)])
+def test_means_of_context_vectors(spark, monkeypatch, block, texts_of_block, at_once, chunk, many):
+    for module, name, value in ((dictionaries, "BLOCK_WORDS", block), (dictionaries, "_ROWS_AT_ONCE", 2), (V, "BLOCK_TEXTS", texts_of_block), (V, "_AT_ONCE", at_once), (V, "CHUNK", chunk), (V, "MANY", many)):
+        monkeypatch.setattr(module, name, value)
+    texts = topics(5, 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, words array<string>").repartition(3)
+    docs = [(k, t, "x" if k % 2 else None) for k, t in enumerate(texts) if k % 3] + [(900, ["a1", "unknown"], "y"), (901, ["alone"], "y"), (902, [], "z"), (903, ["a1", None], "z")]
+    got = V.context_means(df, spark.createDataFrame(docs, "id int, words array<string>, name string").repartition(3), size=70, common_share=0.02)
+    assert got.columns == ["id", "name", "vector"]
+    _, vectors = plain_vectors(texts, 70, 3, 0.02)
+    want = {k: np.mean([vectors.get(w, np.zeros(70)) for w in t], axis=0) for k, t, _ in docs if t}
+    rows = got.collect()
+    assert sorted((r["id"], r["name"]) for r in rows) == sorted((k, x) for k, t, x in docs if t) and len(rows) == len(want)
+    for r in rows:
+        assert r["vector"] == pytest.approx(want[r["id"]].tolist(), abs=1e-12)
+
+
+def test_only_words_travel_for_means(spark, monkeypatch):
+    """No row per text and word meets a vector: a word that all texts share is asked once a block."""
+    asked = []
+    joined = type(spark.range(0)).join
+    monkeypatch.setattr(type(spark.range(0)), "join", lambda self, other, *a, **b: (asked.append(self.count()), joined(self, other, *a, **b))[1])
+    df = spark.range(500).select("id", F.array(F.lit("the"), F.lit("of"), F.concat(F.lit("w"), F.col("id").cast("string"))).alias("words")).repartition(2)
+    assert V.context_means(df, df, size=10).count() == 500
+    assert asked == [500 + 2 * 2]

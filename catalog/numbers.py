@@ -11,6 +11,7 @@ from gridmine.functions import numbers
 from gridmine.functions.html import parse_table
 from gridmine.operators.unnest import grid_cells
 from gridmine.plans.corpora import header_lines, range_token_corpus, tokenise_numbers, unit_cells
+from gridmine.session import spread
 
 # Blank-delimited text with whole numbers, one-decimal and two-decimal numbers.
 
@@ -30,7 +31,7 @@ def _interval(x: str) -> str:
 def n11(spark, sf):
     size, price = F.col("p_size").cast("string"), F.col("p_retailprice").cast("string")
     line = F.concat(size, F.lit(" a "), price, F.lit(" 0 x"), size, F.lit(" "), size, F.lit(".25"))
-    return table(spark, sf, "part").select("p_partkey", numbers.numbers_to_intervals(line).alias("line"))
+    return spread(table(spark, sf, "part")).select("p_partkey", numbers.numbers_to_intervals(line).alias("line"))
 
 
 @query(

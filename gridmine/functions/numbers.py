@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridmine.functions.predicates import as_col
-from gridmine.functions.text import interleave
+from gridmine.functions.text import hold, interleave
 
 # Number, range and mixed-token patterns.
 RANGE = r"(?U)\b(\d+(\.\d+)?)[-–](\d+(\.\d+)?)\b"
@@ -59,21 +59,27 @@ def fixed1(x: Column) -> Column:
     digit through an exact split of the double (27 + 26 bits), since ``round`` works on
     the shortest decimal text. From 2^63 on the text is that of the shortest decimal.
     """
-    a = F.abs(x)
-    whole = F.floor(F.least(a, F.lit(9.2e18)))
-    f = a - whole
-    big = f * F.lit(134217729.0)
-    head = big - (big - f)
-    tail = f - head
-    digit = F.floor(f * 10)
-    excess = ((F.lit(10.0) * head - digit) - F.lit(0.5)) + F.lit(10.0) * tail
-    up = (excess > 0) | ((excess == 0) & (digit % 2 == 1))
-    digit = digit + F.when(up, 1).otherwise(0)
-    text = F.concat(
-        (whole + F.floor(digit / 10)).cast("string"), F.lit("."), (digit % 10).cast("int").cast("string")
-    )
-    text = F.when(a < 9.2e18, text).otherwise(F.format_string("%.1f", a))
-    return F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    def text(x: Column) -> Column:
+        a = F.abs(x)
+        whole = F.floor(F.least(a, F.lit(9.2e18)))
+
+        def fraction(f: Column) -> Column:
+            big = f * F.lit(134217729.0)
+
+            def digit(head: Column) -> Column:
+                down = F.floor(f * 10)
+                excess = ((F.lit(10.0) * head - down) - F.lit(0.5)) + F.lit(10.0) * (f - head)
+                return down + F.when(hold(excess, lambda e: (e > 0) | ((e == 0) & (down % 2 == 1))), 1).otherwise(0)
+
+            def shown(d: Column) -> Column:
+                return F.concat((whole + F.floor(d / 10)).cast("string"), F.lit("."), (d % 10).cast("int").cast("string"))
+
+            return hold(hold(big - (big - f), digit), shown)
+
+        short = F.when(a < 9.2e18, hold(a - whole, fraction)).otherwise(F.format_string("%.1f", a))
+        return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), short)
+
+    return hold(x, text)
 
 
 def float_text(c: str | Column) -> Column:
@@ -90,8 +96,11 @@ def _around(value: Column, pct: float) -> tuple[Column, Column]:
 
 
 def number_to_interval(value: Column, pct: float = 10) -> Column:
-    lo, hi = _around(value, pct)
-    return F.concat(F.lit("["), fixed1(lo), F.lit("|"), fixed1(hi), F.lit("]"))
+    def text(x: Column) -> Column:
+        lo, hi = _around(x, pct)
+        return F.concat(F.lit("["), fixed1(lo), F.lit("|"), fixed1(hi), F.lit("]"))
+
+    return hold(value, text)
 
 
 def replace_matches(c: str | Column, pattern: str, group_cols: Sequence[int], fill) -> Column:
@@ -155,11 +164,14 @@ def range_token(attribute: Column, unit: Column, lo: Column, hi: Column) -> Colu
     digest = F.sha2(F.concat_ws("|", attribute, unit, float_text(lo), float_text(hi)), 256)
     letters = F.lit(TOKEN_LETTERS)
 
-    def letter(i: Column) -> Column:
-        byte = F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        return F.substr(letters, byte % len(TOKEN_LETTERS) + 1, F.lit(1))
+    def spelled(digest: Column) -> Column:
+        def letter(i: Column) -> Column:
+            byte = F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            return F.substr(letters, byte % len(TOKEN_LETTERS) + 1, F.lit(1))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+    return hold(digest, spelled)
 
 
 def tokenise_ranges(cell: str | Column, attribute: Column, unit: Column) -> Column:

@@ -103,6 +103,13 @@ def test_numbers_to_intervals(spark):
     assert one(spark, numbers.format_ranges("x"), x=("string", "a 5-7.25 b")) == "a 5.0-7.2 b"
 
 
+def test_a_number_is_read_once_for_its_interval(spark):
+    df = spark.range(1).select(numbers.numbers_to_intervals(F.col("id").cast("string")).alias("x"), numbers.fixed1(F.col("id") * 0.5).alias("y"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.upper().count("AS DOUBLE)") < 100 and len(plan) < 20_000
+    assert one(spark, numbers.numbers_to_intervals("x"), x=("string", "0.05 1e3 99999999999999999999")) == "[0.0|0.1] 1e3 [90000000000000000000.0|110000000000000000000.0]"
+
+
 @pytest.mark.parametrize(
     ("raw", "expected"),
     [

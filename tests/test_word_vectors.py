@@ -154,3 +154,24 @@ def test_only_words_travel_for_means(spark, monkeypatch):
     df = spark.range(500).select("id", F.array(F.lit("the"), F.lit("of"), F.concat(F.lit("w"), F.col("id").cast("string"))).alias("words")).repartition(2)
     assert V.context_means(df, df, size=10).count() == 500
     assert asked == [500 + 2 * 2]
+
+
+def test_digests_are_means_of_those_of_the_tokens(spark):
+    from gridmine.operators import embed
+
+    draw = random.Random(6)
+    lists = [[f"t{draw.randint(0, 3)}" for _ in range(draw.randint(0, 40))] for _ in range(50)] + [None, [], ["ü"], ["t0"] * 200_000]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, words array<string>").coalesce(1)
+    got = dict(map(tuple, df.select("id", embed.tokens_vector_digest("words", 300)).collect()))
+    for k, words in enumerate(lists):
+        vectors = {w: embed._token_codes([w], 300)[0] / 32768.0 - 1 for w in set(words or [])}
+        want = embed.digest_of(np.mean([vectors[w] for w in words], axis=0)[None, :])[0].tolist() if words else None
+        assert got[k] == (pytest.approx(want, abs=1e-6) if want else None)
+
+
+def test_a_run_is_cut_out_of_its_text_once(spark):
+    from gridmine.operators import tokens
+
+    df = spark.createDataFrame([([(0, "ab"), (1, "##c"), (2, "d")],)], "items array<struct<pos: int, token: string>>")
+    for runs in (tokens.subword_runs, tokens.span_runs):
+        assert df.select(runs("items").alias("r"))._jdf.queryExecution().analyzed().toString().count("slice(") == 1

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from catalog import models
@@ -59,3 +60,11 @@ def test_mean_vector_network_has_the_full_width(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(models.ml, "train", lambda *a, **b: widths.append(b["inputs"]) or train(*a, **b))
     assert entry.queries()["m10_mean_vector_network"](spark, sf).count() > 0
     assert widths == [300]
+
+
+def test_six_places_of_a_component(spark):
+    values = [0.0, -0.0, -1e-9, 0.1234564, 0.1234566, -0.9999996, 1.0, 1e-6, 0.5, -0.000123456]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = df.select("x", models.six_places(F.col("x")).alias("t"), F.round("x", 6).cast("string").alias("r"))
+    assert all(r["t"] == r["r"] and float(r["t"]) == round(r["x"], 6) for r in got.collect())
+    assert "round(" not in df.select(models.six_places(F.col("x")))._jdf.queryExecution().analyzed().toString()

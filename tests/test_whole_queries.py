@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from catalog import models
+from gridmine.operators import joins
+from gridmine.plans import similarity
 
 
 def documents(spark, path, texts):
@@ -68,3 +70,27 @@ def test_six_places_of_a_component(spark):
     got = df.select("x", models.six_places(F.col("x")).alias("t"), F.round("x", 6).cast("string").alias("r"))
     assert all(r["t"] == r["r"] and float(r["t"]) == round(r["x"], 6) for r in got.collect())
     assert "round(" not in df.select(models.six_places(F.col("x")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_tables_reach_the_encoder_in_short_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    tables = spark.range(2500).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("table_id"), F.array(F.concat(F.lit("w"), F.col("id") % 7)).alias("rows"))
+    try:
+        spark.conf.set(name, "10000")
+        got = {r["id"]: r["a_similarity"] for r in similarity.table_similarity(tables, {"a": {"id": "3", "table_id": 1}}, 16).collect()}
+        assert int(spark.conf.get(name)) <= 1000
+        assert len(got) == 2500 and {i for i, x in got.items() if x == 1.0} == {str(i) for i in range(3, 2500, 7)}
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_group_of_pairs_is_bounded(spark, monkeypatch):
+    """Every pair is a row of the result, so a group holds at most 2,048 rows of either side (before: 4,096)."""
+    groups = []
+    kept = joins.block_cogroup
+    monkeypatch.setattr(joins, "block_cogroup", lambda left, right, fn, schema, *blocks: (groups.append(blocks), kept(left, right, fn, schema, *blocks))[1])
+    v = spark.range(300).select("id", F.array(F.col("id") * 1.0, F.lit(1.0)).alias("vector"))
+    refs = v.where("id % 20 = 0").select(F.col("id").alias("ref"), F.col("vector").alias("ref_vector"))
+    assert joins.cross_refs(v, refs, max_inline=0).count() == 300 * 15
+    assert len(groups) == 1 and groups[0] and groups[0][0] * groups[0][1] <= 1 << 22

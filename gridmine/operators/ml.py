@@ -100,8 +100,15 @@ def top_positive(predictions: DataFrame, key: str, n: int | None = None) -> Data
     return ranked if n is None else ranked.limit(n)
 
 
-def at_least_majority(predictions: DataFrame) -> Column:
-    """Whether the share of right predictions reaches that of the commonest label, for ``agg``."""
+def at_least_majority(predictions: DataFrame, n: str | None = None) -> Column:
+    """Whether the share of right predictions reaches that of the commonest label, for ``agg``.
+
+    ``n`` names a column with how many rows a row stands for.
+    """
+    if n is not None:
+        right = F.sum(F.when(F.col("label").cast("double") == F.col("prediction"), F.col(n)).otherwise(0))
+        ones = F.sum(F.when(F.col("label") == 1, F.col(n)).otherwise(0))
+        return right >= F.greatest(ones, F.sum(n) - ones)
     right = F.avg((F.col("label").cast("double") == F.col("prediction")).cast("double"))
     ones = F.avg(F.col("label").cast("double"))
     return right >= F.greatest(ones, 1 - ones)

@@ -83,8 +83,28 @@ def dice_pairs(intervals: DataFrame, order: Sequence[str], d: int = 384, toleran
     the bounds in closed form; ``dice_interval`` gives the vectors where they are wanted.
     Output: order columns, Rx1, Ry1, Rx2, Ry2, relation, label.
     """
-    names = {"lo": "Rx1", "hi": "Ry1", "next_lo": "Rx2", "next_hi": "Ry2"}
-    pairs = with_next(intervals.select(*order, "lo", "hi"), list(order), ["lo", "hi"]).withColumnsRenamed(names)
-    bounds = list(names.values())
-    related = pairs.withColumn("relation", interval_relation(*[F.col(c) for c in bounds]))
-    return label_bounds(related, bounds, d, tolerance=tolerance)
+    return _related(_neighbours(intervals, order), d, tolerance)
+
+
+def counted_dice_pairs(
+    intervals: DataFrame, order: Sequence[str], also: Sequence[Column] = (), d: int = 384, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """The different pairs of ``dice_pairs`` and how often each occurs: (also, Rx1, Ry1, Rx2, Ry2, n, relation, label).
+
+    Pairs that differ in the columns ``also`` are counted apart. Relation and angles are computed once per different pair.
+    """
+    counted = _neighbours(intervals, order).groupBy(*also, *_BOUNDS).agg(F.count(F.lit(1)).alias("n"))
+    return _related(counted, d, tolerance)
+
+
+_BOUNDS = ["Rx1", "Ry1", "Rx2", "Ry2"]
+
+
+def _neighbours(intervals: DataFrame, order: Sequence[str]) -> DataFrame:
+    names = dict(zip(["lo", "hi", "next_lo", "next_hi"], _BOUNDS, strict=True))
+    return with_next(intervals.select(*order, "lo", "hi"), list(order), ["lo", "hi"]).withColumnsRenamed(names)
+
+
+def _related(pairs: DataFrame, d: int, tolerance: float) -> DataFrame:
+    related = pairs.withColumn("relation", interval_relation(*[F.col(c) for c in _BOUNDS]))
+    return label_bounds(related, _BOUNDS, d, tolerance=tolerance)

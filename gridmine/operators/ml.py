@@ -15,11 +15,13 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StandardScaler, VectorAssembler, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gridmine.functions.predicates import as_col, bounded
-from gridmine.session import partition_count
+from gridmine.session import partition_count, scratch_dir
 
 # Settings of the feature stages and models.
 VOCABULARY_SIZE = 2**31 - 1  # all words; they are held by the driver, see ``features`` for larger vocabularies
@@ -66,6 +68,19 @@ def features(columns: Sequence[str], out: str = "features", min_df: float = MIN_
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=[f"{c}_counts" for c in columns], outputCol=out)])
 
 
+def written_features(df: DataFrame, keep: Sequence[str], c: str = "features") -> DataFrame:
+    """Columns ``keep`` and the vectors, written once, without the attribute per word that the stages hang on the column.
+
+    Those attributes travel with the plan in every task of every iteration of a fit.
+    """
+    # the stored form of a vector, read back as one
+    stored = df.select(*keep, F.unwrap_udt(c).alias(c))
+    path = scratch_dir(df.sparkSession) + "/features.parquet"
+    stored.write.option("compression", "zstd").parquet(path)
+    schema = StructType([*stored.select(*keep).schema.fields, StructField(c, VectorUDT())])
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def model_of(kind: str, inputs: int = 0, seed: int = 0):
     """Untrained classifier: svm, lr, nb, mlp (16 hidden units) or pairs (128 hidden units)."""
     if kind == "svm":

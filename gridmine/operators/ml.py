@@ -97,8 +97,15 @@ def model_of(kind: str, inputs: int = 0, seed: int = 0):
 
 
 def train(df: DataFrame, kind: str, inputs: int = 0, seed: int = 0):
-    """Fit on ``features``/``label``; training data are kept on executors while the fit iterates."""
-    data = df.select("features", F.col("label").cast("double").alias("label")).persist()
+    """Fit on ``features``/``label``; training data are kept on executors while the fit iterates.
+
+    A linear model shuffles a gradient as wide as the vocabulary per partition and iteration, so its rows lie in no
+    more partitions than there are cores.
+    """
+    data = df.select("features", F.col("label").cast("double").alias("label"))
+    if kind in ("svm", "lr"):
+        data = data.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    data = data.persist()
     try:
         return model_of(kind, inputs, seed).fit(data)
     finally:

@@ -19,3 +19,24 @@ def test_features_are_written_without_an_attribute_per_word(spark):
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, plain.select(*columns).collect()))
     # the models still find how many classes and inputs there are
     assert ml.train(got.filter("is_train = 1"), "lr").numFeatures == ml.train(plain.filter("is_train = 1"), "lr").numFeatures
+
+
+def test_a_linear_model_sends_no_more_gradients_than_there_are_cores(spark, monkeypatch):
+    rows = models._features(spark, SF).repartition(23)
+    partitions, seen = [], []
+    model_of = ml.model_of
+
+    class Fit:
+        def __init__(self, kind):
+            self.kind = kind
+
+        def fit(self, data):
+            partitions.append(data.rdd.getNumPartitions())
+            seen.append(data.count())
+            return model_of(self.kind).fit(data)
+
+    monkeypatch.setattr(ml, "model_of", lambda kind, *a: Fit(kind))
+    for kind in ("lr", "svm", "nb"):
+        ml.train(rows, kind)
+    cores = spark.sparkContext.defaultParallelism
+    assert partitions == [cores, cores, 23] and seen == [rows.count()] * 3

@@ -94,3 +94,16 @@ def test_a_group_of_pairs_is_bounded(spark, monkeypatch):
     refs = v.where("id % 20 = 0").select(F.col("id").alias("ref"), F.col("vector").alias("ref_vector"))
     assert joins.cross_refs(v, refs, max_inline=0).count() == 300 * 15
     assert len(groups) == 1 and groups[0] and groups[0][0] * groups[0][1] <= 1 << 22
+
+
+def test_mixed_vectors_meet_two_ids_in_nine(spark, tmp_path):
+    rows = [(i, [float(i % 7 + 1 + k % (i % 5 + 2)) for k in range(64)], i % 10) for i in range(1, 100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    usable = {i for i in range(1, 100) if i % 11 and i % 7}
+    kind = {i: 0 if i % 5 == 0 else 1 if i % 13 == 0 else 2 for i in usable}
+    want = {(i, ref) for ref in usable if ref % 9 < 2 for i in usable if kind[i] == kind[ref]}
+    for name in ("inline", "in_blocks"):
+        got = entry.queries()[f"j1_mixed_vectors_{name}"](spark, str(tmp_path)).collect()
+        assert {(r["id"], r["ref"]) for r in got} == want and len(got) == len(want)
+        got = entry.queries()[f"q1_mixed_vectors_{name}"](spark, str(tmp_path)).collect()
+        assert {r["query"] for r in got} == {ref for _, ref in want}

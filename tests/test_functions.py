@@ -145,3 +145,16 @@ def test_literals(spark):
     assert one(spark, numbers.parse_grid("x"), x=("string", "[['a', 'b'], []]")) == [["a", "b"], []]
     interval = one(spark, numbers.parse_interval("x"), x=("string", "[1.5|x]"))
     assert (interval.lo, interval.hi) == (1.5, None)
+
+
+def test_plain_terms_skip_the_rules_of_their_profile(spark):
+    words = ["Dose", "daily", "Birthday", "Days", "lifetimes", "YEAR", "Yearly", "x9", "٣", "a<b", "~", "5mg/kg", "/ml", "a|b/ml", "x/mg", "-", "é_É", "(0.0)", "-3.5%", "7/12/2020", "Zeit Jahr"]
+    df = spark.createDataFrame([(w,) for w in [*words, "'0' [1 to 2] 3 [1 to 2], " + " ".join(words), "", " , "]], "c string")
+    every = F.transform(
+        F.filter(F.split(text.strip_chars("c", "[]()'"), r"(?U)[,\s]+"), lambda t: t != ""),
+        lambda t: F.lower(F.regexp_replace(text.normalise(t, "term"), r"(?U)[^\w]", "")),
+    )
+    got = df.select(text.terms("c").alias("a"), every.alias("b"))
+    assert all(r["a"] == r["b"] for r in got.collect())
+    # one test decides whether a word meets the rules at all
+    assert "RLIKE" in df.select(text.terms("c"))._jdf.queryExecution().analyzed().toString().upper()

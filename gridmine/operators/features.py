@@ -14,17 +14,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from gridmine.functions.vectors import costly
 from gridmine.operators.aggregates import number_words
 from gridmine.operators.dictionaries import BLOCK_WORDS, BUCKETS, by_bucket, encode_by_blocks, packed_words, unpacked_words
 from gridmine.operators.embed import words_of
-from gridmine.operators.ml import MIN_DOCUMENTS
 from gridmine.session import materialise, partition_count, scratch_dir
 
+# Fixed value: rows a word must stand in.
+MIN_DOCUMENTS = 5
 _ROWS_AT_ONCE = 32
 
 
@@ -116,6 +116,24 @@ def _counted(ids: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([indices, pa.ListArray.from_arrays(ends, pa.array(times))], names=["indices", "values"])
 
 
+def _words(df: DataFrame, c: str) -> Column:
+    """Words of a text; an array of words is taken as it is."""
+    return F.col(c) if isinstance(df.schema[c].dataType, ArrayType) else words_of(c)
+
+
+def written_features(df: DataFrame, keep: Sequence[str], c: str = "features") -> DataFrame:
+    """Columns ``keep`` and the vectors, written once, without attributes of the column.
+
+    Where there is one per word, they travel with the plan in every task of every iteration of a fit.
+    """
+    # the stored form of a vector, read back as one
+    stored = df.select(*keep, F.unwrap_udt(c).alias(c))
+    path = scratch_dir(df.sparkSession) + "/features.parquet"
+    stored.write.option("compression", "zstd").parquet(path)
+    schema = StructType([*stored.select(*keep).schema.fields, StructField(c, VectorUDT())])
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 @dataclass
 class TextFeatures:
     """Fitted features: per text column its vocabulary (word, idx from 0 over all columns) and how many words it has."""
@@ -135,19 +153,28 @@ class TextFeatures:
         written and shuffled with its counts.
         """
         kept = list(df.columns if keep is None else keep)
+        return written_features(self.counted(df, out, kept), kept, out)
+
+    def counted(self, df: DataFrame, out: str, kept: Sequence[str]) -> DataFrame:
+        """The columns ``kept`` and the counts, not written yet; of their attributes the column names the number only."""
         names = [f"_ids_{i}" for i in range(len(self.columns))]
-        words = [words_of(c).alias(f"_words_{i}") for i, c in enumerate(self.columns)]
+        words = [_words(df, c).alias(f"_words_{i}") for i, c in enumerate(self.columns)]
         rows = df.select(*kept, *words)
         for i, (vocab, name) in enumerate(zip(self.vocabularies, names, strict=True)):
             rows = encode_by_blocks(rows, f"_words_{i}", vocab, name)
-        counted = F.arrow_udf(_counted, "struct<indices: array<int>, values: array<double>>")
-        counts = rows.select(*kept, costly(counted)(F.concat(*names)).alias("_counts"))
-        # the stored form of a sparse vector, read back as one
-        sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(self.width).alias("size"), "_counts.indices", "_counts.values")
-        path = scratch_dir(df.sparkSession) + "/features.parquet"
-        counts.select(*kept, sparse.alias(out)).write.option("compression", "zstd").parquet(path)
-        schema = StructType([*df.select(*kept).schema.fields, StructField(out, VectorUDT())])
-        return df.sparkSession.read.schema(schema).parquet(path)
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                counts, n = _counted(batch.column(batch.num_columns - 1)), batch.num_rows
+                # the stored form of a sparse vector
+                parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32)), *counts.flatten()]
+                vectors = pa.StructArray.from_arrays(parts, names=["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], [*kept, out])
+
+        column = StructField(out, VectorUDT(), metadata={"ml_attr": {"num_attrs": width}})
+        ids = F.concat(*names).alias("_ids")
+        return rows.select(*kept, ids).mapInArrow(run, StructType([*df.select(*kept).schema.fields, column]))
 
     def save(self, path: str) -> None:
         spark = self.vocabularies[0].sparkSession
@@ -163,7 +190,7 @@ def load_text_features(spark: SparkSession, path: str) -> TextFeatures:
 
 
 def fit_text_features(
-    df: DataFrame, columns: Sequence[str], size: int | None = None, min_df: int = MIN_DOCUMENTS
+    df: DataFrame, columns: Sequence[str], size: int | None = None, min_df: float = MIN_DOCUMENTS
 ) -> TextFeatures:
     """The ``size`` most frequent words (all if None) in at least ``min_df`` rows, per text column.
 
@@ -171,7 +198,7 @@ def fit_text_features(
     """
     vocabularies, sizes = [], []
     for c in columns:
-        counts = materialise(word_frequencies(df.select(words_of(c).alias("words")), "words").where(F.col("docs") >= min_df))
+        counts = materialise(word_frequencies(df.select(_words(df, c).alias("words")), "words").where(F.col("docs") >= min_df))
         numbered = number_words(counts.select("word", "freq"), size)
         vocab = materialise(numbered.select("word", (F.col("idx") - 1 + sum(sizes)).alias("idx")))
         vocabularies.append(vocab)

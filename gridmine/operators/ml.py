@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
@@ -15,17 +16,15 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StandardScaler, VectorAssembler, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from gridmine.functions.predicates import as_col, bounded
-from gridmine.session import partition_count, scratch_dir
+from gridmine.operators.features import MIN_DOCUMENTS, TextFeatures, fit_text_features, load_text_features, written_features  # noqa: F401
+from gridmine.session import partition_count
 
 # Settings of the feature stages and models.
 VOCABULARY_SIZE = 2**31 - 1  # all words; they are held by the driver, see ``features`` for larger vocabularies
-MIN_DOCUMENTS = 5
 
 
 def tokenizer(c: str, out: str) -> RegexTokenizer:
@@ -60,25 +59,54 @@ def width(c: str | Column) -> Column:
     return F.coalesce(raw["size"], F.size(raw["values"])).cast("long")
 
 
-def features(columns: Sequence[str], out: str = "features", min_df: float = MIN_DOCUMENTS) -> Pipeline:
-    """Tokens and counts per text column, assembled to one sparse vector."""
-    stages = []
-    for c in columns:
-        stages += [tokenizer(c, f"{c}_words"), counter(f"{c}_words", f"{c}_counts", min_df=min_df)]
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[f"{c}_counts" for c in columns], outputCol=out)])
+@dataclass
+class FeatureModel:
+    """Fitted ``features``: their vocabularies stay tables."""
 
+    columns: list[str]
+    out: str
+    counted: TextFeatures
 
-def written_features(df: DataFrame, keep: Sequence[str], c: str = "features") -> DataFrame:
-    """Columns ``keep`` and the vectors, written once, without the attribute per word that the stages hang on the column.
+    def transform(self, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+        """Adds the vectors; ``keep`` names the columns that stay (all by default)."""
+        return self.counted.counted(_with_words(df, self.columns), self.out, list(df.columns if keep is None else keep))
 
-    Those attributes travel with the plan in every task of every iteration of a fit.
-    """
-    # the stored form of a vector, read back as one
-    stored = df.select(*keep, F.unwrap_udt(c).alias(c))
-    path = scratch_dir(df.sparkSession) + "/features.parquet"
-    stored.write.option("compression", "zstd").parquet(path)
-    schema = StructType([*stored.select(*keep).schema.fields, StructField(c, VectorUDT())])
-    return df.sparkSession.read.schema(schema).parquet(path)
+    def save(self, path: str) -> None:
+        self.counted.save(path)
+        spark = self.counted.vocabularies[0].sparkSession
+        names = [(*self.columns, self.out)]
+        spark.createDataFrame(names, [f"name_{i}" for i in range(len(names[0]))]).coalesce(1).write.mode("overwrite").parquet(f"{path}/{_NAMES}")
+
+
+@dataclass
+class FeatureCounts:
+    """Unfitted ``features``."""
+
+    columns: list[str]
+    out: str
+    min_df: float
+
+    def fit(self, df: DataFrame) -> FeatureModel:
+        least = self.min_df if self.min_df >= 1 else self.min_df * df.count()
+        counted = fit_text_features(_with_words(df, self.columns), [f"{c}_words" for c in self.columns], min_df=least)
+        if 0 in counted.sizes:
+            raise ValueError("a vocabulary is empty")
+        return FeatureModel(self.columns, self.out, counted)
+
+
+#: Folder of the names in a saved ``FeatureModel``.
+_NAMES = "names"
+
+
+def _with_words(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    for c in columns:
+        df = tokenize(df, c, f"{c}_words")
+    return df
+
+
+def features(columns: Sequence[str], out: str = "features", min_df: float = MIN_DOCUMENTS) -> FeatureCounts:
+    """Tokens and counts per text column, assembled to one sparse vector; the driver never holds a word."""
+    return FeatureCounts(list(columns), out, min_df)
 
 
 def model_of(kind: str, inputs: int = 0, seed: int = 0):
@@ -191,8 +219,16 @@ def pair_features(
 
 
 def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    if isinstance(model, FeatureModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel | FeatureModel:
+    spark = SparkSession.active()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_NAMES}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return PipelineModel.load(path)
+    *columns, out = spark.read.parquet(f"{path}/{_NAMES}").first()
+    return FeatureModel(columns, out, load_text_features(spark, path))

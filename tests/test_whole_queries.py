@@ -107,3 +107,20 @@ def test_mixed_vectors_meet_two_ids_in_nine(spark, tmp_path):
         assert {(r["id"], r["ref"]) for r in got} == want and len(got) == len(want)
         got = entry.queries()[f"q1_mixed_vectors_{name}"](spark, str(tmp_path)).collect()
         assert {r["query"] for r in got} == {ref for _, ref in want}
+
+
+def test_texts_and_merged_words_show_components_of_their_mean_vector(spark, tmp_path):
+    sf = documents(spark, tmp_path, ["one two", "two three, three", ""])
+    mean = lambda words, dims: [sum(x) / len(words) for x in zip(*(vector(w, dims) for w in words))]
+    got = {r["doc_id"]: [int(x) for x in r["vector"].split(" ")] for r in entry.queries()["m12_embed_texts"](spark, sf).collect()}
+    assert got == {d: pytest.approx([1e6 * x for x in mean(w, 768)], abs=0.5001) for d, w in {0: ["one", "two"], 1: ["two", "three,", "three"]}.items()}
+    pieces = {
+        "w4_merge_subwords": {"one": ["one"], "two": ["two"], "three": ["thre", "##e"], "three,": ["thre", "##e,"]},
+        "w5_merge_spans": {"one": ["one"], "two": ["two"], "three": ["three"], "[three,]": ["[", "three", ",", "]"]},
+    }
+    for name, words in pieces.items():
+        rows = entry.queries()[name](spark, sf).collect()
+        assert len(rows) == 5 and {r["token"] for r in rows} == set(words)
+        for r in rows:
+            v = mean(words[r["token"]], 300)
+            assert (r["first"], r["last"], r["total"]) == pytest.approx((v[0], v[-1], sum(v)), abs=1e-5)
